@@ -1,0 +1 @@
+"""Intentionally empty: the question set is batch only, so there is no streaming operator to build."""
