@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lapel.functions.dates import days_since, month_start
-from lapel.functions.money import ratio, share
+from lapel.functions.money import mean, ratio, share, total
 
 
 def _amount() -> Column:
@@ -24,18 +24,17 @@ def _kept() -> Column:
 
 def revenue() -> Column:
     """Sales without returns. All rows returns: 0, not NULL."""
-    return F.sum(F.when(_kept(), _amount()).otherwise(F.lit(0)))
+    return total(F.when(_kept(), _amount()).otherwise(F.lit(0.0)))
 
 
 def net_revenue() -> Column:
     """Sales minus returns."""
-    return F.sum(F.when(_kept(), _amount()).otherwise(-_amount()))
+    return total(F.when(_kept(), _amount()).otherwise(-_amount()))
 
 
 def aov() -> Column:
     """Mean amount of the non-returned rows, NULL when there are none."""
-    kept = F.when(_kept(), _amount())
-    return ratio(F.sum(kept), F.count(kept))
+    return mean(F.when(_kept(), _amount()))
 
 
 def days_since_last_purchase(as_of: date) -> Column:
@@ -45,8 +44,8 @@ def days_since_last_purchase(as_of: date) -> Column:
 
 def gross_per_sqft(square_footage: Column, exclude_returns: bool = False) -> Column:
     """Amount per square foot of one store. As defined it counts returns too; the flag leaves them out."""
-    total = revenue() if exclude_returns else F.sum(_amount())
-    return ratio(total.cast("double"), square_footage)
+    amount = revenue() if exclude_returns else total(_amount())
+    return ratio(amount.cast("double"), square_footage)
 
 
 def vip_at_risk_count() -> Column:
@@ -77,8 +76,8 @@ def growth_mom_naive(as_of: date) -> Column:
     and takes "30 days ago" for the prior month. :func:`growth_mom` is the one to use.
     """
     number = F.month("transaction_date")
-    now = F.sum(F.when(number == F.month(F.lit(as_of)), _amount()))
-    then = F.sum(F.when(number == F.month(F.date_sub(F.lit(as_of), 30)), _amount()))
+    now = total(F.when(number == F.month(F.lit(as_of)), _amount()))
+    then = total(F.when(number == F.month(F.date_sub(F.lit(as_of), 30)), _amount()))
     return ratio(now.cast("double") - then.cast("double"), then.cast("double"))
 
 
@@ -86,7 +85,7 @@ def month_revenue(as_of: date, back: int = 0) -> Column:
     """Revenue of the calendar month ``back`` months before the month of ``as_of``."""
     day = F.col("transaction_date")
     inside = (day >= F.lit(month_start(as_of, back))) & (day < F.lit(month_start(as_of, back - 1)))
-    return F.sum(F.when(inside & _kept(), _amount()).otherwise(F.lit(0)))
+    return total(F.when(inside & _kept(), _amount()).otherwise(F.lit(0.0)))
 
 
 def growth_mom(as_of: date) -> Column:

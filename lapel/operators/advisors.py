@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapel.functions.money import mean, money
+from lapel.functions.money import mean, money, total
 from lapel.functions.names import full_name
 from lapel.operators.ranking import number_rows
 from lapel.sources.star import Star
@@ -31,7 +31,7 @@ def advisor_revenue(star: Star) -> DataFrame:
         star,
         [
             F.count(F.lit(1)).alias("transactions"),
-            money(F.sum("total_amount")).alias("total_revenue"),
+            money(total("total_amount")).alias("total_revenue"),
             money(mean("total_amount")).alias("avg_order_value"),
             F.count_distinct("client_id").alias("unique_clients"),
         ],
@@ -55,7 +55,7 @@ def advisor_leaderboard(star: Star) -> DataFrame:
         star,
         [
             F.count(F.lit(1)).alias("total_transactions"),
-            money(F.sum("total_amount")).alias("total_revenue"),
+            money(total("total_amount")).alias("total_revenue"),
             money(mean("total_amount")).alias("avg_order_value"),
             F.count_distinct("client_id").alias("clients_served"),
         ],
@@ -79,7 +79,7 @@ def advisors_having(star: Star, min_clients: int = 60, min_aov: float = 800) ->
 
     The bound is tried on the unrounded mean.
     """
-    sums = _by_advisor(star, [mean("total_amount").alias("aov"), F.sum("total_amount").alias("total")])
+    sums = _by_advisor(star, [mean("total_amount").alias("aov"), total("total_amount").alias("total")])
     people = _staffed(star, ["store_name"], "specialization", "client_count")
     people = people.filter(F.col("client_count") > min_clients)
     out = people.join(sums.filter(F.col("aov") > min_aov), "advisor_id")
@@ -98,7 +98,7 @@ def best_aov_advisors(star: Star, n: int = 1) -> DataFrame:
 
 def rank_by_revenue(star: Star) -> DataFrame:
     """Every advisor with sales, numbered by revenue."""
-    sums = _by_advisor(star, [F.sum("total_amount").alias("total")])
+    sums = _by_advisor(star, [total("total_amount").alias("total")])
     named = star.advisors("advisor_id", "first_name", "last_name").join(sums, "advisor_id")
     ranked = number_rows(named, "total", "advisor_id", band_width=100_000)
     return ranked.select(

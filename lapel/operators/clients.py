@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lapel.functions.classify import HOUSE, Bounds, is_vip, is_vvip, membership_tier, risk_tier, tier_rank
 from lapel.functions.dates import days_since, inactive_for, year_span
-from lapel.functions.money import mean, money
+from lapel.functions.money import mean, money, total
 from lapel.functions.names import full_name
 from lapel.operators.ranking import number_rows, top_in_group
 from lapel.sources.star import Star
@@ -42,7 +42,7 @@ def clients_by_tier(star: Star) -> DataFrame:
     out = star.clients("membership_tier", "lifetime_spend").groupBy("membership_tier").agg(
         F.count(F.lit(1)).alias("client_count"),
         money(mean("lifetime_spend")).alias("avg_lifetime_spend"),
-        money(F.sum("lifetime_spend")).alias("total_lifetime_spend"),
+        money(total("lifetime_spend")).alias("total_lifetime_spend"),
     )
     return out.orderBy(tier_rank(F.col("membership_tier")), "membership_tier")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from lapel.functions import metrics as M
 from lapel.functions.dates import month_of, month_start, year_span
-from lapel.functions.money import money, ratio
+from lapel.functions.money import money, ratio, total
 from lapel.functions.names import or_unknown, or_zero
 from lapel.sources.star import Star
 
@@ -52,7 +52,7 @@ def live_client_count(star: Star, approx: bool = False) -> DataFrame:
 def revenue_per_sqft(star: Star, exclude_returns: bool = False) -> DataFrame:
     """Amount per square foot of each store with rows in the fact. The fact is added up before it meets the stores."""
     source = star.sales if exclude_returns else star.transactions
-    sums = source("store_id", "total_amount").groupBy("store_id").agg(F.sum("total_amount").alias("total"))
+    sums = source("store_id", "total_amount").groupBy("store_id").agg(total("total_amount").alias("total"))
     out = sums.join(star.stores("store_id", "store_name", "square_footage"), "store_id")
     per = ratio(F.col("total").cast("double"), F.col("square_footage")).alias("revenue_per_sqft")
     return out.select("store_id", "store_name", per)
@@ -95,7 +95,7 @@ def growth_mom(star: Star, as_of: date, by: str = "store_id") -> DataFrame:
 def growth_mom_series(star: Star, by: str = "store_id") -> DataFrame:
     """Revenue and growth of every month per group. A month after a gap has no prior month, hence NULL growth."""
     rows = star.sales(by, "transaction_date", "total_amount")
-    months = rows.groupBy(by, month_of("transaction_date").alias("month")).agg(F.sum("total_amount").alias("total"))
+    months = rows.groupBy(by, month_of("transaction_date").alias("month")).agg(total("total_amount").alias("total"))
     line = W.partitionBy(by).orderBy("month")
     adjacent = F.lag("month").over(line) == F.add_months("month", -1)
     prior = F.when(adjacent, F.lag("total").over(line))
@@ -115,7 +115,7 @@ def yoy(star: Star, as_of: date, by: str = "store_id") -> DataFrame:
     span = {"since": year_span(as_of.year - 1)["since"], "before": year_span(as_of.year)["before"]}
     rows = star.sales(by, "transaction_date", "total_amount", **span)
     bucket = M.year_bucket("transaction_date", as_of).alias("period")
-    return rows.groupBy(by, bucket).agg(money(F.sum("total_amount")).alias("revenue"))
+    return rows.groupBy(by, bucket).agg(money(total("total_amount")).alias("revenue"))
 
 
 def null_defaults(star: Star) -> DataFrame:

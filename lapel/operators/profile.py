@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from lapel.functions.classify import HOUSE, Bounds, is_vip, segment
 from lapel.functions.dates import days_since
-from lapel.functions.money import ratio
+from lapel.functions.money import money, ratio, total
 from lapel.sources.star import Star
 
 BASIC = ("lifetime_spend", "total_orders", "avg_order_value", "first_purchase_date", "last_purchase_date")
@@ -28,7 +28,7 @@ def profile(sales: DataFrame, category: bool = False, gap: bool = False) -> Data
     """
     known = sales.filter(F.col("client_id").isNotNull())
     parts = {
-        "spend": F.sum("total_amount"),
+        "spend": total("total_amount"),
         "valued": F.count("total_amount"),
         "n": F.count(F.lit(1)),
         "first_day": F.min("transaction_date"),
@@ -81,9 +81,9 @@ def client_profile(star: Star) -> DataFrame:
     out = profile(sales, category=True)
     return out.select(
         "client_id",
-        F.round("lifetime_spend", 2).cast("double").alias("lifetime_spend"),
+        money("lifetime_spend").alias("lifetime_spend"),
         "total_orders",
-        F.round("avg_order_value", 2).cast("double").alias("avg_order_value"),
+        money("avg_order_value").alias("avg_order_value"),
         "first_purchase_date",
         "last_purchase_date",
         "preferred_category",

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lapel.functions.money import UNITS, units
+
 TIE_SPAN = 1 << 16
 LOWEST = -(1 << 62)
 
@@ -38,12 +40,12 @@ def number_rows(
     ``value`` has at most four decimals.
     """
     keys = {
-        "_value": F.coalesce((F.col(value) * 10_000).cast("long"), F.lit(LOWEST)),
+        "_value": F.coalesce(units(value), F.lit(LOWEST)),
         "_run": F.expr(f"{tie} div {span}"),
     }
     keyed = df.withColumns(keys)
     cells = keyed.groupBy(*group, "_value", "_run").agg(F.count(F.lit(1)).alias("_n"))
-    cells = cells.withColumn("_band", F.expr(f"_value div {band_width * 10_000}"))
+    cells = cells.withColumn("_band", F.expr(f"_value div {band_width * UNITS}"))
 
     def rows_before(part: Sequence[str], *order: Column) -> Column:
         earlier = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)

@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapel.functions.dates import days_ago, month_of, months_ago, year_span
-from lapel.functions.money import mean, money, share
+from lapel.functions.money import mean, money, share, total
 from lapel.sources.star import Day, Star, day
 
 
 def _sum(name: str) -> Column:
-    return money(F.sum("total_amount")).alias(name)
+    return money(total("total_amount")).alias(name)
 
 
 def _mean(name: str = "avg_order_value") -> Column:
@@ -57,7 +57,7 @@ def revenue_by_store_between(star: Star, end: date, days: int = 365) -> DataFram
     span = {"since": days_ago(end, days - 1), "before": F.date_add(F.lit(end), 1)}
     rows = star.sales("store_id", "total_amount", **span)
     rows = rows.filter(F.col("store_id").isNotNull() & F.col("total_amount").isNotNull())
-    sums = rows.groupBy("store_id").agg(F.sum("total_amount").cast("double").alias("revenue_last_12_months"))
+    sums = rows.groupBy("store_id").agg(total("total_amount").cast("double").alias("revenue_last_12_months"))
     out = sums.join(star.stores("store_id", "store_name"), "store_id")
     out = out.select("store_id", "store_name", "revenue_last_12_months")
     return out.orderBy(F.desc("revenue_last_12_months"), "store_id")

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapel.functions.money import money
+from lapel.functions.money import money, total
 from lapel.functions.sql_functions import register_sql_functions
 from lapel.operators import advisors as A
 from lapel.operators import clients as C
@@ -63,7 +63,7 @@ def _client_view(star: Star) -> DataFrame:
 
 def _advisor_sales(star: Star) -> DataFrame:
     rows = star.transactions("advisor_id", "client_id", "total_amount")
-    return rows.groupBy("advisor_id", "client_id").agg(money(F.sum("total_amount")).alias("amount"))
+    return rows.groupBy("advisor_id", "client_id").agg(money(total("total_amount")).alias("amount"))
 
 
 def _email_rule(star: Star) -> list[P.Rule]:
@@ -84,8 +84,7 @@ def _all_rules(star: Star) -> list[P.Rule]:
 
 def _scan(spark: SparkSession, folder: str) -> DataFrame:
     """The whole fact as declared, money as doubles."""
-    df = ConformedStar(spark, folder).transactions()
-    return df.withColumns({c: F.col(c).cast("double") for c in ("unit_price", "discount_pct", "total_amount")})
+    return ConformedStar(spark, folder).transactions()
 
 
 def _cast_dates(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,15 +100,13 @@ def _customer_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def _gen_clients(spark: SparkSession, folder: str) -> DataFrame:
     """A generated client for every customer key."""
-    df = generate.gen_clients(spark, ids=_customer_ids(spark, folder))
-    return df.withColumns({c: F.col(c).cast("double") for c in ("lifetime_spend", "avg_order_value")})
+    return generate.gen_clients(spark, ids=_customer_ids(spark, folder))
 
 
 def _gen_transactions(spark: SparkSession, folder: str) -> DataFrame:
     """The generated sales of a generated client for every customer key."""
     clients = generate.gen_clients(spark, ids=_customer_ids(spark, folder))
-    df = generate.gen_transactions(clients, catalogue.products(spark, numbered=True))
-    return df.withColumns({c: F.col(c).cast("double") for c in ("unit_price", "total_amount")})
+    return generate.gen_transactions(clients, catalogue.products(spark, numbered=True))
 
 
 def _buyers_then_inactive(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,11 +144,11 @@ def _score_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Ten questions answered by other queries: two the same, two equal, six with a known mistake."""
     star = ConformedStar(spark, folder)
     count = F.count(F.lit(1))
-    total = money(F.sum("total_amount"))
+    amount = money(total("total_amount"))
     rich = star.clients("lifetime_spend").filter(F.col("lifetime_spend") > BOUNDS.vip)
     joined = star.sales("store_id", "total_amount").join(star.stores("store_id", "store_name", "city"), "store_id")
-    stores = joined.groupBy("store_id", "store_name", "city").agg(total.alias("revenue"))
-    with_returns = star.transactions("product_id", "total_amount").groupBy("product_id").agg(total.alias("revenue"))
+    stores = joined.groupBy("store_id", "store_name", "city").agg(amount.alias("revenue"))
+    with_returns = star.transactions("product_id", "total_amount").groupBy("product_id").agg(amount.alias("revenue"))
     products = star.products("product_id", "product_name", "brand", "category").join(with_returns, "product_id")
     dormant = star.clients("client_segment").filter(F.col("client_segment") == "Dormant")
     cities = star.stores("store_id", "city").filter(F.col("city").isin(*CITIES))
@@ -170,7 +167,7 @@ def _score_answers(spark: SparkSession, folder: str) -> DataFrame:
             ),
             "bq05": (C.at_risk_count(star), dormant.agg(count.alias("at_risk_count"))),
             "bq06": (C.at_risk_vips(star, AS_OF), C.at_risk_vips(star, AS_OF)),
-            "bq07": (R.city_revenue(star, CITIES), wrong_key.groupBy("city").agg(total.alias("revenue"))),
+            "bq07": (R.city_revenue(star, CITIES), wrong_key.groupBy("city").agg(amount.alias("revenue"))),
             "bq08": (A.best_aov_advisors(star), A.best_aov_advisors(star)),
             "bq09": (C.inactive_clients(star, AS_OF), C.inactive_clients(star, AS_OF, 90)),
             "bq10": (R.return_rate_by(star), R.return_rate_by(star, "brand")),

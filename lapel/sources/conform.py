@@ -13,7 +13,7 @@ No side is broadcast by hint: suppliers, parts and customers grow with the data.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from lapel.functions.classify import Bounds, is_vip, membership_tier, segment
 from lapel.functions.dates import days_since
-from lapel.functions.money import AMOUNT
+from lapel.functions.money import from_units, money, ratio
 from lapel.operators.profile import BASIC, profile
+from lapel.sources.raw import read_raw
 from lapel.sources.schema import SCHEMAS
 from lapel.sources.star import Star
 
@@ -36,6 +37,7 @@ BOUNDS = Bounds(
 
 SPECIALIZATIONS = ("Suiting", "Casual", "Formalwear", "Tailoring", "Accessories")
 DOMAIN = "example.com"
+EXACT = "decimal(12,2)"
 
 FROM_ORDERS = {"transaction_date", "client_id", "payment_method"}
 FROM_SUPPLIER = {"store_id"}
@@ -48,10 +50,9 @@ class ConformedStar(Star):
         self.spark, self.folder, self.as_of, self.bounds = spark, folder, as_of, bounds
 
     def scan(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_raw(self.spark, self.folder, name)
 
     def table(self, name: str, cols: Iterable[str] = ()) -> DataFrame:
-        cols = tuple(cols) or tuple(SCHEMAS[name].names)
         build = {
             "stores": self._stores,
             "advisors": self._advisors,
@@ -59,7 +60,7 @@ class ConformedStar(Star):
             "clients": self._clients,
             "transactions": self._transactions,
         }[name]
-        return build(cols)
+        return build(tuple(cols) or tuple(SCHEMAS[name].names))
 
     def _transactions(self, cols: tuple[str, ...]) -> DataFrame:
         df = self.scan("lineitem")
@@ -67,40 +68,41 @@ class ConformedStar(Star):
             df = df.join(self.scan("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
         if FROM_SUPPLIER & set(cols):
             df = df.join(self.scan("supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
-        off = F.col("l_discount").cast("decimal(4,2)")
-        price = F.col("l_extendedprice").cast("decimal(12,2)")
+
+        def percent() -> Column:
+            return F.rint(F.col("l_discount") * 100).cast("int")
+
         made = {
-            "transaction_id": F.concat_ws("-", "l_orderkey", "l_linenumber"),
-            "transaction_date": F.col("o_orderdate").cast("date") if FROM_ORDERS & set(cols) else None,
-            "client_id": F.col("o_custkey") if FROM_ORDERS & set(cols) else None,
-            "store_id": F.col("s_nationkey") if FROM_SUPPLIER & set(cols) else None,
-            "advisor_id": F.col("l_suppkey"),
-            "product_id": F.col("l_partkey"),
-            "quantity": F.col("l_quantity").cast("int"),
-            "unit_price": ratio_price(price, F.col("l_quantity")),
-            "discount_pct": (off * 100).cast(AMOUNT),
-            "total_amount": (price * (F.lit(1) - off)).cast(AMOUNT),
-            "payment_method": F.col("o_orderpriority") if FROM_ORDERS & set(cols) else None,
-            "is_return": F.col("l_returnflag") == "R",
+            "transaction_id": lambda: F.concat_ws("-", "l_orderkey", "l_linenumber"),
+            "transaction_date": lambda: F.col("o_orderdate").cast("date"),
+            "client_id": lambda: F.col("o_custkey"),
+            "store_id": lambda: F.col("s_nationkey"),
+            "advisor_id": lambda: F.col("l_suppkey"),
+            "product_id": lambda: F.col("l_partkey"),
+            "quantity": lambda: F.col("l_quantity").cast("int"),
+            "unit_price": lambda: money(ratio(F.col("l_extendedprice").cast(EXACT), F.col("l_quantity").cast(EXACT))),
+            "discount_pct": lambda: percent().cast("double"),
+            "total_amount": lambda: from_units(F.rint(F.col("l_extendedprice") * 100) * (F.lit(100) - percent())),
+            "payment_method": lambda: F.col("o_orderpriority"),
+            "is_return": lambda: F.col("l_returnflag") == "R",
         }
-        return df.select(*[made[c].alias(c) for c in cols])
+        return _select(df, made, cols)
 
     def _stores(self, cols: tuple[str, ...]) -> DataFrame:
         df = self.scan("nation")
         if {"region", "province"} & set(cols):
             df = df.join(self.scan("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-        region = F.col("r_name") if {"region", "province"} & set(cols) else None
         made = {
-            "store_id": F.col("n_nationkey"),
-            "store_name": F.col("n_name"),
-            "city": F.col("n_name"),
-            "province": region,
-            "region": region,
-            "square_footage": F.lit(1000) + F.lit(100) * F.col("n_nationkey"),
-            "opened_year": F.lit(1950) + F.col("n_nationkey"),
-            "manager_name": F.concat(F.lit("Manager "), F.col("n_name")),
+            "store_id": lambda: F.col("n_nationkey"),
+            "store_name": lambda: F.col("n_name"),
+            "city": lambda: F.col("n_name"),
+            "province": lambda: F.col("r_name"),
+            "region": lambda: F.col("r_name"),
+            "square_footage": lambda: F.lit(1000) + F.lit(100) * F.col("n_nationkey"),
+            "opened_year": lambda: F.lit(1950) + F.col("n_nationkey"),
+            "manager_name": lambda: F.concat(F.lit("Manager "), F.col("n_name")),
         }
-        return df.select(*[made[c].alias(c) for c in cols])
+        return _select(df, made, cols)
 
     def _advisors(self, cols: tuple[str, ...]) -> DataFrame:
         df = self.scan("supplier")
@@ -108,36 +110,38 @@ class ConformedStar(Star):
             live = self.sales("advisor_id", "client_id").groupBy("advisor_id")
             live = live.agg(F.count_distinct("client_id").cast("int").alias("live_count"))
             df = df.join(live, F.col("s_suppkey") == F.col("advisor_id"), "left").drop("advisor_id")
-        name = F.split(F.col("s_name"), "#")
-        skills = F.array(*[F.lit(s) for s in SPECIALIZATIONS])
-        slot = F.pmod(F.col("s_suppkey"), F.lit(len(SPECIALIZATIONS))).cast("int")
+
+        def slot() -> Column:
+            return F.pmod(F.col("s_suppkey"), F.lit(len(SPECIALIZATIONS))).cast("int")
+
+        hired = F.pmod(F.col("s_suppkey"), F.lit(1500)).cast("int")
         made = {
-            "advisor_id": F.col("s_suppkey"),
-            "first_name": name[0],
-            "last_name": name[1],
-            "store_id": F.col("s_nationkey"),
-            "hire_date": F.date_add(F.lit(date(1990, 1, 1)), F.pmod(F.col("s_suppkey"), F.lit(1500)).cast("int")),
-            "specialization": skills[slot],
-            "commission_rate": F.lit(0.06) + slot * F.lit(0.01),
-            "ytd_revenue": F.col("s_acctbal"),
-            "client_count": F.coalesce(F.col("live_count"), F.lit(0)) if "client_count" in cols else None,
+            "advisor_id": lambda: F.col("s_suppkey"),
+            "first_name": lambda: F.split(F.col("s_name"), "#")[0],
+            "last_name": lambda: F.split(F.col("s_name"), "#")[1],
+            "store_id": lambda: F.col("s_nationkey"),
+            "hire_date": lambda: F.date_add(F.lit(date(1990, 1, 1)), hired),
+            "specialization": lambda: F.array(*[F.lit(s) for s in SPECIALIZATIONS])[slot()],
+            "commission_rate": lambda: F.lit(0.06) + slot() * F.lit(0.01),
+            "ytd_revenue": lambda: F.col("s_acctbal"),
+            "client_count": lambda: F.coalesce(F.col("live_count"), F.lit(0)),
         }
-        return df.select(*[made[c].alias(c) for c in cols])
+        return _select(df, made, cols)
 
     def _products(self, cols: tuple[str, ...]) -> DataFrame:
         made = {
-            "product_id": F.col("p_partkey"),
-            "product_name": F.col("p_name"),
-            "category": F.col("p_type"),
-            "subcategory": F.concat(F.lit("Size "), F.col("p_size").cast("string")),
-            "brand": F.col("p_brand"),
-            "unit_price": F.col("p_retailprice").cast(AMOUNT),
-            "colour": F.split(F.col("p_name"), " ")[0],
-            "season": F.lit("All-Season"),
-            "stock_qty": F.col("p_size"),
-            "is_active": F.lit(True),
+            "product_id": lambda: F.col("p_partkey"),
+            "product_name": lambda: F.col("p_name"),
+            "category": lambda: F.col("p_type"),
+            "subcategory": lambda: F.concat(F.lit("Size "), F.col("p_size").cast("string")),
+            "brand": lambda: F.col("p_brand"),
+            "unit_price": lambda: F.col("p_retailprice"),
+            "colour": lambda: F.split(F.col("p_name"), " ")[0],
+            "season": lambda: F.lit("All-Season"),
+            "stock_qty": lambda: F.col("p_size"),
+            "is_active": lambda: F.lit(True),
         }
-        return self.scan("part").select(*[made[c].alias(c) for c in cols])
+        return _select(self.scan("part"), made, cols)
 
     def _clients(self, cols: tuple[str, ...]) -> DataFrame:
         want = set(cols)
@@ -148,39 +152,40 @@ class ConformedStar(Star):
             df = df.join(homes, F.col("c_nationkey") == F.col("home_id"), "left")
         if FROM_PROFILE & want:
             df = df.join(self._profile(want), F.col("c_custkey") == F.col("client_id"), "left").drop("client_id")
-        name = F.split(F.col("c_name"), "#")
-        mail = F.concat(F.lower(F.regexp_replace("c_name", "#", "")), F.lit("@" + DOMAIN))
-        made: dict[str, Column] = {
-            "client_id": F.col("c_custkey"),
-            "first_name": name[0],
-            "last_name": name[1],
-            "email": mail,
-            "preferred_store_id": F.col("c_nationkey"),
+
+        def spend() -> Column:
+            return F.coalesce(F.col("lifetime_spend").cast("double"), F.lit(0.0))
+
+        def orders() -> Column:
+            return F.coalesce(F.col("total_orders"), F.lit(0)).cast("int")
+
+        def vip() -> Column:
+            return is_vip(spend(), bounds=self.bounds)
+
+        def label() -> Column:
+            days = days_since("last_purchase_date", self.as_of)
+            return segment(days, orders(), F.col("gap"), vip(), self.bounds)
+
+        made = {
+            "client_id": lambda: F.col("c_custkey"),
+            "first_name": lambda: F.split(F.col("c_name"), "#")[0],
+            "last_name": lambda: F.split(F.col("c_name"), "#")[1],
+            "email": lambda: F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit(""))), F.lit("@" + DOMAIN)),
+            "city": lambda: F.col("city"),
+            "province": lambda: F.col("province"),
+            "preferred_store_id": lambda: F.col("c_nationkey"),
+            "advisor_id": lambda: F.pmod(F.col("c_custkey"), self.scan("supplier").agg(F.count(F.lit(1))).scalar()),
+            "membership_tier": lambda: membership_tier(spend(), self.bounds),
+            "is_vip": vip,
+            "client_segment": label,
+            "lifetime_spend": spend,
+            "last_purchase_date": lambda: F.col("last_purchase_date"),
+            "first_purchase_date": lambda: F.col("first_purchase_date"),
+            "total_orders": orders,
+            "avg_order_value": lambda: money("avg_order_value"),
+            "preferred_category": lambda: F.col("preferred_category"),
         }
-        if "advisor_id" in want:
-            advisors = self.scan("supplier").agg(F.count(F.lit(1))).scalar()
-            made["advisor_id"] = F.pmod(F.col("c_custkey"), advisors)
-        for c in want & {"city", "province"}:
-            made[c] = F.col(c)
-        if FROM_PROFILE & want:
-            spend = F.coalesce(F.col("lifetime_spend"), F.lit(0).cast(AMOUNT))
-            orders = F.coalesce(F.col("total_orders"), F.lit(0))
-            vip = is_vip(spend, bounds=self.bounds)
-            made |= {
-                "lifetime_spend": spend,
-                "total_orders": orders.cast("int"),
-                "avg_order_value": F.round("avg_order_value", 2),
-                "first_purchase_date": F.col("first_purchase_date"),
-                "last_purchase_date": F.col("last_purchase_date"),
-                "membership_tier": membership_tier(spend, self.bounds),
-                "is_vip": vip,
-            }
-            if "preferred_category" in want:
-                made["preferred_category"] = F.col("preferred_category")
-            if FROM_GAP & want:
-                days = days_since("last_purchase_date", self.as_of)
-                made["client_segment"] = segment(days, orders, F.col("gap"), vip, self.bounds)
-        return df.select(*[made[c].alias(c) for c in cols])
+        return _select(df, made, cols)
 
     def _profile(self, want: set[str]) -> DataFrame:
         category, gap = "preferred_category" in want, bool(FROM_GAP & want)
@@ -191,6 +196,6 @@ class ConformedStar(Star):
         return profile(sales, category=category, gap=gap)
 
 
-def ratio_price(price: Column, quantity: Column) -> Column:
-    """Price of one unit from the line price."""
-    return F.round(price / F.nullif(quantity.cast("decimal(12,2)"), F.lit(0)), 2).cast(AMOUNT)
+def _select(df: DataFrame, made: dict[str, Callable[[], Column]], cols: tuple[str, ...]) -> DataFrame:
+    """The asked-for columns only; the others are not even built."""
+    return df.select(*[made[c]().alias(c) for c in cols])

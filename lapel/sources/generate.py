@@ -52,7 +52,7 @@ def _by_segment(name: str) -> tuple[Column, Column]:
 def gen_clients(
     spark: SparkSession, n: int = C.CLIENTS, today: date = C.TODAY, ids: DataFrame | None = None, seed: int = 42
 ) -> DataFrame:
-    """Clients 1..n, or one for each ``client_id`` of ``ids``. Money comes as exact cents."""
+    """Clients 1..n, or one for each ``client_id`` of ``ids``. Money is drawn and divided in whole cents."""
     keys = spark.range(1, n + 1).withColumnRenamed("id", "client_id") if ids is None else ids.select("client_id")
     i = F.col("client_id").cast("long")
     salt = seed * 100
@@ -74,12 +74,13 @@ def gen_clients(
     cents = draw_int(i, salt + 1, spend_low * 100, spend_high * 100)
     df = df.select(
         "*",
-        (cents.cast("decimal(18,0)") / F.lit(100)).cast("decimal(12,2)").alias("lifetime_spend"),
+        cents.alias("cents"),
         draw_int(i, salt + 2, *_by_segment("orders")).alias("total_orders"),
         F.date_sub(F.lit(today), draw_int(i, salt + 3, *_by_segment("last_days"))).alias("last_purchase_date"),
         F.date_sub(F.lit(today), draw_int(i, salt + 4, *_by_segment("first_days"))).alias("first_purchase_date"),
     )
-    spend = F.col("lifetime_spend")
+    spend = F.col("cents") / 100.0
+    order_cents = F.expr("(cast(cents as bigint) * 2 + total_orders) div (2 * total_orders)")
     flagged = (F.pmod(i, F.lit(4)) == 0) | (F.pmod(i, F.lit(7)) == 0) | (F.col("client_segment") == "At-Risk")
     login = F.format_string(f"%s.%s%d@{C.CLIENT_DOMAIN}", F.lower("first_name"), F.lower("last_name"), i)
     return df.select(
@@ -94,11 +95,11 @@ def gen_clients(
         membership_tier(spend).alias("membership_tier"),
         (flagged | (spend > HOUSE.vip)).alias("is_vip"),
         "client_segment",
-        "lifetime_spend",
+        spend.alias("lifetime_spend"),
         "last_purchase_date",
         "first_purchase_date",
         "total_orders",
-        F.round(spend / F.col("total_orders"), 2).cast("decimal(12,2)").alias("avg_order_value"),
+        (order_cents / 100.0).alias("avg_order_value"),
         "preferred_category",
     )
 
@@ -136,12 +137,12 @@ def gen_transactions(clients: DataFrame, products: DataFrame, today: date = C.TO
         _pick(C.PAYMENTS, F.pmod(number, F.lit(len(C.PAYMENTS)))).alias("payment_method"),
         (F.pmod(number, F.lit(C.RETURN_EVERY)) == 0).alias("is_return"),
     )
-    list_price = F.col("unit_price").cast("decimal(12,2)").alias("unit_price")
-    goods = products.select(F.col("product_no").cast("long").alias("product_no"), "product_id", list_price)
+    goods = products.select(F.col("product_no").cast("long").alias("product_no"), "product_id", "unit_price")
     rows = rows.join(goods, "product_no")
     price = F.col("unit_price")
     quantity = F.when((price <= 1000) & (F.col("pair") == 3), 2).otherwise(1)
-    total = price * quantity * (F.lit(100) - F.col("discount_pct")) / F.lit(100)
+    after_discount = F.rint(price * 100).cast("long") * quantity * (F.lit(100) - F.col("discount_pct"))
+    cents = F.floor((after_discount + 50) / 100)
     return rows.select(
         F.format_string("TXN-%06d", "number").alias("transaction_id"),
         "transaction_date",
@@ -152,7 +153,7 @@ def gen_transactions(clients: DataFrame, products: DataFrame, today: date = C.TO
         quantity.alias("quantity"),
         "unit_price",
         F.col("discount_pct").cast("double").alias("discount_pct"),
-        F.round(total, 2).cast("decimal(12,2)").alias("total_amount"),
+        (cents / 100.0).alias("total_amount"),
         "payment_method",
         "is_return",
     )

@@ -12,7 +12,6 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapel.functions.money import AMOUNT
 from lapel.sources.schema import FOREIGN_KEYS, SCHEMAS, TABLE_COMMENTS
 
 Day = date | Column | str
@@ -66,7 +65,7 @@ class Star:
 class StoredStar(Star):
     """Tables kept in a catalog namespace or under a folder of parquet directories.
 
-    Money is read as exact decimals. A fact written by :func:`write_star` is partitioned by month; date bounds
+    A fact written by :func:`write_star` is partitioned by month; date bounds
     are turned into bounds on the month so that only the partitions needed are listed and read.
     """
 
@@ -83,8 +82,7 @@ class StoredStar(Star):
 
     def table(self, name: str, cols: Iterable[str] = ()) -> DataFrame:
         df = self.scan(name)
-        cols = tuple(cols) or tuple(SCHEMAS[name].names)
-        return df.select(*[_exact(c) for c in cols])
+        return df.select(*(tuple(cols) or SCHEMAS[name].names))
 
     def transactions(self, *cols: str, since: Day | None = None, before: Day | None = None) -> DataFrame:
         cols = cols or tuple(SCHEMAS["transactions"].names)
@@ -98,14 +96,7 @@ class StoredStar(Star):
             df = df.filter(F.col("transaction_date") < day(before))
             if by_month:
                 df = df.filter(F.col(MONTH) < day(before))
-        return df.select(*[_exact(c) for c in cols])
-
-
-MONEY = {"total_amount", "lifetime_spend", "unit_price", "avg_order_value", "discount_pct"}
-
-
-def _exact(name: str) -> Column:
-    return F.col(name).cast(AMOUNT).alias(name) if name in MONEY else F.col(name)
+        return df.select(*cols)
 
 
 class MappedStar(Star):
@@ -116,7 +107,7 @@ class MappedStar(Star):
 
     def table(self, name: str, cols: Iterable[str] = ()) -> DataFrame:
         cols = tuple(cols) or tuple(SCHEMAS[name].names)
-        return self.tables[name].select(*[_exact(c) for c in cols])
+        return self.tables[name].select(*cols)
 
 
 class ViewedStar(Star):

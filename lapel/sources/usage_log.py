@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lapel.sources.raw import read_raw
+
 # The published causes of failed questions, in short.
 CAUSES = ("table not added", "term not defined", "ambiguous question")
 
 
 def usage_log(spark: SparkSession, folder: str) -> DataFrame:
     """One log row per event; an error is a failed question. The rating is taken from the event id."""
-    e = spark.read.parquet(f"{folder}/events.parquet")
+    e = read_raw(spark, folder, "events")
     number = F.regexp_extract("props", "[0-9]+", 0)
     failed = F.col("event_type") == "error"
     cause = F.pmod("event_id", F.lit(3))
@@ -24,7 +26,7 @@ def usage_log(spark: SparkSession, folder: str) -> DataFrame:
         "user_id",
         F.concat(F.lit("Q"), number).alias("question"),
         F.concat(F.lit("SELECT "), number).alias("sql"),
-        F.col("value").cast("decimal(18,2)").alias("runtime_ms"),
+        F.col("value").alias("runtime_ms"),
         F.when(failed, "failed").otherwise("ok").alias("status"),
         F.when(failed & (cause == 0), CAUSES[0])
         .when(failed & (cause == 1), CAUSES[1])
@@ -36,18 +38,18 @@ def usage_log(spark: SparkSession, folder: str) -> DataFrame:
 
 def roster(spark: SparkSession, folder: str) -> DataFrame:
     """Everyone who was given access: the customer keys."""
-    return spark.read.parquet(f"{folder}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
+    return read_raw(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"))
 
 
 def certified(spark: SparkSession, folder: str) -> DataFrame:
     """Questions with an approved query: one per nation key."""
-    nation = spark.read.parquet(f"{folder}/nation.parquet")
+    nation = read_raw(spark, folder, "nation")
     return nation.select(F.concat(F.lit("Q"), F.col("n_nationkey")).alias("question"))
 
 
 def verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """(run_id, question_id, verdict): each week of the log is a run; the last event of a question decides."""
-    e = spark.read.parquet(f"{folder}/events.parquet")
+    e = read_raw(spark, folder, "events")
     week = F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd")
     kind = F.max_by("event_type", F.struct("ts", "event_id"))
     label = F.when(kind == "error", "Fail").when(kind == "view", "Partial").otherwise("Pass")
