@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 UNITS = 10_000
 LOW_BITS = 20
+SUM = "decimal(24,4)"
 
 
 def units(col: Column | str) -> Column:
@@ -35,7 +36,12 @@ def total(col: Column | str) -> Column:
     high = F.sum(F.shiftright(u, LOW_BITS)).cast("decimal(28,0)")
     low = F.sum(u.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(20,0)")
     whole = high * F.lit(1 << LOW_BITS) + low
-    return (whole * F.lit(Decimal(1) / UNITS)).cast("decimal(24,4)")
+    return (whole * F.lit(Decimal(1) / UNITS)).cast(SUM)
+
+
+def add_up(col: Column | str) -> Column:
+    """Sum of exact sums, of the same type."""
+    return F.sum(col).cast(SUM)
 
 
 def money(col: Column | str) -> Column:

@@ -5,9 +5,7 @@ They are temporary SQL functions: Spark inlines them into the calling query, so
 
 from __future__ import annotations
 
-from datetime import date
-
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from lapel.functions.classify import HOUSE, LOST, RISK_BANDS, Bounds
 
@@ -22,8 +20,13 @@ def risk_sql(days: str, spend: str, bounds: Bounds = HOUSE) -> str:
     return f"CASE {' '.join(arms)} ELSE '{LOST}' END"
 
 
-def register_sql_functions(spark: SparkSession, as_of: date, bounds: Bounds = HOUSE, prefix: str = "") -> None:
-    """classify_client_risk, get_revenue_by_period and get_top_clients over the views of ``register_views``."""
+def register_sql_functions(spark: SparkSession, ranked: DataFrame, bounds: Bounds = HOUSE, prefix: str = "") -> None:
+    """classify_client_risk, get_revenue_by_period and get_top_clients over the views of ``register_views``.
+
+    ``ranked`` is the answer of ``top_clients_by_store``: the numbering there never holds a store in one task, which
+    a window inside the function would.
+    """
+    ranked.createOrReplaceTempView(f"{prefix}clients_ranked")
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {prefix}classify_client_risk(d INT, m DOUBLE)
         RETURNS TABLE (days_since_purchase INT, lifetime_spend DOUBLE, risk_tier STRING)
@@ -45,13 +48,10 @@ def register_sql_functions(spark: SparkSession, as_of: date, bounds: Bounds = HO
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {prefix}get_top_clients(store INT)
         RETURNS TABLE (client_name STRING, email STRING, membership_tier STRING, lifetime_spend DOUBLE,
-                       total_orders INT, last_purchase_date DATE, risk_tier STRING, rank INT)
+                       total_orders INT, last_purchase_date DATE, risk_tier STRING, rank BIGINT)
         RETURN
-          SELECT first_name || ' ' || last_name, email, membership_tier, CAST(ROUND(lifetime_spend, 2) AS DOUBLE),
-                 total_orders, last_purchase_date,
-                 {risk_sql(f"DATEDIFF(DATE '{as_of.isoformat()}', last_purchase_date)", "lifetime_spend", bounds)},
-                 ROW_NUMBER() OVER (ORDER BY lifetime_spend DESC, client_id)
-          FROM {prefix}clients WHERE preferred_store_id = store""")
+          SELECT client_name, email, membership_tier, lifetime_spend, total_orders, last_purchase_date, risk_tier, rank
+          FROM {prefix}clients_ranked WHERE preferred_store_id = store""")
 
 
 def register_masks(spark: SparkSession, user: str, restricted: str, city: str, prefix: str = "") -> None:

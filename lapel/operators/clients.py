@@ -161,7 +161,7 @@ def bought_x_never_y(
 
     ``anti``: one pass; each sale of either kind marks its client, and the marks are combined map-side.
     ``not_in``: the same, but as ``NOT IN`` has it a sale of ``never`` without client empties the answer.
-    ``except``: set difference of the two sets of client ids.
+    ``except``: set difference of the two sets of client ids, each made distinct first.
     """
     is_x = (F.col("brand") == brand) & (F.col("category") == category)
     is_y = F.col("category") == never
@@ -172,7 +172,8 @@ def bought_x_never_y(
     items = items.select("product_id", *either)
     rows = star.sales("product_id", "client_id").join(items, "product_id")
     if method == "except":
-        ids = rows.filter("x").select("client_id").subtract(rows.filter("y").select("client_id"))
+        x, y = (rows.filter(flag).select("client_id").distinct() for flag in ("x", "y"))
+        ids = x.subtract(y)
     else:
         marks = rows.groupBy("client_id").agg(F.max("x").alias("x"), F.max("y").alias("y"))
         ids = marks.filter(F.col("x") & ~F.col("y")).select("client_id")

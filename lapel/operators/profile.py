@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from lapel.functions.classify import HOUSE, Bounds, is_vip, segment
 from lapel.functions.dates import days_since
-from lapel.functions.money import money, ratio, total
+from lapel.functions.money import add_up, money, ratio, total
 from lapel.sources.star import Star
 
 BASIC = ("lifetime_spend", "total_orders", "avg_order_value", "first_purchase_date", "last_purchase_date")
@@ -46,7 +46,7 @@ def profile(sales: DataFrame, category: bool = False, gap: bool = False) -> Data
             F.col("last_day").alias("last_purchase_date"),
         )
     merged = {
-        "spend": F.sum("spend"),
+        "spend": add_up("spend"),
         "valued": F.sum("valued"),
         "n": F.sum("n"),
         "first_day": F.min("first_day"),

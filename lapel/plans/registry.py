@@ -123,7 +123,7 @@ def _sql_revenue(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sql_top_clients(spark: SparkSession, folder: str) -> DataFrame:
     _sql_setup(spark, folder)
-    return spark.sql("SELECT * EXCEPT (rank), CAST(rank AS BIGINT) AS rank FROM cf_get_top_clients(3) WHERE rank <= 10")
+    return spark.sql("SELECT * FROM cf_get_top_clients(3) WHERE rank <= 10")
 
 
 def _sql_risk(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,8 +136,9 @@ def _sql_risk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sql_setup(spark: SparkSession, folder: str) -> None:
-    register_views(ConformedStar(spark, folder), prefix="cf_")
-    register_sql_functions(spark, AS_OF, BOUNDS, prefix="cf_")
+    star = ConformedStar(spark, folder)
+    register_views(star, prefix="cf_")
+    register_sql_functions(spark, C.top_clients_by_store(star, AS_OF, BOUNDS), BOUNDS, prefix="cf_")
 
 
 def _score_answers(spark: SparkSession, folder: str) -> DataFrame:

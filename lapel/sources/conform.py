@@ -46,11 +46,24 @@ FROM_PROFILE = {*BASIC, "membership_tier", "is_vip", "preferred_category", "clie
 
 
 class ConformedStar(Star):
-    def __init__(self, spark: SparkSession, folder: str, as_of: date = AS_OF, bounds: Bounds = BOUNDS):
-        self.spark, self.folder, self.as_of, self.bounds = spark, folder, as_of, bounds
+    def __init__(
+        self,
+        spark: SparkSession,
+        folder: str,
+        as_of: date = AS_OF,
+        bounds: Bounds = BOUNDS,
+        fact: Star | None = None,
+    ):
+        self.spark, self.folder, self.as_of, self.bounds, self.fact = spark, folder, as_of, bounds, fact
+        self._scans: dict[str, DataFrame] = {}
+
+    def on_fact(self, stored: Star) -> Star:
+        return ConformedStar(self.spark, self.folder, self.as_of, self.bounds, stored)
 
     def scan(self, name: str) -> DataFrame:
-        return read_raw(self.spark, self.folder, name)
+        if name not in self._scans:
+            self._scans[name] = read_raw(self.spark, self.folder, name)
+        return self._scans[name]
 
     def table(self, name: str, cols: Iterable[str] = ()) -> DataFrame:
         build = {
@@ -63,6 +76,8 @@ class ConformedStar(Star):
         return build(tuple(cols) or tuple(SCHEMAS[name].names))
 
     def _transactions(self, cols: tuple[str, ...]) -> DataFrame:
+        if self.fact is not None:
+            return self.fact.table("transactions", cols)
         df = self.scan("lineitem")
         if FROM_ORDERS & set(cols):
             df = df.join(self.scan("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")

@@ -31,6 +31,10 @@ class Star:
     def table(self, name: str, cols: Iterable[str] = ()) -> DataFrame:
         raise NotImplementedError
 
+    def on_fact(self, stored: Star) -> Star:
+        """The same star with whatever it derives from its fact derived from ``stored``."""
+        return self
+
     def stores(self, *cols: str) -> DataFrame:
         return self.table("stores", cols)
 
@@ -73,12 +77,15 @@ class StoredStar(Star):
         if (namespace is None) == (path is None):
             raise ValueError("give either a namespace or a path")
         self.spark, self.namespace, self.path = spark, namespace, path
+        self._scans: dict[str, DataFrame] = {}
 
     def scan(self, name: str) -> DataFrame:
-        """The table as stored."""
+        """The table as stored. A folder is listed once per star; take a new star to see files written since."""
         if self.namespace is not None:
             return self.spark.table(f"{self.namespace}.{name}")
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        if name not in self._scans:
+            self._scans[name] = self.spark.read.parquet(f"{self.path}/{name}")
+        return self._scans[name]
 
     def table(self, name: str, cols: Iterable[str] = ()) -> DataFrame:
         df = self.scan(name)
@@ -174,13 +181,16 @@ def write_star(star: Star, path: str) -> StoredStar:
     """Write the star once so that many questions can be asked of it without re-deriving it.
 
     The fact is partitioned by month. The rebalance hint lets AQE pick the number of files per month from the
-    real sizes: a month with most of the rows is split over many tasks, small months share one.
+    real sizes: a month with most of the rows is split over many tasks, small months share one. Tables a source
+    derives from its fact are derived from the written one.
     """
-    for name in ("stores", "advisors", "products", "clients"):
-        star.table(name).write.mode("overwrite").parquet(f"{path}/{name}")
+    stored = StoredStar(star.spark, path=path)
     fact = star.transactions().withColumn(MONTH, F.trunc("transaction_date", "MM"))
     fact.hint("rebalance", F.col(MONTH)).write.mode("overwrite").partitionBy(MONTH).parquet(f"{path}/transactions")
-    return StoredStar(star.spark, path=path)
+    rest = star.on_fact(stored)
+    for name in ("stores", "advisors", "products", "clients"):
+        rest.table(name).write.mode("overwrite").parquet(f"{path}/{name}")
+    return stored
 
 
 def register_views(star: Star, prefix: str = "") -> None:
