@@ -27,21 +27,24 @@ def from_units(col: Column) -> Column:
     return col / float(UNITS)
 
 
-def total(col: Column | str) -> Column:
-    """Exact sum of amounts, for use inside ``agg``: a decimal(24,4), NULL for no values.
+def high_low(col: Column | str) -> tuple[Column, Column]:
+    """Sums of the high and of the low bits of the units, two longs; neither overflows below 1e12 rows per group.
 
-    High and low bits of the units are summed apart; neither sum can overflow below some 1e12 rows per group.
+    Where sums are summed again, these are: turning them into a decimal is left to the last step.
     """
     u = units(col)
-    high = F.sum(F.shiftright(u, LOW_BITS)).cast("decimal(28,0)")
-    low = F.sum(u.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(20,0)")
-    whole = high * F.lit(1 << LOW_BITS) + low
-    return (whole * F.lit(Decimal(1) / UNITS)).cast(SUM)
+    return F.sum(F.shiftright(u, LOW_BITS)), F.sum(u.bitwiseAND(F.lit((1 << LOW_BITS) - 1)))
+
 
+def whole(high: Column, low: Column) -> Column:
+    """The exact amount from the two sums, a decimal(24,4)."""
+    both = high.cast("decimal(28,0)") * F.lit(1 << LOW_BITS) + low.cast("decimal(20,0)")
+    return (both * F.lit(Decimal(1) / UNITS)).cast(SUM)
 
-def add_up(col: Column | str) -> Column:
-    """Sum of exact sums, of the same type."""
-    return F.sum(col).cast(SUM)
+
+def total(col: Column | str) -> Column:
+    """Exact sum of amounts, for use inside ``agg``: a decimal(24,4), NULL for no values."""
+    return whole(*high_low(col))
 
 
 def money(col: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from lapel.functions.classify import HOUSE, Bounds, is_vip, segment
 from lapel.functions.dates import days_since
-from lapel.functions.money import add_up, money, ratio, total
+from lapel.functions.money import high_low, money, ratio, whole
 from lapel.sources.star import Star
 
 BASIC = ("lifetime_spend", "total_orders", "avg_order_value", "first_purchase_date", "last_purchase_date")
@@ -27,8 +27,10 @@ def profile(sales: DataFrame, category: bool = False, gap: bool = False) -> Data
     then share one hash partitioning by client.
     """
     known = sales.filter(F.col("client_id").isNotNull())
+    high, low = high_low("total_amount")
     parts = {
-        "spend": total("total_amount"),
+        "high": high,
+        "low": low,
         "valued": F.count("total_amount"),
         "n": F.count(F.lit(1)),
         "first_day": F.min("transaction_date"),
@@ -36,17 +38,9 @@ def profile(sales: DataFrame, category: bool = False, gap: bool = False) -> Data
     }
     fine = ["client_id"] + ["transaction_date"] * gap + ["category"] * category
     level = known.groupBy(*fine).agg(*[c.alias(n) for n, c in parts.items()])
-    if len(fine) == 1:
-        return level.select(
-            "client_id",
-            F.col("spend").alias("lifetime_spend"),
-            F.col("n").alias("total_orders"),
-            ratio(F.col("spend"), F.col("valued")).alias("avg_order_value"),
-            F.col("first_day").alias("first_purchase_date"),
-            F.col("last_day").alias("last_purchase_date"),
-        )
     merged = {
-        "spend": add_up("spend"),
+        "high": F.sum("high"),
+        "low": F.sum("low"),
         "valued": F.sum("valued"),
         "n": F.sum("n"),
         "first_day": F.min("first_day"),
@@ -62,15 +56,18 @@ def profile(sales: DataFrame, category: bool = False, gap: bool = False) -> Data
     if category:
         favour = F.struct(F.col("category").isNull(), -F.col("n"), F.col("category"))
         merged["preferred_category"] = F.min_by("category", favour)
-    out = level.groupBy("client_id").agg(*[c.alias(n) for n, c in merged.items()])
-    return out.select(
+    if len(fine) > 1:
+        level = level.groupBy("client_id").agg(*[c.alias(n) for n, c in merged.items()])
+    spend = whole(F.col("high"), F.col("low"))
+    return level.select(
         "client_id",
-        F.col("spend").alias("lifetime_spend"),
+        spend.alias("lifetime_spend"),
         F.col("n").alias("total_orders"),
-        ratio(F.col("spend"), F.col("valued")).alias("avg_order_value"),
+        ratio(spend, F.col("valued")).alias("avg_order_value"),
         F.col("first_day").alias("first_purchase_date"),
         F.col("last_day").alias("last_purchase_date"),
-        *[c for c in ("gap", "preferred_category") if c in out.columns],
+        *["gap"] * gap,
+        *["preferred_category"] * category,
     )
 
 

@@ -575,7 +575,7 @@ ORACLE: dict[str, str] = {
         f"""SELECT a.store_id, a.month, CAST(ROUND(a.total, 2) AS DOUBLE) AS revenue,
                    CAST(a.total - b.total AS DOUBLE) / NULLIF(CAST(b.total AS DOUBLE), 0) AS growth_mom
             FROM ({MONTH_TOTALS}) a LEFT JOIN ({MONTH_TOTALS}) b
-              ON a.store_id = b.store_id AND b.month = CAST(a.month - INTERVAL 1 MONTH AS DATE)"""
+              ON a.store_id IS NOT DISTINCT FROM b.store_id AND b.month = CAST(a.month - INTERVAL 1 MONTH AS DATE)"""
     ),
     "metric_purchase_frequency": facts(
         """SELECT client_id, CAST(year(transaction_date) AS INTEGER) AS year, COUNT(*) AS purchases

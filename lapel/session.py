@@ -17,6 +17,7 @@ def local_session(cores: str | int = "*", app: str = "lapel", shuffle_partitions
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.sources.parallelPartitionDiscovery.threshold", "1000")
         .config("spark.driver.memory", os.environ.get("LAPEL_DRIVER_MEMORY", "12g"))
         .getOrCreate()
