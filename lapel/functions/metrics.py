@@ -5,6 +5,7 @@ They are unrounded; wrap money in ``money()`` where a report wants cents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column
@@ -49,6 +50,7 @@ def gross_per_sqft(square_footage: Column, exclude_returns: bool = False) -> Col
 
 
 def vip_at_risk_count() -> Column:
+    """Clients both VIP and in the at-risk segment."""
     return F.count(F.when(F.col("is_vip") & (F.col("client_segment") == "At-Risk"), F.lit(1)))
 
 
@@ -103,3 +105,23 @@ def year_bucket(col: str, as_of: date) -> Column:
     """Current Year / Prior Year label, NULL for other years."""
     number = F.year(col)
     return F.when(number == as_of.year, "Current Year").when(number == as_of.year - 1, "Prior Year")
+
+
+# The named metrics by name; what each means is in its docstring.
+NAMED: dict[str, Callable[..., Column]] = {
+    f.__name__: f
+    for f in (
+        revenue,
+        net_revenue,
+        aov,
+        days_since_last_purchase,
+        gross_per_sqft,
+        vip_at_risk_count,
+        repurchase_rate,
+        discount_rate,
+        return_rate,
+        growth_mom_naive,
+        growth_mom,
+        live_client_count,
+    )
+}

@@ -1,6 +1,7 @@
-"""SQL twins of the parameterised functions, for free SQL over the registered views.
+"""SQL twins of the parameterised functions, for free SQL over the tables or over registered views.
 
-They are temporary SQL functions: Spark inlines them into the calling query, so a row-wise call is a projection.
+Spark inlines SQL functions into the calling query, so a row-wise call is a projection. They are temporary, over the
+views of ``register_views``, or permanent in a namespace, over its tables.
 """
 
 from __future__ import annotations
@@ -9,6 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lapel.functions.classify import HOUSE, LOST, RISK_BANDS, Bounds
 
+RANKED = "clients_ranked"
+
+
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
 def risk_sql(days: str, spend: str, bounds: Bounds = HOUSE) -> str:
     """The risk rule as SQL text."""
@@ -21,45 +29,68 @@ def risk_sql(days: str, spend: str, bounds: Bounds = HOUSE) -> str:
 
 
 def register_sql_functions(spark: SparkSession, ranked: DataFrame, bounds: Bounds = HOUSE, prefix: str = "") -> None:
-    """classify_client_risk, get_revenue_by_period and get_top_clients over the views of ``register_views``.
+    """Temporary classify_client_risk, get_revenue_by_period and get_top_clients over the registered views.
 
     ``ranked`` is the answer of ``top_clients_by_store``: the numbering there never holds a store in one task, which
     a window inside the function would.
     """
-    ranked.createOrReplaceTempView(f"{prefix}clients_ranked")
+    ranked.createOrReplaceTempView(f"{prefix}{RANKED}")
+    _create(spark, "TEMPORARY FUNCTION", prefix, bounds)
+
+
+def create_sql_functions(spark: SparkSession, ranked: DataFrame, namespace: str, bounds: Bounds = HOUSE) -> None:
+    """The same, permanent, over the tables of a namespace; ``ranked`` is written there as a table.
+
+    Spark calls a table function by its bare name: ``USE`` the namespace first.
+    """
+    ranked.write.mode("overwrite").saveAsTable(f"{namespace}.{RANKED}")
+    _create(spark, "FUNCTION", f"{namespace}.", bounds)
+
+
+def _create(spark: SparkSession, kind: str, prefix: str, bounds: Bounds) -> None:
     spark.sql(f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION {prefix}classify_client_risk(d INT, m DOUBLE)
+        CREATE OR REPLACE {kind} {prefix}classify_client_risk(d INT, m DOUBLE)
         RETURNS TABLE (days_since_purchase INT, lifetime_spend DOUBLE, risk_tier STRING)
         RETURN SELECT d, m, {risk_sql("d", "m", bounds)}""")
     spark.sql(f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION {prefix}get_revenue_by_period(reg STRING, d0 STRING, d1 STRING)
+        CREATE OR REPLACE {kind} {prefix}get_revenue_by_period(reg STRING, d0 STRING, d1 STRING)
         RETURNS TABLE (store_name STRING, city STRING, total_revenue DOUBLE, transaction_count BIGINT,
                        unique_clients BIGINT, avg_order_value DOUBLE)
         RETURN
           SELECT s.store_name, s.city, CAST(ROUND(f.total, 2) AS DOUBLE), f.n, f.buyers,
                  CAST(ROUND(f.total / f.valued, 2) AS DOUBLE)
-          FROM (SELECT store_id, SUM(CAST(total_amount AS DECIMAL(18,4))) AS total, COUNT(*) AS n, COUNT(DISTINCT client_id) AS buyers,
-                       NULLIF(COUNT(total_amount), 0) AS valued
+          FROM (SELECT store_id, SUM(CAST(total_amount AS DECIMAL(18,4))) AS total, COUNT(*) AS n,
+                       COUNT(DISTINCT client_id) AS buyers, NULLIF(COUNT(total_amount), 0) AS valued
                 FROM {prefix}transactions
                 WHERE NOT is_return AND transaction_date >= CAST(d0 AS DATE) AND transaction_date <= CAST(d1 AS DATE)
                 GROUP BY store_id) f
           JOIN {prefix}stores s USING (store_id)
           WHERE reg IN ('ALL', s.region)""")
     spark.sql(f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION {prefix}get_top_clients(store INT)
+        CREATE OR REPLACE {kind} {prefix}get_top_clients(store INT)
         RETURNS TABLE (client_name STRING, email STRING, membership_tier STRING, lifetime_spend DOUBLE,
                        total_orders INT, last_purchase_date DATE, risk_tier STRING, rank BIGINT)
         RETURN
           SELECT client_name, email, membership_tier, lifetime_spend, total_orders, last_purchase_date, risk_tier, rank
-          FROM {prefix}clients_ranked WHERE preferred_store_id = store""")
+          FROM {prefix}{RANKED} WHERE preferred_store_id = store""")
 
 
 def register_masks(spark: SparkSession, user: str, restricted: str, city: str, prefix: str = "") -> None:
-    """mask_email, mask_lifetime_spend and city_row_filter as scalar SQL functions for one viewer."""
-    hit = f"LOWER('{user}') = LOWER('{restricted}')"
+    """mask_email, mask_lifetime_spend and city_row_filter as temporary scalar functions for one viewer."""
+    hit = f"LOWER({quoted(user)}) = LOWER({quoted(restricted)})"
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {prefix}mask_email(v STRING) RETURNS STRING
                   RETURN IF({hit}, '***@***.***', v)""")
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {prefix}mask_lifetime_spend(v DOUBLE) RETURNS DOUBLE
                   RETURN IF({hit}, NULL, v)""")
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {prefix}city_row_filter(v STRING) RETURNS BOOLEAN
-                  RETURN NOT {hit} OR v = '{city}'""")
+                  RETURN NOT {hit} OR v = {quoted(city)}""")
+
+
+def register_advisor_filter(spark: SparkSession, user: str, domain: str, prefix: str = "") -> None:
+    """advisor_row_filter(advisor_id): does the row belong to the advisor whose login is ``user``?
+
+    NULL, hence no row, for an unknown login; of several advisors with one login the lowest id counts.
+    """
+    login = f"LOWER(first_name) || '.' || LOWER(last_name) || {quoted('@' + domain)}"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {prefix}advisor_row_filter(v BIGINT) RETURNS BOOLEAN
+                  RETURN v = (SELECT MIN(advisor_id) FROM {prefix}advisors WHERE {login} = {quoted(user.lower())})""")

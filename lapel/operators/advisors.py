@@ -100,7 +100,7 @@ def rank_by_revenue(star: Star) -> DataFrame:
     """Every advisor with sales, numbered by revenue."""
     sums = _by_advisor(star, [total("total_amount").alias("total")])
     named = star.advisors("advisor_id", "first_name", "last_name").join(sums, "advisor_id")
-    ranked = number_rows(named, "total", "advisor_id", band_width=100_000)
+    ranked = number_rows(named, "total", "advisor_id", band_width=1_000)
     return ranked.select(
         "advisor_id",
         full_name("first_name", "last_name").alias("advisor_name"),

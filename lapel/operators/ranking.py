@@ -37,7 +37,8 @@ def number_rows(
     with map-side combining; only cells are sorted row by row, and a cell is small even if one value is held by
     most rows, because ``tie`` (a unique integer) splits it.
 
-    ``value`` has at most four decimals.
+    ``value`` has at most four decimals. Bands of a group go through one window, and so do cells of a band: choose
+    ``band_width`` so that neither is many (with 1e9 rows, some 1e4 bands).
     """
     keys = {
         "_value": F.coalesce(units(value), F.lit(LOWEST)),

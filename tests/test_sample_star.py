@@ -5,7 +5,8 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from lapel.functions.sql_functions import register_masks, register_sql_functions
+from lapel.functions.metrics import NAMED
+from lapel.functions.sql_functions import register_advisor_filter, register_masks, register_sql_functions
 from lapel.operators import advisors as A
 from lapel.operators import clients as C
 from lapel.operators import metric_reports as M
@@ -155,18 +156,18 @@ def test_totals_agree(sample):
 
 
 def test_sql_functions(spark, sample):
-    register_views(sample)
-    register_sql_functions(spark, C.top_clients_by_store(sample, TODAY))
+    register_views(sample, "s_")
+    register_sql_functions(spark, C.top_clients_by_store(sample, TODAY), prefix="s_")
     direct = R.revenue_by_period(sample, "East", "2025-01-01", "2025-12-31")
-    via_sql = spark.sql("SELECT * FROM get_revenue_by_period('East', '2025-01-01', '2025-12-31')")
+    via_sql = spark.sql("SELECT * FROM s_get_revenue_by_period('East', '2025-01-01', '2025-12-31')")
     assert comparable(rows(via_sql)) == comparable(rows(direct))
     direct = C.get_top_clients(sample, 1, TODAY, top_n=5)
-    via_sql = spark.sql("SELECT * FROM get_top_clients(1) WHERE rank <= 5")
+    via_sql = spark.sql("SELECT * FROM s_get_top_clients(1) WHERE rank <= 5")
     assert comparable(rows(via_sql)) == comparable(rows(direct))
-    one = rows(spark.sql("SELECT * FROM classify_client_risk(120, 25000)"))
+    one = rows(spark.sql("SELECT * FROM s_classify_client_risk(120, 25000)"))
     assert one == [(120, 25000.0, "High-Value At-Risk")]
     joined = spark.sql(
-        """SELECT c.client_id, r.risk_tier FROM clients c, LATERAL classify_client_risk(
+        """SELECT c.client_id, r.risk_tier FROM s_clients c, LATERAL s_classify_client_risk(
              DATEDIFF(DATE '2026-03-17', c.last_purchase_date), c.lifetime_spend) r"""
     )
     assert "Join" not in joined._jdf.queryExecution().optimizedPlan().toString()
@@ -182,6 +183,31 @@ def test_sql_masks(spark):
     assert rows(spark.sql(query)) == [("a@b.c", 5.0, True, True)]
 
 
+def test_sql_advisor_filter(spark, sample):
+    register_views(sample, "rls_")
+    seen = "SELECT COUNT(*) FROM rls_clients WHERE rls_advisor_row_filter(advisor_id)"
+    for user, n in (("Kevin.O'Brien@house.com", 31), ("nobody@house.com", 0)):
+        register_advisor_filter(spark, user, "house.com", "rls_")
+        assert rows(spark.sql(seen)) == [(n,)]
+
+
+def test_free_sql_over_views(spark, sample):
+    """Questions can be asked in SQL as well."""
+    register_views(sample, "v_")
+    free = spark.sql(
+        """SELECT s.city, COUNT(DISTINCT t.client_id) AS unique_clients
+           FROM v_transactions t JOIN v_stores s ON t.store_id = s.store_id
+           WHERE t.is_return = FALSE AND t.transaction_date >= DATE_SUB(DATE '2026-03-17', 365)
+             AND s.city IN ('Toronto', 'Vancouver') GROUP BY s.city"""
+    )
+    built = R.city_compare(sample, TORONTO, TODAY).select("city", "unique_clients")
+    assert comparable(rows(free)) == comparable(rows(built))
+
+
+def test_every_named_metric_is_described():
+    assert len(NAMED) == 12 and all(f.__doc__ for f in NAMED.values())
+
+
 def test_dates_as_text_or_dates(sample):
     from datetime import date
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pytest
 
+from lapel.functions.sql_functions import create_sql_functions
 from lapel.operators import revenue as R
+from lapel.operators.clients import top_clients_by_store
 from lapel.session import scratch_dir
 from lapel.sources import generate
 from lapel.sources.catalogue import TODAY
@@ -47,6 +49,19 @@ def test_set_up_can_be_repeated(spark, namespace):
     assert rows(R.revenue_by_store_12m(star, TODAY)) == rows(R.revenue_by_store_12m(same, TODAY))
 
 
+def test_permanent_functions(spark, namespace):
+    star = StoredStar(spark, namespace=namespace)
+    create_sql_functions(spark, top_clients_by_store(star, TODAY), namespace)
+    spark.sql(f"USE {namespace}")
+    try:
+        assert spark.sql("SELECT * FROM get_top_clients(2) WHERE rank = 1").count() == 1
+        west = rows(spark.sql("SELECT * FROM get_revenue_by_period('West', '2025-01-01', '2025-12-31')"))
+        assert rows(spark.sql("SELECT risk_tier FROM classify_client_risk(400, 1.0)")) == [("Lost",)]
+    finally:
+        spark.sql("USE default")
+    assert comparable(west) == comparable(rows(R.revenue_by_period(star, "West", "2025-01-01", "2025-12-31")))
+
+
 def test_append_adds_rows(spark, namespace):
     create_star_tables(spark, namespace, ["stores"])
     stores = generate.sample_star(spark)["stores"]
