@@ -160,6 +160,11 @@ def top_products(star: Star, n: int = 5) -> DataFrame:
     return out.select("product_name", "brand", "category", "revenue")
 
 
+def _percent(hits: Column) -> Column:
+    """Hits in percent of the rows, rounded half-up to one decimal."""
+    return F.round(share(hits * 100, F.count(F.lit(1))).cast("decimal(30,10)"), 1).cast("double")
+
+
 def discount_usage(star: Star) -> DataFrame:
     """Share of sales with a discount, and the mean discount where there is one (one decimal each)."""
     hit = F.col("discount_pct") > 0
@@ -167,7 +172,7 @@ def discount_usage(star: Star) -> DataFrame:
     return star.sales("discount_pct").agg(
         _rows("total_transactions"),
         hits.alias("discounted_transactions"),
-        F.round(share(hits * 100, F.count(F.lit(1))).cast("decimal(30,10)"), 1).cast("double").alias("discount_rate_pct"),
+        _percent(hits).alias("discount_rate_pct"),
         F.round(mean(F.when(hit, F.col("discount_pct"))), 1).cast("double").alias("avg_discount_when_applied"),
     )
 
@@ -185,8 +190,7 @@ def return_rate_by(star: Star, attr: str = "category") -> DataFrame:
     """Returned share of all rows by product attribute, in percent with one decimal."""
     rows = _with_product(star, star.transactions("product_id", "is_return"), attr)
     back = F.sum(F.when(F.col("is_return"), 1).otherwise(0))
-    rate = F.round(share(back * 100, F.count(F.lit(1))).cast("decimal(30,10)"), 1).cast("double")
     out = rows.groupBy(attr).agg(
-        _rows("total_transactions"), back.alias("returns"), rate.alias("return_rate_pct")
+        _rows("total_transactions"), back.alias("returns"), _percent(back).alias("return_rate_pct")
     )
     return out.orderBy(F.desc("return_rate_pct"), attr)

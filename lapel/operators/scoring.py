@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Verdicts and bands. The bands are for ten questions: 8 or more, 5 to 7, fewer than 5.
 PASS, PARTIAL, FAIL = "Pass", "Partial", "Fail"
@@ -13,8 +14,8 @@ READY, IMPROVE, REVIEW = "production-ready", "add certified queries", "review in
 def differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """One row: rows missing from ``actual`` and rows it has in excess, duplicates counted.
 
-    Columns are compared by position. Both sides are counted together under one grouping (NULL equals NULL), which
-    combines map-side; no join, no sort.
+    Columns are compared by position, numbers by value whatever their type. Both sides are counted together under one
+    grouping (NULL equals NULL), which combines map-side; no join, no sort.
     """
     names = [f"c{i}" for i in range(len(expected.columns))]
     both = expected.toDF(*names).withColumn("_d", F.lit(1)).union(actual.toDF(*names).withColumn("_d", F.lit(-1)))
@@ -26,8 +27,10 @@ def differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def _alike(expected: DataFrame, actual: DataFrame) -> bool:
+    """Same number of columns, each of one type or both numbers."""
     a, b = [f.dataType for f in expected.schema], [f.dataType for f in actual.schema]
-    return a == b
+    number = T.NumericType
+    return len(a) == len(b) and all(x == y or isinstance(x, number) and isinstance(y, number) for x, y in zip(a, b))
 
 
 def score_answer(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -26,7 +26,9 @@ AOV = avg("SUM(total_amount)", "COUNT(*)")
 SPEND = f"{cents('lifetime_spend')} AS lifetime_spend"
 SINCE = f"CAST({DAY} - last_purchase_date AS INTEGER)"
 
-FACT = """
+SKILLS = ", ".join(f"'{s}'" for s in SPECIALIZATIONS)
+
+FACT = f"""
 fact AS (
   SELECT l_orderkey || '-' || l_linenumber AS transaction_id, CAST(o_orderdate AS DATE) AS transaction_date,
          o_custkey AS client_id, s_nationkey AS store_id, l_suppkey AS advisor_id, l_partkey AS product_id,
@@ -46,12 +48,11 @@ product AS (
 advisor AS (
   SELECT s_suppkey AS advisor_id, split_part(s_name, '#', 1) AS first_name, split_part(s_name, '#', 2) AS last_name,
          split_part(s_name, '#', 1) || ' ' || split_part(s_name, '#', 2) AS advisor_name,
-         s_nationkey AS store_id, SKILL AS specialization
+         s_nationkey AS store_id,
+         ([{SKILLS}])[CAST(s_suppkey % {len(SPECIALIZATIONS)} AS INTEGER) + 1] AS specialization
   FROM supplier),
 book AS (SELECT advisor_id, CAST(COUNT(DISTINCT client_id) AS INTEGER) AS live FROM sale GROUP BY advisor_id)
-""".strip().replace(
-    "SKILL", f"([{', '.join(repr(s) for s in SPECIALIZATIONS)}])[CAST(s_suppkey % {len(SPECIALIZATIONS)} AS INTEGER) + 1]"
-)
+""".strip()
 
 CLIENT = f"""
 total AS (
@@ -210,12 +211,14 @@ def view(email: str = "email", spend: str = "", where: str = "TRUE") -> str:
 
 HIDDEN = "'***@***.***'"
 NOTHING = "CAST(NULL AS DOUBLE)"
-OWN = f"(SELECT MIN(advisor_id) FROM advisor WHERE lower(first_name || '.' || last_name) = '{K.ADVISOR_LOGIN.split('@')[0].lower()}')"
+LOGIN = K.ADVISOR_LOGIN.split("@")[0].lower()
+OWN = f"(SELECT MIN(advisor_id) FROM advisor WHERE lower(first_name || '.' || last_name) = '{LOGIN}')"
 
 
 def ranked(group: str, where: str, n: str, rank: bool = True) -> str:
     return star(
-        f"""SELECT {group} client_name, email, membership_tier, {SPEND}, total_orders, last_purchase_date, risk_tier, rank
+        f"""SELECT {group} client_name, email, membership_tier, {SPEND}, total_orders, last_purchase_date, risk_tier,
+                   rank
             FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY preferred_store_id
                                                ORDER BY lifetime_spend DESC, client_id) AS rank FROM client)
             WHERE {where} AND {n}"""
@@ -304,9 +307,16 @@ def _range(name: str, side: int, factor: int = 1) -> str:
 
 
 _TEAMS = ", ".join(f"[{', '.join(str(a) for a in C.ADVISORS_OF_STORE[h[2]])}]" for h in C.HOMES)
+_QUANTITY = "CASE WHEN unit_price <= 1000 AND pair = 3 THEN 2 ELSE 1 END"
 _GEN_DAY = f"DATE '{C.TODAY.isoformat()}'"
 SALT = 4200
 
+
+def _back(salt: int, name: str) -> str:
+    days = _between("client_id", salt, _range(name, 0), _range(name, 1))
+    return f"{_GEN_DAY} - CAST({days} AS INTEGER)"
+
+
 GENERATED = f"""
 seed AS (
   SELECT c_custkey + 1 AS client_id,
@@ -323,10 +333,7 @@ gen0 AS (
   SELECT *, CAST(team[CAST(client_id % len(team) AS INTEGER) + 1] AS INTEGER) AS advisor_id,
          {_between("client_id", SALT + 1, _range("spend", 0, 100), _range("spend", 1, 100))} AS spend_cents,
          CAST({_between("client_id", SALT + 2, _range("orders", 0), _range("orders", 1))} AS INTEGER) AS total_orders,
-         {_GEN_DAY} - CAST({_between("client_id", SALT + 3, _range("last_days", 0), _range("last_days", 1))} AS INTEGER)
-           AS last_purchase_date,
-         {_GEN_DAY} - CAST({_between("client_id", SALT + 4, _range("first_days", 0), _range("first_days", 1))} AS INTEGER)
-           AS first_purchase_date
+         {_back(SALT + 3, "last_days")} AS last_purchase_date, {_back(SALT + 4, "first_days")} AS first_purchase_date
   FROM seed),
 gen_client AS (
   SELECT client_id, first_name, last_name,
@@ -363,23 +370,26 @@ drawn AS (
 SELECT 'TXN-' || printf('%06d', number) AS transaction_id,
        GREATEST(LEAST(raw_day, {_GEN_DAY}), first_purchase_date) AS transaction_date,
        client_id, preferred_store_id AS store_id, advisor_id, goods.product_id,
-       CASE WHEN unit_price <= 1000 AND pair = 3 THEN 2 ELSE 1 END AS quantity,
+       {_QUANTITY} AS quantity,
        CAST(unit_price AS DOUBLE) AS unit_price, CAST(pct AS DOUBLE) AS discount_pct,
-       {cents("CAST(unit_price * (CASE WHEN unit_price <= 1000 AND pair = 3 THEN 2 ELSE 1 END) * (100 - pct) AS DECIMAL(18,4)) * 0.01")} AS total_amount,
+       {cents(f"CAST(unit_price * ({_QUANTITY}) * (100 - pct) AS DECIMAL(18,4)) * 0.01")} AS total_amount,
        {_cycle(C.PAYMENTS, "number % 5")} AS payment_method, number % {C.RETURN_EVERY} = 0 AS is_return
 FROM drawn JOIN goods USING (product_no)
 """.strip()
 
+BOOK_OF = "c_custkey % (SELECT COUNT(*) FROM supplier)"
+
 FK = " UNION ALL ".join(
     f"""SELECT '{name}.{col}' AS foreign_key, '{ref}.{key}' AS refers_to,
-               (SELECT COUNT(*) FROM {src} WHERE {expr} IS NOT NULL AND {expr} NOT IN (SELECT {k} FROM {dst})) AS orphans"""
+               (SELECT COUNT(*) FROM {src} WHERE {expr} IS NOT NULL
+                                             AND {expr} NOT IN (SELECT {k} FROM {dst})) AS orphans"""
     for name, col, ref, key, src, expr, dst, k in [
         ("transactions", "client_id", "clients", "client_id", "fact", "client_id", "customer", "c_custkey"),
         ("transactions", "store_id", "stores", "store_id", "fact", "store_id", "nation", "n_nationkey"),
         ("transactions", "advisor_id", "advisors", "advisor_id", "fact", "advisor_id", "supplier", "s_suppkey"),
         ("transactions", "product_id", "products", "product_id", "fact", "product_id", "part", "p_partkey"),
         ("clients", "preferred_store_id", "stores", "store_id", "customer", "c_nationkey", "nation", "n_nationkey"),
-        ("clients", "advisor_id", "advisors", "advisor_id", "customer", "c_custkey % (SELECT COUNT(*) FROM supplier)", "supplier", "s_suppkey"),
+        ("clients", "advisor_id", "advisors", "advisor_id", "customer", BOOK_OF, "supplier", "s_suppkey"),
         ("advisors", "store_id", "stores", "store_id", "supplier", "s_nationkey", "nation", "n_nationkey"),
     ]
 )
@@ -563,11 +573,12 @@ ORACLE: dict[str, str] = {
                         CAST(SUM(total_amount) FILTER (month(transaction_date) = 7) AS DOUBLE) AS past FROM fact)"""
     ),
     "metric_growth_mom": facts(
-        """SELECT store_id, CAST(ROUND(now, 2) AS DOUBLE) AS current_month, CAST(ROUND(past, 2) AS DOUBLE) AS prior_month,
+        """SELECT store_id, CAST(ROUND(now, 2) AS DOUBLE) AS current_month,
+                  CAST(ROUND(past, 2) AS DOUBLE) AS prior_month,
                   CAST(now - past AS DOUBLE) / NULLIF(CAST(past AS DOUBLE), 0) AS growth_mom
            FROM (SELECT store_id,
-                        COALESCE(SUM(total_amount) FILTER (transaction_date >= DATE '2001-07-01' AND NOT is_return), 0) AS now,
-                        COALESCE(SUM(total_amount) FILTER (transaction_date < DATE '2001-07-01' AND NOT is_return), 0) AS past
+                        SUM(CASE WHEN month(transaction_date) = 7 AND NOT is_return THEN total_amount ELSE 0 END) AS now,
+                        SUM(CASE WHEN month(transaction_date) = 6 AND NOT is_return THEN total_amount ELSE 0 END) AS past
                  FROM fact WHERE transaction_date >= DATE '2001-06-01' AND transaction_date < DATE '2001-08-01'
                  GROUP BY store_id)"""
     ),
@@ -660,7 +671,8 @@ ORACLE: dict[str, str] = {
     ),
     "log_question_counts": logs(
         """SELECT week, question, COUNT(*) AS asked,
-                  question IN (SELECT 'Q' || n_nationkey FROM nation) AS is_certified FROM log GROUP BY week, question"""
+                  question IN (SELECT 'Q' || n_nationkey FROM nation) AS is_certified
+           FROM log GROUP BY week, question"""
     ),
     "log_top_questions": logs(
         """SELECT * FROM (

@@ -7,8 +7,8 @@ season, stock) follow a rule instead.
 from __future__ import annotations
 
 from datetime import date
-from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,28 +152,36 @@ def product_rows() -> list[tuple]:
     rows = []
     for (category, code), items in PRODUCTS.items():
         for i, (name, kind, brand, price) in enumerate(items, 1):
-            rows.append((len(rows), f"SKU-{code}{i:03d}", name, category, kind, brand, Decimal(price)))
+            rows.append((len(rows), f"SKU-{code}{i:03d}", name, category, kind, brand, float(price)))
     return rows
 
 
+def _local(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """Literal rows as a local relation: Spark knows how small it is, so it is broadcast without being told."""
+    table = pa.table({name: [row[i] for row in rows] for i, name in enumerate(schema.names)})
+    return spark.createDataFrame(table, schema)
+
+
 def stores(spark: SparkSession, house: str = "") -> DataFrame:
     """The stores; with ``house`` each is named "house - place"."""
     label = f"{house} - " if house else ""
     rows = [(key, label + place, *rest) for key, place, *rest in STORES]
-    return spark.createDataFrame(rows, SCHEMAS["stores"])
+    return _local(spark, rows, SCHEMAS["stores"])
 
 
 def advisors(spark: SparkSession) -> DataFrame:
     raw = T.StructType(
         [T.StructField(f.name, T.StringType() if f.name == "hire_date" else f.dataType) for f in SCHEMAS["advisors"]]
     )
-    return cast_dates(spark.createDataFrame(list(ADVISORS), raw), "hire_date")
+    return cast_dates(_local(spark, list(ADVISORS), raw), "hire_date")
 
 
 def products(spark: SparkSession, numbered: bool = False) -> DataFrame:
     """The catalogue; ``numbered`` adds product_no 0..39 for the generator."""
-    names = "product_no int, product_id string, product_name string, category string, subcategory string, brand string"
-    df = spark.createDataFrame(product_rows(), names + ", price decimal(12,2)")
+    schema = T.StructType([T.StructField("product_no", T.IntegerType())])
+    for name in ("product_id", "product_name", "category", "subcategory", "brand", "unit_price"):
+        schema.add(SCHEMAS["products"][name])
+    df = _local(spark, product_rows(), schema)
     suffix = F.regexp_extract("product_name", " - (.+)$", 1)
     out = df.select(
         "product_no",
@@ -182,7 +190,7 @@ def products(spark: SparkSession, numbered: bool = False) -> DataFrame:
         "category",
         "subcategory",
         "brand",
-        F.col("price").cast("double").alias("unit_price"),
+        "unit_price",
         F.nullif(suffix, F.lit("")).alias("colour"),
         F.when(F.col("category") == "Outerwear", "Fall/Winter").otherwise("All-Season").alias("season"),
         F.lit(10).alias("stock_qty"),

@@ -22,7 +22,7 @@ ORDER_SPAN = 64
 def draw(key: Column, salt: int) -> Column:
     """A number from 0 to PRIME - 1 that looks random in ``key``."""
     p = F.lit(PRIME).cast("long")
-    x = F.pmod(F.pmod(key, p) + F.floor(key / PRIME).cast("long") * 7919 + salt * 1_000_003, p)
+    x = F.pmod(F.pmod(key, p) + F.call_function("div", key, p) * 7919 + salt * 1_000_003, p)
     x = F.pmod(x * 48_271, p)
     x = F.pmod(x * x + salt, p)
     return F.pmod(x * 69_621, p)
@@ -142,7 +142,7 @@ def gen_transactions(clients: DataFrame, products: DataFrame, today: date = C.TO
     price = F.col("unit_price")
     quantity = F.when((price <= 1000) & (F.col("pair") == 3), 2).otherwise(1)
     after_discount = F.rint(price * 100).cast("long") * quantity * (F.lit(100) - F.col("discount_pct"))
-    cents = F.floor((after_discount + 50) / 100)
+    cents = F.call_function("div", after_discount + 50, F.lit(100))
     return rows.select(
         F.format_string("TXN-%06d", "number").alias("transaction_id"),
         "transaction_date",

@@ -13,7 +13,8 @@ DOMAIN = "house.com"
 
 
 def test_advisor_sees_own_rows(spark):
-    s = star(spark, [sale(1, 1, advisor=1), sale(2, 1, advisor=2)], [client(1), client(2, advisor=2), client(3, advisor=None)])
+    people = [client(1), client(2, advisor=2), client(3, advisor=None)]
+    s = star(spark, [sale(1, 1, advisor=1), sale(2, 1, advisor=2)], people)
     assert [a["last_name"] for a in ADVISORS] == ["Roe", "Roe"]  # one login, two advisors: the lower id counts
     rules = [P.own_rows(s, "MAX.Roe@House.com", DOMAIN, t) for t in ("clients", "transactions")]
     mine = P.govern(s, *rules)

@@ -26,14 +26,22 @@ def test_verdicts(spark):
     assert rows(S.score_answer(base, base.select("b", "a"))) == [("Fail", None, None)]
 
 
+def test_number_types_do_not_matter(spark):
+    whole, decimal = spark.sql("SELECT 1 AS a, 2.0D AS b"), spark.sql("SELECT 1L AS a, CAST(2 AS DECIMAL(9,2)) AS b")
+    assert rows(S.score_answer(whole, decimal)) == [("Partial", 0, 0)]
+    assert rows(S.score_answer(whole, spark.sql("SELECT '1' AS a, 2.0D AS b")))[0][0] == "Fail"
+
+
 def test_empty_answers_are_equal(spark):
-    assert rows(S.score_answer(frame(spark, (1, "x")).limit(0), frame(spark, (2, "x")).filter("a > 5")))[0][0] == "Partial"
+    nothing = frame(spark, (1, "x")).limit(0)
+    assert rows(S.score_answer(nothing, frame(spark, (2, "x")).filter("a > 5")))[0][0] == "Partial"
 
 
 def mistakes(s):
     """question -> (expected, answer with a known mistake)."""
     total = R.money(R.total("total_amount"))
-    wrong_store = s.sales("advisor_id", "total_amount").join(s.stores("store_id", "city"), F.col("advisor_id") == F.col("store_id"))
+    stores = s.stores("store_id", "city")
+    wrong_store = s.sales("advisor_id", "total_amount").join(stores, F.col("advisor_id") == F.col("store_id"))
     return {
         "returns included": (
             R.revenue_ytd(s, TODAY),
@@ -68,7 +76,8 @@ def test_bands(spark, passed, total, band):
 
 
 def test_compare(spark):
-    data = [("a", "q1", "Pass"), ("a", "q2", "Fail"), ("a", "q3", "Pass"), ("b", "q1", "Partial"), ("b", "q2", "Pass"), ("b", "q4", "Pass")]
+    before = [("a", "q1", "Pass"), ("a", "q2", "Fail"), ("a", "q3", "Pass")]
+    data = before + [("b", "q1", "Partial"), ("b", "q2", "Pass"), ("b", "q4", "Pass")]
     verdicts = spark.createDataFrame(data, "run_id string, question_id string, verdict string")
     assert sorted(rows(S.score_compare(verdicts, "a", "b"))) == [
         ("q1", "Pass", "Partial", True, False),
