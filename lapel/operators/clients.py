@@ -11,7 +11,7 @@ from lapel.functions.classify import HOUSE, Bounds, is_vip, is_vvip, membership_
 from lapel.functions.dates import days_since, inactive_for, year_span
 from lapel.functions.money import mean, money, total
 from lapel.functions.names import full_name
-from lapel.operators.ranking import number_rows, top_in_group
+from lapel.operators.ranking import PRUNABLE, number_rows, top_in_group
 from lapel.sources.star import Star
 
 NAME = ("first_name", "last_name")
@@ -275,10 +275,11 @@ RANKED = ("email", "membership_tier", "lifetime_spend", "total_orders", "last_pu
 
 def _ranked(rows: DataFrame, as_of: date, bounds: Bounds, top_n: int | None) -> DataFrame:
     group = ["preferred_store_id"]
-    if top_n is None:
-        rows = number_rows(rows, "lifetime_spend", "client_id", group)
-    else:
+    if top_n is not None and top_n <= PRUNABLE:
         rows = top_in_group(rows, group, [F.desc("lifetime_spend"), F.asc("client_id")], top_n)
+    else:
+        rows = number_rows(rows, "lifetime_spend", "client_id", group)
+        rows = rows if top_n is None else rows.filter(F.col("rank") <= top_n)
     return with_risk_tier(rows, as_of, bounds).select(
         "preferred_store_id",
         _name(),

@@ -13,9 +13,12 @@ from lapel.functions.money import UNITS, units
 TIE_SPAN = 1 << 16
 LOWEST = -(1 << 62)
 
+# Spark's default bound (spark.sql.optimizer.windowGroupLimitThreshold) for pruning a top-n before the shuffle.
+PRUNABLE = 1000
+
 
 def top_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, out: str = "rank") -> DataFrame:
-    """row_number <= n per group. Spark prunes each map task to n rows per group before it shuffles."""
+    """row_number <= n per group. Up to PRUNABLE, Spark prunes each map task to n rows per group before it shuffles."""
     rank = F.row_number().over(W.partitionBy(*group).orderBy(*order))
     return df.withColumn(out, rank).filter(F.col(out) <= n).withColumn(out, F.col(out).cast("long"))
 

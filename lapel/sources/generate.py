@@ -50,10 +50,16 @@ def _by_segment(name: str) -> tuple[Column, Column]:
 
 
 def gen_clients(
-    spark: SparkSession, n: int = C.CLIENTS, today: date = C.TODAY, ids: DataFrame | None = None, seed: int = 42
+    spark: SparkSession,
+    n: int = C.CLIENTS,
+    today: date = C.TODAY,
+    ids: DataFrame | None = None,
+    seed: int = 42,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Clients 1..n, or one for each ``client_id`` of ``ids``. Money is drawn and divided in whole cents."""
-    keys = spark.range(1, n + 1).withColumnRenamed("id", "client_id") if ids is None else ids.select("client_id")
+    """Clients 1..n in ``partitions`` partitions, or one for each ``client_id`` of ``ids``. Money is drawn and divided in whole cents."""
+    made = spark.range(1, n + 1, 1, partitions).withColumnRenamed("id", "client_id")
+    keys = made if ids is None else ids.select("client_id")
     i = F.col("client_id").cast("long")
     salt = seed * 100
     place = F.pmod(i, F.lit(len(C.HOMES)))

@@ -139,6 +139,19 @@ def test_money_is_exact_and_rounds_half_up(spark):
     assert tuple(empty) == (None, None)
 
 
+def test_money_against_decimal_arithmetic(spark):
+    import random
+    from decimal import Decimal
+
+    rng = random.Random(5)
+    data = [(g, rng.randint(-(10**12), 10**12) / 10_000) for g in range(40) for _ in range(rng.randint(1, 60))]
+    expected = {}
+    for g, x in data:
+        expected[g] = expected.get(g, Decimal(0)) + Decimal(str(x))
+    df = spark.createDataFrame(data, "g int, x double").repartition(7)
+    assert dict(rows(df.groupBy("g").agg(total("x")))) == expected
+
+
 def test_money_beyond_long(spark):
     """Sums of units that a long could not hold."""
     df = spark.range(1000).select(F.lit(9e11).alias("x"))

@@ -208,6 +208,13 @@ def test_every_named_metric_is_described():
     assert len(NAMED) == 12 and all(f.__doc__ for f in NAMED.values())
 
 
+def test_top_clients_is_a_prefix_of_the_full_ranking(sample):
+    whole = comparable(rows(C.top_clients_by_store(sample, TODAY)))
+    assert comparable(rows(C.top_clients_by_store(sample, TODAY, top_n=5000))) == whole and len(whole) == 250
+    first = [r for r in rows(C.top_clients_by_store(sample, TODAY)) if r[-1] <= 4]
+    assert comparable(rows(C.top_clients_by_store(sample, TODAY, top_n=4))) == comparable(first)
+
+
 def test_dates_as_text_or_dates(sample):
     from datetime import date
 
