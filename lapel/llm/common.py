@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Space and the five control characters that end a word; bytes.split() without an argument splits at the same six.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -62,13 +61,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[
             start = end
 
 
-def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def ranges(starts: np.ndarray, counts: np.ndarray, kind: type = np.int64) -> np.ndarray:
     """starts[0], starts[0] + 1, ... counts[0] numbers, then those of starts[1], and so on."""
     total = int(counts.sum())
-    if total == 0:
-        return np.zeros(0, np.int64)
-    before = np.cumsum(counts) - counts
-    return np.repeat(np.asarray(starts, np.int64) - before, counts) + np.arange(total, dtype=np.int64)
+    out = np.repeat((np.asarray(starts) - (np.cumsum(counts) - counts)).astype(kind), counts)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +86,8 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def take_bytes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The named stretches of the data, one after the other."""
-    return data[ranges(starts, lengths)]
+    small = len(data) < 2**31 and int(lengths.sum()) < 2**31
+    return data[ranges(starts, lengths, np.int32 if small else np.int64)]
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -99,7 +98,3 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         reach *= 2
     rest = width - reach
     return np.minimum(values[:-rest], values[rest:]) if rest else values
-
-
-def lower_hex(column: str):
-    return F.lower(F.hex(column))

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapel.llm import exact_dedup, packing, quality_rules, secret_scan, simhash
+from lapel.llm import exact_dedup, packing, quality_rules, secret_scan, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, folder, "documents"), k=20).drop("kept")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, folder, "documents"), shingle=4, bits=4, seed=42)
 
@@ -34,7 +38,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_near_dedup, op4_quality_rules, op6_secret_scan, op9_best_fit_packing, op10_exact_dedup)
+    f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op4_quality_rules, op6_secret_scan, op9_best_fit_packing, op10_exact_dedup)
 }
 
-ORACLE: dict[str, str] = {"op10_exact_dedup": exact_dedup.oracle()}
+ORACLE: dict[str, str] = {"op1_substring_dedup": substring_dedup.oracle(), "op10_exact_dedup": exact_dedup.oracle()}
