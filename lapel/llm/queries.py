@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapel.llm import exact_dedup, packing, quality_rules, secret_scan, simhash, substring_dedup
+from lapel.llm import exact_dedup, packing, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(_table(spark, folder, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_table(spark, folder, "documents"), width=50).drop("kept")
+
+
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), max_tokens=2048)
 
@@ -38,7 +42,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op4_quality_rules, op6_secret_scan, op9_best_fit_packing, op10_exact_dedup)
+    f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op4_quality_rules, op6_secret_scan, op8_suffix_array_dedup, op9_best_fit_packing, op10_exact_dedup)
 }
 
-ORACLE: dict[str, str] = {"op1_substring_dedup": substring_dedup.oracle(), "op10_exact_dedup": exact_dedup.oracle()}
+ORACLE: dict[str, str] = {"op1_substring_dedup": substring_dedup.oracle(), "op8_suffix_array_dedup": suffix_dedup.oracle(), "op10_exact_dedup": exact_dedup.oracle()}
