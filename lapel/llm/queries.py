@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapel.llm import exact_dedup, packing, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, token_ledger, warc
+from lapel.llm import exact_dedup, packing, quality_rules, secret_scan, sentencepiece_dropout, simhash, substring_dedup, suffix_dedup, token_ledger, warc
 from lapel.llm.common import materialise, scratch_path
 
 
@@ -46,6 +46,10 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op5_sentencepiece_dropout(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_dropout.round_trip(_table(spark, folder, "documents"), seed=20, dropout=0.1)
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(_table(spark, folder, "documents"))
 
@@ -69,7 +73,25 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_token_rollup, op4_quality_rules, op6_secret_scan, op7_warc_writer, op8_suffix_array_dedup, op9_best_fit_packing, op10_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_simhash_near_dedup,
+        op3_token_rollup,
+        op4_quality_rules,
+        op5_sentencepiece_dropout,
+        op6_secret_scan,
+        op7_warc_writer,
+        op8_suffix_array_dedup,
+        op9_best_fit_packing,
+        op10_exact_dedup,
+    )
 }
 
-ORACLE: dict[str, str] = {"op1_substring_dedup": substring_dedup.oracle(), "op7_warc_writer": warc.oracle(), "op8_suffix_array_dedup": suffix_dedup.oracle(), "op10_exact_dedup": exact_dedup.oracle()}
+#: The others hold learned rules, XXH64, code-point positions or token ids; tests/llm compares them with brute force.
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.oracle(),
+    "op7_warc_writer": warc.oracle(),
+    "op8_suffix_array_dedup": suffix_dedup.oracle(),
+    "op10_exact_dedup": exact_dedup.oracle(),
+}
