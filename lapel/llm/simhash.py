@@ -202,6 +202,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tied = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     named = tied.join(tied.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     labels = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    labels = materialise(labels, "labels")  # a side with a shuffle of its own lets Spark split the rows of a hot fingerprint
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(labels, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
