@@ -4,7 +4,7 @@ A piece is a vector: its tokens, one document, and its attention cost (the squar
 in each. Pieces go longest first to the bin, of those with room in every dimension, that a weighted score prefers: the
 least norm of what stays free, or the greatest dot product of piece and residual. The vector follows from the length
 alone, so the whole assignment is made from the histogram of lengths: bins with equal residuals are one class, and a
-step places as many equal pieces as the class has bins. The work on the driver depends on the number of lengths
+step fills as many bins of a class with equal pieces as there are of both. The work on the driver depends on the number of lengths
 (`max_tokens` at most), never on the number of documents; pieces find their place by their rank within their length.
 """
 
@@ -89,31 +89,33 @@ def best_fit(counts: dict[int, int], max_tokens: int, max_docs: int, max_cost: i
         while todo:
             now = left[: len(keys)]
             fits = np.flatnonzero((now >= item).all(axis=1))
-            if not len(fits):
-                # where two fit in a bin, one new bin at a time: the next piece may share it
-                n = todo if 2 * length > max_tokens else 1
-                runs.append((length, rank, n, bins, 0))
-                add((max_tokens - length, max_docs - 1, max_cost - length * length), bins, n)
-                rank, todo, bins = rank + n, todo - n, bins + n
-                continue
-            free = now[fits] / caps
-            part = item / caps
-            value = (w * (free - part) ** 2).sum(axis=1) if score == "norm" else -(w * free * part).sum(axis=1)
-            state = keys[int(fits[np.argmin(value)])]
-            assert state is not None
-            spans = states[state]
-            after = tuple(int(a - b) for a, b in zip(state, item, strict=True))
+            if len(fits):
+                free = now[fits] / caps
+                part = item / caps
+                value = (w * (free - part) ** 2).sum(axis=1) if score == "norm" else -(w * free * part).sum(axis=1)
+                state = keys[int(fits[np.argmin(value)])]
+                assert state is not None
+                spans = states[state]
+            else:
+                state = (max_tokens, max_docs, max_cost)
+                spans = [[bins, todo]]  # as many new ones as it takes, todo at most
+            # a bin that took a piece is now the tightest, so it takes all that it can before the next one does
+            each = min(state[0] // length, state[1], state[2] // (length * length))
             while spans and todo:
                 first, n = spans[-1]
-                used = min(n, todo)
-                runs.append((length, rank, used, first, max_tokens - state[0]))
+                own, used = (each, min(n, todo // each)) if todo >= each else (todo, 1)
+                for k in range(own):
+                    runs.append((length, rank, used, first, max_tokens - state[0] + k * length))
+                    rank += used
+                todo -= own * used
+                add((state[0] - own * length, state[1] - own, state[2] - own * length * length), first, used)
                 if used == n:
                     spans.pop()
                 else:
                     spans[-1] = [first + used, n - used]
-                add(after, first, used)
-                rank, todo = rank + used, todo - used
-            if not spans:
+                if not len(fits):
+                    bins = first + used
+            if len(fits) and not spans:
                 at = row.pop(state)
                 del states[state]
                 keys[at] = None
