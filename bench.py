@@ -40,7 +40,6 @@ HEADLINE = [
     "client_profile",
     "metric_growth_mom_series",
     "metric_purchase_frequency",
-    "gen_transactions",
     "log_top_questions",
     "log_runtime",
 ]

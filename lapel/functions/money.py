@@ -1,8 +1,10 @@
 """Exact money on double columns.
 
-Amounts are stored as doubles with at most four decimals. Inside an aggregate each is turned into a whole number of
-ten-thousandths, so sums are exact and do not depend on row order or partitioning, at the price of adding two longs
-(decimal sums cost two to four times as much per row). Exact up to 9e11 per amount and 1e20 per sum.
+Amounts of the fact are stored as doubles with at most four decimals. Inside an aggregate each is turned into a whole
+number of ten-thousandths, so sums are exact and do not depend on row order or partitioning, at the price of adding two
+longs (decimal sums cost two to four times as much per row). Amounts too large for that are added as decimals. Totals
+that are summed again (a client's spend) are few, and are added as decimals from the start. Sums hold 20 digits before
+the point.
 """
 
 from __future__ import annotations
@@ -14,12 +16,17 @@ from pyspark.sql import functions as F
 
 UNITS = 10_000
 LOW_BITS = 20
+LARGE = 9e11  # ten-thousandths of more than this do not fit a long
 SUM = "decimal(24,4)"
 
 
+def _column(col: Column | str) -> Column:
+    return F.col(col) if isinstance(col, str) else col
+
+
 def units(col: Column | str) -> Column:
-    """The amount in ten-thousandths, as a long."""
-    return F.rint((F.col(col) if isinstance(col, str) else col) * float(UNITS)).cast("long")
+    """An amount below LARGE in ten-thousandths, as a long."""
+    return F.rint(_column(col) * float(UNITS)).cast("long")
 
 
 def from_units(col: Column) -> Column:
@@ -27,29 +34,42 @@ def from_units(col: Column) -> Column:
     return col / float(UNITS)
 
 
-def high_low(col: Column | str) -> tuple[Column, Column]:
-    """Sums of the high and of the low bits of the units, two longs; neither overflows below 1e12 rows per group.
+def split_sums(col: Column | str) -> dict[str, Column]:
+    """Sums of the high and of the low bits of the units, two longs that do not overflow below 1e12 rows per group, and
+    of the large amounts, a decimal that is NULL as a rule.
 
-    Where sums are summed again, these are: turning them into a decimal is left to the last step.
+    Where sums are summed again, these are: turning them into one decimal is left to the last step.
     """
-    u = units(col)
-    return F.sum(F.shiftright(u, LOW_BITS)), F.sum(u.bitwiseAND(F.lit((1 << LOW_BITS) - 1)))
-
-
-def whole(high: Column, low: Column) -> Column:
-    """The exact amount from the two sums, a decimal(24,4)."""
+    value = _column(col)
+    small = F.abs(value) < LARGE
+    u = F.when(small, units(F.when(small, value)))
+    return {
+        "high": F.sum(F.shiftright(u, LOW_BITS)),
+        "low": F.sum(u.bitwiseAND(F.lit((1 << LOW_BITS) - 1))),
+        "large": F.sum(F.when(~small, value.cast(SUM))).cast(SUM),
+    }
+
+
+def whole(high: Column, low: Column, large: Column) -> Column:
+    """The exact amount from the three sums, a decimal(24,4)."""
     both = high.cast("decimal(28,0)") * F.lit(1 << LOW_BITS) + low.cast("decimal(20,0)")
-    return (both * F.lit(Decimal(1) / UNITS)).cast(SUM)
+    small = (both * F.lit(Decimal(1) / UNITS)).cast(SUM)
+    return F.coalesce((small + large).cast(SUM), small, large)
 
 
 def total(col: Column | str) -> Column:
-    """Exact sum of amounts, for use inside ``agg``: a decimal(24,4), NULL for no values."""
-    return whole(*high_low(col))
+    """Exact sum of amounts of the fact, for use inside ``agg``: a decimal(24,4), NULL for no values."""
+    return whole(**split_sums(col))
+
+
+def total_of_totals(col: Column | str) -> Column:
+    """Exact sum of totals, one per client or so."""
+    return F.sum(_column(col).cast(SUM)).cast(SUM)
 
 
 def money(col: Column | str) -> Column:
     """An exact amount rounded half-up to cents, as a double."""
-    return F.round(F.col(col) if isinstance(col, str) else col, 2).cast("double")
+    return F.round(_column(col), 2).cast("double")
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -62,6 +82,10 @@ def mean(col: Column | str) -> Column:
     return ratio(total(col), F.count(col))
 
 
+def mean_of_totals(col: Column | str) -> Column:
+    return ratio(total_of_totals(col), F.count(col))
+
+
 def share(hits: Column, of: Column) -> Column:
     """A fraction as a double from two counts, NULL for an empty total."""
     return ratio(hits.cast("double"), of)

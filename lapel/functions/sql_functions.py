@@ -6,11 +6,12 @@ views of ``register_views``, or permanent in a namespace, over its tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import date
 
-from lapel.functions.classify import HOUSE, LOST, RISK_BANDS, Bounds
+from pyspark.sql import SparkSession
 
-RANKED = "clients_ranked"
+from lapel.functions.classify import HOUSE, LOST, RISK_BANDS, Bounds
+from lapel.functions.money import SUM
 
 
 def quoted(text: str) -> str:
@@ -28,51 +29,58 @@ def risk_sql(days: str, spend: str, bounds: Bounds = HOUSE) -> str:
     return f"CASE {' '.join(arms)} ELSE '{LOST}' END"
 
 
-def register_sql_functions(spark: SparkSession, ranked: DataFrame, bounds: Bounds = HOUSE, prefix: str = "") -> None:
+def register_sql_functions(
+    spark: SparkSession, bounds: Bounds = HOUSE, prefix: str = "", as_of: date | None = None
+) -> None:
     """Temporary classify_client_risk, get_revenue_by_period and get_top_clients over the registered views.
 
-    ``ranked`` is the answer of ``top_clients_by_store``: the numbering there never holds a store in one task, which
-    a window inside the function would.
+    get_top_clients counts days up to ``as_of``, or up to the day of the call.
     """
-    ranked.createOrReplaceTempView(f"{prefix}{RANKED}")
-    _create(spark, "TEMPORARY FUNCTION", prefix, bounds)
+    _create(spark, "TEMPORARY FUNCTION", prefix, bounds, as_of)
 
 
-def create_sql_functions(spark: SparkSession, ranked: DataFrame, namespace: str, bounds: Bounds = HOUSE) -> None:
-    """The same, permanent, over the tables of a namespace; ``ranked`` is written there as a table.
+def create_sql_functions(spark: SparkSession, namespace: str, bounds: Bounds = HOUSE, as_of: date | None = None) -> None:
+    """The same, permanent, over the tables of a namespace, which are read at each call.
 
     Spark calls a table function by its bare name: ``USE`` the namespace first.
     """
-    ranked.write.mode("overwrite").saveAsTable(f"{namespace}.{RANKED}")
-    _create(spark, "FUNCTION", f"{namespace}.", bounds)
+    _create(spark, "FUNCTION", f"{namespace}.", bounds, as_of)
 
 
-def _create(spark: SparkSession, kind: str, prefix: str, bounds: Bounds) -> None:
+def _create(spark: SparkSession, kind: str, prefix: str, bounds: Bounds, as_of: date | None) -> None:
+    """get_top_clients numbers one store by a window: that store's clients are one task's. For stores too large for
+    that, ``top_clients_by_store`` numbers them in many."""
+    day = f"DATE '{as_of.isoformat()}'" if as_of else "CURRENT_DATE()"
+    days = f"DATEDIFF({day}, last_purchase_date)"
     spark.sql(f"""
-        CREATE OR REPLACE {kind} {prefix}classify_client_risk(d INT, m DOUBLE)
+        CREATE OR REPLACE {kind} {prefix}classify_client_risk(p_days_since_purchase INT, p_lifetime_spend DOUBLE)
         RETURNS TABLE (days_since_purchase INT, lifetime_spend DOUBLE, risk_tier STRING)
-        RETURN SELECT d, m, {risk_sql("d", "m", bounds)}""")
+        RETURN SELECT p_days_since_purchase, p_lifetime_spend,
+                      {risk_sql("p_days_since_purchase", "p_lifetime_spend", bounds)}""")
     spark.sql(f"""
-        CREATE OR REPLACE {kind} {prefix}get_revenue_by_period(reg STRING, d0 STRING, d1 STRING)
+        CREATE OR REPLACE {kind} {prefix}get_revenue_by_period(p_region STRING, p_start_date STRING, p_end_date STRING)
         RETURNS TABLE (store_name STRING, city STRING, total_revenue DOUBLE, transaction_count BIGINT,
                        unique_clients BIGINT, avg_order_value DOUBLE)
         RETURN
           SELECT s.store_name, s.city, CAST(ROUND(f.total, 2) AS DOUBLE), f.n, f.buyers,
                  CAST(ROUND(f.total / f.valued, 2) AS DOUBLE)
-          FROM (SELECT store_id, SUM(CAST(total_amount AS DECIMAL(18,4))) AS total, COUNT(*) AS n,
+          FROM (SELECT t.store_id, CAST(SUM(CAST(total_amount AS {SUM})) AS {SUM}) AS total, COUNT(*) AS n,
                        COUNT(DISTINCT client_id) AS buyers, NULLIF(COUNT(total_amount), 0) AS valued
-                FROM {prefix}transactions
-                WHERE NOT is_return AND transaction_date >= CAST(d0 AS DATE) AND transaction_date <= CAST(d1 AS DATE)
-                GROUP BY store_id) f
-          JOIN {prefix}stores s USING (store_id)
-          WHERE reg IN ('ALL', s.region)""")
+                FROM {prefix}transactions t JOIN {prefix}stores r ON t.store_id = r.store_id
+                WHERE NOT is_return AND transaction_date >= CAST(p_start_date AS DATE)
+                  AND transaction_date <= CAST(p_end_date AS DATE) AND p_region IN ('ALL', r.region)
+                GROUP BY t.store_id) f
+          JOIN {prefix}stores s USING (store_id)""")
     spark.sql(f"""
-        CREATE OR REPLACE {kind} {prefix}get_top_clients(store INT)
+        CREATE OR REPLACE {kind} {prefix}get_top_clients(p_store_id INT)
         RETURNS TABLE (client_name STRING, email STRING, membership_tier STRING, lifetime_spend DOUBLE,
-                       total_orders INT, last_purchase_date DATE, risk_tier STRING, rank BIGINT)
+                       total_orders INT, last_purchase_date DATE, risk_tier STRING, rank INT)
         RETURN
-          SELECT client_name, email, membership_tier, lifetime_spend, total_orders, last_purchase_date, risk_tier, rank
-          FROM {prefix}{RANKED} WHERE preferred_store_id = store""")
+          SELECT CONCAT(first_name, ' ', last_name), email, membership_tier,
+                 CAST(ROUND(CAST(lifetime_spend AS {SUM}), 2) AS DOUBLE), total_orders, last_purchase_date,
+                 {risk_sql(days, "lifetime_spend", bounds)},
+                 ROW_NUMBER() OVER (PARTITION BY preferred_store_id ORDER BY lifetime_spend DESC NULLS LAST, client_id)
+          FROM {prefix}clients WHERE preferred_store_id = p_store_id""")
 
 
 def register_masks(spark: SparkSession, user: str, restricted: str, city: str, prefix: str = "") -> None:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from lapel.functions.classify import HOUSE, Bounds, is_vip, is_vvip, membership_tier, risk_tier, tier_rank
 from lapel.functions.dates import days_since, inactive_for, year_span
-from lapel.functions.money import mean, money, total
+from lapel.functions.money import mean_of_totals, money, total_of_totals
 from lapel.functions.names import full_name
-from lapel.operators.ranking import PRUNABLE, number_rows, top_in_group
+from lapel.operators.ranking import number_rows, top_in_group
+from lapel.session import written_once
 from lapel.sources.star import Star
 
 NAME = ("first_name", "last_name")
@@ -41,8 +42,8 @@ def clients_by_tier(star: Star) -> DataFrame:
     """Client count and spend per tier, best tier first; unknown tiers sort with the lowest."""
     out = star.clients("membership_tier", "lifetime_spend").groupBy("membership_tier").agg(
         F.count(F.lit(1)).alias("client_count"),
-        money(mean("lifetime_spend")).alias("avg_lifetime_spend"),
-        money(total("lifetime_spend")).alias("total_lifetime_spend"),
+        money(mean_of_totals("lifetime_spend")).alias("avg_lifetime_spend"),
+        money(total_of_totals("lifetime_spend")).alias("total_lifetime_spend"),
     )
     return out.orderBy(tier_rank(F.col("membership_tier")), "membership_tier")
 
@@ -103,16 +104,15 @@ def _buyer_ids(star: Star, category: str, year: int) -> DataFrame:
 
 def category_buyers(star: Star, category: str, year: int) -> DataFrame:
     """Clients who bought from a category in a year. Buyers are made distinct before they meet the clients."""
-    people = star.clients("client_id", *NAME, "email", "membership_tier", "last_purchase_date")
-    out = people.join(_buyer_ids(star, category, year), "client_id", "left_semi")
+    ids = _buyer_ids(star, category, year)
+    out = star.clients("client_id", *NAME, "email", "membership_tier", "last_purchase_date", ids=ids)
     return out.select("client_id", _name(), "email", "membership_tier", "last_purchase_date")
 
 
 def buyers_now_inactive(star: Star, buyers: DataFrame, as_of: date, days: int = 90) -> DataFrame:
     """The follow-up "of those, who has not bought for ``days`` days": takes the first answer's client ids."""
     cols = ("email", "membership_tier", "lifetime_spend", "last_purchase_date")
-    rows = star.clients("client_id", *NAME, "advisor_id", *cols)
-    rows = rows.join(buyers.select("client_id").distinct(), "client_id", "left_semi")
+    rows = star.clients("client_id", *NAME, "advisor_id", *cols, ids=buyers.select("client_id").distinct())
     rows = rows.filter(inactive_for("last_purchase_date", as_of, days))
     rows = rows.withColumn("client_name", full_name(*NAME)).drop(*NAME)
     rows = rows.join(_advisor_names(star, "advisor"), "advisor_id")
@@ -135,8 +135,9 @@ def advisor_at_risk_book(star: Star, first: str, last: str, as_of: date) -> Data
     """At-risk clients in the book of one advisor, by name."""
     cols = ("email", "membership_tier", "client_segment", "lifetime_spend", "last_purchase_date", "preferred_category")
     who = star.advisors("advisor_id", *NAME).filter((F.col("first_name") == first) & (F.col("last_name") == last))
-    rows = star.clients("client_id", *NAME, "advisor_id", *cols).filter(F.col("client_segment") == "At-Risk")
-    rows = rows.join(who.select("advisor_id"), "advisor_id", "left_semi")
+    book = star.clients("client_id", "advisor_id").join(who.select("advisor_id"), "advisor_id", "left_semi")
+    rows = star.clients("client_id", *NAME, "advisor_id", *cols, ids=book.select("client_id"))
+    rows = rows.filter(F.col("client_segment") == "At-Risk")
     return rows.orderBy(F.desc("lifetime_spend"), "client_id").select(
         _name(),
         "email",
@@ -159,9 +160,10 @@ def bought_x_never_y(
 ) -> DataFrame:
     """Clients who bought ``brand`` in ``category`` and never category ``never`` (of ``never_brand`` if given).
 
-    ``anti``: one pass; each sale of either kind marks its client, and the marks are combined map-side.
-    ``not_in``: the same, but as ``NOT IN`` has it a sale of ``never`` without client empties the answer.
-    ``except``: set difference of the two sets of client ids, each made distinct first.
+    One pass over the fact; each sale of either kind marks its client, and the marks are combined map-side.
+    ``anti`` and ``except`` (the difference of the two sets of ids) are clients with the first mark and not the second.
+    ``not_in``: the same, but as ``NOT IN`` has it a sale of ``never`` without client empties the answer; that asks the
+    combined marks a second time.
     """
     is_x = (F.col("brand") == brand) & (F.col("category") == category)
     is_y = F.col("category") == never
@@ -171,17 +173,13 @@ def bought_x_never_y(
     either = [F.coalesce(flag, F.lit(False)).alias(name) for flag, name in ((is_x, "x"), (is_y, "y"))]
     items = items.select("product_id", *either)
     rows = star.sales("product_id", "client_id").join(items, "product_id")
-    if method == "except":
-        x, y = (rows.filter(flag).select("client_id").distinct() for flag in ("x", "y"))
-        ids = x.subtract(y)
-    else:
-        marks = rows.groupBy("client_id").agg(F.max("x").alias("x"), F.max("y").alias("y"))
-        ids = marks.filter(F.col("x") & ~F.col("y")).select("client_id")
-        if method == "not_in":
-            unknown = marks.filter(F.col("client_id").isNull() & F.col("y")).agg(F.count(F.lit(1)))
-            ids = ids.filter(unknown.scalar() == 0)
+    marks = rows.groupBy("client_id").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    ids = marks.filter(F.col("x") & ~F.col("y")).select("client_id")
+    if method == "not_in":
+        unknown = marks.filter(F.col("client_id").isNull() & F.col("y")).agg(F.count(F.lit(1)))
+        ids = ids.filter(unknown.scalar() == 0)
     cols = ("membership_tier", "lifetime_spend", "preferred_category")
-    people = star.clients("client_id", *NAME, "advisor_id", *cols).join(ids, "client_id", "left_semi")
+    people = star.clients("client_id", *NAME, "advisor_id", *cols, ids=ids)
     people = people.withColumn("client_name", full_name(*NAME)).drop(*NAME)
     out = people.join(_advisor_names(star, "advisor"), "advisor_id").orderBy(F.desc("lifetime_spend"), "client_id")
     keep = ["client_id"] if client_ids else []
@@ -274,12 +272,11 @@ RANKED = ("email", "membership_tier", "lifetime_spend", "total_orders", "last_pu
 
 
 def _ranked(rows: DataFrame, as_of: date, bounds: Bounds, top_n: int | None) -> DataFrame:
-    group = ["preferred_store_id"]
-    if top_n is not None and top_n <= PRUNABLE:
-        rows = top_in_group(rows, group, [F.desc("lifetime_spend"), F.asc("client_id")], top_n)
+    how = ("lifetime_spend", "client_id")
+    if top_n is None:
+        rows = number_rows(written_once(rows), *how, ["preferred_store_id"])
     else:
-        rows = number_rows(rows, "lifetime_spend", "client_id", group)
-        rows = rows if top_n is None else rows.filter(F.col("rank") <= top_n)
+        rows = top_in_group(rows, ["preferred_store_id"], *how, top_n)
     return with_risk_tier(rows, as_of, bounds).select(
         "preferred_store_id",
         _name(),
@@ -296,8 +293,12 @@ def _ranked(rows: DataFrame, as_of: date, bounds: Bounds, top_n: int | None) ->
 def get_top_clients(
     star: Star, store_id: int, as_of: date, bounds: Bounds = HOUSE, top_n: int | None = None
 ) -> DataFrame:
-    """Clients of one store ranked by spend with their risk label; all of them unless ``top_n`` is given."""
-    rows = star.clients("client_id", *NAME, *RANKED).filter(F.col("preferred_store_id") == store_id)
+    """Clients of one store ranked by spend with their risk label; all of them unless ``top_n`` is given.
+
+    Numbering all writes the rows to the scratch folder first: they are used three times.
+    """
+    book = star.clients("client_id", "preferred_store_id").filter(F.col("preferred_store_id") == store_id)
+    rows = star.clients("client_id", *NAME, *RANKED, ids=book.select("client_id"))
     return _ranked(rows, as_of, bounds, top_n).drop("preferred_store_id")
 
 

@@ -74,7 +74,9 @@ def govern(star: Star, *rules: Rule) -> Star:
     for table in {r.table for r in rules}:
         chain = sorted((r for r in rules if r.table == table), key=lambda r: r.masks)
         reads = tuple(dict.fromkeys(c for r in chain for c in r.reads))
-        lens[table] = (_in_turn([r.apply for r in chain]), reads)
+        filters = [r for r in chain if not r.masks]
+        rows = (_in_turn([r.apply for r in filters]), tuple(dict.fromkeys(c for r in filters for c in r.reads))) if filters else None
+        lens[table] = (_in_turn([r.apply for r in chain]), reads, rows)
     return ViewedStar(star, lens)
 
 

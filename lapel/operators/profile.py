@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from lapel.functions.classify import HOUSE, Bounds, is_vip, segment
 from lapel.functions.dates import days_since
-from lapel.functions.money import high_low, money, ratio, whole
+from lapel.functions.money import SUM, money, ratio, split_sums, whole
 from lapel.sources.star import Star
 
 BASIC = ("lifetime_spend", "total_orders", "avg_order_value", "first_purchase_date", "last_purchase_date")
@@ -27,10 +27,8 @@ def profile(sales: DataFrame, category: bool = False, gap: bool = False) -> Data
     then share one hash partitioning by client.
     """
     known = sales.filter(F.col("client_id").isNotNull())
-    high, low = high_low("total_amount")
     parts = {
-        "high": high,
-        "low": low,
+        **split_sums("total_amount"),
         "valued": F.count("total_amount"),
         "n": F.count(F.lit(1)),
         "first_day": F.min("transaction_date"),
@@ -41,6 +39,7 @@ def profile(sales: DataFrame, category: bool = False, gap: bool = False) -> Data
     merged = {
         "high": F.sum("high"),
         "low": F.sum("low"),
+        "large": F.sum("large").cast(SUM),
         "valued": F.sum("valued"),
         "n": F.sum("n"),
         "first_day": F.min("first_day"),
@@ -58,7 +57,7 @@ def profile(sales: DataFrame, category: bool = False, gap: bool = False) -> Data
         merged["preferred_category"] = F.min_by("category", favour)
     if len(fine) > 1:
         level = level.groupBy("client_id").agg(*[c.alias(n) for n, c in merged.items()])
-    spend = whole(F.col("high"), F.col("low"))
+    spend = whole(F.col("high"), F.col("low"), F.col("large"))
     return level.select(
         "client_id",
         spend.alias("lifetime_spend"),

@@ -8,62 +8,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lapel.functions.money import UNITS, units
-
 TIE_SPAN = 1 << 16
-LOWEST = -(1 << 62)
+BANDS = 128
 
-# Spark's default bound (spark.sql.optimizer.windowGroupLimitThreshold) for pruning a top-n before the shuffle.
-PRUNABLE = 1000
 
+def top_in_group(df: DataFrame, group: Sequence[str], value: str, tie: str, n: int, out: str = "rank") -> DataFrame:
+    """The rows of the n highest ``value`` per group (NULL last, ties by ``tie``), numbered.
 
-def top_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, out: str = "rank") -> DataFrame:
-    """row_number <= n per group. Up to PRUNABLE, Spark prunes each map task to n rows per group before it shuffles."""
-    rank = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-    return df.withColumn(out, rank).filter(F.col(out) <= n).withColumn(out, F.col(out).cast("long"))
+    Spark prunes each map task to n rows per group before it shuffles, where n is within its bound for that. Beyond
+    it a whole group would go to one task, so all rows are numbered the distributed way and cut; order and result are
+    the same. ``tie`` is then an integer.
+    """
+    if n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        rank = F.row_number().over(W.partitionBy(*group).orderBy(F.desc_nulls_last(value), tie))
+        return df.withColumn(out, rank).filter(F.col(out) <= n).withColumn(out, F.col(out).cast("long"))
+    return number_rows(df, value, tie, group, out).filter(F.col(out) <= n)
 
 
 def number_rows(
-    df: DataFrame,
-    value: str,
-    tie: str,
-    group: Sequence[str] = (),
-    out: str = "rank",
-    band_width: int = 100,
-    span: int = TIE_SPAN,
+    df: DataFrame, value: str, tie: str, group: Sequence[str] = (), out: str = "rank", bands: int = BANDS, span: int = TIE_SPAN
 ) -> DataFrame:
     """ROW_NUMBER() OVER (PARTITION BY group ORDER BY value DESC NULLS LAST, tie), for every row.
 
     A plain window would sort a whole group in one task, and one group may hold a third of all rows. Here a row's
-    number is (rows in higher bands) + (rows above it in its band) + (place in its cell). A band is ``band_width``
-    units of ``value``, a cell one exact value and one run of ``span`` keys ``tie``. Bands and cells are counts, made
-    with map-side combining; only cells are sorted row by row, and a cell is small even if one value is held by
-    most rows, because ``tie`` (a unique integer) splits it.
+    number is (rows in higher bands) + (rows above it in its band) + (place in its cell). Bands lie between quantiles of
+    the group's own values, so each holds about one in ``bands`` of its distinct places, however the values lie; the
+    quantiles are approximate, the numbers exact. A cell is one exact value and one run of ``span`` keys ``tie``. Bands
+    and cells are counts, made with map-side combining; only cells are sorted row by row, and a cell is small even if
+    one value is held by most rows, because ``tie`` (a unique integer) splits it.
 
-    ``value`` has at most four decimals. Bands of a group go through one window, and so do cells of a band: choose
-    ``band_width`` so that neither is many (with 1e9 rows, some 1e4 bands).
+    ``df`` is used three times: give it written if it is dear.
     """
-    keys = {
-        "_value": F.coalesce(units(value), F.lit(LOWEST)),
-        "_run": F.expr(f"{tie} div {span}"),
-    }
-    keyed = df.withColumns(keys)
-    cells = keyed.groupBy(*group, "_value", "_run").agg(F.count(F.lit(1)).alias("_n"))
-    cells = cells.withColumn("_band", F.expr(f"_value div {band_width * UNITS}"))
+    cuts = F.percentile_approx(value, [k / bands for k in range(1, bands)], 10 * bands).alias("_cuts")
+    if group:
+        keyed = _same(df, df.groupBy(*group).agg(cuts), group)
+    else:
+        keyed = df.withColumn("_cuts", df.agg(cuts).scalar())
+    higher = F.size(F.filter("_cuts", lambda cut: cut > F.col(value)))
+    keyed = keyed.withColumns(
+        {
+            "_value": F.col(value),
+            "_run": F.expr(f"{tie} div {span}"),
+            "_band": F.when(F.col(value).isNull(), bands).otherwise(higher),
+        }
+    ).drop("_cuts")
+    cells = keyed.groupBy(*group, "_band", "_value", "_run").agg(F.count(F.lit(1)).alias("_n"))
 
     def rows_before(part: Sequence[str], *order: Column) -> Column:
         earlier = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
         return F.coalesce(F.sum("_n").over(earlier), F.lit(0))
 
-    bands = cells.groupBy(*group, "_band").agg(F.sum("_n").alias("_n"))
-    bands = bands.withColumn("_above", rows_before(group, F.desc("_band"))).drop("_n")
-    in_band = rows_before([*group, "_band"], F.desc("_value"), F.asc("_run"))
+    totals = cells.groupBy(*group, "_band").agg(F.sum("_n").alias("_n"))  # `bands` + 1 rows per group at most
+    totals = totals.withColumn("_above", rows_before(group, F.asc("_band"))).drop("_n")
+    in_band = rows_before([*group, "_band"], F.desc_nulls_last("_value"), F.asc("_run"))
     cells = cells.withColumn("_over", in_band).drop("_n")
-    starts = _same(cells, bands, [*group, "_band"]).withColumn("_start", F.col("_above") + F.col("_over"))
-    starts = starts.select(*group, "_value", "_run", "_start")
+    starts = _same(cells, totals, [*group, "_band"]).withColumn("_start", F.col("_above") + F.col("_over"))
+    starts = starts.select(*group, "_band", "_value", "_run", "_start")
 
-    place = F.row_number().over(W.partitionBy(*group, "_value", "_run").orderBy(tie))
-    placed = _same(keyed.withColumn("_place", place), starts, [*group, "_value", "_run"])
+    place = F.row_number().over(W.partitionBy(*group, "_band", "_value", "_run").orderBy(tie))
+    placed = _same(keyed.withColumn("_place", place), starts, [*group, "_band", "_value", "_run"])
     return placed.select(*df.columns, (F.col("_start") + F.col("_place")).alias(out))
 
 

@@ -101,19 +101,18 @@ def city_compare(star: Star, cities: Sequence[str], as_of: date, ids_repeat: boo
     A transaction id is the key of the fact, so distinct ids are rows. ``ids_repeat`` counts them distinctly all
     the same, for data where they are not; that reads and shuffles every id.
 
-    The stores of a city fit in a set, which leaves one distinct aggregate (clients): a single pass without
-    multiplying the rows.
+    Two passes over the year: one with a single distinct count (clients), so that rows are not multiplied, and one that
+    reads no more than store and day, for the stores with sales.
     """
     extra = ["transaction_id"] if ids_repeat else []
     rows = star.sales("store_id", "client_id", "total_amount", *extra, since=days_ago(as_of, 365))
     count = F.count_distinct("transaction_id").alias("transactions") if ids_repeat else _rows("transactions")
-    out = _in_cities(star, rows, cities).groupBy("city").agg(
-        count,
-        _buyers("unique_clients"),
-        _sum("total_revenue"),
-        _mean(),
-        F.size(F.collect_set("store_id")).cast("long").alias("store_count"),
+    figures = _in_cities(star, rows, cities).groupBy("city").agg(
+        count, _buyers("unique_clients"), _sum("total_revenue"), _mean()
     )
+    open_stores = star.sales("store_id", since=days_ago(as_of, 365)).distinct()
+    open_stores = _in_cities(star, open_stores, cities).groupBy("city").agg(_rows("store_count"))
+    out = figures.join(open_stores, "city")
     return out.orderBy(F.desc("total_revenue"), "city")
 
 

@@ -81,13 +81,19 @@ def score_benchmark(verdicts: DataFrame) -> DataFrame:
 def score_compare(verdicts: DataFrame, before: str, after: str) -> DataFrame:
     """question_id, before, after, regressed, improved for two runs; a question missing from a run has NULL there.
 
-    A question regressed if it passed before and does not now.
+    A question regressed if it passed before and does not now. One pass: verdicts count as numbers, one per run.
     """
-    a = verdicts.filter(F.col("run_id") == before).select("question_id", F.col("verdict").alias("before"))
-    b = verdicts.filter(F.col("run_id") == after).select("question_id", F.col("verdict").alias("after"))
+    code = F.when(F.col("verdict") == FAIL, 0).when(F.col("verdict") == PARTIAL, 1).when(F.col("verdict") == PASS, 2)
+    runs = {"_before": before, "_after": after}
+    both = verdicts.filter(F.col("run_id").isin(before, after)).groupBy("question_id")
+    both = both.agg(*[F.max(F.when(F.col("run_id") == run, code)).alias(name) for name, run in runs.items()])
+
+    def label(name: str) -> Column:
+        return F.when(F.col(name) == 0, FAIL).when(F.col(name) == 1, PARTIAL).when(F.col(name) == 2, PASS)
+
+    out = both.select("question_id", label("_before").alias("before"), label("_after").alias("after"))
     was = F.coalesce(F.col("before") == PASS, F.lit(False))
     now = F.coalesce(F.col("after") == PASS, F.lit(False))
-    out = a.join(b, "question_id", "full_outer")
     return out.select(
         "question_id", "before", "after", (was & ~now).alias("regressed"), (~was & now).alias("improved")
     )

@@ -25,7 +25,7 @@ def top_questions(log: DataFrame, certified: DataFrame, n: int = 5) -> DataFrame
     """The most-asked questions per week that are not certified yet."""
     counts = log.groupBy(_period("week").alias("week"), "question").agg(F.count(F.lit(1)).alias("asked"))
     open_ones = counts.join(certified.select("question"), "question", "left_anti")
-    return top_in_group(open_ones, ["week"], [F.desc("asked"), F.asc("question")], n).select(
+    return top_in_group(open_ones, ["week"], "asked", "question", n).select(
         "week", "question", "asked", "rank"
     )
 

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from lapel.plans import registry as K
-from lapel.sources import catalogue as C
 from lapel.sources.conform import AS_OF, BOUNDS, SPECIALIZATIONS
-from lapel.sources.generate import ORDER_SPAN, PRIME
 from lapel.sources.usage_log import CAUSES
 
 DAY = f"DATE '{AS_OF.isoformat()}'"
@@ -282,100 +280,7 @@ SCORES = " UNION ALL ".join(
     ]
 )
 
-# --- generators: the same arithmetic, written in SQL ---
-
-
-def _draw(key: str, salt: int) -> str:
-    """Four steps modulo the prime; the square spells the step before it out twice."""
-    start = f"((({key}) % {PRIME} + (({key}) // {PRIME}) * 7919 + {salt * 1_000_003}) % {PRIME} * 48271) % {PRIME}"
-    x = f"CAST({start} AS BIGINT)"
-    return f"((({x} * {x} + {salt}) % {PRIME}) * 69621 % {PRIME})"
-
-
-def _between(key: str, salt: int, low: str, high: str) -> str:
-    return f"({low} + {_draw(key, salt)} % ({high} - {low} + 1))"
-
-
-def _cycle(values: tuple, slot: str) -> str:
-    items = ", ".join(repr(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'" for v in values)
-    return f"([{items}])[CAST({slot} AS INTEGER) + 1]"
-
-
-def _range(name: str, side: int, factor: int = 1) -> str:
-    arms = " ".join(f"WHEN '{s}' THEN {r[name][side] * factor}" for s, r in C.SEGMENT_RANGES.items())
-    return f"(CASE client_segment {arms} END)"
-
-
-_TEAMS = ", ".join(f"[{', '.join(str(a) for a in C.ADVISORS_OF_STORE[h[2]])}]" for h in C.HOMES)
-_QUANTITY = "CASE WHEN unit_price <= 1000 AND pair = 3 THEN 2 ELSE 1 END"
-_GEN_DAY = f"DATE '{C.TODAY.isoformat()}'"
-SALT = 4200
-
-
-def _back(salt: int, name: str) -> str:
-    days = _between("client_id", salt, _range(name, 0), _range(name, 1))
-    return f"{_GEN_DAY} - CAST({days} AS INTEGER)"
-
-
-GENERATED = f"""
-seed AS (
-  SELECT c_custkey + 1 AS client_id,
-         {_cycle(C.FIRST_NAMES, "(c_custkey + 1) % 40")} AS first_name,
-         {_cycle(C.LAST_NAMES, "(c_custkey + 1) * 7 % 40")} AS last_name,
-         {_cycle(tuple(h[0] for h in C.HOMES), "(c_custkey + 1) % 8")} AS city,
-         {_cycle(tuple(h[1] for h in C.HOMES), "(c_custkey + 1) % 8")} AS province,
-         CAST({_cycle(tuple(h[2] for h in C.HOMES), "(c_custkey + 1) % 8")} AS INTEGER) AS preferred_store_id,
-         ([{_TEAMS}])[CAST((c_custkey + 1) % 8 AS INTEGER) + 1] AS team,
-         {_cycle(C.SEGMENT_CYCLE, "(c_custkey + 1) % 8")} AS client_segment,
-         {_cycle(C.CATEGORIES, "(c_custkey + 1) % 6")} AS preferred_category
-  FROM customer),
-gen0 AS (
-  SELECT *, CAST(team[CAST(client_id % len(team) AS INTEGER) + 1] AS INTEGER) AS advisor_id,
-         {_between("client_id", SALT + 1, _range("spend", 0, 100), _range("spend", 1, 100))} AS spend_cents,
-         CAST({_between("client_id", SALT + 2, _range("orders", 0), _range("orders", 1))} AS INTEGER) AS total_orders,
-         {_back(SALT + 3, "last_days")} AS last_purchase_date, {_back(SALT + 4, "first_days")} AS first_purchase_date
-  FROM seed),
-gen_client AS (
-  SELECT client_id, first_name, last_name,
-         lower(first_name) || '.' || lower(last_name) || client_id || '@{C.CLIENT_DOMAIN}' AS email,
-         city, province, preferred_store_id, advisor_id,
-         CASE WHEN spend_cents > 5000000 THEN 'Platinum' WHEN spend_cents > 2000000 THEN 'Gold'
-              WHEN spend_cents > 800000 THEN 'Silver' ELSE 'Classic' END AS membership_tier,
-         client_id % 4 = 0 OR client_id % 7 = 0 OR client_segment = 'At-Risk' OR spend_cents > 1000000 AS is_vip,
-         client_segment, CAST(CAST(spend_cents AS DECIMAL(18,0)) / 100 AS DOUBLE) AS lifetime_spend,
-         last_purchase_date, first_purchase_date, total_orders,
-         {avg("spend_cents", "(total_orders * 100)")} AS avg_order_value, preferred_category
-  FROM gen0)
-""".strip()
-
-_GOODS = ", ".join(f"({no}, '{sku}', {price})" for no, sku, *_, price in C.product_rows())
-SALE_SALT = SALT + 50
-
-GEN_SALES = f"""
-goods(product_no, product_id, unit_price) AS (VALUES {_GOODS}),
-numbered AS (
-  SELECT *, COALESCE(SUM(total_orders) OVER (ORDER BY client_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-           AS ids_before,
-         GREATEST(last_purchase_date - first_purchase_date, 1) AS days
-  FROM gen_client),
-line AS (
-  SELECT *, client_id * {ORDER_SPAN} + o AS key, CAST(ids_before + o + 1 AS BIGINT) AS number
-  FROM (SELECT *, unnest(range(CAST(total_orders AS BIGINT))) AS o FROM numbered)),
-drawn AS (
-  SELECT *, first_purchase_date + CAST(o * days // GREATEST(total_orders - 1, 1)
-                                       + {_between("key", SALE_SALT + 1, "-5", "5")} AS INTEGER) AS raw_day,
-         {_draw("key", SALE_SALT + 2)} % 40 AS product_no, {_draw("key", SALE_SALT + 3)} % 4 AS pair,
-         {_cycle(C.DISCOUNTS, _draw("key", SALE_SALT + 4) + " % 8")} AS pct
-  FROM line)
-SELECT 'TXN-' || printf('%06d', number) AS transaction_id,
-       GREATEST(LEAST(raw_day, {_GEN_DAY}), first_purchase_date) AS transaction_date,
-       client_id, preferred_store_id AS store_id, advisor_id, goods.product_id,
-       {_QUANTITY} AS quantity,
-       CAST(unit_price AS DOUBLE) AS unit_price, CAST(pct AS DOUBLE) AS discount_pct,
-       {cents(f"CAST(unit_price * ({_QUANTITY}) * (100 - pct) AS DECIMAL(18,4)) * 0.01")} AS total_amount,
-       {_cycle(C.PAYMENTS, "number % 5")} AS payment_method, number % {C.RETURN_EVERY} = 0 AS is_return
-FROM drawn JOIN goods USING (product_no)
-""".strip()
+RECORDED = "(300 + advisor_id * 37 % 100)"
 
 BOOK_OF = "c_custkey % (SELECT COUNT(*) FROM supplier)"
 
@@ -405,8 +310,6 @@ ORACLE: dict[str, str] = {
                    payment_method, is_return FROM fact"""
     ),
     "cast_dates": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS order_day FROM orders",
-    "gen_clients": f"WITH {GENERATED} SELECT * FROM gen_client",
-    "gen_transactions": f"WITH {GENERATED}, {GEN_SALES}",
     "row_counts": """SELECT 'stores' AS table_name, (SELECT COUNT(*) FROM nation) AS n
         UNION ALL SELECT 'advisors', (SELECT COUNT(*) FROM supplier)
         UNION ALL SELECT 'products', (SELECT COUNT(*) FROM part)
@@ -469,12 +372,11 @@ ORACLE: dict[str, str] = {
             WHERE client_id IN ({BUYERS}) AND last_purchase_date < {DAY} - 90"""
     ),
     "q12_advisors_having": facts(
-        f"""SELECT advisor_name, specialization, store_name, live AS client_count, {AOV} AS actual_aov,
-                   {REV} AS total_revenue
-            FROM sale JOIN advisor USING (advisor_id) JOIN book USING (advisor_id)
-            JOIN store ON advisor.store_id = store.store_id
-            GROUP BY advisor_id, advisor_name, specialization, store_name, live
-            HAVING live > 345 AND SUM(total_amount) > 50000 * COUNT(*)"""
+        f"""SELECT advisor_name, specialization, store_name, CAST({RECORDED} AS INTEGER) AS client_count,
+                   {AOV} AS actual_aov, {REV} AS total_revenue
+            FROM sale JOIN advisor USING (advisor_id) JOIN store ON advisor.store_id = store.store_id
+            GROUP BY advisor_id, advisor_name, specialization, store_name
+            HAVING {RECORDED} > 345 AND SUM(total_amount) > 50000 * COUNT(*)"""
     ),
     "q13_discount_rate": facts(
         f"""SELECT COUNT(*) AS total_transactions, COUNT(*) FILTER (discount_pct > 0) AS discounted_transactions,
@@ -598,7 +500,8 @@ ORACLE: dict[str, str] = {
             FROM sale WHERE year(transaction_date) IN ({AS_OF.year}, {AS_OF.year - 1}) GROUP BY 1, 2"""
     ),
     "metric_live_client_count": facts(
-        """SELECT advisor_id, COALESCE(live, 0) AS client_count, CAST(COALESCE(live, 0) AS BIGINT) AS live_clients
+        f"""SELECT advisor_id, CAST({RECORDED} AS INTEGER) AS client_count,
+                   CAST(COALESCE(live, 0) AS BIGINT) AS live_clients
            FROM advisor LEFT JOIN book USING (advisor_id)"""
     ),
     "metric_null_defaults": star(
@@ -632,8 +535,13 @@ ORACLE: dict[str, str] = {
             FROM sale JOIN advisor USING (advisor_id) GROUP BY advisor_id, advisor_name"""
     ),
     "sql_get_revenue_by_period": period("TRUE"),
-    "sql_get_top_clients": ranked("", "preferred_store_id = 3", "rank <= 10"),
+    "sql_get_top_clients": f"SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM ({ranked('', 'preferred_store_id = 3', 'rank <= 10')})",
     "sql_classify_client_risk": star(f"SELECT client_id, days AS days_since_purchase, {SPEND}, risk_tier FROM client"),
+    "sql_mask_email": f"SELECT client_id, {HIDDEN} AS email FROM (SELECT c_custkey AS client_id FROM customer)",
+    "sql_mask_lifetime_spend": f"SELECT c_custkey AS client_id, {NOTHING} AS lifetime_spend FROM customer",
+    "sql_city_row_filter": f"""SELECT c_custkey AS client_id, n_name = '{K.HOME}' AS shown
+        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "sql_advisor_row_filter": facts(f"SELECT c_custkey AS client_id, {BOOK_OF} = {OWN} AS shown FROM customer"),
     "policy_advisor_rows": view(where=f"advisor_id = {OWN}"),
     "policy_advisor_rows_sales": facts(
         f"""SELECT advisor_id, client_id, {cents("SUM(total_amount)")} AS amount FROM fact

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapel.functions.money import money, total
-from lapel.functions.sql_functions import register_sql_functions
+from lapel.functions.sql_functions import register_advisor_filter, register_masks, register_sql_functions
 from lapel.operators import advisors as A
 from lapel.operators import clients as C
 from lapel.operators import metric_reports as M
@@ -18,7 +18,6 @@ from lapel.operators import profile as PR
 from lapel.operators import revenue as R
 from lapel.operators import scoring as S
 from lapel.operators import usage as U
-from lapel.sources import catalogue, generate
 from lapel.sources import usage_log as L
 from lapel.sources.conform import AS_OF, BOUNDS, DOMAIN, ConformedStar
 from lapel.sources.star import Star, cast_dates, fk_check, register_views, row_counts
@@ -94,21 +93,6 @@ def _cast_dates(spark: SparkSession, folder: str) -> DataFrame:
     return cast_dates(text, "order_day")
 
 
-def _customer_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return ConformedStar(spark, folder).scan("customer").select((F.col("c_custkey") + 1).alias("client_id"))
-
-
-def _gen_clients(spark: SparkSession, folder: str) -> DataFrame:
-    """A generated client for every customer key."""
-    return generate.gen_clients(spark, ids=_customer_ids(spark, folder))
-
-
-def _gen_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    """The generated sales of a generated client for every customer key."""
-    clients = generate.gen_clients(spark, ids=_customer_ids(spark, folder))
-    return generate.gen_transactions(clients, catalogue.products(spark, numbered=True))
-
-
 def _buyers_then_inactive(spark: SparkSession, folder: str) -> DataFrame:
     star = ConformedStar(spark, folder)
     first = C.category_buyers(star, "PROMO", LAST_YEAR)
@@ -123,7 +107,7 @@ def _sql_revenue(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sql_top_clients(spark: SparkSession, folder: str) -> DataFrame:
     _sql_setup(spark, folder)
-    return spark.sql("SELECT * FROM cf_get_top_clients(3) WHERE rank <= 10")
+    return spark.sql("SELECT * FROM cf_get_top_clients(p_store_id => 3) WHERE rank <= 10")
 
 
 def _sql_risk(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,7 +122,19 @@ def _sql_risk(spark: SparkSession, folder: str) -> DataFrame:
 def _sql_setup(spark: SparkSession, folder: str) -> None:
     star = ConformedStar(spark, folder)
     register_views(star, prefix="cf_")
-    register_sql_functions(spark, C.top_clients_by_store(star, AS_OF, BOUNDS), BOUNDS, prefix="cf_")
+    register_sql_functions(spark, BOUNDS, prefix="cf_", as_of=AS_OF)
+
+
+def _masked(call: str) -> Query:
+    """A scalar SQL function of a restricted viewer, called for every client."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        register_views(ConformedStar(spark, folder), prefix="cf_")
+        register_masks(spark, VIEWER, VIEWER, HOME, prefix="cf_")
+        register_advisor_filter(spark, ADVISOR_LOGIN, DOMAIN, prefix="cf_")
+        return spark.sql(f"SELECT client_id, {call} FROM cf_clients")
+
+    return run
 
 
 def _score_answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -176,18 +172,16 @@ def _score_answers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _verdicts(report: Callable[..., DataFrame], *args) -> Query:
-    return lambda spark, folder: report(L.verdicts(spark, folder), *args)
+def _verdicts(report: Callable[..., DataFrame], *weeks: str) -> Query:
+    return lambda spark, folder: report(L.verdicts(spark, folder, weeks), *weeks)
 
 
 RUNS = ("2024-01-01", "2024-01-08")
 
 REGISTRY: dict[str, Query] = {
-    # sources, generators, integrity
+    # sources, integrity
     "scan_table": _scan,
     "cast_dates": _cast_dates,
-    "gen_clients": _gen_clients,
-    "gen_transactions": _gen_transactions,
     "row_counts": _ask(row_counts),
     "fk_check": _ask(fk_check),
     # questions
@@ -265,6 +259,10 @@ REGISTRY: dict[str, Query] = {
     "sql_get_revenue_by_period": _sql_revenue,
     "sql_get_top_clients": _sql_top_clients,
     "sql_classify_client_risk": _sql_risk,
+    "sql_mask_email": _masked("cf_mask_email(email) AS email"),
+    "sql_mask_lifetime_spend": _masked("cf_mask_lifetime_spend(CAST(lifetime_spend AS DOUBLE)) AS lifetime_spend"),
+    "sql_city_row_filter": _masked("cf_city_row_filter(city) AS shown"),
+    "sql_advisor_row_filter": _masked("cf_advisor_row_filter(advisor_id) AS shown"),
     # policies
     "policy_advisor_rows": _governed(_client_view, lambda star: [P.own_rows(star, ADVISOR_LOGIN, DOMAIN)]),
     "policy_advisor_rows_sales": _governed(

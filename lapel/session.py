@@ -1,11 +1,12 @@
-"""Session settings used by the tests and the benchmark; a cluster session is taken as it comes."""
+"""Session settings of the tests and the benchmark (a cluster session is taken as it comes), and the scratch folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", app: str = "lapel", shuffle_partitions: int = 8) -> SparkSession:
@@ -25,6 +26,21 @@ def local_session(cores: str | int = "*", app: str = "lapel", shuffle_partitions
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder for written intermediate tables: the cluster's shared one, else a local temporary one (tests)."""
+    """A new folder for intermediate tables in the shared one of spark.checkpoint.dir.
+
+    A cluster without that setting has no folder that all executors see: an error. A local session, as in tests, is its
+    own only executor and gets a temporary folder.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return shared if shared else tempfile.mkdtemp(prefix="lapel-")
+    if shared:
+        return f"{shared.rstrip('/')}/lapel-{uuid.uuid4().hex}"
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        return "file://" + tempfile.mkdtemp(prefix="lapel-")
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """The rows written to the scratch folder and read back, for a result that is used several times."""
+    path = scratch_dir(df.sparkSession) + "/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

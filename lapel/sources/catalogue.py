@@ -1,7 +1,6 @@
 """Fixed values of the sample star: its literal rows, word lists and ranges.
 
-Results of the sample questions depend on them, so they are stated as they are. Columns no question reads (colour,
-season, stock) follow a rule instead.
+Results of the sample questions depend on them, so they are stated as they are.
 """
 
 from __future__ import annotations
@@ -10,7 +9,6 @@ from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lapel.sources.schema import SCHEMAS
@@ -56,75 +54,63 @@ ADVISORS = (
     (20, "Natasha", "Volkov", 6, "2013-06-18", "Tailoring", 0.09, 312700.0, 88),
 )
 
-# Product name, subcategory, brand and list price, per (category, code of its SKUs).
-PRODUCTS = {
-    ("Suits", "S"): (
-        ("Canali Two-Button Wool Suit - Navy", "Two-Button", "Canali", 3495),
-        ("Canali Two-Button Wool Suit - Charcoal", "Two-Button", "Canali", 3495),
-        ("Zegna Trofeo Slim-Fit Suit", "Slim-Fit", "Zegna", 4850),
-        ("Boss H-Hutson Double Breasted Suit", "Double-Breasted", "Boss", 1995),
-        ("Brioni Brunico Bespoke Suit", "Bespoke", "Brioni", 8500),
-        ("Tom Ford Windsor Base Suit", "Two-Button", "Tom Ford", 5200),
-        ("Pal Zileri Concept Suit - Taupe", "Two-Button", "Pal Zileri", 2200),
-        ("Corneliani Full Canvas Suit - Khaki", "Three-Button", "Corneliani", 2800),
-        ("Isaia Gregory Suit - Blue Stripe", "Slim-Fit", "Isaia", 4200),
-        ("Samuelsohn Custom Suit - Black", "Made-to-Measure", "Samuelsohn", 3800),
-    ),
-    ("Shirts", "SH"): (
-        ("Canali Slim-Fit Dress Shirt - White", "Dress Shirt", "Canali", 395),
-        ("Canali Slim-Fit Dress Shirt - Blue", "Dress Shirt", "Canali", 395),
-        ("Eton Contemporary Fit Shirt - White", "Dress Shirt", "Eton", 285),
-        ("Eton Slim Fit Oxford Shirt", "Casual Shirt", "Eton", 265),
-        ("Boss Hank Kent Dress Shirt", "Dress Shirt", "Boss", 225),
-        ("Tom Ford Grosgrain-Trimmed Shirt", "Dress Shirt", "Tom Ford", 650),
-        ("Zegna Linen Shirt - Light Grey", "Casual Shirt", "Zegna", 480),
-        ("Finamore Napoli Dress Shirt - Ecru", "Dress Shirt", "Finamore", 540),
-    ),
-    ("Shoes", "SHO"): (
-        ("Magnanni Cap-Toe Oxford - Black", "Oxford", "Magnanni", 695),
-        ("Magnanni Derby Shoe - Tan", "Derby", "Magnanni", 625),
-        ("To Boot New York Chelsea Boot", "Chelsea Boot", "To Boot NY", 498),
-        ("Common Projects Achilles Low - White", "Sneaker", "Common Projects", 580),
-        ("John Lobb City II Oxford", "Oxford", "John Lobb", 1850),
-    ),
-    ("Outerwear", "O"): (
-        ("Mackage Edward Leather Jacket - Black", "Leather Jacket", "Mackage", 1295),
-        ("Canada Goose Langford Parka", "Parka", "Canada Goose", 1250),
-        ("Zegna Wool Overcoat - Camel", "Overcoat", "Zegna", 2800),
-        ("Boss Cashmere Topcoat - Charcoal", "Topcoat", "Boss", 1450),
-        ("Ted Baker Wool Peacoat", "Peacoat", "Ted Baker", 595),
-    ),
-    ("Accessories", "A"): (
-        ("Canali Silk Tie - Burgundy", "Tie", "Canali", 225),
-        ("Canali Silk Tie - Navy Stripe", "Tie", "Canali", 225),
-        ("Hermès Silk Pocket Square", "Pocket Square", "Hermès", 285),
-        ("Boss Leather Belt - Black", "Belt", "Boss", 185),
-        ("Zegna Cashmere Scarf", "Scarf", "Zegna", 495),
-        ("Rolex Datejust 41 - Silver", "Watch", "Rolex", 12800),
-        ("Montblanc Meisterstück Pen", "Pen", "Montblanc", 895),
-        ("Canali Leather Dress Belt - Brown", "Belt", "Canali", 245),
-    ),
-    ("Trousers", "T"): (
-        ("Canali Flat-Front Wool Trousers - Grey", "Dress Trouser", "Canali", 595),
-        ("PT01 Five-Pocket Stretch Trousers", "Casual Trouser", "PT01", 395),
-        ("Boss Slim-Fit Trousers - Black", "Dress Trouser", "Boss", 325),
-        ("Zegna Chino - Beige", "Chino", "Zegna", 580),
-    ),
-}
+# SKU, name, category, subcategory, brand, list price, colour, season, stock.
+PRODUCTS = (
+    ("SKU-S001", "Canali Two-Button Wool Suit - Navy", "Suits", "Two-Button", "Canali", 3495.0, "Navy", "All-Season", 12),
+    ("SKU-S002", "Canali Two-Button Wool Suit - Charcoal", "Suits", "Two-Button", "Canali", 3495.0, "Charcoal", "All-Season", 9),
+    ("SKU-S003", "Zegna Trofeo Slim-Fit Suit", "Suits", "Slim-Fit", "Zegna", 4850.0, "Midnight Blue", "All-Season", 6),
+    ("SKU-S004", "Boss H-Hutson Double Breasted Suit", "Suits", "Double-Breasted", "Boss", 1995.0, "Grey", "All-Season", 14),
+    ("SKU-S005", "Brioni Brunico Bespoke Suit", "Suits", "Bespoke", "Brioni", 8500.0, "Charcoal", "All-Season", 3),
+    ("SKU-S006", "Tom Ford Windsor Base Suit", "Suits", "Two-Button", "Tom Ford", 5200.0, "Black", "All-Season", 5),
+    ("SKU-S007", "Pal Zileri Concept Suit - Taupe", "Suits", "Two-Button", "Pal Zileri", 2200.0, "Taupe", "Spring/Summer", 8),
+    ("SKU-S008", "Corneliani Full Canvas Suit - Khaki", "Suits", "Three-Button", "Corneliani", 2800.0, "Khaki", "Spring/Summer", 7),
+    ("SKU-S009", "Isaia Gregory Suit - Blue Stripe", "Suits", "Slim-Fit", "Isaia", 4200.0, "Blue Stripe", "All-Season", 4),
+    ("SKU-S010", "Samuelsohn Custom Suit - Black", "Suits", "Made-to-Measure", "Samuelsohn", 3800.0, "Black", "All-Season", 2),
+    ("SKU-SH001", "Canali Slim-Fit Dress Shirt - White", "Shirts", "Dress Shirt", "Canali", 395.0, "White", "All-Season", 40),
+    ("SKU-SH002", "Canali Slim-Fit Dress Shirt - Blue", "Shirts", "Dress Shirt", "Canali", 395.0, "Blue", "All-Season", 35),
+    ("SKU-SH003", "Eton Contemporary Fit Shirt - White", "Shirts", "Dress Shirt", "Eton", 285.0, "White", "All-Season", 52),
+    ("SKU-SH004", "Eton Slim Fit Oxford Shirt", "Shirts", "Casual Shirt", "Eton", 265.0, "Light Blue", "All-Season", 47),
+    ("SKU-SH005", "Boss Hank Kent Dress Shirt", "Shirts", "Dress Shirt", "Boss", 225.0, "White", "All-Season", 63),
+    ("SKU-SH006", "Tom Ford Grosgrain-Trimmed Shirt", "Shirts", "Dress Shirt", "Tom Ford", 650.0, "White", "All-Season", 18),
+    ("SKU-SH007", "Zegna Linen Shirt - Light Grey", "Shirts", "Casual Shirt", "Zegna", 480.0, "Light Grey", "Spring/Summer", 22),
+    ("SKU-SH008", "Finamore Napoli Dress Shirt - Ecru", "Shirts", "Dress Shirt", "Finamore", 540.0, "Ecru", "All-Season", 11),
+    ("SKU-SHO001", "Magnanni Cap-Toe Oxford - Black", "Shoes", "Oxford", "Magnanni", 695.0, "Black", "All-Season", 20),
+    ("SKU-SHO002", "Magnanni Derby Shoe - Tan", "Shoes", "Derby", "Magnanni", 625.0, "Tan", "Spring/Summer", 18),
+    ("SKU-SHO003", "To Boot New York Chelsea Boot", "Shoes", "Chelsea Boot", "To Boot NY", 498.0, "Dark Brown", "Fall/Winter", 24),
+    ("SKU-SHO004", "Common Projects Achilles Low - White", "Shoes", "Sneaker", "Common Projects", 580.0, "White", "All-Season", 16),
+    ("SKU-SHO005", "John Lobb City II Oxford", "Shoes", "Oxford", "John Lobb", 1850.0, "Black", "All-Season", 5),
+    ("SKU-O001", "Mackage Edward Leather Jacket - Black", "Outerwear", "Leather Jacket", "Mackage", 1295.0, "Black", "Fall/Winter", 9),
+    ("SKU-O002", "Canada Goose Langford Parka", "Outerwear", "Parka", "Canada Goose", 1250.0, "Navy", "Fall/Winter", 11),
+    ("SKU-O003", "Zegna Wool Overcoat - Camel", "Outerwear", "Overcoat", "Zegna", 2800.0, "Camel", "Fall/Winter", 6),
+    ("SKU-O004", "Boss Cashmere Topcoat - Charcoal", "Outerwear", "Topcoat", "Boss", 1450.0, "Charcoal", "Fall/Winter", 8),
+    ("SKU-O005", "Ted Baker Wool Peacoat", "Outerwear", "Peacoat", "Ted Baker", 595.0, "Navy", "Fall/Winter", 14),
+    ("SKU-A001", "Canali Silk Tie - Burgundy", "Accessories", "Tie", "Canali", 225.0, "Burgundy", "All-Season", 45),
+    ("SKU-A002", "Canali Silk Tie - Navy Stripe", "Accessories", "Tie", "Canali", 225.0, "Navy", "All-Season", 38),
+    ("SKU-A003", "Hermès Silk Pocket Square", "Accessories", "Pocket Square", "Hermès", 285.0, "Multi", "All-Season", 22),
+    ("SKU-A004", "Boss Leather Belt - Black", "Accessories", "Belt", "Boss", 185.0, "Black", "All-Season", 55),
+    ("SKU-A005", "Zegna Cashmere Scarf", "Accessories", "Scarf", "Zegna", 495.0, "Grey", "Fall/Winter", 18),
+    ("SKU-A006", "Rolex Datejust 41 - Silver", "Accessories", "Watch", "Rolex", 12800.0, "Silver", "All-Season", 2),
+    ("SKU-A007", "Montblanc Meisterstück Pen", "Accessories", "Pen", "Montblanc", 895.0, "Black", "All-Season", 7),
+    ("SKU-A008", "Canali Leather Dress Belt - Brown", "Accessories", "Belt", "Canali", 245.0, "Brown", "All-Season", 32),
+    ("SKU-T001", "Canali Flat-Front Wool Trousers - Grey", "Trousers", "Dress Trouser", "Canali", 595.0, "Grey", "All-Season", 28),
+    ("SKU-T002", "PT01 Five-Pocket Stretch Trousers", "Trousers", "Casual Trouser", "PT01", 395.0, "Navy", "All-Season", 33),
+    ("SKU-T003", "Boss Slim-Fit Trousers - Black", "Trousers", "Dress Trouser", "Boss", 325.0, "Black", "All-Season", 40),
+    ("SKU-T004", "Zegna Chino - Beige", "Trousers", "Chino", "Zegna", 580.0, "Beige", "Spring/Summer", 22),
+)
 
 # Word lists and cycles of the client generator.
-FIRST_NAMES = tuple(
-    """James William Oliver Ethan Noah Lucas Liam Benjamin Henry Sebastian
-    Alexander Michael Daniel David Matthew Andrew Anthony Joshua Ryan Nathan
-    Patrick Christopher Jonathan Nicholas Thomas Robert Edward Charles George Arthur
-    Lawrence Raymond Leonard Harold Walter Peter Francis Paul Vincent Richard""".split()
-)
-LAST_NAMES = tuple(
-    """Thompson MacDonald Fitzgerald Chen Patel Kumar Williams Anderson Martin Taylor
-    Harris Wilson Moore Jackson Lee White Clark Lewis Walker Hall
-    Young Allen King Wright Scott Green Baker Adams Nelson Hill
-    Ramirez Campbell Mitchell Roberts Evans Turner Parker Collins Edwards Morris""".split()
-)
+FIRST_NAMES = (
+    "James", "William", "Oliver", "Ethan", "Noah", "Lucas", "Liam", "Benjamin", "Henry", "Sebastian",
+    "Alexander", "Michael", "Daniel", "David", "Matthew", "Andrew", "Anthony", "Joshua", "Ryan", "Nathan",
+    "Patrick", "Christopher", "Jonathan", "Nicholas", "Thomas", "Robert", "Edward", "Charles", "George", "Arthur",
+    "Lawrence", "Raymond", "Leonard", "Harold", "Walter", "Peter", "Francis", "Paul", "Vincent", "Richard",
+)
+LAST_NAMES = (
+    "Thompson", "MacDonald", "Fitzgerald", "Chen", "Patel", "Kumar", "Williams", "Anderson", "Martin", "Taylor",
+    "Harris", "Wilson", "Moore", "Jackson", "Lee", "White", "Clark", "Lewis", "Walker", "Hall",
+    "Young", "Allen", "King", "Wright", "Scott", "Green", "Baker", "Adams", "Nelson", "Hill",
+    "Ramirez", "Campbell", "Mitchell", "Roberts", "Evans", "Turner", "Parker", "Collins", "Edwards", "Morris",
+)
 CATEGORIES = ("Suits", "Shirts", "Shoes", "Outerwear", "Accessories", "Trousers")
 SEGMENT_CYCLE = ("Active", "Active", "Active", "At-Risk", "At-Risk", "New", "Dormant", "Re-engaged")
 
@@ -147,15 +133,6 @@ HOMES = tuple((city, province, key) for key, _, city, province, *_ in STORES)
 ADVISORS_OF_STORE = {s[0]: tuple(a[0] for a in ADVISORS if a[3] == s[0]) for s in STORES}
 
 
-def product_rows() -> list[tuple]:
-    """(product_no, SKU, name, category, subcategory, brand, price) with a running number per category."""
-    rows = []
-    for (category, code), items in PRODUCTS.items():
-        for i, (name, kind, brand, price) in enumerate(items, 1):
-            rows.append((len(rows), f"SKU-{code}{i:03d}", name, category, kind, brand, float(price)))
-    return rows
-
-
 def _local(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """Literal rows as a local relation: Spark knows how small it is, so it is broadcast without being told."""
     table = pa.table({name: [row[i] for row in rows] for i, name in enumerate(schema.names)})
@@ -178,24 +155,8 @@ def advisors(spark: SparkSession) -> DataFrame:
 
 def products(spark: SparkSession, numbered: bool = False) -> DataFrame:
     """The catalogue; ``numbered`` adds product_no 0..39 for the generator."""
-    schema = T.StructType([T.StructField("product_no", T.IntegerType())])
-    for name in ("product_id", "product_name", "category", "subcategory", "brand", "unit_price"):
-        schema.add(SCHEMAS["products"][name])
-    df = _local(spark, product_rows(), schema)
-    suffix = F.regexp_extract("product_name", " - (.+)$", 1)
-    out = df.select(
-        "product_no",
-        "product_id",
-        "product_name",
-        "category",
-        "subcategory",
-        "brand",
-        "unit_price",
-        F.nullif(suffix, F.lit("")).alias("colour"),
-        F.when(F.col("category") == "Outerwear", "Fall/Winter").otherwise("All-Season").alias("season"),
-        F.lit(10).alias("stock_qty"),
-        F.lit(True).alias("is_active"),
-    )
+    schema = T.StructType([T.StructField("product_no", T.IntegerType()), *SCHEMAS["products"].fields])
+    out = _local(spark, [(k, *row, True) for k, row in enumerate(PRODUCTS)], schema)
     return out if numbered else out.drop("product_no")
 
 

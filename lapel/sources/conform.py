@@ -37,7 +37,7 @@ BOUNDS = Bounds(
 
 SPECIALIZATIONS = ("Suiting", "Casual", "Formalwear", "Tailoring", "Accessories")
 DOMAIN = "example.com"
-EXACT = "decimal(12,2)"
+EXACT = "decimal(18,2)"
 
 FROM_ORDERS = {"transaction_date", "client_id", "payment_method"}
 FROM_SUPPLIER = {"store_id"}
@@ -57,6 +57,12 @@ class ConformedStar(Star):
         self.spark, self.folder, self.as_of, self.bounds, self.fact = spark, folder, as_of, bounds, fact
         self._scans: dict[str, DataFrame] = {}
 
+    def derives(self, cols: Iterable[str]) -> bool:
+        return bool(FROM_PROFILE & set(cols))
+
+    def clients(self, *cols: str, ids: DataFrame | None = None) -> DataFrame:
+        return self._clients(cols or tuple(SCHEMAS["clients"].names), ids)
+
     def on_fact(self, stored: Star) -> Star:
         return ConformedStar(self.spark, self.folder, self.as_of, self.bounds, stored)
 
@@ -84,8 +90,9 @@ class ConformedStar(Star):
         if FROM_SUPPLIER & set(cols):
             df = df.join(self.scan("supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
 
-        def percent() -> Column:
-            return F.rint(F.col("l_discount") * 100).cast("int")
+        def discount() -> Column:
+            """Hundredths of a percent."""
+            return F.rint(F.col("l_discount") * 10_000).cast("long")
 
         made = {
             "transaction_id": lambda: F.concat_ws("-", "l_orderkey", "l_linenumber"),
@@ -96,8 +103,10 @@ class ConformedStar(Star):
             "product_id": lambda: F.col("l_partkey"),
             "quantity": lambda: F.col("l_quantity").cast("int"),
             "unit_price": lambda: money(ratio(F.col("l_extendedprice").cast(EXACT), F.col("l_quantity").cast(EXACT))),
-            "discount_pct": lambda: percent().cast("double"),
-            "total_amount": lambda: from_units(F.rint(F.col("l_extendedprice") * 100) * (F.lit(100) - percent())),
+            "discount_pct": lambda: discount() / 100.0,
+            "total_amount": lambda: from_units(
+                F.rint(F.rint(F.col("l_extendedprice") * 100) * (F.lit(10_000) - discount()) / 100.0)
+            ),
             "payment_method": lambda: F.col("o_orderpriority"),
             "is_return": lambda: F.col("l_returnflag") == "R",
         }
@@ -121,10 +130,6 @@ class ConformedStar(Star):
 
     def _advisors(self, cols: tuple[str, ...]) -> DataFrame:
         df = self.scan("supplier")
-        if "client_count" in cols:
-            live = self.sales("advisor_id", "client_id").groupBy("advisor_id")
-            live = live.agg(F.count_distinct("client_id").cast("int").alias("live_count"))
-            df = df.join(live, F.col("s_suppkey") == F.col("advisor_id"), "left").drop("advisor_id")
 
         def slot() -> Column:
             return F.pmod(F.col("s_suppkey"), F.lit(len(SPECIALIZATIONS))).cast("int")
@@ -139,7 +144,7 @@ class ConformedStar(Star):
             "specialization": lambda: F.array(*[F.lit(s) for s in SPECIALIZATIONS])[slot()],
             "commission_rate": lambda: F.lit(0.06) + slot() * F.lit(0.01),
             "ytd_revenue": lambda: F.col("s_acctbal"),
-            "client_count": lambda: F.coalesce(F.col("live_count"), F.lit(0)),
+            "client_count": lambda: (F.lit(300) + F.pmod(F.col("s_suppkey") * 37, F.lit(100))).cast("int"),
         }
         return _select(df, made, cols)
 
@@ -158,15 +163,18 @@ class ConformedStar(Star):
         }
         return _select(self.scan("part"), made, cols)
 
-    def _clients(self, cols: tuple[str, ...]) -> DataFrame:
+    def _clients(self, cols: tuple[str, ...], ids: DataFrame | None = None) -> DataFrame:
         want = set(cols)
         df = self.scan("customer")
+        if ids is not None:
+            ids = ids.select(F.col("client_id").alias("wanted_id"))
+            df = df.join(ids, F.col("c_custkey") == F.col("wanted_id"), "left_semi")
         if {"city", "province"} & want:
             homes = self._stores(("store_id", "city", *(["province"] if "province" in want else [])))
             homes = homes.withColumnRenamed("store_id", "home_id")
             df = df.join(homes, F.col("c_nationkey") == F.col("home_id"), "left")
         if FROM_PROFILE & want:
-            df = df.join(self._profile(want), F.col("c_custkey") == F.col("client_id"), "left").drop("client_id")
+            df = df.join(self._profile(want, ids), F.col("c_custkey") == F.col("client_id"), "left").drop("client_id")
 
         def spend() -> Column:
             return F.coalesce(F.col("lifetime_spend").cast("double"), F.lit(0.0))
@@ -202,10 +210,12 @@ class ConformedStar(Star):
         }
         return _select(df, made, cols)
 
-    def _profile(self, want: set[str]) -> DataFrame:
+    def _profile(self, want: set[str], ids: DataFrame | None) -> DataFrame:
         category, gap = "preferred_category" in want, bool(FROM_GAP & want)
         cols = ["client_id", "transaction_date", "total_amount"]
         sales = self.sales(*cols, *(["product_id"] if category else []))
+        if ids is not None:
+            sales = sales.join(ids, F.col("client_id") == F.col("wanted_id"), "left_semi")
         if category:
             sales = sales.join(self._products(("product_id", "category")), "product_id", "left")
         return profile(sales, category=category, gap=gap)

@@ -16,7 +16,7 @@ from lapel.operators.ranking import running_start
 from lapel.sources import catalogue as C
 
 PRIME = 2_147_483_647
-ORDER_SPAN = 64
+ORDERS = 1 << 20  # of one client, before two of them would share a key
 
 
 def draw(key: Column, salt: int) -> Column:
@@ -129,7 +129,7 @@ def gen_transactions(clients: DataFrame, products: DataFrame, today: date = C.TO
     base = running_start(base, "client_id", "total_orders", "ids_before")
     order = F.explode(F.sequence(F.lit(0), F.col("total_orders") - 1)).alias("o")
     rows = base.filter(F.col("total_orders") > 0).select("*", order)
-    key = F.col("client_id").cast("long") * ORDER_SPAN + F.col("o")
+    key = draw(F.col("client_id").cast("long"), salt) * ORDERS + F.col("o")
     number = F.col("ids_before") + F.col("o") + 1
     step = F.expr("cast(cast(o as bigint) * days div greatest(total_orders - 1, 1) as int)")
     drawn = F.date_add(F.date_add("first_purchase_date", step), draw_int(key, salt + 1, -5, 5))

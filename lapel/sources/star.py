@@ -11,6 +11,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapel.sources.schema import FOREIGN_KEYS, SCHEMAS, TABLE_COMMENTS
 
@@ -31,6 +32,10 @@ class Star:
     def table(self, name: str, cols: Iterable[str] = ()) -> DataFrame:
         raise NotImplementedError
 
+    def derives(self, cols: Iterable[str]) -> bool:
+        """Are some of these client columns computed from the fact when asked for?"""
+        return False
+
     def on_fact(self, stored: Star) -> Star:
         """The same star with whatever it derives from its fact derived from ``stored``."""
         return self
@@ -44,8 +49,13 @@ class Star:
     def products(self, *cols: str) -> DataFrame:
         return self.table("products", cols)
 
-    def clients(self, *cols: str) -> DataFrame:
-        return self.table("clients", cols)
+    def clients(self, *cols: str, ids: DataFrame | None = None) -> DataFrame:
+        """Clients, or those whose ``client_id`` is among ``ids``; a source that derives columns derives only theirs."""
+        if ids is None:
+            return self.table("clients", cols)
+        cols = cols or tuple(SCHEMAS["clients"].names)
+        rows = self.table("clients", (*cols, *({"client_id"} - set(cols))))
+        return rows.join(ids.select("client_id"), "client_id", "left_semi").select(*cols)
 
     def transactions(self, *cols: str, since: Day | None = None, before: Day | None = None) -> DataFrame:
         """Fact rows with ``since <= transaction_date < before``; both bounds optional."""
@@ -71,12 +81,22 @@ class StoredStar(Star):
 
     A fact written by :func:`write_star` is partitioned by month; date bounds
     are turned into bounds on the month so that only the partitions needed are listed and read.
+
+    Nothing is inferred from files: they are read as declared, or as ``schemas`` says where a source's keys differ in
+    type.
     """
 
-    def __init__(self, spark: SparkSession, namespace: str | None = None, path: str | None = None):
+    def __init__(
+        self,
+        spark: SparkSession,
+        namespace: str | None = None,
+        path: str | None = None,
+        schemas: dict[str, T.StructType] | None = None,
+    ):
         if (namespace is None) == (path is None):
             raise ValueError("give either a namespace or a path")
         self.spark, self.namespace, self.path = spark, namespace, path
+        self.schemas = {**SCHEMAS, **(schemas or {})}
         self._scans: dict[str, DataFrame] = {}
 
     def scan(self, name: str) -> DataFrame:
@@ -84,7 +104,10 @@ class StoredStar(Star):
         if self.namespace is not None:
             return self.spark.table(f"{self.namespace}.{name}")
         if name not in self._scans:
-            self._scans[name] = self.spark.read.parquet(f"{self.path}/{name}")
+            schema = self.schemas[name]
+            if name == "transactions":
+                schema = T.StructType([*schema.fields, T.StructField(MONTH, T.DateType())])
+            self._scans[name] = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         return self._scans[name]
 
     def table(self, name: str, cols: Iterable[str] = ()) -> DataFrame:
@@ -117,30 +140,47 @@ class MappedStar(Star):
         return self.tables[name].select(*cols)
 
 
+Lens = tuple[Callable[[DataFrame], DataFrame], tuple[str, ...], tuple[Callable[[DataFrame], DataFrame], tuple[str, ...]] | None]
+
+
 class ViewedStar(Star):
     """A star seen through one transform per table, e.g. row filters and masks.
 
-    ``lens[name]`` is ``(transform, columns it reads)``. It runs on the raw columns; the asked-for columns are
-    picked afterwards.
+    ``lens[name]`` is ``(transform, columns it reads, row filter)``. It runs on the raw columns; the asked-for columns
+    are picked afterwards. The row filter, a transform and the columns it reads, is the part that says which rows stay:
+    a source that derives columns of clients is told whose first, if the filter itself reads none of those.
     """
 
-    def __init__(self, base: Star, lens: dict[str, tuple[Callable[[DataFrame], DataFrame], tuple[str, ...]]]):
+    def __init__(self, base: Star, lens: dict[str, Lens]):
         self.spark, self.base, self.lens = base.spark, base, lens
 
+    def derives(self, cols: Iterable[str]) -> bool:
+        return self.base.derives(cols)
+
     def table(self, name: str, cols: Iterable[str] = ()) -> DataFrame:
-        cols = tuple(cols) or tuple(SCHEMAS[name].names)
+        return self._seen(name, tuple(cols) or tuple(SCHEMAS[name].names), None)
+
+    def clients(self, *cols: str, ids: DataFrame | None = None) -> DataFrame:
+        return self._seen("clients", cols or tuple(SCHEMAS["clients"].names), ids)
+
+    def _seen(self, name: str, cols: tuple[str, ...], ids: DataFrame | None) -> DataFrame:
         if name not in self.lens:
-            return self.base.table(name, cols)
-        transform, reads = self.lens[name]
-        raw = self.base.table(name, (*cols, *[c for c in reads if c not in cols]))
-        return raw.transform(transform).select(*cols)
+            return self.base.clients(*cols, ids=ids) if name == "clients" else self.base.table(name, cols)
+        transform, reads, rows = self.lens[name]
+        wanted = (*cols, *[c for c in reads if c not in cols])
+        if name != "clients":
+            return self.base.table(name, wanted).transform(transform).select(*cols)
+        if rows is not None and self.base.derives(wanted) and not self.base.derives(rows[1]):
+            own = ("client_id", *[c for c in rows[1] if c != "client_id"])
+            ids = self.base.clients(*own, ids=ids).transform(rows[0]).select("client_id")
+        return self.base.clients(*wanted, ids=ids).transform(transform).select(*cols)
 
     def transactions(self, *cols: str, since: Day | None = None, before: Day | None = None) -> DataFrame:
         """Date bounds go to the base, which may prune by them; row filters commute with them."""
         cols = cols or tuple(SCHEMAS["transactions"].names)
         if "transactions" not in self.lens:
             return self.base.transactions(*cols, since=since, before=before)
-        transform, reads = self.lens["transactions"]
+        transform, reads, _ = self.lens["transactions"]
         wanted = (*cols, *[c for c in reads if c not in cols])
         return self.base.transactions(*wanted, since=since, before=before).transform(transform).select(*cols)
 
@@ -177,6 +217,10 @@ def append_table(df: DataFrame, namespace: str, name: str) -> None:
     conform_types(df, name).write.mode("append").insertInto(f"{namespace}.{name}")
 
 
+def _place(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:").rstrip("/")
+
+
 def write_star(star: Star, path: str) -> StoredStar:
     """Write the star once so that many questions can be asked of it without re-deriving it.
 
@@ -184,7 +228,10 @@ def write_star(star: Star, path: str) -> StoredStar:
     real sizes: a month with most of the rows is split over many tasks, small months share one. Tables a source
     derives from its fact are derived from the written one.
     """
-    stored = StoredStar(star.spark, path=path)
+    if isinstance(star, StoredStar) and star.path is not None and _place(star.path) == _place(path):
+        raise ValueError("a star cannot be written over the files it is read from")
+    schemas = {name: star.table(name).schema for name in SCHEMAS}
+    stored = StoredStar(star.spark, path=path, schemas=schemas)
     fact = star.transactions().withColumn(MONTH, F.trunc("transaction_date", "MM"))
     fact.hint("rebalance", F.col(MONTH)).write.mode("overwrite").partitionBy(MONTH).parquet(f"{path}/transactions")
     rest = star.on_fact(stored)
@@ -217,18 +264,22 @@ def row_counts(star: Star) -> DataFrame:
 def fk_check(star: Star) -> DataFrame:
     """Rows whose foreign key is set but points nowhere, one line per relationship.
 
-    The referring side is first reduced to (key, rows), so a key that holds much of the table is one row by the
-    time it is shuffled to the join.
+    One pass per referring table: each row gives a (relationship, key) per foreign key, which map-side counting brings
+    down to the distinct keys, so a key that holds much of the table is one row per task at the join. Keys are compared
+    as text, since they differ in type.
     """
-    out = None
+    lines = [(f"{name}.{col}", f"{ref}.{key}") for name, col, ref, key in FOREIGN_KEYS]
+    uses, known = None, None
+    for name in dict.fromkeys(k[0] for k in FOREIGN_KEYS):
+        own = [(f"{name}.{col}", col) for n, col, _, _ in FOREIGN_KEYS if n == name]
+        pairs = F.array(*[F.struct(F.lit(line).alias("foreign_key"), F.col(col).cast("string").alias("k")) for line, col in own])
+        used = star.table(name, [col for _, col in own]).select(F.inline(pairs)).filter(F.col("k").isNotNull())
+        used = used.groupBy("foreign_key", "k").agg(F.count(F.lit(1)).alias("n"))
+        uses = used if uses is None else uses.unionByName(used)
     for name, col, ref, key in FOREIGN_KEYS:
-        uses = star.table(name, [col]).filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("k"))
-        uses = uses.agg(F.count(F.lit(1)).alias("n"))
-        known = star.table(ref, [key]).select(F.col(key).alias("k"))
-        line = uses.join(known, "k", "left_anti").agg(
-            F.lit(f"{name}.{col}").alias("foreign_key"),
-            F.lit(f"{ref}.{key}").alias("refers_to"),
-            F.coalesce(F.sum("n"), F.lit(0)).alias("orphans"),
-        )
-        out = line if out is None else out.unionByName(line)
-    return out
+        keys = star.table(ref, [key]).select(F.lit(f"{name}.{col}").alias("foreign_key"), F.col(key).cast("string").alias("k"))
+        known = keys if known is None else known.unionByName(keys)
+    orphans = uses.join(known, ["foreign_key", "k"], "left_anti").groupBy("foreign_key").agg(F.sum("n").alias("n"))
+    every = star.spark.createDataFrame(lines, "foreign_key string, refers_to string")
+    out = every.join(orphans, "foreign_key", "left")
+    return out.select("foreign_key", "refers_to", F.coalesce("n", F.lit(0)).alias("orphans"))

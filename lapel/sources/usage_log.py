@@ -5,6 +5,10 @@ Log rows are ``ts, user_id, question, sql, runtime_ms, status, failure_cause, ra
 
 from __future__ import annotations
 
+from collections.abc import Collection
+from datetime import date, timedelta
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,11 +51,24 @@ def certified(spark: SparkSession, folder: str) -> DataFrame:
     return nation.select(F.concat(F.lit("Q"), F.col("n_nationkey")).alias("question"))
 
 
-def verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    """(run_id, question_id, verdict): each week of the log is a run; the last event of a question decides."""
+def verdicts(spark: SparkSession, folder: str, weeks: Collection[str] = ()) -> DataFrame:
+    """(run_id, question_id, verdict): each week of the log is a run; the last event of a question decides.
+
+    With ``weeks`` (their Mondays) only those are read. Time, id and kind of an event are one number, so the last one is
+    a plain maximum.
+    """
     e = read_raw(spark, folder, "events")
-    week = F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd")
-    kind = F.max_by("event_type", F.struct("ts", "event_id"))
-    label = F.when(kind == "error", "Fail").when(kind == "view", "Partial").otherwise("Pass")
+    if weeks:
+        days = [(date.fromisoformat(w), date.fromisoformat(w) + timedelta(days=7)) for w in weeks]
+        first, end = min(d[0] for d in days), max(d[1] for d in days)
+        e = e.filter((F.col("ts") >= F.lit(first).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+    week = F.date_trunc("week", "ts").cast("date")
+    code = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "view", 1).otherwise(2)
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(17,0)")
+    event = micros * F.lit(Decimal(10) ** 20) + F.col("event_id").cast("decimal(19,0)") * 10 + code
     question = F.concat(F.lit("Q"), F.regexp_extract("props", "[0-9]+", 0))
-    return e.groupBy(week.alias("run_id"), question.alias("question_id")).agg(label.alias("verdict"))
+    last = e.groupBy(week.alias("week"), question.alias("question_id")).agg(F.max(event.cast("decimal(38,0)")).alias("last"))
+    kind = F.pmod(F.col("last"), F.lit(10))
+    label = F.when(kind == 0, "Fail").when(kind == 1, "Partial").otherwise("Pass")
+    rows = last.select(F.date_format("week", "yyyy-MM-dd").alias("run_id"), "question_id", label.alias("verdict"))
+    return rows.filter(F.col("run_id").isin(*weeks)) if weeks else rows

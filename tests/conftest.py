@@ -24,10 +24,14 @@ def spark():
     session.stop()
 
 
+#: Modules whose rows are all hand-made and few: not worth compiling code for.
+HAND_MADE = ("test_edges", "test_rules", "test_policy", "test_scoring", "test_usage", "test_generate")
+
+
 @pytest.fixture(autouse=True)
 def quick(request, spark):
-    """Tiny hand-made rows are not worth compiling code for; the registered queries run as on a cluster."""
-    compiled = request.module.__name__.endswith(("test_oracle", "test_plans"))
+    """Everything else runs with compiled code, as on a cluster."""
+    compiled = not request.module.__name__.endswith(HAND_MADE)
     spark.conf.set("spark.sql.codegen.wholeStage", str(compiled).lower())
 
 

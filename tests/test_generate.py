@@ -45,7 +45,7 @@ def test_clients(sample):
 def test_transactions(sample):
     people = {p.client_id: p for p in sample.clients().collect()}
     sales = sample.transactions().collect()
-    price = {sku: float(p) for _, sku, *_, p in K.product_rows()}
+    price = {row[0]: row[5] for row in K.PRODUCTS}
     assert Counter(s.client_id for s in sales) == {c: p.total_orders for c, p in people.items()}
     assert {s.transaction_id for s in sales} == {f"TXN-{i:06d}" for i in range(1, len(sales) + 1)}
     assert sum(s.is_return for s in sales) == len(sales) // 47

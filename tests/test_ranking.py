@@ -22,8 +22,8 @@ def test_same_as_window(spark):
     df = skewed(spark)
     order = W.partitionBy("g").orderBy(F.desc_nulls_last("v"), "id")
     expected = sorted(rows(df.select("id", F.row_number().over(order))))
-    for span, width in ((1 << 16, 100), (64, 10), (7, 1)):
-        got = number_rows(df, "v", "id", ["g"], band_width=width, span=span)
+    for span, bands in ((1 << 16, 128), (64, 10), (7, 1)):
+        got = number_rows(df, "v", "id", ["g"], bands=bands, span=span)
         assert sorted(rows(got.select("id", "rank"))) == expected
         assert got.columns == ["id", "g", "v", "rank"]
 
@@ -41,12 +41,39 @@ def test_no_window_sorts_a_whole_group(spark):
     assert len(row_windows) == 1 and "_value" in row_windows[0] and "_run" in row_windows[0]
 
 
+def test_values_of_any_size_are_ordered_as_they_are(spark):
+    near = [(1, Decimal("1000000000000.0001")), (2, Decimal("1000000000000.0002")), (3, Decimal("-5")), (4, None)]
+    df = spark.createDataFrame(near, "id int, v decimal(24,4)")
+    assert sorted(rows(number_rows(df, "v", "id").select("id", "rank"))) == [(1, 2), (2, 1), (3, 3), (4, 4)]
+    fine = spark.createDataFrame([(1, 10.00001), (2, 10.00002), (3, 1e300), (4, 1e15)], "id int, v double")
+    expected = [(1, 4), (2, 3), (3, 1), (4, 2)]
+    assert sorted(rows(number_rows(fine, "v", "id").select("id", "rank"))) == expected
+    assert sorted(rows(top_in_group(fine, [], "v", "id", 9).select("id", "rank"))) == expected
+
+
+def test_one_rule_whatever_the_number_asked_for(spark):
+    df = skewed(spark)
+    few, more = (dict(rows(top_in_group(df, ["g"], "v", "id", n).select("id", "rank"))) for n in (1000, 1001))
+    assert few == {k: r for k, r in more.items() if r <= 1000} and len(more) > len(few)
+    pruned = top_in_group(df, ["g"], "v", "id", 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in pruned
+
+
+def test_bands_follow_the_values(spark):
+    """Values so close together, or so far apart, that bands of a fixed width would all fall into one, or be empty."""
+    for scale in (1e-9, 1e12):
+        df = spark.range(5_000).select("id", (F.col("id") * 7919 % 5_000 * scale).alias("v"))
+        plan = number_rows(df, "v", "id", bands=50)
+        expected = sorted(rows(df.select("id", F.row_number().over(W.orderBy(F.desc_nulls_last("v"), "id")))))
+        assert sorted(rows(plan.select("id", "rank"))) == expected
+
+
 def test_decimal_values(spark):
     df = spark.createDataFrame([(1, Decimal("2.5000")), (2, Decimal("2.5001")), (3, None)], "id int, v decimal(24,4)")
     assert sorted(rows(number_rows(df, "v", "id").select("id", "rank"))) == [(1, 2), (2, 1), (3, 3)]
 
 
 def test_top_in_group_prunes_before_the_shuffle(spark):
-    df = top_in_group(skewed(spark), ["g"], [F.desc("v"), F.asc("id")], 3)
+    df = top_in_group(skewed(spark), ["g"], "v", "id", 3)
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
     assert max(r.rank for r in df.collect()) == 3

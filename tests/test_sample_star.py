@@ -11,6 +11,7 @@ from lapel.operators import advisors as A
 from lapel.operators import clients as C
 from lapel.operators import metric_reports as M
 from lapel.operators import revenue as R
+from lapel.sources import catalogue
 from lapel.sources.catalogue import TODAY
 from lapel.sources.schema import SCHEMAS
 from lapel.sources.star import fk_check, register_views, row_counts
@@ -157,7 +158,7 @@ def test_totals_agree(sample):
 
 def test_sql_functions(spark, sample):
     register_views(sample, "s_")
-    register_sql_functions(spark, C.top_clients_by_store(sample, TODAY), prefix="s_")
+    register_sql_functions(spark, prefix="s_", as_of=TODAY)
     direct = R.revenue_by_period(sample, "East", "2025-01-01", "2025-12-31")
     via_sql = spark.sql("SELECT * FROM s_get_revenue_by_period('East', '2025-01-01', '2025-12-31')")
     assert comparable(rows(via_sql)) == comparable(rows(direct))
@@ -221,3 +222,11 @@ def test_dates_as_text_or_dates(sample):
     text = R.revenue_by_period(sample, "West", "2025-01-01", "2025-06-30")
     dates = R.revenue_by_period(sample, "West", date(2025, 1, 1), date(2025, 6, 30))
     assert comparable(rows(text)) == comparable(rows(dates))
+
+
+def test_catalogue_rows():
+    rows = catalogue.PRODUCTS
+    assert len({r[0] for r in rows}) == len(rows) == 40
+    assert sum(r[8] for r in rows) == 831 and sum(r[5] for r in rows) == 72_658
+    assert {r[7] for r in rows} == {"All-Season", "Spring/Summer", "Fall/Winter"}
+    assert [r[6] for r in rows if r[0] in ("SKU-S003", "SKU-SHO003", "SKU-A003")] == ["Midnight Blue", "Dark Brown", "Multi"]

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from lapel.functions.sql_functions import create_sql_functions
 from lapel.operators import revenue as R
-from lapel.operators.clients import top_clients_by_store
+from lapel.operators.clients import get_top_clients
 from lapel.session import scratch_dir
 from lapel.sources import generate
 from lapel.sources.catalogue import TODAY
@@ -51,12 +52,21 @@ def test_set_up_can_be_repeated(spark, namespace):
 
 def test_permanent_functions(spark, namespace):
     star = StoredStar(spark, namespace=namespace)
-    create_sql_functions(spark, top_clients_by_store(star, TODAY), namespace)
+    create_sql_functions(spark, namespace, as_of=TODAY)
     spark.sql(f"USE {namespace}")
     try:
-        assert spark.sql("SELECT * FROM get_top_clients(2) WHERE rank = 1").count() == 1
-        west = rows(spark.sql("SELECT * FROM get_revenue_by_period('West', '2025-01-01', '2025-12-31')"))
-        assert rows(spark.sql("SELECT risk_tier FROM classify_client_risk(400, 1.0)")) == [("Lost",)]
+        assert spark.sql("SELECT * FROM get_top_clients(p_store_id => 2) WHERE rank = 1").count() == 1
+        call = "get_revenue_by_period(p_region => 'West', p_start_date => '2025-01-01', p_end_date => '2025-12-31')"
+        west = rows(spark.sql(f"SELECT * FROM {call}"))
+        risk = "classify_client_risk(p_days_since_purchase => 400, p_lifetime_spend => 1.0)"
+        assert rows(spark.sql(f"SELECT risk_tier FROM {risk}")) == [("Lost",)]
+        top = spark.sql("SELECT * FROM get_top_clients(2) ORDER BY rank")
+        assert top.schema["rank"].dataType.simpleString() == "int"
+        assert [tuple(r) for r in top.collect()] == rows(get_top_clients(star, 2, TODAY).orderBy("rank"))
+        rich = spark.table("clients").filter("preferred_store_id = 2").limit(1)
+        rich = rich.withColumns({"client_id": F.lit(9_999), "lifetime_spend": F.lit(1e15), "email": F.lit("new@x")})
+        append_table(rich, namespace, "clients")
+        assert rows(spark.sql("SELECT email, rank FROM get_top_clients(2) WHERE rank = 1")) == [("new@x", 1)]
     finally:
         spark.sql("USE default")
     assert comparable(west) == comparable(rows(R.revenue_by_period(star, "West", "2025-01-01", "2025-12-31")))
@@ -88,13 +98,25 @@ def test_written_star_answers_like_its_source(spark):
     assert comparable(rows(stored.advisors())) == comparable(rows(source.advisors()))
 
 
-def test_scratch_dir_is_the_cluster_folder_when_set():
-    class Session:
-        """Stands for a session started with the setting, which cannot be changed afterwards."""
+class Session:
+    """Stands for a session started with these settings, which cannot be changed afterwards."""
 
-        conf = {"spark.checkpoint.dir": "/shared/checkpoints"}
+    def __init__(self, master, **conf):
+        self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+        self.sparkContext = type("Context", (), {"master": master})
 
-    assert scratch_dir(Session()) == "/shared/checkpoints"
+
+def test_scratch_dir_is_the_cluster_folder():
+    assert scratch_dir(Session("yarn", spark_checkpoint_dir="/shared/checkpoints/")).startswith("/shared/checkpoints/lapel-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Session("yarn"))
+
+
+def test_star_is_not_written_over_itself(spark, tmp_path):
+    stored = write_star(ConformedStar(spark, DATA), f"{tmp_path}/star")
+    with pytest.raises(ValueError, match="read from"):
+        write_star(stored, f"file://{tmp_path}/star/")
+    assert stored.stores().count() == 25
 
 
 def test_star_needs_one_place(spark):
