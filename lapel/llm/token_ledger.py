@@ -62,7 +62,9 @@ class TokenLedger:
     def _commits(self) -> DataFrame:
         try:
             return self.spark.read.schema(_COMMIT).parquet(f"{self.folder}/commits/*")
-        except AnalysisException:  # no commit yet
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], _COMMIT)
 
     def committed(self, batch: str) -> bool:
