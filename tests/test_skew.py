@@ -14,6 +14,7 @@ KEYS = [
     "q02_revenue_by_store_12m",
     "q03_clients_by_tier",
     "q08_advisor_revenue",
+    "q10_city_compare",
     "q10_city_compare_distinct_ids",
     "q11b_buyers_now_inactive",
     "q14_monthly_trend",
