@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     path = ranks_path or default_ranks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             ids, at = encode(batch.column("text"), path)
             rows: list[tuple] = []
             for doc, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):

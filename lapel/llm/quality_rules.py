@@ -72,7 +72,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with a column per statistic, under a prefix that no table uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 16 << 20):
+        for batch in slices(batches, text_col, 2 << 20):
             found = _statistics(batch.column(text_col))
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], [*batch.schema.names, *(_PREFIX + s for s in STATISTICS)])
 

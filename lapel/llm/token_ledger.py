@@ -30,7 +30,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = ranks_path or default_ranks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             words = np.diff(word_bounds(*flat(batch.column("text")))[2])
             tokens = np.diff(encode(batch.column("text"), path)[1])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array(words), pa.array(tokens)], ["doc_id", "source", "lang", "words", "tokens"])
