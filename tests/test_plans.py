@@ -22,6 +22,19 @@ FACT_SCANS = {
 }
 
 
+# The favourite category is text, so its last step (over one row per client and category) sorts.
+FAVOURITES = {
+    "q07_inactive_high_value",
+    "q16_advisor_at_risk_book",
+    "q17_bought_x_never_y",
+    "q17_not_in",
+    "q17_except",
+    "cq1_at_risk_clients",
+    "metric_null_defaults",
+    "client_profile",
+}
+
+
 @pytest.fixture
 def nothing_is_small(spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -39,7 +52,9 @@ def test_plans(spark, nothing_is_small):
         windows = [line for line in plan.splitlines() if re.search(r"\bWindow \[", line)]
         unpartitioned = [w for w in windows if not re.search(r"\], \[[^\]]+\], \[", w)]
         assert all("_band" in w for w in unpartitioned), key  # totals of at most 129 bands
-        assert "CollectSet" not in plan and "collect_set" not in plan and "collect_list" not in plan, key
+        assert "SortAggregate" not in plan or key in FAVOURITES, key
+        objects = [line for line in plan.splitlines() if "ObjectHashAggregate" in line]
+        assert all("percentile_approx" in line for line in objects), key  # a sketch per group
         scans = len(re.findall(r"FileScan parquet \[[^\]]*\bl_", plan))
         assert scans <= FACT_SCANS.get(key, 1), (key, scans)
 
