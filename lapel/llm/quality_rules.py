@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lapel.llm.common import _BLANK, flat, slices
+from lapel.llm.common import _BLANK, bound_batches, flat, slices
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_digits", "n_marks"]
 _PREFIX = "__quality_"
@@ -71,6 +71,8 @@ def _statistics(column: pa.Array) -> list[np.ndarray]:
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with a column per statistic, under a prefix that no table uses."""
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 2 << 20):
             found = _statistics(batch.column(text_col))

@@ -16,7 +16,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return substring_dedup.substring_dedup(_table(spark, folder, "documents"), k=20).drop("kept")
+    return substring_dedup.substring_dedup(_table(spark, folder, "documents"), k=20, keep_text=False).drop("kept")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op7_warc_writer(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(_table(spark, folder, "documents"), width=50).drop("kept")
+    return suffix_dedup.suffix_dedup(_table(spark, folder, "documents"), width=50, keep_text=False).drop("kept")
 
 
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapel.llm.common import ranges, take_bytes
+from lapel.llm.common import flat, ranges, release_memory, slices, take_bytes
 
 #: A null id stands after all others.
 LAST = np.int64(2**63 - 1)
@@ -36,7 +36,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     known = _powers.get(int(base))
     if known is None or len(known) < n:
         with np.errstate(over="ignore"):
-            known = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 16) + (n >> 3), base, np.uint64)])
+            known = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 12) + (n >> 3), base, np.uint64)])
         _powers[int(base)] = known
     return known[:n]
 
@@ -53,20 +53,38 @@ class Rolling:
     """Hashes of any stretch of a sequence of numbers, from sums of powers; to be confirmed by what was hashed."""
 
     def __init__(self, values: np.ndarray) -> None:
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        body = self.sums[1:]
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(values)))])
+            np.add(values, 1, out=body, casting="unsafe")
+            body *= _power(_BASE, len(values))
+            np.cumsum(body, out=body)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mixed((self.sums[ends] - self.sums[starts]) * _power(_BACK, len(self.sums))[starts])
 
 
+def hash_runs(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes; the runs, none of them empty, lie one after the other. To be confirmed as well."""
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(data), dtype=np.int32)
+    place -= np.repeat(begin.astype(np.int32), sizes)
+    with np.errstate(over="ignore"):
+        value = _power(_BASE, int(sizes.max()))[place]
+        del place
+        value *= data.astype(np.uint16) + np.uint16(1)
+        return mixed(np.add.reduceat(value, begin) + sizes.astype(np.uint64))
+
+
 @dataclass
 class Stretches:
     """Stretches by document row, first unit in it, and number of windows; their bytes lie one after the other."""
 
     ids: np.ndarray  # per stretch: the document's id,
-    rows: np.ndarray  # a hash of its text, which tells rows with one id apart,
+    rows: np.ndarray  # a number that tells rows with one id apart,
     starts: np.ndarray  # the first unit (word or byte) in the document,
     windows: np.ndarray  # windows from there on,
     sizes: np.ndarray  # and bytes
@@ -85,20 +103,23 @@ def joined(parts: list[Stretches]) -> Stretches:
     return Stretches(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("ids", "rows", "starts", "windows", "sizes", "data")))
 
 
-def packed(s: Stretches, level: int = 3) -> bytes:
-    """Documents once, small numbers for the rest, all compressed."""
+def packed(s: Stretches, level: int = 6) -> bytes:
+    """Documents once, small numbers for the rest; numbers and text compressed each for itself."""
     pairs = np.stack([s.ids, s.rows], axis=1)
     new = np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]
-    fields = (pairs[new].tobytes(), new.tobytes(), _slim(s.starts), _slim(s.windows), _slim(s.sizes), s.data.tobytes())
-    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(fields, protocol=5))
+    fields = (pairs[new].T.tobytes(), np.packbits(new).tobytes(), len(new), _slim(s.starts), _slim(s.windows), _slim(s.sizes))
+    squeeze = zstandard.ZstdCompressor(level=level).compress
+    return pickle.dumps((squeeze(pickle.dumps(fields, protocol=5)), squeeze(s.data.tobytes())), protocol=5)
 
 
 def unpacked(payload: bytes) -> Stretches:
-    pairs, new, starts, windows, sizes, data = pickle.loads(zstandard.ZstdDecompressor().decompress(payload))  # written by packed() in this job
-    which = np.cumsum(np.frombuffer(new, bool)) - 1
-    documents = np.frombuffer(pairs, np.int64).reshape(-1, 2)[which]
-    wide = (np.frombuffer(b, t).astype(np.int64) for t, b in (starts, windows, sizes))
-    return Stretches(documents[:, 0], documents[:, 1], *wide, np.frombuffer(data, np.uint8))
+    expand = zstandard.ZstdDecompressor().decompress
+    numbers, data = map(expand, pickle.loads(payload))  # written by packed() in this job
+    pairs, new, n, *rest = pickle.loads(numbers)
+    which = np.cumsum(np.unpackbits(np.frombuffer(new, np.uint8), count=n), dtype=np.int64) - 1
+    documents = np.frombuffer(pairs, np.int64).reshape(2, -1)[:, which]
+    wide = (np.frombuffer(b, t).astype(np.int64) for t, b in rest)
+    return Stretches(documents[0], documents[1], *wide, np.frombuffer(data, np.uint8))
 
 
 def _slim(x: np.ndarray) -> tuple[str, bytes]:
@@ -108,8 +129,8 @@ def _slim(x: np.ndarray) -> tuple[str, bytes]:
 
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether the stretches of the data at a and at b, of equal sizes, hold the same bytes."""
-    differ = data[ranges(a, sizes)] != data[ranges(b, sizes)]
-    before = np.concatenate([[0], np.cumsum(differ)])
+    differ = take_bytes(data, a, sizes) != take_bytes(data, b, sizes)
+    before = np.concatenate([[0], np.cumsum(differ, dtype=np.int32)])
     ends = np.cumsum(sizes)
     return before[ends] == before[ends - sizes]
 
@@ -119,7 +140,7 @@ def copies_of_first(s: Stretches) -> tuple[np.ndarray, np.ndarray]:
     if not len(s):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.cumsum(s.sizes) - s.sizes
-    whole = Rolling(s.data).of(at, at + s.sizes)
+    whole = hash_runs(s.data, s.sizes)
     order = np.lexsort((s.starts, s.ids, whole))
     new = np.r_[True, whole[order][1:] != whole[order][:-1]]
     first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -163,6 +184,7 @@ def payloads(parts: Iterator[tuple[Stretches, np.ndarray]], flush: int) -> Itera
         if size >= flush:
             yield from _payload_batch(held)
             held, size = [], 0
+            release_memory()
     if held:
         yield from _payload_batch(held)
 
@@ -213,7 +235,8 @@ def bucket_task(resolve: Callable[[Stretches], Iterator[pa.RecordBatch]], thin:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, spool, windows = None, None, 0
         for batch in batches:
-            for b, n, payload in zip(*(batch.column(c).to_pylist() for c in ("bucket", "windows", "payload")), strict=True):
+            for b, n, held in zip(*(batch.column(c).to_pylist() for c in ("bucket", "windows")), batch.column("payload"), strict=True):
+                payload = held.as_py()
                 if b < 0:
                     yield from intervals(*(np.frombuffer(x, np.int64) for x in pickle.loads(zstandard.decompress(payload))))
                     continue
@@ -221,6 +244,7 @@ def bucket_task(resolve: Callable[[Stretches], Iterator[pa.RecordBatch]], thin:
                     if spool is not None:
                         yield from bucket(spool, windows)
                         spool.close()
+                        release_memory()
                     now, spool, windows = b, tempfile.SpooledTemporaryFile(max_size=memory), 0
                 spool.write(len(payload).to_bytes(8, "little"))
                 spool.write(payload)
@@ -240,15 +264,41 @@ def removed(packs: DataFrame, partitions: int, task: Callable) -> DataFrame:
 
 
 def with_removed(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows (doc_id, id, row, text) with the lists of what goes; both sides are dealt by document."""
+    """Rows (doc_id, id, row, text) with the lists of what goes; both sides are dealt by document, texts compressed."""
     return docs.join(gone, ["id", "row"], "left").select("doc_id", "text", F.col("gone.lo").alias("lo"), F.col("gone.hi").alias("hi"))
 
 
+def compressed(docs: DataFrame) -> DataFrame:
+    """The same rows, each text as zstandard bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in slices(batches, "text", 8 << 20):
+            data, offsets = flat(batch.column("text"))
+            raw, at = data.tobytes(), offsets.tolist()
+            texts = pa.array([squeeze(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), batch.column("row"), texts], ["doc_id", "id", "row", "text"])
+
+    return docs.mapInArrow(run, "doc_id long, id long, row long, text binary")
+
+
+def expanded(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[int] | None, list[int] | None]]:
+    """Text and intervals of each row of a batch as joined."""
+    expand = zstandard.ZstdDecompressor().decompress
+    for k in range(batch.num_rows):
+        yield expand(batch.column("text")[k].as_py()), batch.column("lo")[k].as_py(), batch.column("hi")[k].as_py()
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id as it was, the id to order by, a hash that tells rows with one id apart, and the text; null is empty."""
+    """doc_id as it was, the id to order by, a number that tells rows with one id apart, and the text; null is empty.
+
+    That number is a hash of the text, and 0 throughout if no id repeats, as it should be (it travels with every stretch).
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = F.col(id_col).cast("long")
-    return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(int(LAST))).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    single = docs.groupBy(own.alias("id")).count().filter("count > 1").isEmpty()
+    row = F.lit(0).cast("long") if single else F.xxhash64(text)
+    return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(int(LAST))).alias("id"), row.alias("row"), text.alias("text"))
 
 
 def union_of(lo: list[int] | None, hi: list[int] | None) -> list[tuple[int, int]]:

@@ -16,14 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapel.llm import stretches as S
-from lapel.llm.common import flat, partitions_of, ranges, slices, sliding_min, take_bytes, word_bounds
+from lapel.llm.common import bound_batches, flat, partitions_of, ranges, slices, sliding_min, take_bytes, word_bounds
+
+#: Buckets per shuffle partition, and text bytes that a task turns into stretches at once.
+PER_PARTITION, CHUNK = 16, 512 << 10
 
 _BLANK_TO_SPACE = np.arange(256, dtype=np.uint8)
 _BLANK_TO_SPACE[9:14] = 32
 
 
 def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return S.Rolling(data).of(starts, ends)
+    return S.hash_runs(take_bytes(data, starts, ends - starts), ends - starts)
 
 
 def _stretches(batch: pa.RecordBatch, k: int, m: int) -> tuple[S.Stretches, np.ndarray]:
@@ -54,7 +57,7 @@ def _pack_task(k: int, m: int, buckets: int) -> Callable[[Iterator[pa.RecordBatc
         own: list[pa.RecordBatch] = []
 
         def parts() -> Iterator[tuple[S.Stretches, np.ndarray]]:
-            for batch in slices(batches, "text", 2 << 20):
+            for batch in slices(batches, "text", CHUNK):
                 s, least = _stretches(batch, k, m)
                 copy, origin = S.copies_of_first(s)
                 same = (s.ids[copy] == s.ids[origin]) & (s.starts[copy] == s.starts[origin])
@@ -67,7 +70,7 @@ def _pack_task(k: int, m: int, buckets: int) -> Callable[[Iterator[pa.RecordBatc
                 kept = np.flatnonzero(left)
                 yield s.pick(kept), (S.mixed(least[kept]) % np.uint64(buckets)).astype(np.int64)
 
-        for batch in S.payloads(parts(), 48 << 20):
+        for batch in S.payloads(parts(), 16 << 20):
             yield batch
             yield from own
             own.clear()
@@ -129,35 +132,37 @@ def _thin_task(k: int) -> Callable[[S.Stretches, int, int], S.Stretches]:
     return thin
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, m: int = 3, most_windows: int = 1_000_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, m: int = 3, most_windows: int = 1_000_000, keep_text: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by a space).
 
     A word goes if a window of k words that holds it also starts earlier: in a document with a smaller id, or earlier
     in the same one. Windows are judged on the input. Null text counts as empty; texts of under k words stay whole; a
-    null id stands after all others. Rows that repeat an id are judged each on its own text, against all other ids and
+    null id stands after all others. Without keep_text, kept is null. Rows that repeat an id are judged each on its own text, against all other ids and
     against earlier starts under the same id. Other columns are not read. An empty table gives no rows.
     """
     if not 1 <= m <= k:
         raise ValueError("a token has 1 to k words")
+    bound_batches(docs.sparkSession)
     n = partitions_of(docs.sparkSession)
     rows = S.keyed(docs, id_col, text_col)
-    packs = rows.select("id", "row", "text").mapInArrow(_pack_task(k, m, 32 * n), S.PAYLOAD)
+    packs = rows.select("id", "row", "text").mapInArrow(_pack_task(k, m, PER_PARTITION * n), S.PAYLOAD)
     gone = S.removed(packs, n, S.bucket_task(_resolve_task(k), _thin_task(k), most_windows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             out = []
-            for text, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("text", "lo", "hi")), strict=True):
+            for text, lo, hi in S.expanded(batch):
                 words = text.split()
                 kept, upto, lost = [], 0, 0
                 for a, b in S.union_of(lo, hi):
                     kept += words[upto:a]
                     upto, lost = b, lost + b - a
                 joined = b" ".join(kept + words[upto:])
-                out.append((len(words), lost, hashlib.sha256(joined).hexdigest(), joined.decode()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                out.append((len(words), lost, hashlib.sha256(joined).hexdigest(), joined.decode() if keep_text else None))
+            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    texts = S.with_removed(rows, gone).withColumn("text", F.col("text").cast("binary"))
+    texts = S.with_removed(S.compressed(rows), gone)
     return texts.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 

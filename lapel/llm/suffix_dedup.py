@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapel.llm import stretches as S
-from lapel.llm.common import flat, partitions_of, ranges, slices, sliding_min, take_bytes
+from lapel.llm.common import _BLANK, bound_batches, flat, partitions_of, ranges, slices, sliding_min, take_bytes
 
 TOKEN = 8
+#: Buckets per shuffle partition.
+PER_PARTITION = 32
 _RANK = np.uint64(0xD6E8FEB86659FD93)
 _UNRANK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
 
@@ -31,10 +33,40 @@ def leading_tokens(data: np.ndarray) -> np.ndarray:
     """At every byte that 7 more follow, the 8 bytes from there as a number that orders as they do."""
     x = data.astype(np.uint64)
     for reach in (1, 2, 4):
-        x = (x[:-reach] << np.uint64(8 * reach)) | x[reach:] if len(x) > reach else x[:0]
+        if len(x) <= reach:
+            return x[:0]
+        ahead = x[reach:]
+        x = x[:-reach] << np.uint64(8 * reach)
+        x |= ahead
     return x
 
 
+def _levels(width: int) -> list[int]:
+    """Where the 8-byte characters of a string of `width` bytes start; the last may overlap the one before."""
+    return [*range(0, width - TOKEN, TOKEN), width - TOKEN]
+
+
+def _hashes(tokens: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each string of `width` bytes, from its characters."""
+    out = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k, level in enumerate(_levels(width)):
+            out += tokens[at + level] * np.uint64(pow(0x9E3779B97F4A7C15, 2 * k + 1, 2**64))
+    return S.mixed(out)
+
+
+def _least_ranks(data: np.ndarray, width: int) -> np.ndarray:
+    """For the string of `width` bytes at every byte: the least rank of its tokens, those at a word's beginning (a blank
+    and something else) before all others. Word beginnings lie more evenly, which makes stretches longer."""
+    tokens = leading_tokens(data)
+    with np.errstate(over="ignore"):
+        rank = tokens * _RANK
+    first, second = (tokens >> np.uint64(56)).astype(np.uint8), (tokens >> np.uint64(48)).astype(np.uint8)
+    none = np.uint64(2**64 - 1)
+    least = sliding_min(np.where(_BLANK[first] & ~_BLANK[second], rank, none), width - TOKEN + 1)
+    return np.where(least == none, sliding_min(rank, width - TOKEN + 1), least) if (least == none).any() else least
+
+
 def _stretches(ids: np.ndarray, rows: np.ndarray, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, width: int) -> tuple[S.Stretches, np.ndarray]:
     """The stretches of some texts (of parts that start at the given byte) and their tokens."""
     counts = np.maximum(np.diff(offsets) - width + 1, 0)
@@ -42,9 +74,7 @@ def _stretches(ids: np.ndarray, rows: np.ndarray, data: np.ndarray, offsets: np.
     if not len(valid):
         empty = np.zeros(0, np.int64)
         return S.Stretches(empty, empty, empty, empty, empty, data[:0]), empty.astype(np.uint64)
-    with np.errstate(over="ignore"):
-        rank = leading_tokens(data) * _RANK
-    least = sliding_min(rank, width - TOKEN + 1)[valid]
+    least = _least_ranks(data, width)[valid]
     doc = np.repeat(np.arange(len(counts)), counts)
     begin = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
     windows = np.diff(np.r_[begin, len(valid)])
@@ -82,7 +112,7 @@ def _pack_task(width: int, splitters: np.ndarray, most: int) -> Callable[[Iterat
                 kept = np.flatnonzero(left)
                 yield s.pick(kept), np.searchsorted(splitters, token[kept], "right")
 
-        for batch in S.payloads(parts(), 48 << 20):
+        for batch in S.payloads(parts(), 16 << 20):
             yield batch
             yield from own
             own.clear()
@@ -97,7 +127,7 @@ def multikey_sort(tokens: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nd
     Three-way radix quicksort with 8 bytes as one character: all runs take a level together, and only runs of two or
     more go on. The last level may overlap the one before, which costs nothing as those bytes are equal by then.
     """
-    levels = [*range(0, width - TOKEN, TOKEN), width - TOKEN]
+    levels = _levels(width)
     order = np.argsort(tokens[at])
     key = tokens[at[order]]
     run = np.cumsum(np.r_[False, key[1:] != key[:-1]])
@@ -118,7 +148,7 @@ def multikey_sort(tokens: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nd
 
 def _may_repeat(hashes: np.ndarray) -> np.ndarray:
     """Windows whose hash slot holds another one: all that repeat, and a few more."""
-    size = max(16, int(len(hashes)).bit_length() + 2)
+    size = max(10, int(len(hashes)).bit_length() + 2)
     slot = (hashes >> np.uint64(64 - size)).astype(np.int64)
     some = np.flatnonzero(np.bincount(slot, minlength=1 << size)[slot] > 1)
     slot = (hashes[some] & np.uint64((1 << size) - 1)).astype(np.int64)
@@ -137,10 +167,11 @@ def _resolve_task(width: int) -> Callable[[S.Stretches], Iterator[pa.RecordBatch
         left[copy] = False
         s = s.pick(np.flatnonzero(left))
         at = ranges(np.cumsum(s.sizes) - s.sizes, s.windows)
-        some = _may_repeat(S.Rolling(s.data).of(at, at + width))
+        tokens = leading_tokens(s.data)
+        some = _may_repeat(_hashes(tokens, at, width))
         hit = np.zeros(len(at), bool)
         if len(some):
-            order, run = multikey_sort(leading_tokens(s.data), at[some], width)
+            order, run = multikey_sort(tokens, at[some], width)
             ids = np.repeat(s.ids, s.windows)[some[order]]
             least = np.minimum.reduceat(ids, np.flatnonzero(np.r_[True, run[1:] != run[:-1]]))
             hit[some[order[ids > least[run]]]] = True
@@ -153,7 +184,7 @@ def _thin_task(width: int) -> Callable[[S.Stretches, int, int], S.Stretches]:
     def thin(s: S.Stretches, part: int, parts: int) -> S.Stretches:
         """One of `parts` shares of the windows, by a hash of their bytes; each window as a stretch of its own."""
         at = ranges(np.cumsum(s.sizes) - s.sizes, s.windows)
-        hashes = S.Rolling(s.data).of(at, at + width)
+        hashes = _hashes(leading_tokens(s.data), at, width)
         chosen = np.flatnonzero((hashes >> np.uint64(20)) % np.uint64(parts) == part)
         of = np.repeat(np.arange(len(s)), s.windows)[chosen]
         sizes = np.full(len(chosen), width, np.int64)
@@ -178,33 +209,35 @@ def sampled_splitters(rows: DataFrame, width: int, buckets: int, documents: int
     return np.unique(np.sort(tokens)[np.arange(1, buckets) * len(tokens) // buckets]) if len(tokens) else np.zeros(0, np.uint64)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, most_windows: int = 2_000_000, chunk_bytes: int = 2 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, most_windows: int = 2_000_000, chunk_bytes: int = 512 << 10, keep_text: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
 
     A byte goes if a string of `width` bytes that holds it also starts in a document with a smaller id. Strings are
     judged on the input and never cross documents. Null text counts as empty; texts under `width` bytes stay whole; a
-    null id stands after all others. Rows that repeat an id are judged each on its own text, against smaller ids. Other
+    null id stands after all others. Without keep_text, kept is null. Rows that repeat an id are judged each on its own text, against smaller ids. Other
     columns are not read. An empty table gives no rows.
     """
     if width < TOKEN:
         raise ValueError(f"the width is {TOKEN} bytes at least")
+    bound_batches(docs.sparkSession)
     n = partitions_of(docs.sparkSession)
     rows = S.keyed(docs, id_col, text_col)
-    splitters = sampled_splitters(rows, width, 32 * n)
+    splitters = sampled_splitters(rows, width, PER_PARTITION * n)
     packs = rows.select("id", "row", "text").mapInArrow(_pack_task(width, splitters, chunk_bytes), S.PAYLOAD)
     gone = S.removed(packs, n, S.bucket_task(_resolve_task(width), _thin_task(width), most_windows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             out = []
-            for text, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("text", "lo", "hi")), strict=True):
+            for text, lo, hi in S.expanded(batch):
                 spans = S.union_of(lo, hi)
                 cuts = [0, *(x for span in spans for x in span), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)) if spans else text
-                out.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    texts = S.with_removed(rows, gone).withColumn("text", F.col("text").cast("binary"))
+    texts = S.with_removed(S.compressed(rows), gone)
     return texts.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
