@@ -219,11 +219,14 @@ def found_here(ids: np.ndarray, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray
 # ---- reduce side ----
 
 
-def bucket_task(resolve: Callable[[Stretches], Iterator[pa.RecordBatch]], thin: Callable[[Stretches, int, int], Stretches], most: int, memory: int = 64 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task over payloads sorted by bucket; `most` bounds the windows taken at once."""
+def bucket_task(resolve: Callable[[Stretches], Iterator[pa.RecordBatch]], thin: Callable[[Stretches, int, int], Stretches], most: int, alone: int, memory: int = 16 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over payloads sorted by bucket; `most` bounds the windows taken at once.
+
+    A window taken out of its stretch has its bytes to itself: about `alone` times its share before.
+    """
 
     def bucket(spool, windows: int) -> Iterator[pa.RecordBatch]:
-        slices = -(-windows // most)
+        slices = 1 if windows <= most else -(-windows * alone // most)
         for k in range(slices):
             spool.seek(0)
             parts = []

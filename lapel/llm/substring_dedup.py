@@ -146,7 +146,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = partitions_of(docs.sparkSession)
     rows = S.keyed(docs, id_col, text_col)
     packs = rows.select("id", "row", "text").mapInArrow(_pack_task(k, m, PER_PARTITION * n), S.PAYLOAD)
-    gone = S.removed(packs, n, S.bucket_task(_resolve_task(k), _thin_task(k), most_windows))
+    gone = S.removed(packs, n, S.bucket_task(_resolve_task(k), _thin_task(k), most_windows, max(1, k // 3)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):

@@ -25,6 +25,8 @@ from lapel.llm.common import _BLANK, bound_batches, flat, partitions_of, ranges,
 TOKEN = 8
 #: Buckets per shuffle partition.
 PER_PARTITION = 32
+#: Bits of a hot token's slot (others in it count as hot too), and tokens that may be hot.
+_SLOTS, _HOT = 18, 1 << 15
 _RANK = np.uint64(0xD6E8FEB86659FD93)
 _UNRANK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
 
@@ -55,26 +57,35 @@ def _hashes(tokens: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return S.mixed(out)
 
 
-def _least_ranks(data: np.ndarray, width: int) -> np.ndarray:
-    """For the string of `width` bytes at every byte: the least rank of its tokens, those at a word's beginning (a blank
-    and something else) before all others. Word beginnings lie more evenly, which makes stretches longer."""
+def _least_ranks(data: np.ndarray, width: int, hot: np.ndarray) -> np.ndarray:
+    """For the string of `width` bytes at every byte: the least rank of its tokens.
+
+    Tokens at a word's beginning (a blank and something else) come before others: they lie more evenly, which makes
+    stretches longer. Hot tokens come last: all strings of a token meet in one bucket. Both follow from the token alone.
+    """
     tokens = leading_tokens(data)
     with np.errstate(over="ignore"):
         rank = tokens * _RANK
-    first, second = (tokens >> np.uint64(56)).astype(np.uint8), (tokens >> np.uint64(48)).astype(np.uint8)
     none = np.uint64(2**64 - 1)
-    least = sliding_min(np.where(_BLANK[first] & ~_BLANK[second], rank, none), width - TOKEN + 1)
-    return np.where(least == none, sliding_min(rank, width - TOKEN + 1), least) if (least == none).any() else least
+    cold = ~hot[rank >> np.uint64(64 - _SLOTS)]
+    first, second = (tokens >> np.uint64(56)).astype(np.uint8), (tokens >> np.uint64(48)).astype(np.uint8)
+    reach = width - TOKEN + 1
+    least = sliding_min(np.where(_BLANK[first] & ~_BLANK[second] & cold, rank, none), reach)
+    for some in (cold, None):
+        if not (least == none).any():
+            break
+        least = np.where(least == none, sliding_min(rank if some is None else np.where(some, rank, none), reach), least)
+    return least
 
 
-def _stretches(ids: np.ndarray, rows: np.ndarray, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, width: int) -> tuple[S.Stretches, np.ndarray]:
+def _stretches(ids: np.ndarray, rows: np.ndarray, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, width: int, hot: np.ndarray) -> tuple[S.Stretches, np.ndarray]:
     """The stretches of some texts (of parts that start at the given byte) and their tokens."""
     counts = np.maximum(np.diff(offsets) - width + 1, 0)
     valid = ranges(offsets[:-1], counts)
     if not len(valid):
         empty = np.zeros(0, np.int64)
         return S.Stretches(empty, empty, empty, empty, empty, data[:0]), empty.astype(np.uint64)
-    least = _least_ranks(data, width)[valid]
+    least = _least_ranks(data, width, hot)[valid]
     doc = np.repeat(np.arange(len(counts)), counts)
     begin = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
     windows = np.diff(np.r_[begin, len(valid)])
@@ -85,25 +96,25 @@ def _stretches(ids: np.ndarray, rows: np.ndarray, data: np.ndarray, offsets: np.
     return S.Stretches(ids[of], rows[of], a - offsets[of] + starts[of], windows, sizes, take_bytes(data, a, sizes)), token
 
 
-def _parts(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[tuple[S.Stretches, np.ndarray]]:
+def _parts(batches: Iterator[pa.RecordBatch], width: int, hot: np.ndarray, most: int) -> Iterator[tuple[S.Stretches, np.ndarray]]:
     """Stretches of the texts, a few at a time; a long text comes in overlapping parts, so that each window is in one."""
     for batch in slices(batches, "text", most):
         data, offsets = flat(batch.column("text"))
         ids, rows = batch.column("id").to_numpy(), batch.column("row").to_numpy()
         if len(data) <= most + width:
-            yield _stretches(ids, rows, data, offsets, np.zeros(len(ids), np.int64), width)
+            yield _stretches(ids, rows, data, offsets, np.zeros(len(ids), np.int64), width, hot)
             continue
         for a in range(0, len(data) - width + 1, most):  # one text
             part = data[a : a + most + width - 1]
-            yield _stretches(ids, rows, part, np.array([0, len(part)]), np.array([a]), width)
+            yield _stretches(ids, rows, part, np.array([0, len(part)]), np.array([a]), width, hot)
 
 
-def _pack_task(width: int, splitters: np.ndarray, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pack_task(width: int, hot: np.ndarray, splitters: np.ndarray, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[pa.RecordBatch] = []
 
         def parts() -> Iterator[tuple[S.Stretches, np.ndarray]]:
-            for s, token in _parts(batches, width, most):
+            for s, token in _parts(batches, width, hot, most):
                 copy, origin = S.copies_of_first(s)
                 gone = copy[s.ids[copy] > s.ids[origin]]
                 own.extend(S.found_here(s.ids[gone], s.rows[gone], s.starts[gone], s.starts[gone] + s.sizes[gone]))
@@ -193,23 +204,29 @@ def _thin_task(width: int) -> Callable[[S.Stretches, int, int], S.Stretches]:
     return thin
 
 
-def sampled_splitters(rows: DataFrame, width: int, buckets: int, documents: int = 2_000, per_document: int = 64) -> np.ndarray:
-    """Tokens that cut the tokens of about `documents` sampled texts into equal parts. They balance buckets, no more."""
-    total = rows.count()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                for s, token in _parts(iter([batch.slice(k, 1)]), width, 1 << 20):
-                    token = np.repeat(token, s.windows)[:: max(1, -(-int(s.windows.sum()) // per_document))] if len(s) else token
-                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64))], ["token"])
+def sampled_order(rows: DataFrame, width: int, buckets: int, documents: int = 2_000, characters: int = 8_192) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of hot tokens, and tokens that cut the others into ranges of equal weight, from a sample of texts.
 
+    The sample has `documents` texts at most, of each the first `characters`. It balances the buckets and does no more:
+    results are the same for any sample. A token is hot if the strings around it would fill a quarter of a bucket.
+    """
+    total = rows.count()
     sample = rows.sample(min(1.0, 2 * documents / max(total, 1)), seed=8).limit(documents)
-    tokens = np.array([r["token"] for r in sample.select("id", "row", "text").mapInArrow(run, "token long").collect()], np.int64).view(np.uint64)
-    return np.unique(np.sort(tokens)[np.arange(1, buckets) * len(tokens) // buckets]) if len(tokens) else np.zeros(0, np.uint64)
+    texts = [r["text"].encode() for r in sample.select(F.substring("text", 1, characters).alias("text")).collect()]
+    hot = np.zeros(1 << _SLOTS, bool)
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    if len(data) < width:
+        return hot, np.zeros(0, np.uint64)
+    tokens, counts = np.unique(leading_tokens(data), return_counts=True)
+    often = counts > max(2.0, len(data) / (4 * buckets * (width - TOKEN) / 2))
+    tokens = tokens[often][np.argsort(-counts[often], kind="stable")[:_HOT]]
+    with np.errstate(over="ignore"):
+        hot[(tokens * _RANK) >> np.uint64(64 - _SLOTS)] = True
+        least = _least_ranks(data, width, hot)[ranges(offsets[:-1], np.maximum(np.diff(offsets) - width + 1, 0))[::8]] * _UNRANK
+    return hot, np.unique(np.sort(least)[np.arange(1, buckets) * len(least) // buckets]) if len(least) else np.zeros(0, np.uint64)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, most_windows: int = 2_000_000, chunk_bytes: int = 512 << 10, keep_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, most_windows: int = 1_500_000, chunk_bytes: int = 512 << 10, keep_text: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
 
     A byte goes if a string of `width` bytes that holds it also starts in a document with a smaller id. Strings are
@@ -222,9 +239,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bound_batches(docs.sparkSession)
     n = partitions_of(docs.sparkSession)
     rows = S.keyed(docs, id_col, text_col)
-    splitters = sampled_splitters(rows, width, PER_PARTITION * n)
-    packs = rows.select("id", "row", "text").mapInArrow(_pack_task(width, splitters, chunk_bytes), S.PAYLOAD)
-    gone = S.removed(packs, n, S.bucket_task(_resolve_task(width), _thin_task(width), most_windows))
+    hot, splitters = sampled_order(rows, width, PER_PARTITION * n)
+    packs = rows.select("id", "row", "text").mapInArrow(_pack_task(width, hot, splitters, chunk_bytes), S.PAYLOAD)
+    gone = S.removed(packs, n, S.bucket_task(_resolve_task(width), _thin_task(width), most_windows, width // 3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
