@@ -11,6 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Space and the five control characters that end a word; bytes.split() without an argument splits at the same six.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -35,6 +36,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sample_texts(rows: DataFrame, documents: int = 2_000, characters: int = 8_192) -> list[str]:
+    """At most so many sampled texts, of each the first characters: for balance, never for results."""
+    share = min(1.0, 2 * documents / max(rows.count(), 1))
+    return [r["text"] for r in rows.sample(share, seed=8).limit(documents).select(F.substring("text", 1, characters).alias("text")).collect()]
+
+
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,13 +13,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lapel.llm import stretches as S
-from lapel.llm.common import bound_batches, flat, partitions_of, ranges, slices, sliding_min, take_bytes, word_bounds
+from lapel.llm.common import bound_batches, flat, partitions_of, ranges, sample_texts, slices, sliding_min, take_bytes, word_bounds
 
 #: Buckets per shuffle partition, and text bytes that a task turns into stretches at once.
 PER_PARTITION, CHUNK = 16, 512 << 10
+#: Bits of a hot token's slot (others in it count as hot too), and tokens that may be hot.
+_SLOTS, _HOT = 18, 1 << 15
 
 _BLANK_TO_SPACE = np.arange(256, dtype=np.uint8)
 _BLANK_TO_SPACE[9:14] = 32
@@ -29,7 +30,31 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return S.hash_runs(take_bytes(data, starts, ends - starts), ends - starts)
 
 
-def _stretches(batch: pa.RecordBatch, k: int, m: int) -> tuple[S.Stretches, np.ndarray]:
+def _ranks(words: np.ndarray, m: int, hot: np.ndarray) -> np.ndarray:
+    """The rank of the m-word token at each word: a hash of it, with hot tokens after all others."""
+    every = np.arange(max(0, len(words) - m + 1))
+    token = S.Rolling(words).of(every, every + m)
+    return (token >> np.uint64(1)) | (hot[token >> np.uint64(64 - _SLOTS)].astype(np.uint64) << np.uint64(63))
+
+
+def hot_tokens(rows: DataFrame, k: int, m: int, buckets: int) -> np.ndarray:
+    """Slots of tokens that are frequent in a sample of texts: windows around one would fill a quarter of a bucket.
+
+    All windows of a minimiser meet in one bucket, so frequent ones come last. This balances buckets and does no more.
+    """
+    texts = sample_texts(rows)
+    hot = np.zeros(1 << _SLOTS, bool)
+    data, offsets = flat(pa.array(texts, pa.string()))
+    starts, ends, _ = word_bounds(data, offsets)
+    if len(starts) >= m:
+        rank, counts = np.unique(_ranks(_word_hashes(data, starts, ends), m, hot), return_counts=True)
+        often = counts > max(2.0, len(starts) / (4 * buckets * (k - m + 1) / 2))
+        most = np.argsort(-counts[often], kind="stable")[:_HOT]
+        hot[rank[often][most] >> np.uint64(63 - _SLOTS)] = True
+    return hot
+
+
+def _stretches(batch: pa.RecordBatch, k: int, m: int, hot: np.ndarray) -> tuple[S.Stretches, np.ndarray]:
     """The super-k-mers of a batch and their minimisers."""
     data, offsets = flat(batch.column("text"))
     data = _BLANK_TO_SPACE[data]
@@ -40,8 +65,7 @@ def _stretches(batch: pa.RecordBatch, k: int, m: int) -> tuple[S.Stretches, np.n
         empty = np.zeros(0, np.int64)
         return S.Stretches(empty, empty, empty, empty, empty, data[:0]), empty.astype(np.uint64)
     words = _word_hashes(data, starts, ends)
-    every = np.arange(len(words) - m + 1)
-    least = sliding_min(S.Rolling(words).of(every, every + m), k - m + 1)[valid]
+    least = sliding_min(_ranks(words, m, hot), k - m + 1)[valid]
     doc = np.repeat(np.arange(len(counts)), counts)
     begin = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
     windows = np.diff(np.r_[begin, len(valid)])
@@ -52,13 +76,13 @@ def _stretches(batch: pa.RecordBatch, k: int, m: int) -> tuple[S.Stretches, np.n
     return S.Stretches(ids, rows, a - first[of], windows, sizes, take_bytes(data, starts[a], sizes)), least[begin]
 
 
-def _pack_task(k: int, m: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pack_task(k: int, m: int, hot: np.ndarray, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[pa.RecordBatch] = []
 
         def parts() -> Iterator[tuple[S.Stretches, np.ndarray]]:
             for batch in slices(batches, "text", CHUNK):
-                s, least = _stretches(batch, k, m)
+                s, least = _stretches(batch, k, m, hot)
                 copy, origin = S.copies_of_first(s)
                 same = (s.ids[copy] == s.ids[origin]) & (s.starts[copy] == s.starts[origin])
                 gone = copy[~same]
@@ -145,7 +169,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bound_batches(docs.sparkSession)
     n = partitions_of(docs.sparkSession)
     rows = S.keyed(docs, id_col, text_col)
-    packs = rows.select("id", "row", "text").mapInArrow(_pack_task(k, m, PER_PARTITION * n), S.PAYLOAD)
+    hot = hot_tokens(rows, k, m, PER_PARTITION * n)
+    packs = rows.select("id", "row", "text").mapInArrow(_pack_task(k, m, hot, PER_PARTITION * n), S.PAYLOAD)
     gone = S.removed(packs, n, S.bucket_task(_resolve_task(k), _thin_task(k), most_windows, max(1, k // 3)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

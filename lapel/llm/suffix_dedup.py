@@ -17,10 +17,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lapel.llm import stretches as S
-from lapel.llm.common import _BLANK, bound_batches, flat, partitions_of, ranges, slices, sliding_min, take_bytes
+from lapel.llm.common import _BLANK, bound_batches, flat, partitions_of, ranges, sample_texts, slices, sliding_min, take_bytes
 
 TOKEN = 8
 #: Buckets per shuffle partition.
@@ -210,9 +209,7 @@ def sampled_order(rows: DataFrame, width: int, buckets: int, documents: int = 2_
     The sample has `documents` texts at most, of each the first `characters`. It balances the buckets and does no more:
     results are the same for any sample. A token is hot if the strings around it would fill a quarter of a bucket.
     """
-    total = rows.count()
-    sample = rows.sample(min(1.0, 2 * documents / max(total, 1)), seed=8).limit(documents)
-    texts = [r["text"].encode() for r in sample.select(F.substring("text", 1, characters).alias("text")).collect()]
+    texts = [t.encode() for t in sample_texts(rows, documents, characters)]
     hot = np.zeros(1 << _SLOTS, bool)
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     if len(data) < width:
