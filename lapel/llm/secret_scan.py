@@ -1,6 +1,8 @@
 """Secret scans: base patterns, and weak parts that count only together.
 
-A weak part (a name used to log in, a random-looking string, an endpoint) says little alone. Parts are intervals in
+A weak part (a name used to log in, a random-looking string, an endpoint) says little alone. A random-looking string is
+a whole run of 16 characters or more, quoted or not, also right after the = of name=value or a dot; a login name may have
+a prefix, as in DB_USER. Parts are intervals in
 their text; within a scope (a paragraph) a part is joined with the complementary parts whose intervals come within a
 reach of it, and is reported only where an identifier and a secret, or an endpoint and a secret, meet. The join is a
 sweep over the sorted intervals of one text, so no rows move.
@@ -35,8 +37,8 @@ _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{24,}")
 
 _LOGIN_NAMES = "|".join(map(_either_case, ("client_id", "access_key_id", "account_id", "username", "user", "login")))
-_LOGIN = re.compile(rf"""(?<![A-Za-z0-9_])(?:{_LOGIN_NAMES})["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.+-]{{3,}}""")
-_RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])")
+_LOGIN = re.compile(rf"""(?<![A-Za-z0-9])(?:{_LOGIN_NAMES})["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.+-]{{3,}}""")
+_RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{3,}|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])")
 _SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
 
