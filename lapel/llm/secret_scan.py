@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,7 +39,10 @@ _HEX = re.compile("[0-9a-f]{24,}")
 _LOGIN_NAMES = "|".join(map(_either_case, ("client_id", "access_key_id", "account_id", "username", "user", "login")))
 _LOGIN = re.compile(rf"""(?<![A-Za-z0-9])(?:{_LOGIN_NAMES})["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.+-]{{3,}}""")
 _RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{3,}|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])")
+_ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{3,}|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])(?:/[^\s\"'<>]*)?")
+_PLAIN = re.compile(r"(?<![A-Za-z0-9@._/+-])(?:[a-z0-9-]+\.)+[a-z]{2,6}(?::[0-9]{2,5})?/[^\s\"'<>]*")
+_PASSWORD = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s/?#@:]*:(?![0-9]{1,5}[/?#])([^\s?#@]+)@")
+_VALUE = re.compile(r"[?&;#][^\s=&;#?]+=([^\s&;#]+)")
 _SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
 
 
@@ -66,22 +69,66 @@ class _Near:
         self.spans = sorted(spans)
         self.starts = [s for s, _ in self.spans]
 
-    def meets(self, start: int, end: int, scope: tuple[int, int], reach: int) -> bool:
-        low, high = max(scope[0], start - reach), min(scope[1], end + reach)
+    def within(self, low: int, high: int) -> bool:
         k = bisect_left(self.starts, high)
         return k > 0 and self.spans[k - 1][1] > low
 
+    def meets(self, start: int, end: int, scope: tuple[int, int], reach: int) -> bool:
+        return self.within(max(scope[0], start - reach), min(scope[1], end + reach))
+
+    def beside(self, start: int, end: int, scope: tuple[int, int], reach: int) -> bool:
+        """The same, of intervals that reach out of the given one."""
+        return self.within(max(scope[0], start - reach), start) or self.within(end, min(scope[1], end + reach))
+
+    def around(self, at: int) -> tuple[int, int] | None:
+        """The interval that holds the place."""
+        k = bisect_left(self.starts, at + 1)
+        return self.spans[k - 1] if k and self.spans[k - 1][1] > at else None
+
+
+def _without(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of sorted, disjoint spans; those taken are sorted and disjoint too."""
+    out, ends = [], [b for _, b in taken]
+    for a, b in spans:
+        k = bisect_right(ends, a)
+        while k < len(taken) and taken[k][0] < b:
+            if taken[k][0] > a:
+                out.append((a, taken[k][0]))
+            a = taken[k][1]
+            k += 1
+        if a < b:
+            out.append((a, b))
+    return out
+
 
 def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
-    """Weak parts with a complementary part in reach: identifiers and endpoints near a secret, secrets near either."""
+    """Weak parts with a complementary part in reach: identifiers and endpoints near a secret, secrets near either.
+
+    A character belongs to one part, so nothing is its own partner: what a login name or an endpoint holds is no random
+    string. Of a URL, the password before @ and the values of its parameters are not the endpoint's. The password goes
+    with its URL; a value, which may be no more than the name of a page, wants a partner besides that.
+    """
     taken = _Near([(a, b) for _, a, b in _merged(base)])
+    named = [(a, b) for k, a, b in base if k == "access"]
+    hidden = [(a, b) for _, a, b in _merged([s for s in base if s[0] != "access"])]
     free = [(m.start(), m.end()) for m in _RANDOM.finditer(text) if random_looking(m[0])]
-    secrets = [s for s in free if not taken.meets(*s, (0, len(text)), 0)]
+    free = [s for s in free if not taken.meets(*s, (0, len(text)), 0)]
+    if not (free or hidden):
+        return []
     logins = [s for s in ((m.start(), m.end()) for m in _LOGIN.finditer(text)) if not taken.meets(*s, (0, len(text)), 0)]
     endpoints = [(m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
-    named = [(a, b) for k, a, b in base if k == "access"]
-    hidden = [(a, b) for _, a, b in _merged([s for s in base if s[0] != "access"])]
-    if not (secrets or logins or endpoints) or not (secrets or hidden):
+    passwords = [m.span(1) for m in (_PASSWORD.match(text, a, b) for a, b in endpoints) if m]
+
+    def values(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        return [m.span(1) for a, b in spans for m in _VALUE.finditer(text, a, b)]
+
+    def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        return [(a, b) for _, a, b in _merged([("", a, b) for a, b in spans])]
+
+    plain = [(m.start(), m.end()) for m in _PLAIN.finditer(text)] if free else []
+    addresses = _without(endpoints, joined([*passwords, *values(endpoints)])) + _without(plain, values(plain))
+    secrets = [(a, b) for a, b in _without(free, joined([*_without(logins, passwords), *addresses])) if b - a >= 16 and random_looking(text[a:b])]
+    if not (secrets or hidden):
         return []
     cuts = [0, *(m.end() for m in _SCOPE_END.finditer(text)), len(text) + 1]
 
@@ -89,10 +136,18 @@ def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
         k = bisect_left(cuts, at + 1)
         return cuts[k - 1], cuts[k]
 
-    any_secret, whose = _Near([*secrets, *hidden]), _Near([(a, b) for _, a, b in _merged([("", a, b) for a, b in (*logins, *endpoints, *named)])])
+    urls, keys, whose = _Near(endpoints), _Near(passwords), _Near(joined([*logins, *named]))
+    any_secret, sure = _Near([*secrets, *hidden]), _Near([*hidden, *(s for s in secrets if keys.around(s[0]))])
+
+    def addressed(a: int, b: int) -> bool:
+        """Whether an endpoint that the secret is no value of comes within reach."""
+        low, high = max(scope(a)[0], a - reach), min(scope(a)[1], b + reach)
+        own = None if keys.around(a) else urls.around(a)
+        return urls.within(low, own[0]) or urls.within(own[1], high) if own else urls.within(low, high)
+
     found = [("linked_identifier", a, b) for a, b in logins if any_secret.meets(a, b, scope(a), reach)]
-    found += [("linked_endpoint", a, b) for a, b in endpoints if any_secret.meets(a, b, scope(a), reach)]
-    return found + [("linked_secret", a, b) for a, b in secrets if whose.meets(a, b, scope(a), reach)]
+    found += [("linked_endpoint", a, b) for a, b in endpoints if sure.within(a, b) or any_secret.beside(a, b, scope(a), reach)]
+    return found + [("linked_secret", a, b) for a, b in secrets if whose.meets(a, b, scope(a), reach) or addressed(a, b)]
 
 
 def _merged(spans: list[Span]) -> list[Span]:
