@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapel.llm.byte_bpe import default_ranks, encode
+from lapel.llm.byte_bpe import encode, vocabulary
 from lapel.llm.common import materialise, partitions_of, slices
 
 #: Where tokens alone bind, the other two only break ties: at 2048 tokens one token more or less weighs 2.4e-7 at least.
@@ -29,11 +29,11 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048, end_id: int = 0, ranks_path: str | None = None) -> DataFrame:
     """Token pieces of every document with its end id: whole, or cut so that only the first is shorter than the maximum."""
-    path = ranks_path or default_ranks()
+    path, added = vocabulary(ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
-            ids, at = encode(batch.column("text"), path)
+            ids, at = encode(batch.column("text"), path, added)
             rows: list[tuple] = []
             for doc, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")

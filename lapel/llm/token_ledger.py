@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapel.llm.byte_bpe import default_ranks, encode
+from lapel.llm.byte_bpe import encode, vocabulary
 from lapel.llm.common import flat, slices, word_bounds
 
 KEY = ["source", "lang", "tokenizer_version"]
@@ -27,12 +27,12 @@ _COMMIT = "batch string, folder string"
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None) -> DataFrame:
     """doc_id, source, lang, words, tokens: a row per document. Null text counts as empty and has none of either."""
-    path = ranks_path or default_ranks()
+    path, added = vocabulary(ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
             words = np.diff(word_bounds(*flat(batch.column("text")))[2])
-            tokens = np.diff(encode(batch.column("text"), path)[1])
+            tokens = np.diff(encode(batch.column("text"), path, added)[1])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array(words), pa.array(tokens)], ["doc_id", "source", "lang", "words", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text_col).alias("text"))

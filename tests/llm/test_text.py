@@ -214,6 +214,25 @@ def test_token_ids(spark, reference_tokens):
     assert at[-1] == at[-2]
 
 
+def test_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    contract = lambda s: reference.encode(s or "", add_special_tokens=False).ids
+    end = "<|endoftext|>"
+    assert contract(f"{end} x") == [50256, 2124]
+    texts = [f"{end} x", "a <|endof", "text|> b", end, "", None, f"a  {end}{end}\n\n {end} é", f"{end[:-1]}{end}", "<|ENDOFTEXT|>", "<|endoftext |>", f"x{end}" * 900, "plain"]
+    pick = random.Random(8)
+    texts += ["".join(pick.choice([end, " ", "  ", "\n", "a", "é", "漢", "<|", "|>", "1"]) for _ in range(pick.randrange(12))) for _ in range(400)]
+    for own in (texts, [end], [""], [None, end, end], ["plain"]):
+        ids, at = byte_bpe.encode(pa.array(own, pa.string()), *byte_bpe.vocabulary())
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [contract(t) for t in own]
+    docs = list(enumerate(texts))
+    check_packing(packing.pack(documents(spark, docs)).collect(), docs, contract)
+    assert {r["doc_id"]: r["tokens"] for r in token_ledger.token_counts(documents(spark, docs)).collect()} == {i: len(contract(t)) for i, t in docs}
+
+
 def test_ledger(spark, tmp_path, reference_tokens):
     docs = [(1, "a b"), (2, None), (3, "c  d\n\n e"), (4, "f")]
     counts = token_ledger.versions(token_ledger.token_counts(documents(spark, docs))).withColumn("lang", F.when(F.col("doc_id") == 4, None).otherwise(F.col("lang")))
