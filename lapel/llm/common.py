@@ -101,9 +101,12 @@ def ranges(starts: np.ndarray, counts: np.ndarray, kind: type = np.int64) -> np.
     return out
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte and end of every word, and for each text the number of words before it (n + 1 numbers)."""
-    blank = _BLANK[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of every word, and for each text the number of words before it (n + 1 numbers).
+
+    `outside` says for each of the 256 bytes whether it parts words.
+    """
+    blank = outside[data]
     inner = offsets[:-1][offsets[:-1] < offsets[1:]]
     first = ~blank
     first[1:] &= blank[:-1]

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapel.llm import exact_dedup, packing, quality_rules, secret_scan, sentencepiece_dropout, simhash, substring_dedup, suffix_dedup, token_ledger, warc
+from lapel.llm import (
+    decontamination,
+    exact_dedup,
+    fill_in_middle,
+    packing,
+    quality_rules,
+    secret_scan,
+    sentencepiece_dropout,
+    simhash,
+    source_audit,
+    substring_dedup,
+    suffix_dedup,
+    token_ledger,
+    warc,
+)
 from lapel.llm.common import materialise, scratch_path
 
 
@@ -72,6 +86,18 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, folder, "documents"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), window=10)
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.divergence(_table(spark, folder, "documents"), least_docs=10, top=10)
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle.digest(_table(spark, folder, "documents"), seed=1, plain=10, spm=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_array_dedup,
         op9_best_fit_packing,
         op10_exact_dedup,
+        op11_benchmark_decontamination,
+        op12_source_divergence,
+        op13_fill_in_middle,
     )
 }
 
@@ -94,4 +123,7 @@ ORACLE: dict[str, str] = {
     "op7_warc_writer": warc.oracle(),
     "op8_suffix_array_dedup": suffix_dedup.oracle(),
     "op10_exact_dedup": exact_dedup.oracle(),
+    "op11_benchmark_decontamination": decontamination.oracle(),
+    "op12_source_divergence": source_audit.oracle(),
+    "op13_fill_in_middle": fill_in_middle.oracle(),
 }
