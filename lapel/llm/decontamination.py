@@ -30,7 +30,7 @@ _LOWER[0x41:0x5B] += 0x20
 _OUTSIDE = np.array([c < 0x80 and not (0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A) for c in range(256)])
 
 _SEGMENT = "row_ids array<long>, doc_ids array<long>, n_words array<int>, terms binary, term_ends binary, list_ends binary, places binary"
-_BLOCK = "block long, items array<string>, terms binary, term_ends binary, codes binary, ends binary"
+_BLOCK = "block long, items array<string>, firsts array<long>, terms binary, term_ends binary, codes binary, ends binary"
 _HIT = "row long, spans array<struct<lo: int, hi: int>>, items array<string>"
 _MATCH = "row long, doc_id long, start long, length long, item_id string, item_start long"
 
@@ -181,9 +181,10 @@ class Segment:
 
 @dataclass
 class Block:
-    """Test items: their names, the terms in them, each item's words as numbers of terms."""
+    """Test items, or parts of long ones: names, the first word's number, the terms in them, the words as numbers of terms."""
 
     items: list[str]
+    firsts: np.ndarray
     terms: pa.Array
     codes: np.ndarray
     ends: np.ndarray
@@ -191,7 +192,7 @@ class Block:
     @staticmethod
     def of(row: dict) -> Block:
         ends = np.frombuffer(row["ends"], np.int64)
-        return Block(row["items"], _unpack(row["terms"], row["term_ends"]), np.frombuffer(row["codes"], np.int32), ends)
+        return Block(row["items"], np.array(row["firsts"], np.int64), _unpack(row["terms"], row["term_ends"]), np.frombuffer(row["codes"], np.int32), ends)
 
     def windows(self, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Distinct windows of equal length: rows of term numbers; and who has them: upto n + 1 offsets, items, starts."""
@@ -205,7 +206,7 @@ class Block:
             _, first, same = np.unique(rows.view(f"V{4 * length}").ravel(), return_index=True, return_inverse=True)
             order = np.argsort(same, kind="stable")
             upto = np.concatenate([[0], np.cumsum(np.bincount(same, minlength=len(first)))])
-            yield rows[first].astype(np.int64), upto, item[order], start[order]
+            yield rows[first].astype(np.int64), upto, item[order], (start + self.firsts[item])[order]
 
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = 10, most_words: int = 1 << 20) -> DataFrame:
@@ -214,6 +215,8 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
     An item beyond a block's size goes in parts that share width - 1 words. Items without words are in no block; a null
     id counts as ''.
     """
+    if not 1 <= width <= most_words:
+        raise ValueError("a window has one word at least and no more than a block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -221,22 +224,22 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
             codes, terms, upto = _coded(batch.column("text"))
             names = batch.column("item").to_pylist()
             step = most_words - width + 1
-            parts = [(names[i], a, min(a + most_words, e)) for i, (s, e) in enumerate(zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)) for a in range(s, max(s + 1, e - width + 1), step) if s < e]
+            parts = [(names[i], a, min(a + most_words, e), a - s) for i, (s, e) in enumerate(zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)) for a in range(s, max(s + 1, e - width + 1), step) if s < e]
             while parts:
                 room, taken = most_words, 0
-                while taken < len(parts) and (room := room - (parts[taken][2] - parts[taken][1])) >= 0:
+                while taken < len(parts) and (room := room - parts[taken][2] + parts[taken][1]) >= 0:
                     taken += 1
                 now, parts = parts[:taken], parts[taken:]
-                words = np.concatenate([codes[a:b] for _, a, b in now])
+                words = np.concatenate([codes[a:b] for _, a, b, _ in now])
                 used, local = np.unique(words, return_inverse=True)
-                blobs = [*_pack(terms.take(pa.array(used))), local.astype(np.int32).tobytes(), np.cumsum([b - a for _, a, b in now]).astype(np.int64).tobytes()]
-                columns = [pa.array([number], pa.int64()), pa.array([[n for n, _, _ in now]], pa.list_(pa.string()))]
+                blobs = [*_pack(terms.take(pa.array(used))), local.astype(np.int32).tobytes(), np.cumsum([b - a for _, a, b, _ in now]).astype(np.int64).tobytes()]
+                columns = [pa.array([number], pa.int64()), pa.array([[x[0] for x in now]], pa.list_(pa.string())), pa.array([[x[3] for x in now]], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array([b], pa.binary()) for b in blobs)], _names(_BLOCK))
                 number += 1
 
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return materialise(rows.repartition(max(1, size // (4 * most_words)), "item", "text").mapInArrow(run, _BLOCK), "items")
+    return materialise(rows.repartition(max(1, size // (4 * most_words))).mapInArrow(run, _BLOCK), "items")
 
 
 def _asked(index: DataFrame, blocks: DataFrame, answer: Callable[[Segment, Block, list], Iterator[pa.RecordBatch]], prepare: Callable[[Block], list], schema: str) -> DataFrame:
@@ -298,7 +301,7 @@ def _matches(segment: Segment, start: np.ndarray, length: np.ndarray, names: pa.
     return pa.RecordBatch.from_arrays([pa.array(segment.rows[doc]), ids, pa.array(start - segment.starts[doc]), pa.array(length), names, pa.array(item_start)], _names(_MATCH))
 
 
-def phrase_matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 10) -> DataFrame:
+def phrase_matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 10, most_words: int = 1 << 20) -> DataFrame:
     """row, doc_id, start, length, item_id, item_start: where `length` words of a document equal a window of an item.
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. Equal windows
@@ -313,10 +316,10 @@ def phrase_matches(index: DataFrame, items: DataFrame, id_col: str = "item_id",
                 at, start = ranges(upto[which], each), np.repeat(start, each)
                 yield _matches(segment, start, np.full(len(start), windows.shape[1]), names.take(pa.array(item[at])), first[at])
 
-    return _asked(index, item_blocks(items, id_col, text_col, window), answer, lambda b: list(b.windows(window)), _MATCH)
+    return _asked(index, item_blocks(items, id_col, text_col, window, most_words), answer, lambda b: list(b.windows(window)), _MATCH)
 
 
-def proximity_matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 10, within: int = 20) -> DataFrame:
+def proximity_matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 10, within: int = 20, most_words: int = 1 << 20) -> DataFrame:
     """As `phrase_matches`, for the words of a window in any order, each once, within `within` places of a document.
 
     A match is a least stretch: none that holds all the words ends at the same place and starts later. start and length
@@ -334,10 +337,10 @@ def proximity_matches(index: DataFrame, items: DataFrame, id_col: str = "item_id
                     at = np.tile(at, len(found))
                     yield _matches(segment, start, length, names.take(pa.array(item[at])), first[at])
 
-    return _asked(index, item_blocks(items, id_col, text_col, window), answer, lambda b: list(b.windows(window)), _MATCH)
+    return _asked(index, item_blocks(items, id_col, text_col, window, most_words), answer, lambda b: list(b.windows(window)), _MATCH)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", segment_bytes: int = 4 << 20, most_words: int = 1 << 20) -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit if it lies in an occurrence of a window of some item, and n_items are the items with such windows,
@@ -346,8 +349,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     each judged for themselves. An empty table of documents gives no rows, one of items leaves all documents clean.
     Other columns are not read.
     """
-    index = build_index(docs, id_col, text_col)
-    hits = _asked(index, item_blocks(items, item_col, item_text_col, window), _hits, lambda b: list(b.windows(window)), _HIT)
+    index = build_index(docs, id_col, text_col, segment_bytes)
+    hits = _asked(index, item_blocks(items, item_col, item_text_col, window, most_words), _hits, lambda b: list(b.windows(window)), _HIT)
     spans, names = (F.flatten(F.collect_list(c)) for c in ("spans", "items"))
     found = hits.groupBy("row").agg(F.array_sort(spans).alias("spans"), F.array_sort(F.array_distinct(names)).alias("items"))
     # stretches of several blocks may overlap: each adds what lies beyond those before it

@@ -33,8 +33,8 @@ def test_same_answer(spark, duck, key):
     assert comparable([tuple(r[n] for n in names) for r in df.collect()]) == comparable(expected)
 
 
-def test_ten_queries():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("key", ["op2_simhash_near_dedup", "op4_quality_rules", "op5_sentencepiece_dropout", "op6_secret_scan"])
