@@ -4,8 +4,8 @@ Encoding starts from characters and repeats: of the adjacent pairs whose joined
 best score (the leftmost of equals) and merge it. A candidate enters the agenda when its two parts come to stand side by
 side; a keyed hash of seed, document and the candidate's place decides then, with the dropout probability, that it is
 skipped. Equal seeds give equal segmentations on any cluster; dropout 0 is the model's own encoding. No piece reaches
-across a word's end, so words have agendas of their own. Those of a batch run in lockstep in numpy, one merge per word and
-round; long runs without a blank use a heap.
+across a word's end, so words have agendas of their own. Those of a slice of texts run in lockstep in numpy, one merge per
+word and round; long runs without a blank use a heap.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from lapel.llm.common import flat, ranges, slices, take_bytes
 from lapel.llm.stretches import mixed
 
 _SPACE = "▁"
-_NONE = np.int64(2**62)
 _LONG = 256
+#: Bytes of text at a time: what a slice takes stays in a core's cache.
+_SLICE = 1 << 17
 
 
 def default_model() -> str:
@@ -81,14 +82,14 @@ class Model:
         """Pairs in an open-addressing table of numpy arrays."""
         self.bits = max(4, int(4 * len(pairs)).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.values = np.zeros((1 << self.bits, 2), np.int64)
+        self.ranks, self.merged = np.full(1 << self.bits, -1, np.int32), np.zeros(1 << self.bits, np.int32)
         key = pairs[:, 0] << 32 | pairs[:, 1]
         slot, todo = self._slot(key), np.arange(len(key))
         while len(todo):
             free = self.keys[slot[todo]] < 0
             placed, first = np.unique(slot[todo][free], return_index=True)
             winner = todo[free][first]
-            self.keys[placed], self.values[placed] = key[winner], pairs[winner, 2:]
+            self.keys[placed], self.ranks[placed], self.merged[placed] = key[winner], pairs[winner, 2], pairs[winner, 3]
             todo = np.setdiff1d(todo, winner)
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
 
@@ -97,17 +98,15 @@ class Model:
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of each pair; rank -1 where the pair makes no piece."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         slot = self._slot(key)
-        rank, merged = np.full(len(key), -1, np.int64), np.zeros(len(key), np.int64)
-        todo = np.arange(len(key))
+        there = self.keys[slot]
+        todo = np.flatnonzero((there >= 0) & (there != key))
         while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
             there = self.keys[slot[todo]]
-            hit = todo[there == key[todo]]
-            rank[hit], merged[hit] = self.values[slot[hit], 0], self.values[slot[hit], 1]
             todo = todo[(there >= 0) & (there != key[todo])]
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
-        return rank, merged
+        return self.ranks[slot], self.merged[slot]  # an empty slot has rank -1
 
 
 @lru_cache(maxsize=2)
@@ -122,68 +121,86 @@ class Dropout:
         self.seed = mixed(np.array([seed & (2**64 - 1)], np.uint64))[0]
         self.below = np.uint64(min(int(share * 2**64), 2**64 - 1))
 
-    def skips(self, document: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def keyed(self, document: np.ndarray) -> np.ndarray:
+        return mixed(document.astype(np.uint64) ^ self.seed)
+
+    def skips(self, keyed: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
         if not self.below:
             return np.zeros(len(start), bool)
-        x = mixed(document.astype(np.uint64) ^ self.seed)
+        x = keyed
         for part in (start, middle, end):
             x = mixed(x ^ part.astype(np.uint64))
         return x < self.below
 
 
-def _lockstep(model: Model, drop: Dropout, sym: np.ndarray, place: np.ndarray, document: np.ndarray, offset: np.ndarray, words: np.ndarray, out: np.ndarray) -> None:
-    """Merges the words that start at `words` (positions in sym, with an end after the last), all at once.
+def _lockstep(model: Model, drop: Dropout, sym: np.ndarray, words: np.ndarray, document: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Merges the words that start at `words` (positions in sym, with an end after the last), all at once; -1 for symbols
+    that went into the one before.
 
-    place says where a symbol starts in the whole array, offset what to add for its place in its document; results go
-    to out by place.
+    document and offset are the words': the place of a word's first symbol in its document. Symbols stay where they are
+    and know their neighbours. The agenda is a key per symbol, for the pair that begins there: the pair's rank, then its
+    distance from the word's start, so that the least key of a word is the leftmost of its best pairs. A round looks for
+    those, which is the one pass over all symbols, and does the rest for a merge per word. Keys of finished words go.
     """
-    if not len(sym):
-        return
+    n = len(sym)
+    if not n:
+        return sym
+    low = _LONG.bit_length()
+    kind = np.int32 if len(model.merges) < 1 << (30 - low) else np.int64
+    none = np.iinfo(kind).max
     starts, sizes = words[:-1], np.diff(words)
-    word_end = place[np.maximum(words[1:] - 1, 0)] + 1
-    owner = np.repeat(np.arange(len(sizes)), sizes)
+    begin, keyed = offset - starts, drop.keyed(document)
+    after = np.arange(1, n + 2, dtype=np.int32)
+    after[words[1:] - 1] = n  # no neighbour: a place beyond all symbols
+    before = np.arange(-1, n, dtype=np.int32)
+    before[starts] = n
+    stop = np.arange(1, n + 2, dtype=np.int32)
+    alive = np.ones(n, bool)
+    into = np.zeros(n, np.int32)
+
+    def scored(at: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The keys of the pairs that begin at the given symbols; own is their word."""
+        right = after[at]
+        rank, merged = model.find(sym[at], sym[right])
+        into[at] = merged
+        out = np.where(rank >= 0, rank.astype(kind) << low | (at - starts[own]).astype(kind), none)
+        known = np.flatnonzero(rank >= 0)
+        at, right, own = at[known], right[known], own[known]
+        shift = begin[own]
+        out[known[drop.skips(keyed[own], at + shift, right + shift, stop[right] + shift)]] = none
+        return out
 
-    def scored(at: np.ndarray, live: np.ndarray) -> None:
-        """The agenda's keys for the pairs that begin at the given positions."""
-        key[at] = _NONE
-        at = at[(at + 1 < len(sym)) & live]
-        rank, merged = model.find(sym[at], sym[at + 1])
-        at, rank, merged = at[rank >= 0], rank[rank >= 0], merged[rank >= 0]
-        last = np.minimum(at + 2, len(sym) - 1)
-        ends = np.where((at + 2 < len(sym)) & (owner[last] == owner[at]), place[last], word_end[owner[at]])
-        doc = document[place[at]]
-        skip = drop.skips(doc, place[at] + offset[place[at]], place[at + 1] + offset[place[at]], ends + offset[place[at]])
-        key[at[~skip]], into[at[~skip]] = rank[~skip] << 24, merged[~skip]
-
-    key, into = np.full(len(sym), _NONE), np.zeros(len(sym), np.int64)
-    every = np.arange(len(sym))
-    scored(every, np.append(owner[1:] == owner[:-1], False))
-    while len(sym):
-        # the leftmost of a word's best pairs: positions within a word are far below 2**24
-        best = np.minimum.reduceat(np.where(key < _NONE, key + (np.arange(len(sym)) - np.repeat(starts, sizes)), _NONE), starts)
-        more = best < _NONE
-        if not more.all():
-            done = np.repeat(~more, sizes)
-            out[place[done]] = sym[done]
-            keep = ~done
-            sym, place, key, into = sym[keep], place[keep], key[keep], into[keep]
-            sizes, word_end, best = sizes[more], word_end[more], best[more]
-            starts = np.cumsum(sizes) - sizes
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            if not len(sym):
-                return
-        at = starts + (best & ((1 << 24) - 1))
-        sym[at] = into[at]
-        keep = np.ones(len(sym), bool)
-        keep[at + 1] = False
-        moved = np.cumsum(keep) - 1
-        sym, place, key, into, owner = sym[keep], place[keep], key[keep], into[keep], owner[keep]
-        sizes = sizes - 1
-        starts = np.cumsum(sizes) - sizes
-        at = moved[at]
-        scored(at, (at + 1 < len(sym)) & (owner[np.minimum(at + 1, len(sym) - 1)] == owner[at]))
-        before = at[at > starts[owner[at]]] - 1
-        scored(before, np.ones(len(before), bool))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    inner = np.flatnonzero(after[:n] < n)
+    keys = np.full(n, none, kind)
+    keys[inner] = scored(inner, owner[inner])
+    active, heads = np.arange(len(sizes)), starts  # words with keys, and where those begin
+    while len(active):
+        best = np.minimum.reduceat(keys, heads)
+        more = best < none
+        left = int(more.sum())
+        if left < 0.75 * len(active):
+            keys = keys[np.repeat(more, sizes[active])]
+            active, best = active[more], best[more]
+            heads = np.cumsum(sizes[active]) - sizes[active]
+            now = np.arange(left)
+        else:
+            now = np.flatnonzero(more)
+        own = active[now]
+        to_key = heads[now] - starts[own]
+        at = starts[own] + (best[now] & ((1 << low) - 1))
+        gone = after[at]
+        sym[at], alive[gone] = into[at], False
+        stop[at], after[at] = stop[gone], after[gone]
+        before[after[at]] = at
+        keys[to_key + at] = none
+        keys[to_key + gone] = none
+        first = before[at]
+        sides = np.concatenate([np.flatnonzero(after[at] < n), np.flatnonzero(first < n)])
+        split = int((after[at] < n).sum())
+        pair = np.concatenate([at[sides[:split]], first[sides[split:]]])
+        keys[to_key[sides] + pair] = scored(pair, own[sides])
+    return np.where(alive, sym, -1)
 
 
 def _agenda(model: Model, drop: Dropout, sym: list[int], document: int, first: int) -> list[int]:
@@ -192,7 +209,7 @@ def _agenda(model: Model, drop: Dropout, sym: list[int], document: int, first: i
     after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     heap: list[tuple[int, int, int, int]] = []
     alive = [True] * n
-    key = np.array([document], np.int64)
+    key = drop.keyed(np.array([document], np.int64))
 
     def push(i: int) -> None:
         j = after[i]
@@ -249,7 +266,9 @@ def encode(column: pa.Array, keys: np.ndarray, path: str, seed: int, dropout: fl
     out = np.full(len(sym), -1, np.int64)
     short = lengths <= _LONG
     place = ranges(starts[short], lengths[short])
-    _lockstep(model, drop, sym[place], place, document, offset, np.concatenate([[0], np.cumsum(lengths[short])]), out)
+    first = starts[short]
+    words = np.concatenate([[0], np.cumsum(lengths[short])])
+    out[place] = _lockstep(model, drop, sym[place].astype(np.int32), words, document[first], first + offset[first])
     for a, n in zip(starts[~short].tolist(), lengths[~short].tolist(), strict=True):
         out[a : a + n] = _agenda(model, drop, sym[a : a + n].tolist(), int(document[a]), a + int(offset[a]))
     return _with_bytes(model, out, begins, marked)
@@ -308,7 +327,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", see
     path = model_path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", _SLICE):
             ids, at = encode(batch.column("text"), _keys(batch), path, seed, dropout)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
@@ -336,7 +355,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = model_path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", _SLICE):
             ids, at = encode(batch.column("text"), _keys(batch), path, seed, dropout)
             raw, ends = ids.astype("<u4").tobytes(), (4 * at).tolist()
             data, offsets = flat(batch.column("text"))
