@@ -24,7 +24,7 @@ LOWER_OR_BLANK = bytes(c | 0x20 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A
 
 SCALE = 1_000_000_000
 _COUNTS = "lang string, source string, term string, docs long, n long"
-_PART = "lang string, a string, b string, value long"
+_PART = "lang string, a string, b string, value long, seen long, floor long, terms long"
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", most: int = 300_000) -> DataFrame:
@@ -46,12 +46,14 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         size = 0
         for batch in slices(batches, "text", 8 << 20):
             texts, langs, sources = (batch.column(c).to_pylist() for c in ("text", "lang", "source"))
-            for text, lang, source in zip(texts, langs, sources, strict=True):
-                own = Counter(text.translate(LOWER_OR_BLANK).split())
+            # group after group: the counts of one are at hand while its documents are added
+            for lang, source, k in sorted(zip(langs, sources, range(len(texts)), strict=True)):
+                words = texts[k].translate(LOWER_OR_BLANK).split()
+                own = Counter(words)
                 have, total = held.setdefault((lang, source), (Counter(), Counter()))
                 before = len(have)
                 have.update(own.keys())
-                total.update(own)
+                total.update(words)  # as adding `own` does, in one C loop
                 size += len(have) - before
                 if size > most:
                     yield from rows(held)
@@ -79,25 +81,29 @@ def _block_sums(rows: pd.DataFrame) -> pd.DataFrame:
     """Sums of distances over one block of terms, for each pair of sources that this pair of blocks is for.
 
     Rows without term say which sources there are and their probability of a term that they lack. The table filled in
-    here has the sources of two blocks by the terms of one.
+    here has the sources of two blocks by those terms of one that any of them holds: `seen` of them. Any other term lies
+    `floor` apart.
     """
-    lang, one, other = rows["lang"].iloc[0], rows["one"].iloc[0], rows["other"].iloc[0]
+    one, other = rows["one"].iloc[0], rows["other"].iloc[0]
     groups = rows[rows["term"].isna()].sort_values("source")
     own = rows[rows["term"].notna()]
     names, blocks = groups["source"].to_numpy(), groups["block"].to_numpy()
     code, terms = pd.factorize(own["term"])
-    dense = np.repeat(groups["p"].fillna(1).to_numpy(np.int64)[:, None], len(terms), axis=1)
+    least = groups["p"].fillna(1).to_numpy(np.int64)
+    dense = np.repeat(least[:, None], len(terms) + 1, axis=1)  # the last column: a term that none of them holds
     dense[np.searchsorted(names, own["source"].to_numpy()), code] = own["p"].to_numpy(np.int64)
     out = []
     for a in np.flatnonzero(blocks == one):
         rest = np.flatnonzero(blocks == other)
         rest = rest[rest > a] if one == other else rest
         gap = dense[rest] - dense[a]
-        out.append(pd.DataFrame({"lang": lang, "a": names[a], "b": names[rest], "value": (gap * gap // (dense[rest] + dense[a])).sum(axis=1)}))
-    return pd.concat(out) if out else pd.DataFrame({"lang": [], "a": [], "b": [], "value": np.zeros(0, np.int64)})
+        apart = gap * gap // (dense[rest] + dense[a])
+        out.append(pd.DataFrame({"a": names[a], "b": names[rest], "value": apart[:, :-1].sum(axis=1), "floor": apart[:, -1]}))
+    found = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "value": [], "floor": []})
+    return found.assign(lang=rows["lang"].iloc[0], seen=len(terms), terms=rows["terms"].iloc[0])[["lang", "a", "b", "value", "seen", "floor", "terms"]]
 
 
-def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 10, top: int = 10, block_sources: int = 256, block_cells: int = 1 << 20) -> DataFrame:
+def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 10, top: int = 10, block_sources: int = 256, block_cells: int = 1 << 15) -> DataFrame:
     """lang, source, part, item, value, rank: the audit of every (lang, source) group.
 
     A language keeps the terms that at least `least_docs` of its documents hold. A group's p of a kept term with count c
@@ -109,7 +115,8 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     Null text, lang and source count as ''; a document without terms makes its group occur all the same; a language
     without kept terms has pairs of distance 0. Rows that repeat count each. An empty table gives no rows; other columns
     are not read. Each (lang, term) has a row per source at most once tasks have added up, so neither a hot source nor
-    a hot term outweighs others; a block holds about `block_cells` numbers however many terms and sources there are.
+    a hot term outweighs others; a block holds about `block_cells` numbers, or 16 terms for each pair of its sources, however
+    many terms and sources there are.
     """
     n = partitions_of(docs.sparkSession)
     spread = term_counts(docs, text_col, lang_col, source_col).repartition(n, "lang", "term")
@@ -141,14 +148,16 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     # every source of a language meets every block of its terms; with many sources, two blocks of them at a time
     blocks = F.ceil(F.col("sources") / block_sources).cast("int")
-    slots = F.greatest(F.lit(1), F.ceil(F.col("terms") * F.least("sources", F.lit(2 * block_sources)) / block_cells)).cast("int")
+    side = F.least("sources", F.lit(2 * block_sources))
+    slots = F.greatest(F.lit(1), F.ceil(F.col("terms") * side / F.greatest(F.lit(block_cells), 16 * side * side))).cast("int")
     mine = F.pmod(F.xxhash64("source"), blocks).cast("int")
     slot = F.when(counted, F.array(F.pmod(F.xxhash64("term"), slots).cast("int"))).otherwise(F.sequence(F.lit(0), slots - 1))
-    dealt = rows.select("lang", "source", "term", "p", mine.alias("block"), blocks.alias("blocks"), F.explode(slot).alias("slot"))
+    dealt = rows.select("lang", "source", "term", "p", "terms", mine.alias("block"), blocks.alias("blocks"), F.explode(slot).alias("slot"))
     dealt = dealt.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     dealt = dealt.withColumns({"one": F.least("block", "mate"), "other": F.greatest("block", "mate")}).drop("mate")
     parts = dealt.groupBy("lang", "slot", "one", "other").applyInPandas(_block_sums, _PART)
-    pairs = parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    unseen = F.max("terms") - F.sum("seen")
+    pairs = parts.groupBy("lang", "a", "b").agg((F.sum("value") + unseen * F.max("floor")).alias("value"))
     both = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"))))
     pairs = pairs.select("lang", both.alias("s"), "value").select("lang", "s.source", "s.item", "value")
     return ranked(pairs, "pair").unionByName(telling)
