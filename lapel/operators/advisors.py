@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from lapel.functions.money import mean, money, total
 from lapel.functions.names import full_name
 from lapel.operators.ranking import number_rows
-from lapel.session import written_once
 from lapel.sources.star import Star
 
 
@@ -98,10 +97,10 @@ def best_aov_advisors(star: Star, n: int = 1) -> DataFrame:
 
 
 def rank_by_revenue(star: Star) -> DataFrame:
-    """Every advisor with sales, numbered by revenue. The sums are written once, then numbered."""
+    """Every advisor with sales, numbered by revenue. The sums are written to the scratch folder."""
     sums = _by_advisor(star, [total("total_amount").alias("total")])
     named = star.advisors("advisor_id", "first_name", "last_name").join(sums, "advisor_id")
-    ranked = number_rows(written_once(named), "total", "advisor_id")
+    ranked = number_rows(named, "total", "advisor_id")
     return ranked.select(
         "advisor_id",
         full_name("first_name", "last_name").alias("advisor_name"),

@@ -4,70 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lapel.session import written_once
+
 TIE_SPAN = 1 << 16
-BANDS = 128
 
 
 def top_in_group(df: DataFrame, group: Sequence[str], value: str, tie: str, n: int, out: str = "rank") -> DataFrame:
-    """The rows of the n highest ``value`` per group (NULL last, ties by ``tie``), numbered.
+    """The rows of the n highest ``value`` per group (NULL last, ties by ``tie``, of any type), numbered; lazy.
 
-    Spark prunes each map task to n rows per group before it shuffles, where n is within its bound for that. Beyond
-    it a whole group would go to one task, so all rows are numbered the distributed way and cut; order and result are
-    the same. ``tie`` is then an integer.
+    One path whatever the n: a group is dealt out in slots by a hash of ``tie`` and each slot keeps its n best, then the
+    group keeps the n best of those. So a task sorts one slot of a group, and at the end n rows per slot of it, never the
+    group. Where n is within Spark's bound for that, map tasks drop what cannot be among the best before both shuffles.
     """
-    if n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        rank = F.row_number().over(W.partitionBy(*group).orderBy(F.desc_nulls_last(value), tie))
-        return df.withColumn(out, rank).filter(F.col(out) <= n).withColumn(out, F.col(out).cast("long"))
-    return number_rows(df, value, tie, group, out).filter(F.col(out) <= n)
+    best_first = [F.desc_nulls_last(value), F.col(tie)]
+    slot = F.pmod(F.xxhash64(tie), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    own = F.row_number().over(W.partitionBy(*group, slot).orderBy(*best_first))
+    best = df.withColumn("_own", own).filter(F.col("_own") <= n).drop("_own")
+    rank = F.row_number().over(W.partitionBy(*group).orderBy(*best_first))
+    return best.withColumn(out, rank).filter(F.col(out) <= n).withColumn(out, F.col(out).cast("long"))
 
 
-def number_rows(
-    df: DataFrame, value: str, tie: str, group: Sequence[str] = (), out: str = "rank", bands: int = BANDS, span: int = TIE_SPAN
-) -> DataFrame:
-    """ROW_NUMBER() OVER (PARTITION BY group ORDER BY value DESC NULLS LAST, tie), for every row.
+def number_rows(df: DataFrame, value: str, tie: str, group: Sequence[str] = (), out: str = "rank") -> DataFrame:
+    """ROW_NUMBER() OVER (PARTITION BY group ORDER BY value DESC NULLS LAST, tie), for every row; ``tie`` of any type.
 
-    A plain window would sort a whole group in one task, and one group may hold a third of all rows. Here a row's
-    number is (rows in higher bands) + (rows above it in its band) + (place in its cell). Bands lie between quantiles of
-    the group's own values, so each holds about one in ``bands`` of its distinct places, however the values lie; the
-    quantiles are approximate, the numbers exact. A cell is one exact value and one run of ``span`` keys ``tie``. Bands
-    and cells are counts, made with map-side combining; only cells are sorted row by row, and a cell is small even if
-    one value is held by most rows, because ``tie`` (a unique integer) splits it.
+    A plain window would sort a whole group in one task, and one group may hold a third of all rows. Here the rows are
+    dealt out by ranges of (group, value, tie), between splitters that Spark samples, so that a group, or a value that
+    most rows hold, lies in as many tasks as its size asks for. Each task sorts its range and numbers it; ranges follow
+    each other, so a row's number is its place among its group's rows in its range, plus those in the ranges before: a
+    prefix sum over one row per (range, group).
 
-    ``df`` is used three times: give it written if it is dear.
+    The sorted rows are written to the scratch folder, since splitters differ from one evaluation to the next. ``df``
+    is evaluated twice, for the sample and for the rows. Rows equal in group, value and tie are numbered in any order.
     """
-    cuts = F.percentile_approx(value, [k / bands for k in range(1, bands)], 10 * bands).alias("_cuts")
-    if group:
-        keyed = _same(df, df.groupBy(*group).agg(cuts), group)
-    else:
-        keyed = df.withColumn("_cuts", df.agg(cuts).scalar())
-    higher = F.size(F.filter("_cuts", lambda cut: cut > F.col(value)))
-    keyed = keyed.withColumns(
-        {
-            "_value": F.col(value),
-            "_run": F.expr(f"{tie} div {span}"),
-            "_band": F.when(F.col(value).isNull(), bands).otherwise(higher),
-        }
-    ).drop("_cuts")
-    cells = keyed.groupBy(*group, "_band", "_value", "_run").agg(F.count(F.lit(1)).alias("_n"))
-
-    def rows_before(part: Sequence[str], *order: Column) -> Column:
-        earlier = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        return F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-
-    totals = cells.groupBy(*group, "_band").agg(F.sum("_n").alias("_n"))  # `bands` + 1 rows per group at most
-    totals = totals.withColumn("_above", rows_before(group, F.asc("_band"))).drop("_n")
-    in_band = rows_before([*group, "_band"], F.desc_nulls_last("_value"), F.asc("_run"))
-    cells = cells.withColumn("_over", in_band).drop("_n")
-    starts = _same(cells, totals, [*group, "_band"]).withColumn("_start", F.col("_above") + F.col("_over"))
-    starts = starts.select(*group, "_band", "_value", "_run", "_start")
-
-    place = F.row_number().over(W.partitionBy(*group, "_band", "_value", "_run").orderBy(tie))
-    placed = _same(keyed.withColumn("_place", place), starts, [*group, "_band", "_value", "_run"])
-    return placed.select(*df.columns, (F.col("_start") + F.col("_place")).alias(out))
+    order = [*(F.col(g) for g in group), F.desc_nulls_last(value), F.col(tie)]
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written_once(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    # the upper bits of that id are the number of the task, the lower ones that of the row in it
+    ranged = placed.withColumn("_range", F.shiftright("_at", 33))
+    heads = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    heads = heads.select(*group, "_range", (F.coalesce(before, F.lit(0)) + 1 - F.col("_first")).alias("_shift"))
+    numbered = _same(ranged, heads, [*group, "_range"])
+    return numbered.select(*df.columns, (F.col("_at") + F.col("_shift")).alias(out))
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
