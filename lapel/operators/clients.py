@@ -12,7 +12,7 @@ from lapel.functions.dates import days_since, inactive_for, year_span
 from lapel.functions.money import mean_of_totals, money, total_of_totals
 from lapel.functions.names import full_name
 from lapel.operators.ranking import number_rows, top_in_group
-from lapel.session import written_once
+from lapel.session import id_set, written_once
 from lapel.sources.star import Star
 
 NAME = ("first_name", "last_name")
@@ -99,20 +99,20 @@ def inactive_high_value(star: Star, as_of: date, days: int = 180, min_spend: flo
 def _buyer_ids(star: Star, category: str, year: int) -> DataFrame:
     rows = star.sales("product_id", "client_id", **year_span(year))
     wanted = star.products("product_id", "category").filter(F.col("category") == category)
-    return rows.join(wanted.select("product_id"), "product_id", "left_semi").select("client_id").distinct()
+    return rows.join(wanted.select("product_id"), "product_id", "left_semi").select("client_id")
 
 
 def category_buyers(star: Star, category: str, year: int) -> DataFrame:
-    """Clients who bought from a category in a year. Buyers are made distinct before they meet the clients."""
-    ids = _buyer_ids(star, category, year)
+    """Clients who bought from a category in a year. The buyers' ids are written once, then meet the clients."""
+    ids = id_set(_buyer_ids(star, category, year))
     out = star.clients("client_id", *NAME, "email", "membership_tier", "last_purchase_date", ids=ids)
     return out.select("client_id", _name(), "email", "membership_tier", "last_purchase_date")
 
 
 def buyers_now_inactive(star: Star, buyers: DataFrame, as_of: date, days: int = 90) -> DataFrame:
-    """The follow-up "of those, who has not bought for ``days`` days": takes the first answer's client ids."""
+    """The follow-up "of those, who has not bought for ``days`` days": takes the first answer's client ids, written once."""
     cols = ("email", "membership_tier", "lifetime_spend", "last_purchase_date")
-    rows = star.clients("client_id", *NAME, "advisor_id", *cols, ids=buyers.select("client_id").distinct())
+    rows = star.clients("client_id", *NAME, "advisor_id", *cols, ids=id_set(buyers.select("client_id")))
     rows = rows.filter(inactive_for("last_purchase_date", as_of, days))
     rows = rows.withColumn("client_name", full_name(*NAME)).drop(*NAME)
     rows = rows.join(_advisor_names(star, "advisor"), "advisor_id")
@@ -160,10 +160,10 @@ def bought_x_never_y(
 ) -> DataFrame:
     """Clients who bought ``brand`` in ``category`` and never category ``never`` (of ``never_brand`` if given).
 
-    One pass over the fact; each sale of either kind marks its client, and the marks are combined map-side.
+    One pass over the fact finds them; each sale of either kind marks its client, and the marks are combined map-side.
     ``anti`` and ``except`` (the difference of the two sets of ids) are clients with the first mark and not the second.
-    ``not_in``: the same, but as ``NOT IN`` has it a sale of ``never`` without client empties the answer; that asks the
-    combined marks a second time.
+    ``not_in``: the same, but as ``NOT IN`` has it a sale of ``never`` without client empties the answer. The clients
+    found, and that mark, are written once.
     """
     is_x = (F.col("brand") == brand) & (F.col("category") == category)
     is_y = F.col("category") == never
@@ -174,10 +174,11 @@ def bought_x_never_y(
     items = items.select("product_id", *either)
     rows = star.sales("product_id", "client_id").join(items, "product_id")
     marks = rows.groupBy("client_id").agg(F.max("x").alias("x"), F.max("y").alias("y"))
-    ids = marks.filter(F.col("x") & ~F.col("y")).select("client_id")
+    found = marks.filter(F.when(F.col("client_id").isNull(), F.col("y")).otherwise(F.col("x") & ~F.col("y")))
     if method == "not_in":
-        unknown = marks.filter(F.col("client_id").isNull() & F.col("y")).agg(F.count(F.lit(1)))
-        ids = ids.filter(unknown.scalar() == 0)
+        found = written_once(found.select("client_id"))
+        found = found.filter(F.lit(found.filter(F.col("client_id").isNull()).isEmpty()))
+    ids = id_set(found.select("client_id"))
     cols = ("membership_tier", "lifetime_spend", "preferred_category")
     people = star.clients("client_id", *NAME, "advisor_id", *cols, ids=ids)
     people = people.withColumn("client_name", full_name(*NAME)).drop(*NAME)
@@ -274,7 +275,7 @@ RANKED = ("email", "membership_tier", "lifetime_spend", "total_orders", "last_pu
 def _ranked(rows: DataFrame, as_of: date, bounds: Bounds, top_n: int | None) -> DataFrame:
     how = ("lifetime_spend", "client_id")
     if top_n is None:
-        rows = number_rows(written_once(rows), *how, ["preferred_store_id"])
+        rows = number_rows(rows, *how, ["preferred_store_id"])
     else:
         rows = top_in_group(rows, ["preferred_store_id"], *how, top_n)
     return with_risk_tier(rows, as_of, bounds).select(
@@ -295,7 +296,7 @@ def get_top_clients(
 ) -> DataFrame:
     """Clients of one store ranked by spend with their risk label; all of them unless ``top_n`` is given.
 
-    Numbering all writes the rows to the scratch folder first: they are used three times.
+    Numbering all writes the rows to the scratch folder.
     """
     book = star.clients("client_id", "preferred_store_id").filter(F.col("preferred_store_id") == store_id)
     rows = star.clients("client_id", *NAME, *RANKED, ids=book.select("client_id"))

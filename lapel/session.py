@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str | int = "*", app: str = "lapel", shuffle_partitions: int = 8) -> SparkSession:
@@ -42,5 +43,22 @@ def scratch_dir(spark: SparkSession) -> str:
 def written_once(df: DataFrame) -> DataFrame:
     """The rows written to the scratch folder and read back, for a result that is used several times."""
     path = scratch_dir(df.sparkSession) + "/rows"
-    df.write.parquet(path)
+    save(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def save(df: DataFrame, path: str) -> None:
+    df.write.parquet(path)
+
+
+def id_set(ids: DataFrame) -> DataFrame:
+    """The distinct values of a column, NULL left out, worked out once for all that ask for them: written, read back.
+
+    What is read back says between which values the ids lie. Spark carries that over to whatever they are joined with,
+    so it reaches the other side's scan; and it lets Spark put a Bloom filter of the ids there, where that side is large
+    enough for one (``spark.sql.optimizer.runtime.bloomFilter``).
+    """
+    (name,) = ids.columns
+    known = written_once(ids.filter(F.col(name).isNotNull()).distinct())
+    least, most = known.agg(F.min(name), F.max(name)).first()
+    return known if least is None else known.filter(F.col(name).between(least, most))
