@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -15,18 +16,40 @@ from lapel.sources.star import Star
 
 BASIC = ("lifetime_spend", "total_orders", "avg_order_value", "first_purchase_date", "last_purchase_date")
 
+#: Low bits of a packed count, for the category's number.
+NUMBER = 20
 
-def profile(sales: DataFrame, category: bool = False, gap: bool = False) -> DataFrame:
-    """One row per client from (client_id, transaction_date, total_amount[, category]) rows.
 
-    ``category`` adds preferred_category, the one bought most often (ties: first by name). ``gap`` adds
-    days between the last two purchase days.
+class Categories:
+    """Categories by number, from 1 on in order of name.
 
-    The rows are first added up per client, day and category. That is combined map-side, so a client with a third
-    of all rows reaches the window as at most one row per day and category. The window, the mode and the totals
-    then share one hash partitioning by client.
+    A number is a long, so sums per category stay in hash aggregation and shuffle no text. The names are one row, an
+    array: as many as there are categories, fewer than 2**20, whatever the number of products and sales.
     """
-    known = sales.filter(F.col("client_id").isNotNull())
+
+    def __init__(self, rows: DataFrame) -> None:
+        names = rows.filter(F.col("category").isNotNull()).select("category").distinct()
+        self.names = names.agg(F.array_sort(F.collect_list("category")).alias("names"))
+
+    def numbered(self, rows: DataFrame) -> DataFrame:
+        """The rows with their category's number in place of its name."""
+        numbers = self.names.select(F.posexplode("names").alias("_number", "category"))
+        return rows.join(numbers, "category", "left").withColumn("category", (F.col("_number") + 1).cast("long")).drop("_number")
+
+    @staticmethod
+    def packed(rows: Column) -> Column:
+        """Rows of a category and its number in one long: the greatest is of the most rows, then of the first name."""
+        return F.shiftleft(rows, NUMBER) + F.lit(1 << NUMBER) - F.col("category")
+
+    def name(self, packed: Column) -> Column:
+        return F.element_at(self.names.scalar(), (F.lit(1 << NUMBER) - packed.bitwiseAND(F.lit((1 << NUMBER) - 1))).cast("int"))
+
+
+#: What partial profiles hold beside their keys. All of it can be added up again, in any order.
+SUMS = ("high", "low", "large", "valued", "n", "first_day", "last_day")
+
+
+def _summed(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     parts = {
         **split_sums("total_amount"),
         "valued": F.count("total_amount"),
@@ -34,8 +57,10 @@ def profile(sales: DataFrame, category: bool = False, gap: bool = False) -> Data
         "first_day": F.min("transaction_date"),
         "last_day": F.max("transaction_date"),
     }
-    fine = ["client_id"] + ["transaction_date"] * gap + ["category"] * category
-    level = known.groupBy(*fine).agg(*[c.alias(n) for n, c in parts.items()])
+    return rows.groupBy(*by).agg(*[c.alias(n) for n, c in parts.items()])
+
+
+def _merged(level: DataFrame, by: Sequence[str], **more: Column) -> DataFrame:
     merged = {
         "high": F.sum("high"),
         "low": F.sum("low"),
@@ -45,18 +70,10 @@ def profile(sales: DataFrame, category: bool = False, gap: bool = False) -> Data
         "first_day": F.min("first_day"),
         "last_day": F.max("last_day"),
     }
-    if gap:
-        earlier = W.partitionBy("client_id").orderBy(F.unix_date("transaction_date"))
-        day_before = F.max("transaction_date").over(earlier.rangeBetween(W.unboundedPreceding, -1))
-        level = level.withColumn("gap", F.datediff("transaction_date", day_before))
-        merged["gap"] = F.max_by("gap", "last_day")
-        if category:
-            level = level.groupBy("client_id", "category").agg(*[c.alias(n) for n, c in merged.items()])
-    if category:
-        favour = F.struct(F.col("category").isNull(), -F.col("n"), F.col("category"))
-        merged["preferred_category"] = F.min_by("category", favour)
-    if len(fine) > 1:
-        level = level.groupBy("client_id").agg(*[c.alias(n) for n, c in merged.items()])
+    return level.groupBy(*by).agg(*[c.alias(n) for n, c in {**merged, **more}.items()])
+
+
+def _finished(level: DataFrame, categories: Categories | None, gap: bool) -> DataFrame:
     spend = whole(F.col("high"), F.col("low"), F.col("large"))
     return level.select(
         "client_id",
@@ -66,15 +83,88 @@ def profile(sales: DataFrame, category: bool = False, gap: bool = False) -> Data
         F.col("first_day").alias("first_purchase_date"),
         F.col("last_day").alias("last_purchase_date"),
         *["gap"] * gap,
-        *["preferred_category"] * category,
+        *([categories.name(F.col("favourite")).alias("preferred_category")] if categories is not None else []),
     )
 
 
+def profile(sales: DataFrame, products: DataFrame | None = None, gap: bool = False) -> DataFrame:
+    """One row per client from (client_id, transaction_date, total_amount[, product_id]) rows.
+
+    ``products`` (product_id, category) adds preferred_category, the one bought most often (ties: first by name).
+    ``gap`` adds days between the last two purchase days.
+
+    The rows are first added up per client, day and category number. That is combined map-side, so a client with a
+    third of all rows reaches the window as at most one row per day and category. The window, the mode (the greatest of
+    packed longs) and the totals then share one hash partitioning by client.
+    """
+    known = sales.filter(F.col("client_id").isNotNull())
+    categories = None if products is None else Categories(products)
+    if categories is not None:
+        known = known.join(categories.numbered(products), "product_id", "left")
+    fine = ["client_id"] + ["transaction_date"] * gap + ["category"] * (categories is not None)
+    level, last = _summed(known, fine), {}
+    if gap:
+        earlier = W.partitionBy("client_id").orderBy(F.unix_date("transaction_date"))
+        day_before = F.max("transaction_date").over(earlier.rangeBetween(W.unboundedPreceding, -1))
+        level = level.withColumn("gap", F.datediff("transaction_date", day_before))
+        last["gap"] = F.max_by("gap", "last_day")
+        if categories is not None:
+            level = _merged(level, ["client_id", "category"], **last)
+    if categories is not None:
+        last["favourite"] = F.max(Categories.packed(F.col("n")))
+    if len(fine) > 1:
+        level = _merged(level, ["client_id"], **last)
+    return _finished(level, categories, gap)
+
+
+def partial_profiles(star: Star) -> DataFrame:
+    """sale_month, client_id, category, the sums, and the last two days (last_day, prior_day) of a star's sales.
+
+    A row per month, client and category. Rows of several batches, of one month too, add up to the profile, so an
+    append writes the rows of its own sales and reads and touches no others. Categories are those of the day of writing.
+    """
+    sales = star.sales("client_id", "transaction_date", "total_amount", "product_id").filter(F.col("client_id").isNotNull())
+    sales = sales.join(star.products("product_id", "category"), "product_id", "left")
+    cell = ["sale_month", "client_id", "category"]
+    days = _summed(sales.withColumn("sale_month", F.trunc("transaction_date", "MM")), [*cell, "transaction_date"])
+    days = days.withColumn("latest", F.max("last_day").over(W.partitionBy(*cell)))
+    prior = F.max(F.when(F.col("last_day") < F.col("latest"), F.col("last_day")))
+    return _merged(days, cell, prior_day=prior).select("client_id", "category", *SUMS, "prior_day", "sale_month")
+
+
+def merged_profiles(parts: DataFrame, category: bool = False, gap: bool = False) -> DataFrame:
+    """What ``profile`` says of the same sales, from partial profiles: no sale is read again."""
+    last, names = {}, None
+    if gap:
+        latest = F.max("last_day").over(W.partitionBy("client_id"))
+        parts = parts.withColumn("latest", latest)
+        before = F.when(F.col("last_day") < F.col("latest"), F.col("last_day")).otherwise(F.col("prior_day"))
+        last["prior_day"] = F.max(before)
+    if category:
+        names = Categories(parts)
+        level = _merged(names.numbered(parts), ["client_id", "category"], **last)
+        last["favourite"] = F.max(Categories.packed(F.col("n")))
+        last |= {"prior_day": F.max("prior_day")} if gap else {}
+    else:
+        level = parts
+    level = _merged(level, ["client_id"], **last)
+    if gap:
+        level = level.withColumn("gap", F.datediff("last_day", "prior_day"))
+    return _finished(level, names, gap)
+
+
+def profiles(star: Star, category: bool = False, gap: bool = False) -> DataFrame:
+    """The profile of every buyer: from the partial profiles that the star keeps, else from its sales."""
+    parts = star.profile_parts()
+    if parts is not None:
+        return merged_profiles(parts, category, gap)
+    sales = star.sales("client_id", "transaction_date", "total_amount", *["product_id"] * category)
+    return profile(sales, star.products("product_id", "category") if category else None, gap)
+
+
 def client_profile(star: Star) -> DataFrame:
     """lifetime_spend, total_orders, avg_order_value, first / last purchase, preferred_category per buyer."""
-    sales = star.sales("client_id", "transaction_date", "total_amount", "product_id")
-    sales = sales.join(star.products("product_id", "category"), "product_id", "left")
-    out = profile(sales, category=True)
+    out = profiles(star, category=True)
     return out.select(
         "client_id",
         money("lifetime_spend").alias("lifetime_spend"),
@@ -87,9 +177,8 @@ def client_profile(star: Star) -> DataFrame:
 
 
 def segment_clients(star: Star, as_of: date, bounds: Bounds = HOUSE) -> DataFrame:
-    """client_id, days_since_last, total_orders, gap, is_vip, client_segment from the sales alone."""
-    sales = star.sales("client_id", "transaction_date", "total_amount")
-    base = profile(sales, gap=True).select(
+    """client_id, days_since_last, total_orders, gap, is_vip, client_segment from the sales, or partial profiles, alone."""
+    base = profiles(star, gap=True).select(
         "client_id",
         days_since("last_purchase_date", as_of).alias("days_since_last"),
         "total_orders",

@@ -216,9 +216,7 @@ class ConformedStar(Star):
         sales = self.sales(*cols, *(["product_id"] if category else []))
         if ids is not None:
             sales = sales.join(ids, F.col("client_id") == F.col("wanted_id"), "left_semi")
-        if category:
-            sales = sales.join(self._products(("product_id", "category")), "product_id", "left")
-        return profile(sales, category=category, gap=gap)
+        return profile(sales, self._products(("product_id", "category")) if category else None, gap)
 
 
 def _select(df: DataFrame, made: dict[str, Callable[[], Column]], cols: tuple[str, ...]) -> DataFrame:

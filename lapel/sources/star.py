@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lapel.sources.schema import FOREIGN_KEYS, SCHEMAS, TABLE_COMMENTS
+from lapel.sources.snapshots import Snapshot, Snapshots
 
 Day = date | Column | str
 MONTH = "sale_month"
+PARTS = "profile_parts"
 
 
 def day(value: Day) -> Column:
@@ -40,6 +42,10 @@ class Star:
         """The same star with whatever it derives from its fact derived from ``stored``."""
         return self
 
+    def profile_parts(self) -> DataFrame | None:
+        """Partial profiles kept beside the fact (``operators.profile.partial_profiles``), if there are any."""
+        return None
+
     def stores(self, *cols: str) -> DataFrame:
         return self.table("stores", cols)
 
@@ -77,10 +83,11 @@ class Star:
 
 
 class StoredStar(Star):
-    """Tables kept in a catalog namespace or under a folder of parquet directories.
+    """Tables kept in a catalog namespace, under a folder written by :func:`write_star`, or in a folder per table.
 
     A fact written by :func:`write_star` is partitioned by month; date bounds
-    are turned into bounds on the month so that only the partitions needed are listed and read.
+    are turned into bounds on the month so that only the partitions needed are listed and read. Of such a folder a star
+    sees what was committed when it was first read from; take a new star to see later commits.
 
     Nothing is inferred from files: they are read as declared, or as ``schemas`` says where a source's keys differ in
     type.
@@ -98,18 +105,41 @@ class StoredStar(Star):
         self.spark, self.namespace, self.path = spark, namespace, path
         self.schemas = {**SCHEMAS, **(schemas or {})}
         self._scans: dict[str, DataFrame] = {}
+        self._seen: Snapshot | None = None
+        self._listed = namespace is not None
+
+    def snapshot(self) -> Snapshot | None:
+        """What the folder's commits said when this star was first read from; None for a folder without commits."""
+        if not self._listed:
+            self._seen = Snapshots(self.spark, self.path).current()
+            self._listed = True
+        return self._seen
+
+    def folders(self) -> dict[str, list[str]] | None:
+        """Where each table lies; None for tables that lie where their name says."""
+        seen = self.snapshot()
+        return seen and seen.folders
 
     def scan(self, name: str) -> DataFrame:
-        """The table as stored. A folder is listed once per star; take a new star to see files written since."""
+        """The table as stored; a folder is listed once per star."""
         if self.namespace is not None:
             return self.spark.table(f"{self.namespace}.{name}")
         if name not in self._scans:
-            schema = self.schemas[name]
-            if name == "transactions":
+            folders = self.folders()
+            schema, reader = self.schemas[name] if name != PARTS else _parts_schema(self.schemas), self.spark.read
+            if name in (PARTS, "transactions"):
                 schema = T.StructType([*schema.fields, T.StructField(MONTH, T.DateType())])
-            self._scans[name] = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            if folders is not None and name in (PARTS, "transactions"):
+                # batches side by side: their names are partitions, too
+                reader = reader.option("basePath", Snapshots(self.spark, self.path).table_root(name))
+                schema = T.StructType([*schema.fields, T.StructField("batch", T.StringType())])
+            places = [f"{self.path}/{name}"] if folders is None else folders[name]
+            self._scans[name] = reader.schema(schema).parquet(*places)
         return self._scans[name]
 
+    def profile_parts(self) -> DataFrame | None:
+        return self.scan(PARTS) if (self.folders() or {}).get(PARTS) else None
+
     def table(self, name: str, cols: Iterable[str] = ()) -> DataFrame:
         df = self.scan(name)
         return df.select(*(tuple(cols) or SCHEMAS[name].names))
@@ -157,6 +187,10 @@ class ViewedStar(Star):
     def derives(self, cols: Iterable[str]) -> bool:
         return self.base.derives(cols)
 
+    def profile_parts(self) -> DataFrame | None:
+        """The base's, unless a transform changes what they were made of."""
+        return None if {"transactions", "products"} & set(self.lens) else self.base.profile_parts()
+
     def table(self, name: str, cols: Iterable[str] = ()) -> DataFrame:
         return self._seen(name, tuple(cols) or tuple(SCHEMAS[name].names), None)
 
@@ -217,27 +251,85 @@ def append_table(df: DataFrame, namespace: str, name: str) -> None:
     conform_types(df, name).write.mode("append").insertInto(f"{namespace}.{name}")
 
 
-def _place(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:").rstrip("/")
+def _write_fact(fact: DataFrame, folder: str) -> None:
+    """By month. The rebalance hint lets AQE pick the number of files per month from the real sizes: a month with most
+    of the rows is split over many tasks, small months share one."""
+    fact = fact.withColumn(MONTH, F.trunc("transaction_date", "MM"))
+    fact.hint("rebalance", F.col(MONTH)).write.partitionBy(MONTH).parquet(folder)
 
 
-def write_star(star: Star, path: str) -> StoredStar:
+def write_star(star: Star, path: str, parts: Callable[[Star], DataFrame] | None = None) -> StoredStar:
     """Write the star once so that many questions can be asked of it without re-deriving it.
 
-    The fact is partitioned by month. The rebalance hint lets AQE pick the number of files per month from the
-    real sizes: a month with most of the rows is split over many tasks, small months share one. Tables a source
-    derives from its fact are derived from the written one.
+    Everything goes to new folders, which one commit at the end puts in the place of what was there: readers see the
+    former star until then, and a write that breaks off changes nothing. So a star can be written over itself, which
+    folds the appended batches into one; a batch that is appended meanwhile goes to the new one. Tables a source derives from its fact are derived from the written one.
+
+    With ``parts`` (``operators.profile.partial_profiles``) the partial profiles of the fact are kept beside it.
     """
-    if isinstance(star, StoredStar) and star.path is not None and _place(star.path) == _place(path):
-        raise ValueError("a star cannot be written over the files it is read from")
+    store = Snapshots(star.spark, path)
+    own = isinstance(star, StoredStar) and star.path is not None and star.path.rstrip("/") == path.rstrip("/")
+    seen = star.snapshot() if own else None  # of its own star, what it has seen is what is written
+    base = store.base() if seen is None else seen.base
     schemas = {name: star.table(name).schema for name in SCHEMAS}
-    stored = StoredStar(star.spark, path=path, schemas=schemas)
-    fact = star.transactions().withColumn(MONTH, F.trunc("transaction_date", "MM"))
-    fact.hint("rebalance", F.col(MONTH)).write.mode("overwrite").partitionBy(MONTH).parquet(f"{path}/transactions")
-    rest = star.on_fact(stored)
+    folders = {name: store.new_folder(name) for name in SCHEMAS}
+    _write_fact(star.transactions(), folders["transactions"])
+    draft = _Draft(star.spark, path, schemas, {"transactions": [folders["transactions"]]})
+    rest = star.on_fact(draft)
     for name in ("stores", "advisors", "products", "clients"):
-        rest.table(name).write.mode("overwrite").parquet(f"{path}/{name}")
-    return stored
+        rest.table(name).write.parquet(folders[name])
+    draft = _Draft(star.spark, path, schemas, {name: [f] for name, f in folders.items()})
+    if parts is not None:
+        folders[PARTS] = store.new_folder(PARTS)
+        parts(draft).write.partitionBy(MONTH).parquet(folders[PARTS])
+    store.replace({**{name: store.relative(f) for name, f in folders.items()}, "batches": seen.batches if seen else []}, base, seen.appends if seen else ())
+    return StoredStar(star.spark, path=path, schemas=schemas)
+
+
+def _parts_schema(schemas: dict[str, T.StructType]) -> T.StructType:
+    """Of partial profiles, but for the month they are partitioned by; clients have the type that the fact gives them."""
+    sums = "category string, high long, low long, large decimal(24,4), valued long, n long, first_day date, last_day date, prior_day date"
+    return T.StructType([schemas["transactions"]["client_id"], *T.StructType.fromDDL(sums)])
+
+
+class _Draft(StoredStar):
+    """A star of folders that are not committed yet."""
+
+    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, T.StructType], folders: dict[str, list[str]]):
+        super().__init__(spark, path=path, schemas=schemas)
+        self._seen, self._listed = Snapshot(0, folders, [], []), True
+
+
+def append_batch(star: StoredStar, batch: str, rows: dict[str, DataFrame], parts: Callable[[Star], DataFrame] | None = None) -> bool:
+    """Append rows to tables of a star written by :func:`write_star`, all of them in one commit.
+
+    The batch's name is its identity: one that is there already adds nothing, and False is returned. A batch that broke
+    off is sent again under its name. A star with partial profiles gets those of the batch's sales, and no others are
+    touched; ``parts`` is then needed.
+    """
+    store = Snapshots(star.spark, star.path)
+    if store.holds(batch):
+        return False
+    latest = StoredStar(star.spark, path=star.path, schemas=star.schemas)
+    has_parts = bool((latest.folders() or {}).get(PARTS))
+    if has_parts and "transactions" in rows and parts is None:
+        raise ValueError("the star keeps partial profiles: say how they are made")
+    folders = {}
+    for name, df in rows.items():
+        folders[name] = store.new_folder(name)
+        typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in star.schemas[name]])
+        if name == "transactions":
+            _write_fact(typed, folders[name])
+        else:
+            typed.write.parquet(folders[name])
+    if has_parts and "transactions" in rows:
+        folders[PARTS] = store.new_folder(PARTS)
+        seen = {name: list(places) for name, places in (latest.folders() or {}).items()}
+        seen["transactions"] = [folders["transactions"]]
+        if "products" in folders:
+            seen["products"].append(folders["products"])
+        parts(_Draft(star.spark, star.path, star.schemas, seen)).write.partitionBy(MONTH).parquet(folders[PARTS])
+    return store.append(batch, {name: store.relative(f) for name, f in folders.items()})
 
 
 def register_views(star: Star, prefix: str = "") -> None:
