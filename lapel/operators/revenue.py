@@ -14,8 +14,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lapel.functions.bitmaps import distinct_counts
 from lapel.functions.dates import days_ago, month_of, months_ago, year_span
-from lapel.functions.money import mean, money, share, total
+from lapel.functions.money import mean, money, ratio, share, total
 from lapel.sources.star import Day, Star, day
 
 
@@ -101,18 +102,20 @@ def city_compare(star: Star, cities: Sequence[str], as_of: date, ids_repeat: boo
     A transaction id is the key of the fact, so distinct ids are rows. ``ids_repeat`` counts them distinctly all
     the same, for data where they are not; that reads and shuffles every id.
 
-    Two passes over the year: one with a single distinct count (clients), so that rows are not multiplied, and one that
-    reads no more than store and day, for the stores with sales.
+    One pass over the year: clients and stores are counted by bitmaps, which rows are not multiplied for.
     """
     extra = ["transaction_id"] if ids_repeat else []
     rows = star.sales("store_id", "client_id", "total_amount", *extra, since=days_ago(as_of, 365))
-    count = F.count_distinct("transaction_id").alias("transactions") if ids_repeat else _rows("transactions")
-    figures = _in_cities(star, rows, cities).groupBy("city").agg(
-        count, _buyers("unique_clients"), _sum("total_revenue"), _mean()
+    ids = {"unique_clients": "client_id", "store_count": "store_id", **{"transactions": c for c in extra}}
+    figures = distinct_counts(_in_cities(star, rows, cities), ["city"], ids, "total_amount")
+    out = figures.select(
+        "city",
+        F.col("transactions" if ids_repeat else "n_rows").alias("transactions"),
+        "unique_clients",
+        money("total").alias("total_revenue"),
+        money(ratio(F.col("total"), F.col("valued"))).alias("avg_order_value"),
+        "store_count",
     )
-    open_stores = star.sales("store_id", since=days_ago(as_of, 365)).distinct()
-    open_stores = _in_cities(star, open_stores, cities).groupBy("city").agg(_rows("store_count"))
-    out = figures.join(open_stores, "city")
     return out.orderBy(F.desc("total_revenue"), "city")
 
 
