@@ -1,127 +1,160 @@
-"""Named metrics as aggregate columns, for use inside ``.agg()`` over fact or client rows.
+"""Named metrics, for use inside ``.agg()`` over fact or client rows, and by name in SQL text.
 
-They are unrounded; wrap money in ``money()`` where a report wants cents.
+Each is written once, as an SQL expression; the function of its name gives it as a Column, ``metric_sql`` as text. They
+are unrounded; wrap money in ``money()``, or ``ROUND``, where a report wants cents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import wraps
+from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapel.functions.dates import days_since, month_start
-from lapel.functions.money import mean, ratio, share, total
+from lapel.functions.dates import month_start
+from lapel.functions.money import mean_sql, ratio_sql, share_sql, total_sql
 
+#: The SQL text of each metric by name, as functions of its parameters.
+SQL: dict[str, Callable[..., str]] = {}
+#: The named metrics as columns by name; what each means is in its docstring.
+NAMED: dict[str, Callable[..., Column]] = {}
 
-def _amount() -> Column:
-    return F.col("total_amount")
+SOLD = "CASE WHEN NOT is_return THEN total_amount"
 
 
-def _kept() -> Column:
-    return ~F.col("is_return")
+def _metric(text: Callable[..., str]) -> Callable[..., Column]:
+    @wraps(text)
+    def column(*args: Any, **params: Any) -> Column:
+        return F.expr(text(*args, **params))
 
+    SQL[text.__name__], NAMED[text.__name__] = text, column
+    return column
 
-def revenue() -> Column:
+
+def _day(value: date) -> str:
+    return f"DATE '{value.isoformat()}'"
+
+
+@_metric
+def revenue() -> str:
     """Sales without returns. All rows returns: 0, not NULL."""
-    return total(F.when(_kept(), _amount()).otherwise(F.lit(0.0)))
+    return total_sql(f"{SOLD} ELSE 0.0D END")
 
 
-def net_revenue() -> Column:
+@_metric
+def net_revenue() -> str:
     """Sales minus returns."""
-    return total(F.when(_kept(), _amount()).otherwise(-_amount()))
+    return total_sql(f"{SOLD} ELSE -total_amount END")
 
 
-def aov() -> Column:
+@_metric
+def aov() -> str:
     """Mean amount of the non-returned rows, NULL when there are none."""
-    return mean(F.when(_kept(), _amount()))
+    return mean_sql(f"{SOLD} END")
 
 
-def days_since_last_purchase(as_of: date) -> Column:
+@_metric
+def days_since_last_purchase(as_of: date) -> str:
     """Row level: whole days from the client's last purchase to ``as_of``."""
-    return days_since("last_purchase_date", as_of)
+    return f"DATEDIFF({_day(as_of)}, last_purchase_date)"
 
 
-def gross_per_sqft(square_footage: Column, exclude_returns: bool = False) -> Column:
+@_metric
+def gross_per_sqft(square_footage: str = "square_footage", exclude_returns: bool = False) -> str:
     """Amount per square foot of one store. As defined it counts returns too; the flag leaves them out."""
-    amount = revenue() if exclude_returns else total(_amount())
-    return ratio(amount.cast("double"), square_footage)
+    amount = total_sql(f"{SOLD} ELSE 0.0D END" if exclude_returns else "total_amount")
+    return ratio_sql(f"CAST({amount} AS DOUBLE)", square_footage)
 
 
-def vip_at_risk_count() -> Column:
+@_metric
+def vip_at_risk_count() -> str:
     """Clients both VIP and in the at-risk segment."""
-    return F.count(F.when(F.col("is_vip") & (F.col("client_segment") == "At-Risk"), F.lit(1)))
+    return "COUNT(CASE WHEN is_vip AND client_segment = 'At-Risk' THEN 1 END)"
 
 
-def repurchase_rate() -> Column:
+@_metric
+def repurchase_rate() -> str:
     """Fraction of distinct clients with more than one order."""
-    again = F.count_distinct(F.when(F.col("total_orders") > 1, F.col("client_id")))
-    return share(again, F.count_distinct("client_id"))
+    return share_sql("COUNT(DISTINCT CASE WHEN total_orders > 1 THEN client_id END)", "COUNT(DISTINCT client_id)")
 
 
-def discount_rate(as_pct: bool = False) -> Column:
+@_metric
+def discount_rate(as_pct: bool = False) -> str:
     """Fraction (or percent) of all rows, returns included, that carry a discount."""
-    hits = F.sum(F.when(F.col("discount_pct") > 0, 1).otherwise(0))
-    return share(hits * F.lit(100 if as_pct else 1), F.count(F.lit(1)))
+    return share_sql(f"SUM(CASE WHEN discount_pct > 0 THEN {100 if as_pct else 1} ELSE 0 END)", "COUNT(*)")
 
 
-def return_rate() -> Column:
+@_metric
+def return_rate() -> str:
     """Returned rows in percent of all rows, unrounded."""
-    return share(F.sum(F.when(F.col("is_return"), 100).otherwise(0)), F.count(F.lit(1)))
+    return share_sql("SUM(CASE WHEN is_return THEN 100 ELSE 0 END)", "COUNT(*)")
 
 
-def growth_mom_naive(as_of: date) -> Column:
+@_metric
+def growth_mom_naive(as_of: date) -> str:
     """Month-over-month growth by month *number* only.
 
     Kept because it is one of the published expressions: it adds the same month of every year, counts returns,
     and takes "30 days ago" for the prior month. :func:`growth_mom` is the one to use.
     """
-    number = F.month("transaction_date")
-    now = total(F.when(number == F.month(F.lit(as_of)), _amount()))
-    then = total(F.when(number == F.month(F.date_sub(F.lit(as_of), 30)), _amount()))
-    return ratio(now.cast("double") - then.cast("double"), then.cast("double"))
+    days = (_day(as_of), f"DATE_SUB({_day(as_of)}, 30)")
+    sums = (total_sql(f"CASE WHEN MONTH(transaction_date) = MONTH({day}) THEN total_amount END") for day in days)
+    now, then = (f"CAST({x} AS DOUBLE)" for x in sums)
+    return ratio_sql(f"{now} - {then}", then)
+
+
+def _month(as_of: date, back: int) -> str:
+    """Revenue of the calendar month ``back`` months before the month of ``as_of``."""
+    since, before = _day(month_start(as_of, back)), _day(month_start(as_of, back - 1))
+    inside = f"transaction_date >= {since} AND transaction_date < {before} AND NOT is_return"
+    return total_sql(f"CASE WHEN {inside} THEN total_amount ELSE 0.0D END")
 
 
 def month_revenue(as_of: date, back: int = 0) -> Column:
     """Revenue of the calendar month ``back`` months before the month of ``as_of``."""
-    day = F.col("transaction_date")
-    inside = (day >= F.lit(month_start(as_of, back))) & (day < F.lit(month_start(as_of, back - 1)))
-    return total(F.when(inside & _kept(), _amount()).otherwise(F.lit(0.0)))
+    return F.expr(_month(as_of, back))
 
 
-def growth_mom(as_of: date) -> Column:
+@_metric
+def growth_mom(as_of: date) -> str:
     """(this calendar month - the one before) / the one before; NULL when that one had no revenue."""
-    now, then = month_revenue(as_of), month_revenue(as_of, 1)
-    return ratio((now - then).cast("double"), then.cast("double"))
+    now, then = _month(as_of, 0), _month(as_of, 1)
+    return ratio_sql(f"CAST({now} - {then} AS DOUBLE)", f"CAST({then} AS DOUBLE)")
 
 
-def live_client_count(approx: bool = False) -> Column:
+@_metric
+def live_client_count(approx: bool = False) -> str:
     """Distinct buyers; the approximate form only on request."""
-    return F.approx_count_distinct("client_id") if approx else F.count_distinct("client_id")
+    return "APPROX_COUNT_DISTINCT(client_id)" if approx else "COUNT(DISTINCT client_id)"
+
+
+def metric_sql(name: str, **params: Any) -> str:
+    """A metric's SQL expression."""
+    if name not in SQL:
+        raise ValueError(f"no metric {name!r}; there are {', '.join(sorted(SQL))}")
+    return SQL[name](**params)
+
+
+def _texts(as_of: date) -> dict[str, str]:
+    needs_day = {"days_since_last_purchase", "growth_mom_naive", "growth_mom"}
+    return {name: text(as_of) if name in needs_day else text() for name, text in SQL.items()}
+
+
+def sql_with_metrics(spark: SparkSession, query: str, as_of: date) -> DataFrame:
+    """A query that names metrics in braces: ``SELECT store_id, {net_revenue} FROM transactions GROUP BY store_id``."""
+    return spark.sql(query.format(**{name: f"({text})" for name, text in _texts(as_of).items()}))
+
+
+def register_metrics(spark: SparkSession, as_of: date, view: str = "named_metrics") -> None:
+    """A view of name, expression, description, for those who build SQL text in SQL (``EXECUTE IMMEDIATE``)."""
+    lines = [(name, text, " ".join((SQL[name].__doc__ or "").split())) for name, text in _texts(as_of).items()]
+    spark.createDataFrame(lines, "name string, expression string, description string").createOrReplaceTempView(view)
 
 
 def year_bucket(col: str, as_of: date) -> Column:
     """Current Year / Prior Year label, NULL for other years."""
     number = F.year(col)
     return F.when(number == as_of.year, "Current Year").when(number == as_of.year - 1, "Prior Year")
-
-
-# The named metrics by name; what each means is in its docstring.
-NAMED: dict[str, Callable[..., Column]] = {
-    f.__name__: f
-    for f in (
-        revenue,
-        net_revenue,
-        aov,
-        days_since_last_purchase,
-        gross_per_sqft,
-        vip_at_risk_count,
-        repurchase_rate,
-        discount_rate,
-        return_rate,
-        growth_mom_naive,
-        growth_mom,
-        live_client_count,
-    )
-}

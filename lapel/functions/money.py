@@ -89,3 +89,26 @@ def mean_of_totals(col: Column | str) -> Column:
 def share(hits: Column, of: Column) -> Column:
     """A fraction as a double from two counts, NULL for an empty total."""
     return ratio(hits.cast("double"), of)
+
+
+def total_sql(x: str) -> str:
+    """``total`` of an expression as SQL text."""
+    small = f"ABS({x}) < {LARGE!r}D"
+    units_of = f"CASE WHEN {small} THEN CAST(RINT(({x}) * {float(UNITS)!r}D) AS BIGINT) END"
+    high, low = f"SUM(SHIFTRIGHT({units_of}, {LOW_BITS}))", f"SUM(({units_of}) & {(1 << LOW_BITS) - 1}L)"
+    both = f"CAST({high} AS DECIMAL(28,0)) * {1 << LOW_BITS} + CAST({low} AS DECIMAL(20,0))"
+    part = f"CAST(({both}) * {Decimal(1) / UNITS} AS {SUM})"
+    large = f"CAST(SUM(CASE WHEN NOT ({small}) THEN CAST({x} AS {SUM}) END) AS {SUM})"
+    return f"COALESCE(CAST({part} + {large} AS {SUM}), {part}, {large})"
+
+
+def ratio_sql(top: str, bottom: str) -> str:
+    return f"({top}) / NULLIF({bottom}, 0)"
+
+
+def mean_sql(x: str) -> str:
+    return ratio_sql(total_sql(x), f"COUNT({x})")
+
+
+def share_sql(hits: str, of: str) -> str:
+    return ratio_sql(f"CAST({hits} AS DOUBLE)", of)

@@ -30,26 +30,30 @@ def risk_sql(days: str, spend: str, bounds: Bounds = HOUSE) -> str:
 
 
 def register_sql_functions(
-    spark: SparkSession, bounds: Bounds = HOUSE, prefix: str = "", as_of: date | None = None
+    spark: SparkSession, bounds: Bounds = HOUSE, prefix: str = "", as_of: date | None = None, top_n: int = 10
 ) -> None:
-    """Temporary classify_client_risk, get_revenue_by_period and get_top_clients over the registered views.
+    """Temporary classify_client_risk, get_revenue_by_period, get_top_clients, get_top_n_clients over the registered views.
 
-    get_top_clients counts days up to ``as_of``, or up to the day of the call.
+    The last two count days up to ``as_of``, or up to the day of the call.
     """
-    _create(spark, "TEMPORARY FUNCTION", prefix, bounds, as_of)
+    _create(spark, "TEMPORARY FUNCTION", prefix, bounds, as_of, top_n)
 
 
-def create_sql_functions(spark: SparkSession, namespace: str, bounds: Bounds = HOUSE, as_of: date | None = None) -> None:
+def create_sql_functions(
+    spark: SparkSession, namespace: str, bounds: Bounds = HOUSE, as_of: date | None = None, top_n: int = 10
+) -> None:
     """The same, permanent, over the tables of a namespace, which are read at each call.
 
     Spark calls a table function by its bare name: ``USE`` the namespace first.
     """
-    _create(spark, "FUNCTION", f"{namespace}.", bounds, as_of)
+    _create(spark, "FUNCTION", f"{namespace}.", bounds, as_of, top_n)
 
 
-def _create(spark: SparkSession, kind: str, prefix: str, bounds: Bounds, as_of: date | None) -> None:
-    """get_top_clients numbers one store by a window: that store's clients are one task's. For stores too large for
-    that, ``top_clients_by_store`` numbers them in many."""
+def _create(spark: SparkSession, kind: str, prefix: str, bounds: Bounds, as_of: date | None, top_n: int) -> None:
+    """get_top_clients numbers a store by a window. Asked with ``rank <= n``, each task drops what cannot be among the n
+    first before the store's rows meet; asked for all ranks, a store is one task's, so for large stores that is what
+    ``top_clients_by_store`` is for. get_top_n_clients stops at ``top_n`` by itself: ORDER BY and LIMIT, a few rows per
+    task."""
     day = f"DATE '{as_of.isoformat()}'" if as_of else "CURRENT_DATE()"
     days = f"DATEDIFF({day}, last_purchase_date)"
     spark.sql(f"""
@@ -71,16 +75,19 @@ def _create(spark: SparkSession, kind: str, prefix: str, bounds: Bounds, as_of:
                   AND transaction_date <= CAST(p_end_date AS DATE) AND p_region IN ('ALL', r.region)
                 GROUP BY t.store_id) f
           JOIN {prefix}stores s USING (store_id)""")
-    spark.sql(f"""
-        CREATE OR REPLACE {kind} {prefix}get_top_clients(p_store_id INT)
-        RETURNS TABLE (client_name STRING, email STRING, membership_tier STRING, lifetime_spend DOUBLE,
-                       total_orders INT, last_purchase_date DATE, risk_tier STRING, rank INT)
-        RETURN
-          SELECT CONCAT(first_name, ' ', last_name), email, membership_tier,
-                 CAST(ROUND(CAST(lifetime_spend AS {SUM}), 2) AS DOUBLE), total_orders, last_purchase_date,
-                 {risk_sql(days, "lifetime_spend", bounds)},
-                 ROW_NUMBER() OVER (PARTITION BY preferred_store_id ORDER BY lifetime_spend DESC NULLS LAST, client_id)
-          FROM {prefix}clients WHERE preferred_store_id = p_store_id""")
+    order = "lifetime_spend DESC NULLS LAST, client_id"
+    book = f"{prefix}clients WHERE preferred_store_id = p_store_id"
+    for name, source in (("get_top_clients", book), ("get_top_n_clients", f"(SELECT * FROM {book} ORDER BY {order} LIMIT {top_n})")):
+        spark.sql(f"""
+            CREATE OR REPLACE {kind} {prefix}{name}(p_store_id INT)
+            RETURNS TABLE (client_name STRING, email STRING, membership_tier STRING, lifetime_spend DOUBLE,
+                           total_orders INT, last_purchase_date DATE, risk_tier STRING, rank INT)
+            RETURN
+              SELECT CONCAT(first_name, ' ', last_name), email, membership_tier,
+                     CAST(ROUND(CAST(lifetime_spend AS {SUM}), 2) AS DOUBLE), total_orders, last_purchase_date,
+                     {risk_sql(days, "lifetime_spend", bounds)},
+                     ROW_NUMBER() OVER (PARTITION BY preferred_store_id ORDER BY {order})
+              FROM {source}""")
 
 
 def register_masks(spark: SparkSession, user: str, restricted: str, city: str, prefix: str = "") -> None:

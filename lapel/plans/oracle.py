@@ -613,3 +613,13 @@ ORACLE: dict[str, str] = {
                   FROM log GROUP BY month, question)"""
     ),
 }
+
+# The same answers by another way: SQL text that names a metric, a function that stops at ten, a star written in batches.
+ORACLE |= {
+    **{f"sql_{key}": ORACLE[key] for key in ORACLE if key.startswith("metric_") and f"sql_{key}" in K.REGISTRY},
+    "sql_metric_growth_mom": f"SELECT store_id, growth_mom FROM ({ORACLE['metric_growth_mom']})",
+    "sql_get_top_n_clients": ORACLE["sql_get_top_clients"],
+    "segment_clients_in_batches": ORACLE["segment_clients"],
+    "client_profile_in_batches": ORACLE["client_profile"],
+    "row_counts_in_batches": ORACLE["row_counts"],
+}

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lapel.functions.metrics import sql_with_metrics
 from lapel.functions.money import money, total
 from lapel.functions.sql_functions import register_advisor_filter, register_masks, register_sql_functions
 from lapel.operators import advisors as A
@@ -21,7 +22,7 @@ from lapel.operators import usage as U
 from lapel.session import scratch_dir
 from lapel.sources import usage_log as L
 from lapel.sources.conform import AS_OF, BOUNDS, DOMAIN, ConformedStar
-from lapel.sources.star import Star, cast_dates, fk_check, register_views, row_counts, write_star
+from lapel.sources.star import MappedStar, Star, StoredStar, append_batch, cast_dates, fk_check, register_views, row_counts, write_star
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,6 +95,26 @@ def _cast_dates(spark: SparkSession, folder: str) -> DataFrame:
     return cast_dates(text, "order_day")
 
 
+def _in_batches(question: Callable[..., DataFrame], *args) -> Query:
+    """The same question of a star that is written without some of its sales and returns, of all months, which are
+    appended as two batches, the first of them sent twice."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        source = ConformedStar(spark, folder)
+        fact = source.transactions()
+        late = F.coalesce(F.col("payment_method") == "1-URGENT", F.lit(False))
+        recent = F.coalesce(F.col("transaction_date") >= date(LAST_YEAR, 1, 1), F.lit(False))
+        tables = {name: source.table(name) for name in ("stores", "advisors", "products", "clients")}
+        first = MappedStar(spark, {**tables, "transactions": fact.filter(~late & ~recent)})
+        star = write_star(first, scratch_dir(spark) + "/star", parts=PR.partial_profiles)
+        append_batch(star, "recent", {"transactions": fact.filter(recent & ~late)}, PR.partial_profiles)
+        append_batch(star, "late", {"transactions": fact.filter(late)}, PR.partial_profiles)
+        append_batch(star, "recent", {"transactions": fact.filter(recent & ~late)}, PR.partial_profiles)
+        return question(StoredStar(spark, path=star.path, schemas=star.schemas), *args)
+
+    return run
+
+
 def _buyers_then_inactive(spark: SparkSession, folder: str) -> DataFrame:
     star = ConformedStar(spark, folder)
     first = C.category_buyers(star, "PROMO", LAST_YEAR)
@@ -111,6 +132,11 @@ def _sql_top_clients(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql("SELECT * FROM cf_get_top_clients(p_store_id => 3) WHERE rank <= 10")
 
 
+def _sql_top_n_clients(spark: SparkSession, folder: str) -> DataFrame:
+    _sql_setup(spark, folder)
+    return spark.sql("SELECT * FROM cf_get_top_n_clients(p_store_id => 3)")
+
+
 def _sql_risk(spark: SparkSession, folder: str) -> DataFrame:
     _sql_setup(spark, folder)
     return spark.sql(
@@ -126,6 +152,21 @@ def _sql_setup(spark: SparkSession, folder: str) -> None:
     register_sql_functions(spark, BOUNDS, prefix="cf_", as_of=AS_OF)
 
 
+def _sql_metric(query: str, as_of: date = AS_OF) -> Query:
+    """SQL text that names a metric, over the registered views."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        register_views(ConformedStar(spark, folder), prefix="cf_")
+        return sql_with_metrics(spark, query, as_of)
+
+    return run
+
+
+def _by(group: str, metric: str, source: str = "cf_transactions", cents: bool = False) -> Query:
+    shown = f"CAST(ROUND({{{metric}}}, 2) AS DOUBLE)" if cents else f"{{{metric}}}"
+    return _sql_metric(f"SELECT {group}, {shown} AS {metric} FROM {source} GROUP BY {group}")
+
+
 def _masked(call: str) -> Query:
     """A scalar SQL function of a restricted viewer, called for every client."""
 
@@ -247,6 +288,34 @@ REGISTRY: dict[str, Query] = {
     "metric_yoy": _ask(M.yoy, AS_OF),
     "metric_live_client_count": _ask(M.live_client_count),
     "metric_null_defaults": _ask(M.null_defaults),
+    # the same by name in SQL text
+    "sql_metric_revenue": _by("store_id", "revenue", cents=True),
+    "sql_metric_net_revenue": _by("store_id", "net_revenue", cents=True),
+    "sql_metric_aov": _by("payment_method", "aov", cents=True),
+    "sql_metric_days_since_last_purchase": _sql_metric(
+        "SELECT client_id, {days_since_last_purchase} AS days_since_last_purchase FROM cf_clients"
+    ),
+    "sql_metric_revenue_per_sqft": _sql_metric(
+        """SELECT s.store_id, s.store_name, {gross_per_sqft} AS revenue_per_sqft
+           FROM cf_transactions t JOIN cf_stores s ON t.store_id = s.store_id
+           GROUP BY s.store_id, s.store_name, s.square_footage"""
+    ),
+    "sql_metric_vip_at_risk_count": _by("city", "vip_at_risk_count", "cf_clients"),
+    "sql_metric_repurchase_rate": _by("city", "repurchase_rate", "cf_clients"),
+    "sql_metric_discount_rate": _by("payment_method", "discount_rate"),
+    "sql_metric_return_rate": _by("store_id", "return_rate"),
+    "sql_metric_growth_mom_naive": _sql_metric("SELECT {growth_mom_naive} AS growth_mom_naive FROM cf_transactions", YEAR_END),
+    "sql_metric_growth_mom": _sql_metric(
+        """SELECT store_id, {growth_mom} AS growth_mom FROM cf_transactions
+           WHERE transaction_date >= DATE '2001-06-01' AND transaction_date < DATE '2001-08-01' GROUP BY store_id""",
+        YEAR_END,
+    ),
+    "sql_metric_live_client_count": _sql_metric(
+        """SELECT a.advisor_id, a.client_count, COALESCE(b.live, 0) AS live_clients
+           FROM cf_advisors a LEFT JOIN (
+             SELECT advisor_id, {live_client_count} AS live FROM cf_transactions WHERE NOT is_return GROUP BY advisor_id
+           ) b ON a.advisor_id = b.advisor_id"""
+    ),
     # classification
     "classify_client_risk": _ask(C.classify_client_risk, AS_OF, BOUNDS),
     "classify_vip_clients": _ask(C.classify_vip_clients, AS_OF, BOUNDS),
@@ -254,6 +323,10 @@ REGISTRY: dict[str, Query] = {
     "vip_flags": _ask(C.vip_flags, BOUNDS),
     "segment_clients": _ask(PR.segment_clients, AS_OF, BOUNDS),
     "client_profile": _ask(PR.client_profile),
+    # from partial profiles, after appends
+    "segment_clients_in_batches": _in_batches(PR.segment_clients, AS_OF, BOUNDS),
+    "client_profile_in_batches": _in_batches(PR.client_profile),
+    "row_counts_in_batches": _in_batches(row_counts),
     # parameterised functions and rankings
     "get_revenue_by_period": _ask(R.revenue_by_period, "EUROPE", "2000-01-01", "2000-12-31"),
     "get_top_clients": _ask(C.get_top_clients, 3, AS_OF, BOUNDS),
@@ -262,6 +335,7 @@ REGISTRY: dict[str, Query] = {
     "rank_by_revenue": _ask(A.rank_by_revenue),
     "sql_get_revenue_by_period": _sql_revenue,
     "sql_get_top_clients": _sql_top_clients,
+    "sql_get_top_n_clients": _sql_top_n_clients,
     "sql_classify_client_risk": _sql_risk,
     "sql_mask_email": _masked("cf_mask_email(email) AS email"),
     "sql_mask_lifetime_spend": _masked("cf_mask_lifetime_spend(CAST(lifetime_spend AS DOUBLE)) AS lifetime_spend"),

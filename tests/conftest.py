@@ -25,7 +25,7 @@ def spark():
 
 
 #: Modules whose rows are all hand-made and few: not worth compiling code for.
-HAND_MADE = ("test_edges", "test_rules", "test_policy", "test_scoring", "test_usage", "test_generate")
+HAND_MADE = ("test_edges", "test_rules", "test_policy", "test_scoring", "test_usage", "test_generate", "test_ranking", "test_snapshots")
 
 
 @pytest.fixture(autouse=True)
