@@ -26,6 +26,24 @@ def test_verdicts(spark):
     assert rows(S.score_answer(base, base.select("b", "a"))) == [("Fail", None, None)]
 
 
+def test_fingerprints_settle_what_differs(spark, monkeypatch):
+    """Verdicts are those of the comparison row by row, which is not asked for where fingerprints differ."""
+    base = frame(spark, (1, "x"), (1, "x"), (2, None), (None, "y"))
+    others = [
+        frame(spark, (None, "y"), (2, None), (1, "x"), (1, "x")), frame(spark, (2, None), (1, "x"), (None, "y")),
+        frame(spark, (1, "x"), (2, None), (2, None), (None, "y")), frame(spark, (1, "x"), (1, "x"), (2, "y"), (None, None)),
+        frame(spark, (1, "x"), (1, "x"), (None, "y"), (None, None)), base.select("a"), base.select("a", F.lit("x").alias("b")), base.limit(0),
+    ]
+    verdicts = [rows(S.score_answer(base, o))[0][0] for o in others]
+    assert verdicts == ["Partial"] + ["Fail"] * 7 == [rows(S.score_answer(base, o, counts=False))[0][0] for o in others]
+    monkeypatch.setattr(S, "differences", lambda *_: 1 / 0)
+    assert rows(S.score_answers({"q": (base, others[1])}, counts=False)) == [("q", "Fail", None, None)]
+    with pytest.raises(ZeroDivisionError):
+        S.score_answer(base, others[0], counts=False)
+    double, decimal = spark.sql("SELECT -0.0D AS a, 2 AS b"), spark.sql("SELECT CAST(0 AS DECIMAL(9,2)) AS a, 2.0D AS b")
+    assert not S.surely_differ(double, decimal) and S.surely_differ(double, spark.sql("SELECT 0.0D AS a, 2.01D AS b"))
+
+
 def test_number_types_do_not_matter(spark):
     whole, decimal = spark.sql("SELECT 1 AS a, 2.0D AS b"), spark.sql("SELECT 1L AS a, CAST(2 AS DECIMAL(9,2)) AS b")
     assert rows(S.score_answer(whole, decimal)) == [("Partial", 0, 0)]
