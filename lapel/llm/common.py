@@ -42,16 +42,21 @@ def sample_texts(rows: DataFrame, documents: int = 2_000, characters: int = 8_19
     return [r["text"] for r in rows.sample(share, seed=8).limit(documents).select(F.substring("text", 1, characters).alias("text")).collect()]
 
 
-def partitions_of(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def by_position(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """The rows with columns named by their position, so that no name clashes, and what the given columns are called then."""
+    at = [k for n in names for k, c in enumerate(docs.columns) if c == n or c.lower() == n.lower()]
+    if len(at) != len(names):
+        raise ValueError(f"no column, or several, for one of {', '.join(names)}")
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))), [f"c{k}" for k in at]
+
 
+def named_as(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `by_position` under their own names again, and no others."""
+    return rows.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
-def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Lowers the session's rows per Arrow batch, which Spark bounds by number and not by size: a batch of whole texts
-    takes its memory twice over, in the executor and in its Python worker. Results do not depend on it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+
+def partitions_of(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def release_memory() -> None:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapel.llm.common import partitions_of
+from lapel.llm.common import by_position, named_as, partitions_of
 
 Record = tuple[str, bytes, int | None, int]  # digest, content, least id, rows
 _ENTRY = pa.schema([("digest", pa.string()), ("content", pa.binary()), ("id", pa.int64()), ("n", pa.int64())])
@@ -163,16 +163,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
+def row_key(digest: Column, id_col: str) -> Column:
+    """Tells rows apart that differ in id or text."""
+    return F.concat_ws("/", digest, F.col(id_col).cast("long"))
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, without the rows that exact_dedup drops."""
+    """The documents, all columns whatever their names, without the rows that exact_dedup drops.
+
+    Null text counts as empty and stays null; a null id comes after all others. Of rows that repeat both id and text one
+    stays. An empty table gives no rows.
+    """
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(row_key(F.col("text_sha256"), "doc_id").alias("key"))
+    rows, (own, text) = by_position(docs, id_col, text_col)
+    return named_as(first_of_each(rows.withColumn("key", row_key(digest_of(text), own)), kept), docs)
 
-    def key(digest: Column, name: str) -> Column:
-        return F.concat_ws("/", digest, F.col(name).cast("long")).alias("__key")
 
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(key(F.col("text_sha256"), "doc_id"))
-    met = docs.select("*", key(digest_of(text_col), id_col)).join(kept, "__key", "left_semi")
-    once = met.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))).filter("__nth = 1")
-    return once.drop("__key", "__nth")
+def first_of_each(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Of the rows with each key that is kept, one."""
+    met = rows.join(kept, "key", "left_semi")
+    return met.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key"))).filter("nth = 1")
 
 
 def oracle() -> str:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lapel.llm.common import _BLANK, bound_batches, flat, slices
+from lapel.llm.common import _BLANK, by_position, flat, named_as, slices
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_digits", "n_marks"]
 _PREFIX = "__quality_"
@@ -71,8 +71,6 @@ def _statistics(column: pa.Array) -> list[np.ndarray]:
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with a column per statistic, under a prefix that no table uses."""
 
-    bound_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 2 << 20):
             found = _statistics(batch.column(text_col))
@@ -244,6 +242,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000) -> DataFrame:
-    """The documents that `quality` keeps, all columns."""
+    """The documents that `quality` keeps, all columns whatever their names; null and empty texts, which fail the base
+    test, go. Repeated rows stay repeated or all go. An empty table gives no rows."""
     rules = learn(docs, labels, id_col, text_col, sample)
-    return with_statistics(docs, text_col).filter(~base_failed() & verdict(rules)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, (text,) = by_position(docs, text_col)
+    return named_as(with_statistics(rows, text).filter(~base_failed() & verdict(rules)), docs)

@@ -17,9 +17,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from lapel.llm.common import materialise, partitions_of
+from lapel.llm.common import by_position, materialise, named_as, partitions_of, slices
 from lapel.llm.components import components
+from lapel.llm.exact_dedup import first_of_each, row_key
 
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -43,14 +45,18 @@ def fingerprint(text: bytes, shingle: int, seed: int) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp) per row; fp holds the 64 bits as a signed long."""
+    return _with_prints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), shingle, seed)
+
+
+def _with_prints(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """fp in the place of the text, the last column, beside the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", 8 << 20):
             found = [fingerprint(t or b"", shingle, seed) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield batch.drop_columns(["text"]).append_column("fp", pa.array(np.array(found, np.uint64).view(np.int64)))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, StructType([*(f for f in rows.schema if f.name != "text"), StructField("fp", LongType())]))
 
 
 def covering(shared: int) -> list[tuple[int, ...]]:
@@ -189,6 +195,16 @@ def _edges(pairs: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=_EDGE)
 
 
+def _labels(prints: DataFrame, bits: int, block: int) -> DataFrame:
+    """fp, root (the same for all fingerprints of a component), component_id, from rows of doc_id and fp."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(nodes.select("fp"), bits, block))
+    tied = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
+    named = tied.join(tied.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    labels = nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return materialise(labels, "labels")  # a side with a shuffle of its own lets Spark split the rows of a hot fingerprint
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4, seed: int = 42, block: int = 16_384) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (the least id linked, directly or not).
 
@@ -197,18 +213,21 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns are not read. An empty table gives no rows.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), bits, block))
-    tied = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    named = tied.join(tied.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    labels = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    labels = materialise(labels, "labels")  # a side with a shuffle of its own lets Spark split the rows of a hot fingerprint
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(labels, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return prints.join(_labels(prints, bits, block), "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4, seed: int = 42, block: int = 16_384) -> DataFrame:
+    """One document of each component, all columns whatever their names: the one that names it.
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
-    """The documents, all columns, one of each component (the one that names it); rows with a null id stay."""
-    found = simhash_components(docs, id_col, text_col, shingle, bits)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    Of several texts under that id, the first by digest stays; of rows that repeat id and text, one; where all ids of a
+    component are null, one of its rows. Rows that share an id and are of different components are judged each for
+    itself. Null text counts as empty and stays null. An empty table gives no rows.
+    """
+    rows, (own, text) = by_position(docs, id_col, text_col)
+    key = row_key(F.sha2(F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")), 256), own)
+    known = rows.select(F.col(own).cast("long").alias("doc_id"), key.alias("key"), F.col(text).cast("binary").alias("text"))
+    prints = materialise(_with_prints(known, shingle, seed), "fingerprints")
+    named = prints.join(_labels(prints, bits, block), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = named.groupBy("root").agg(F.min("key").alias("key")).select("key")
+    return named_as(first_of_each(rows.withColumn("key", key), kept), docs)

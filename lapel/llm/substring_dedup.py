@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lapel.llm import stretches as S
-from lapel.llm.common import bound_batches, flat, partitions_of, ranges, sample_texts, slices, sliding_min, take_bytes, word_bounds
+from lapel.llm.common import flat, partitions_of, ranges, sample_texts, slices, sliding_min, take_bytes, word_bounds
 
 #: Buckets per shuffle partition, and text bytes that a task turns into stretches at once.
 PER_PARTITION, CHUNK = 16, 512 << 10
@@ -166,7 +166,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 1 <= m <= k:
         raise ValueError("a token has 1 to k words")
-    bound_batches(docs.sparkSession)
     n = partitions_of(docs.sparkSession)
     rows = S.keyed(docs, id_col, text_col)
     hot = hot_tokens(rows, k, m, PER_PARTITION * n)

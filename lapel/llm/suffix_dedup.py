@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lapel.llm import stretches as S
-from lapel.llm.common import _BLANK, bound_batches, flat, partitions_of, ranges, sample_texts, slices, sliding_min, take_bytes
+from lapel.llm.common import _BLANK, flat, partitions_of, ranges, sample_texts, slices, sliding_min, take_bytes
 
 TOKEN = 8
 #: Buckets per shuffle partition.
@@ -233,7 +233,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if width < TOKEN:
         raise ValueError(f"the width is {TOKEN} bytes at least")
-    bound_batches(docs.sparkSession)
     n = partitions_of(docs.sparkSession)
     rows = S.keyed(docs, id_col, text_col)
     hot, splitters = sampled_order(rows, width, PER_PARTITION * n)

@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns a table may carry that have names used inside the operators.
-CLASHES = ["id", "row", "fp", "kept", "keep_id", "digest", "payload", "bucket", "windows", "length", "rank", "spans", "lo", "key", "node", "root", "label", "content", "shard", "n", "tokens"]
+CLASHES = ["id", "row", "fp", "kept", "keep_id", "digest", "payload", "bucket", "windows", "length", "rank", "spans", "lo", "key", "node", "root", "label", "content", "shard", "n", "tokens", "nth", "c0", "__key", "__nth", "__id", "__text", "__quality_n_words", "a.b"]
 
 
 def table(spark: SparkSession, name: str) -> DataFrame:
