@@ -197,7 +197,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     marks = revisits(rows, least_revisit_bytes).select("page_id", "content", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
     placed = whole.unionAll(marks).mapInArrow(sharded, "shard long, page_id long, content string, kind int, url string, payload binary, refers_to long")
     order = ["shard", "page_id", "content", "kind", "url"]
-    dealt = placed.repartition(max(partitions_of(spark), 1), "shard").sortWithinPartitions(*order)
+    n = max(partitions_of(spark), 1)
+    dealt = placed.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int")).sortWithinPartitions(*order)  # no two share a task before all have one
     dealt.mapInArrow(_writer(folder, roll_bytes, date), _FILE).write.parquet(f"{folder}/_written")
     written = spark.read.schema(_FILE).parquet(f"{folder}/_written")
     written.mapInArrow(_renamer(folder), _FILE).write.parquet(f"{folder}/_manifest")
@@ -259,7 +260,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     yield _batch(rows, fields)
 
     files = spark.read.schema(_FILE).parquet(f"{folder}/_manifest").select("name")
-    return files.repartition(partitions_of(spark), "name").mapInArrow(run, _RECORD)
+    return files.repartition(partitions_of(spark)).mapInArrow(run, _RECORD)
 
 
 def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
