@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from lapel.llm.byte_bpe import encode, vocabulary
 from lapel.llm.common import materialise, partitions_of, slices
 
-#: Where tokens alone bind, the other two only break ties: at 2048 tokens one token more or less weighs 2.4e-7 at least.
+#: Where tokens alone bind, the other two choose among bins with equal room for tokens: at 2048 tokens one token more or
+#: less weighs 2.4e-7 at least. So they change which pieces share a sequence, and not how many sequences there are.
 TOKENS_FIRST = (1.0, 1e-8, 1e-8)
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -158,3 +159,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
 
     chosen = _ranked(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return chosen.mapInArrow(run, f"{_PIECE}, sequence_id long, offset long")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, n_tokens, n_docs, attention_cost of each sequence of packed pieces: what the three capacities bound."""
+    return packed.groupBy("sequence_id").agg(
+        F.sum("length").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("length") * F.col("length")).alias("attention_cost")
+    )

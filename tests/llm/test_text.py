@@ -413,6 +413,36 @@ def test_packing_of_repeated_rows(spark):
     assert len(found) == 7
 
 
+def bins_of(runs):
+    """The pieces of each bin."""
+    bins = defaultdict(list)
+    for length, _, n, first, _ in runs.tolist():
+        for b in range(first, first + n):
+            bins[b].append(length)
+    return bins
+
+
+def test_documents_and_attention_choose_among_bins_with_equal_room():
+    """Other pieces share a sequence than by tokens alone, and no sequence more is needed."""
+    pick = random.Random(1)
+    for limit in (64, 2048):
+        counts = {n: pick.randrange(1, 200 if n < 300 else 4) for n in range(1, limit + 1)}
+        vector, tokens = (bins_of(packing.best_fit(counts, limit, limit, limit**2, w)) for w in (packing.TOKENS_FIRST, (1.0, 0.0, 0.0)))
+        assert len(vector) == len(tokens)
+        assert Counter(tuple(sorted(b)) for b in vector.values()) != Counter(tuple(sorted(b)) for b in tokens.values())
+
+
+def test_sequences_say_what_the_capacities_bound(spark):
+    docs = documents(spark, [(k, words(k, 1 + k * 7 % 60)) for k in range(200)])
+    packed = packing.pack(docs, max_tokens=256, max_docs=3, max_cost=30_000)
+    by_hand = defaultdict(list)
+    for r in packed.collect():
+        by_hand[r["sequence_id"]].append(r["length"])
+    found = {r["sequence_id"]: tuple(r)[1:] for r in packing.sequences(packed).collect()}
+    assert found == {s: (sum(n), len(n), sum(x * x for x in n)) for s, n in by_hand.items()}
+    assert all(t <= 256 and d <= 3 and c <= 30_000 for t, d, c in found.values()) and any(d == 3 for _, d, _ in found.values())
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(score):
     pick = random.Random(1)
