@@ -308,6 +308,23 @@ def top_clients_by_store(star: Star, as_of: date, bounds: Bounds = HOUSE, top_n:
     return _ranked(star.clients("client_id", *NAME, *RANKED), as_of, bounds, top_n)
 
 
+def register_ranked_clients(star: Star, as_of: date, bounds: Bounds = HOUSE, prefix: str = "") -> None:
+    """The SQL table function get_ranked_clients(p_store_id): ``get_top_clients`` of stores of any size, as of now.
+
+    All clients are numbered once, in many tasks, and written; a call is a filter, and ``WHERE rank <= n`` reaches the
+    scan. Clients that come later are not in it: register it again.
+    """
+    top_clients_by_store(star, as_of, bounds).createOrReplaceTempView(f"{prefix}ranked_clients")
+    star.spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {prefix}get_ranked_clients(p_store_id INT)
+        RETURNS TABLE (client_name STRING, email STRING, membership_tier STRING, lifetime_spend DOUBLE,
+                       total_orders INT, last_purchase_date DATE, risk_tier STRING, rank INT)
+        RETURN
+          SELECT client_name, email, membership_tier, lifetime_spend, total_orders, last_purchase_date, risk_tier,
+                 CAST(rank AS INT)
+          FROM {prefix}ranked_clients WHERE preferred_store_id = p_store_id""")
+
+
 def tier_table(star: Star, bounds: Bounds = HOUSE) -> DataFrame:
     """client_id, spend, derived tier."""
     rows = star.clients("client_id", "lifetime_spend")

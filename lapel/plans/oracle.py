@@ -619,6 +619,7 @@ ORACLE |= {
     **{f"sql_{key}": ORACLE[key] for key in ORACLE if key.startswith("metric_") and f"sql_{key}" in K.REGISTRY},
     "sql_metric_growth_mom": f"SELECT store_id, growth_mom FROM ({ORACLE['metric_growth_mom']})",
     "sql_get_top_n_clients": ORACLE["sql_get_top_clients"],
+    "sql_get_ranked_clients": f"SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM ({ORACLE['get_top_clients']})",
     "segment_clients_in_batches": ORACLE["segment_clients"],
     "client_profile_in_batches": ORACLE["client_profile"],
     "row_counts_in_batches": ORACLE["row_counts"],

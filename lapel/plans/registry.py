@@ -137,6 +137,12 @@ def _sql_top_n_clients(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql("SELECT * FROM cf_get_top_n_clients(p_store_id => 3)")
 
 
+def _sql_ranked_clients(spark: SparkSession, folder: str) -> DataFrame:
+    """All clients of a store, numbered beforehand."""
+    C.register_ranked_clients(ConformedStar(spark, folder), AS_OF, BOUNDS, prefix="cf_")
+    return spark.sql("SELECT * FROM cf_get_ranked_clients(p_store_id => 3)")
+
+
 def _sql_risk(spark: SparkSession, folder: str) -> DataFrame:
     _sql_setup(spark, folder)
     return spark.sql(
@@ -336,6 +342,7 @@ REGISTRY: dict[str, Query] = {
     "sql_get_revenue_by_period": _sql_revenue,
     "sql_get_top_clients": _sql_top_clients,
     "sql_get_top_n_clients": _sql_top_n_clients,
+    "sql_get_ranked_clients": _sql_ranked_clients,
     "sql_classify_client_risk": _sql_risk,
     "sql_mask_email": _masked("cf_mask_email(email) AS email"),
     "sql_mask_lifetime_spend": _masked("cf_mask_lifetime_spend(CAST(lifetime_spend AS DOUBLE)) AS lifetime_spend"),

@@ -22,7 +22,7 @@ def nothing_is_small(spark):
 def test_plans(spark, nothing_is_small):
     """No broadcast is forced, nothing is multiplied out, nothing leaves the JVM, no window lacks a partitioning."""
     for key, query in REGISTRY.items():
-        if key == "row_counts_in_batches":  # counts, of a star that the two before it have written in the same way
+        if key in ("row_counts_in_batches", "segment_clients_in_batches"):  # of a star written in the same way as the third's
             continue
         plan = query(spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "BroadcastExchange" not in plan, key
@@ -95,3 +95,14 @@ def test_date_bound_reaches_orders_and_makes_the_join_inner(spark):
 def test_distinct_counts_without_row_expansion(spark):
     for key in ("q02_revenue_by_store_12m", "q10_city_compare", "q10_city_compare_distinct_ids", "metric_repurchase_rate"):
         assert "Expand" not in REGISTRY[key](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sql_top_lists_sort_no_store_in_one_task(spark):
+    """Pruned in each task before the store's rows meet, cut off by a limit, or numbered beforehand."""
+    pruned, cut, numbered = (
+        REGISTRY[key](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        for key in ("sql_get_top_clients", "sql_get_top_n_clients", "sql_get_ranked_clients")
+    )
+    assert re.search(r"WindowGroupLimit .preferred_store_id.*, 10, Partial", pruned)
+    assert re.search("TakeOrderedAndProject|WindowGroupLimit .*Partial", cut)
+    assert "row_number" not in numbered and "EqualTo(preferred_store_id,3)" in numbered
