@@ -351,7 +351,11 @@ def decoded(tokens: DataFrame, model_path: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, dropout: float = 0.1, model_path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256, lossless per input row."""
+    """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256, lossless per input row.
+
+    Null and empty texts have no tokens and decode to an empty text; a null id hashes as -1. Repeated rows get equal
+    results. An empty table gives no rows; other columns are not read.
+    """
     path = model_path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
