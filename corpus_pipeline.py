@@ -17,27 +17,38 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base test and the learned decision list."""
+    """Documents that pass the base test and the learned decision list, all columns whatever their names.
+
+    Null, empty and short texts fail the base test. Without labels the base test alone decides. Repeated rows share one
+    verdict; an empty table gives no rows.
+    """
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the least id."""
+    """Of equal texts, the document with the least id, all columns whatever their names.
+
+    Null text counts as empty; a null id comes after all others; of rows that repeat id and text one stays.
+    """
     return drop_copies(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints, the document with the least id."""
+    """Of linked fingerprints, the document with the least id, all columns whatever their names.
+
+    Null text counts as empty; a null id comes after all others; rows that share an id are judged each for itself.
+    """
     return drop_near_copies(docs, shingle=4, bits=4)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced (n_chars stays what the source said)."""
+    """All documents, secrets in their texts replaced (n_chars stays what the source said); null texts stay null."""
     return redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in sequences of 2048 tokens."""
+    """Token pieces with their place in sequences of 2048 tokens; null and empty texts are their end id alone, rows that
+    repeat are packed each for itself."""
     return pack(docs, max_tokens=2048)
 
 
