@@ -2,7 +2,9 @@
 
 Amounts of the fact are stored as doubles with at most four decimals. Inside an aggregate each is turned into a whole
 number of ten-thousandths, so sums are exact and do not depend on row order or partitioning, at the price of adding two
-longs (decimal sums cost two to four times as much per row). Amounts too large for that are added as decimals. Totals
+longs (decimal sums cost two to four times as much per row). Amounts too large for that are added as decimals: for up to
+four decimals that is the same; a fifth is rounded half to even below that size and half up beyond it, so data that has
+one belongs rounded first (``star.amount_check`` counts such rows). Totals
 that are summed again (a client's spend) are few, and are added as decimals from the start. Sums hold 20 digits before
 the point.
 """

@@ -616,6 +616,11 @@ ORACLE: dict[str, str] = {
 
 # The same answers by another way: SQL text that names a metric, a function that stops at ten, a star written in batches.
 ORACLE |= {
+    "amount_check": facts(
+        """SELECT COUNT(*) AS n, COUNT(*) FILTER (total_amount * 10000 <> FLOOR(total_amount * 10000)) AS more_decimals,
+                  COUNT(*) FILTER (total_amount >= 900000000000) AS large, COUNT(*) FILTER (total_amount IS NULL) AS missing
+           FROM fact"""
+    ),
     **{f"sql_{key}": ORACLE[key] for key in ORACLE if key.startswith("metric_") and f"sql_{key}" in K.REGISTRY},
     "sql_metric_growth_mom": f"SELECT store_id, growth_mom FROM ({ORACLE['metric_growth_mom']})",
     "sql_get_top_n_clients": ORACLE["sql_get_top_clients"],

@@ -22,7 +22,7 @@ from lapel.operators import usage as U
 from lapel.session import scratch_dir
 from lapel.sources import usage_log as L
 from lapel.sources.conform import AS_OF, BOUNDS, DOMAIN, ConformedStar
-from lapel.sources.star import MappedStar, Star, StoredStar, append_batch, cast_dates, fk_check, register_views, row_counts, write_star
+from lapel.sources.star import MappedStar, Star, StoredStar, amount_check, append_batch, cast_dates, fk_check, register_views, row_counts, write_star
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -235,6 +235,7 @@ REGISTRY: dict[str, Query] = {
     "cast_dates": _cast_dates,
     "row_counts": _ask(row_counts),
     "fk_check": _ask(fk_check),
+    "amount_check": _ask(amount_check),
     # questions
     "q01_revenue_ytd": _ask(R.revenue_ytd, AS_OF),
     "q02_revenue_by_store_12m": _ask(R.revenue_by_store_12m, AS_OF),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lapel.functions.money import LARGE, UNITS
 from lapel.sources.schema import FOREIGN_KEYS, SCHEMAS, TABLE_COMMENTS
 from lapel.sources.snapshots import Snapshot, Snapshots
 
@@ -353,6 +354,22 @@ def row_counts(star: Star) -> DataFrame:
     return out
 
 
+def amount_check(star: Star) -> DataFrame:
+    """One row: fact rows, those whose amount has more than four decimals, those of 9e11 and more, those without amount.
+
+    Sums are exact for amounts of up to four decimals (``functions.money``).
+    """
+    amount = F.col("total_amount")
+    units = F.round(amount.cast("decimal(38,10)") * F.lit(UNITS), 6)
+    fine = (F.abs(amount) < LARGE) & (units != F.floor(units))
+    return star.transactions("total_amount").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(fine).alias("more_decimals"),
+        F.count_if(F.abs(amount) >= LARGE).alias("large"),
+        F.count_if(amount.isNull()).alias("missing"),
+    )
+
+
 def fk_check(star: Star) -> DataFrame:
     """Rows whose foreign key is set but points nowhere, one line per relationship.
 

@@ -12,7 +12,7 @@ from lapel.operators import metric_reports as M
 from lapel.operators import profile as P
 from lapel.operators import revenue as R
 from lapel.sources.schema import SCHEMAS
-from lapel.sources.star import MappedStar, fk_check
+from lapel.sources.star import MappedStar, amount_check, fk_check
 from tests.conftest import rows
 
 NOW = date(2026, 3, 17)
@@ -290,6 +290,12 @@ def test_profile_with_and_without_extras_agree(spark, sample):
         assert sorted(rows(P.profile(sales, **flags).select(*cols))) == plain
 
 
+def test_amounts_beyond_what_is_exact_are_counted(spark):
+    amounts = [1.0, 0.1, 19.99, 1234567.8901, 1.00005, 9e11, 1e15, None, -2.5, -0.33333]
+    s = star(spark, [sale(k, 1, amount=a) for k, a in enumerate(amounts)])
+    assert tuple(amount_check(s).first()) == (10, 2, 2, 1)
+
+
 def test_orphans(spark):
     s = star(spark, [sale(1, 1), sale(2, 9), sale(3, 9), sale(4, None, store=8)], [client(1, advisor=7)])
     got = {r.foreign_key: r.orphans for r in fk_check(s).collect()}
