@@ -259,6 +259,10 @@ def _write_fact(fact: DataFrame, folder: str) -> None:
     fact.hint("rebalance", F.col(MONTH)).write.partitionBy(MONTH).parquet(folder)
 
 
+def _place(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:").rstrip("/")
+
+
 def write_star(star: Star, path: str, parts: Callable[[Star], DataFrame] | None = None) -> StoredStar:
     """Write the star once so that many questions can be asked of it without re-deriving it.
 
@@ -269,7 +273,7 @@ def write_star(star: Star, path: str, parts: Callable[[Star], DataFrame] | None
     With ``parts`` (``operators.profile.partial_profiles``) the partial profiles of the fact are kept beside it.
     """
     store = Snapshots(star.spark, path)
-    own = isinstance(star, StoredStar) and star.path is not None and star.path.rstrip("/") == path.rstrip("/")
+    own = isinstance(star, StoredStar) and star.path is not None and _place(star.path) == _place(path)
     seen = star.snapshot() if own else None  # of its own star, what it has seen is what is written
     base = store.base() if seen is None else seen.base
     schemas = {name: star.table(name).schema for name in SCHEMAS}

@@ -55,7 +55,7 @@ def test_a_batch_is_there_once(spark, tables, tmp_path):
     assert ids(now) == ["1", "2", "3", "4"] and now.stores().count() == 3
     assert Snapshots(spark, path).current().batches == ["b1"]
     # folded into a new base, it is still known
-    folded = write_star(now, path)
+    folded = write_star(now, f"{tmp_path}/star")
     assert ids(folded) == ["1", "2", "3", "4"] and not append_batch(folded, "b1", more)
     assert ids(StoredStar(spark, path=path)) == ["1", "2", "3", "4"]
     plan = now.transactions("total_amount", since=DAY, before=DAY + timedelta(5))._jdf.queryExecution().executedPlan().toString()
