@@ -100,7 +100,7 @@ def _in_batches(question: Callable[..., DataFrame], *args) -> Query:
     appended as two batches, the first of them sent twice."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        source = ConformedStar(spark, folder)
+        source = ConformedStar(spark, folder).joined_once()
         fact = source.transactions()
         late = F.coalesce(F.col("payment_method") == "1-URGENT", F.lit(False))
         recent = F.coalesce(F.col("transaction_date") >= date(LAST_YEAR, 1, 1), F.lit(False))

@@ -48,7 +48,7 @@ def written_once(df: DataFrame) -> DataFrame:
 
 
 def save(df: DataFrame, path: str) -> None:
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
 
 
 def id_set(ids: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from lapel.functions.classify import Bounds, is_vip, membership_tier, segment
 from lapel.functions.dates import days_since
 from lapel.functions.money import from_units, money, ratio
 from lapel.operators.profile import BASIC, profile
+from lapel.session import written_once
 from lapel.sources.raw import read_raw
 from lapel.sources.schema import SCHEMAS
 from lapel.sources.star import Star
@@ -40,6 +41,11 @@ DOMAIN = "example.com"
 EXACT = "decimal(18,2)"
 
 FROM_ORDERS = {"transaction_date", "client_id", "payment_method"}
+#: What the fact reads of lines and orders.
+LINES = (
+    *("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"),
+    *("o_orderdate", "o_custkey", "o_orderpriority"),
+)
 FROM_SUPPLIER = {"store_id"}
 FROM_GAP = {"client_segment"}
 FROM_PROFILE = {*BASIC, "membership_tier", "is_vip", "preferred_category", "client_segment"}
@@ -53,8 +59,9 @@ class ConformedStar(Star):
         as_of: date = AS_OF,
         bounds: Bounds = BOUNDS,
         fact: Star | None = None,
+        lines: DataFrame | None = None,
     ):
-        self.spark, self.folder, self.as_of, self.bounds, self.fact = spark, folder, as_of, bounds, fact
+        self.spark, self.folder, self.as_of, self.bounds, self.fact, self.lines = spark, folder, as_of, bounds, fact, lines
         self._scans: dict[str, DataFrame] = {}
 
     def derives(self, cols: Iterable[str]) -> bool:
@@ -66,6 +73,18 @@ class ConformedStar(Star):
     def on_fact(self, stored: Star) -> Star:
         return ConformedStar(self.spark, self.folder, self.as_of, self.bounds, stored)
 
+    def joined_once(self) -> ConformedStar:
+        """The same star for several passes over the fact: the lines meet their orders now, and are written for all of them.
+
+        Both sides of that join are large. What is written are the columns that the fact is made from, which take less
+        room than the fact's own.
+        """
+        rows = self._with_orders().withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+        return ConformedStar(self.spark, self.folder, self.as_of, self.bounds, self.fact, written_once(rows.select(*LINES)))
+
+    def _with_orders(self) -> DataFrame:
+        return self.scan("lineitem").join(self.scan("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+
     def scan(self, name: str) -> DataFrame:
         if name not in self._scans:
             self._scans[name] = read_raw(self.spark, self.folder, name)
@@ -84,9 +103,10 @@ class ConformedStar(Star):
     def _transactions(self, cols: tuple[str, ...]) -> DataFrame:
         if self.fact is not None:
             return self.fact.table("transactions", cols)
-        df = self.scan("lineitem")
         if FROM_ORDERS & set(cols):
-            df = df.join(self.scan("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+            df = self._with_orders() if self.lines is None else self.lines
+        else:
+            df = self.scan("lineitem")
         if FROM_SUPPLIER & set(cols):
             df = df.join(self.scan("supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
 

@@ -8,8 +8,9 @@ import pytest
 
 from lapel import session
 from lapel.plans.registry import REGISTRY
+from lapel.sources import star
 from lapel.sources.conform import ConformedStar
-from tests.conftest import DATA
+from tests.conftest import DATA, comparable, rows
 
 @pytest.fixture
 def nothing_is_small(spark):
@@ -106,3 +107,16 @@ def test_sql_top_lists_sort_no_store_in_one_task(spark):
     assert re.search(r"WindowGroupLimit .preferred_store_id.*, 10, Partial", pruned)
     assert re.search("TakeOrderedAndProject|WindowGroupLimit .*Partial", cut)
     assert "row_number" not in numbered and "EqualTo(preferred_store_id,3)" in numbered
+
+
+def test_lines_meet_their_orders_once(spark, monkeypatch):
+    """However often the fact is asked for: a star in batches writes it three times, and its clients' profiles come from it."""
+    plain, once = ConformedStar(spark, DATA), ConformedStar(spark, DATA).joined_once()
+    for cols in ((), ("client_id", "total_amount"), ("store_id", "quantity")):
+        assert comparable(rows(once.transactions(*cols))) == comparable(rows(plain.transactions(*cols)))
+    assert comparable(rows(once.clients())) == comparable(rows(plain.clients()))
+    facts, write = [], star._write_fact
+    monkeypatch.setattr(star, "_write_fact", lambda df, folder: (facts.append(df), write(df, folder)))
+    REGISTRY["row_counts_in_batches"](spark, DATA)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in [*facts, once.clients()]]
+    assert len(plans) == 4 and not any("lineitem" in p or "orders.parquet" in p for p in plans)
