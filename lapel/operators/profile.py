@@ -49,14 +49,8 @@ class Categories:
 SUMS = ("high", "low", "large", "valued", "n", "first_day", "last_day")
 
 
-def _summed(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    parts = {
-        **split_sums("total_amount"),
-        "valued": F.count("total_amount"),
-        "n": F.count(F.lit(1)),
-        "first_day": F.min("transaction_date"),
-        "last_day": F.max("transaction_date"),
-    }
+def _summed(rows: DataFrame, by: Sequence[str], **more: Column) -> DataFrame:
+    parts = {**split_sums("total_amount"), "valued": F.count("total_amount"), "n": F.count(F.lit(1)), **more}
     return rows.groupBy(*by).agg(*[c.alias(n) for n, c in parts.items()])
 
 
@@ -101,15 +95,16 @@ def profile(sales: DataFrame, products: DataFrame | None = None, gap: bool = Fal
     categories = None if products is None else Categories(products)
     if categories is not None:
         known = known.join(categories.numbered(products), "product_id", "left")
-    fine = ["client_id"] + ["transaction_date"] * gap + ["category"] * (categories is not None)
-    level, last = _summed(known, fine), {}
+    fine = ["client_id"] + ["day"] * gap + ["category"] * (categories is not None)
     if gap:
-        earlier = W.partitionBy("client_id").orderBy(F.unix_date("transaction_date"))
-        day_before = F.max("transaction_date").over(earlier.rangeBetween(W.unboundedPreceding, -1))
-        level = level.withColumn("gap", F.datediff("transaction_date", day_before))
-        last["gap"] = F.max_by("gap", "last_day")
+        level, last = _summed(known.withColumn("day", F.unix_date("transaction_date")), fine), {"gap": F.max_by("gap", "last_day")}
+        earlier = W.partitionBy("client_id").orderBy("day").rangeBetween(W.unboundedPreceding, -1)
+        level = level.withColumn("gap", F.col("day") - F.max("day").over(earlier))
+        level = level.withColumns({c: F.date_from_unix_date("day") for c in ("first_day", "last_day")})
         if categories is not None:
             level = _merged(level, ["client_id", "category"], **last)
+    else:
+        level, last = _summed(known, fine, first_day=F.min("transaction_date"), last_day=F.max("transaction_date")), {}
     if categories is not None:
         last["favourite"] = F.max(Categories.packed(F.col("n")))
     if len(fine) > 1:
@@ -122,14 +117,28 @@ def partial_profiles(star: Star) -> DataFrame:
 
     A row per month, client and category. Rows of several batches, of one month too, add up to the profile, so an
     append writes the rows of its own sales and reads and touches no others. Categories are those of the day of writing.
+
+    A cell's days are bits of one int, so its last two days come out of the same pass as its sums, with one shuffle of
+    the sales, already combined in the map tasks, and no window.
     """
     sales = star.sales("client_id", "transaction_date", "total_amount", "product_id").filter(F.col("client_id").isNotNull())
     sales = sales.join(star.products("product_id", "category"), "product_id", "left")
+    one = F.call_function("shiftleft", F.lit(1), F.dayofmonth("transaction_date") - 1)
     cell = ["sale_month", "client_id", "category"]
-    days = _summed(sales.withColumn("sale_month", F.trunc("transaction_date", "MM")), [*cell, "transaction_date"])
-    days = days.withColumn("latest", F.max("last_day").over(W.partitionBy(*cell)))
-    prior = F.max(F.when(F.col("last_day") < F.col("latest"), F.col("last_day")))
-    return _merged(days, cell, prior_day=prior).select("client_id", "category", *SUMS, "prior_day", "sale_month")
+    cells = _summed(sales.withColumn("sale_month", F.trunc("transaction_date", "MM")), cell, days=F.bit_or(one))
+    days = F.col("days")
+    before = days - F.call_function("shiftleft", F.lit(1), F.length(F.bin(days)) - 1)
+    held = {
+        "first_day": _highest_day(days.bitwiseAND(-days)),
+        "last_day": _highest_day(days),
+        "prior_day": F.when(before != 0, _highest_day(before)),
+    }
+    return cells.withColumns(held).select("client_id", "category", *SUMS, "prior_day", "sale_month")
+
+
+def _highest_day(days: Column) -> Column:
+    """The last of a month's days, which are bits of an int."""
+    return F.date_add("sale_month", F.length(F.bin(days)) - 1)
 
 
 def merged_profiles(parts: DataFrame, category: bool = False, gap: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, timedelta
 
 import pytest
@@ -206,3 +207,31 @@ def test_sample_star(spark, sample, tmp_path):
     star = write_star(sample, str(tmp_path), parts=P.partial_profiles)
     assert answers(star) == answers(sample)
     assert sorted(rows(R.revenue_by_store_12m(star, TODAY))) == sorted(rows(R.revenue_by_store_12m(sample, TODAY)))
+
+
+def shuffles(df):
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_partial_profiles_shuffle_the_sales_once(spark, tables):
+    """First, last and last but one day of a month come out of one pass: first and last days of months, days that come twice, one day, none."""
+    days = [date(2024, 1, 31), date(2024, 1, 1), date(2024, 1, 31), date(2024, 2, 29), date(2024, 2, 28), date(2024, 2, 2), None]
+    sales = [sale(k, 1, d) for k, d in enumerate(days)] + [sale(50, 2, DAY), sale(51, 2, DAY, None), sale(52, 2, DAY, back=True)]
+    parts = P.partial_profiles(MappedStar(spark, dict(tables, transactions=facts(spark, *sales))))
+    assert [s for s in shuffles(parts) if "client_id" in s] == ["sale_month, client_id, category, 4"]
+    assert "Window" not in parts._jdf.queryExecution().executedPlan().toString()
+    got = {(r.client_id, r.sale_month): (r.n, r.valued, r.first_day, r.last_day, r.prior_day) for r in parts.collect()}
+    assert got == {
+        (1, date(2024, 1, 1)): (3, 3, date(2024, 1, 1), date(2024, 1, 31), date(2024, 1, 1)),
+        (1, date(2024, 2, 1)): (3, 3, date(2024, 2, 2), date(2024, 2, 29), date(2024, 2, 28)),
+        (1, None): (1, 1, None, None, None),
+        (2, date(2025, 3, 1)): (2, 1, DAY, DAY, None),
+    }
+
+
+def test_days_of_a_profile_are_shuffled_as_one_number(spark, tables):
+    """No minimum and maximum of a day beside it, neither to the sums by day nor to the window over them."""
+    star = MappedStar(spark, tables)
+    sales = star.sales("client_id", "transaction_date", "total_amount", "product_id")
+    plan = P.profile(sales, star.products("product_id", "category"), gap=True)._jdf.queryExecution().executedPlan().toString()
+    assert "min(transaction_date" not in plan and "max(transaction_date" not in plan
