@@ -151,7 +151,9 @@ def merged_profiles(parts: DataFrame, category: bool = False, gap: bool = False)
         last["prior_day"] = F.max(before)
     if category:
         names = Categories(parts)
-        level = _merged(names.numbered(parts), ["client_id", "category"], **last)
+        # partial profiles of a client are few, a row per month, category and batch: one shuffle, by client, does for both sums
+        numbered = names.numbered(parts) if gap else names.numbered(parts).repartition("client_id")
+        level = _merged(numbered, ["client_id", "category"], **last)
         last["favourite"] = F.max(Categories.packed(F.col("n")))
         last |= {"prior_day": F.max("prior_day")} if gap else {}
     else:

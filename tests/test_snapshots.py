@@ -229,6 +229,12 @@ def test_partial_profiles_shuffle_the_sales_once(spark, tables):
     }
 
 
+def test_profiles_from_partials_shuffle_them_once(spark, tables, tmp_path):
+    star = write_star(MappedStar(spark, tables), str(tmp_path), parts=P.partial_profiles)
+    assert [s for s in shuffles(P.client_profile(star)) if "client_id" in s] == ["client_id, 4"]
+    assert [s for s in shuffles(P.segment_clients(star, TODAY)) if "client_id" in s] == ["client_id, 4"]
+
+
 def test_days_of_a_profile_are_shuffled_as_one_number(spark, tables):
     """No minimum and maximum of a day beside it, neither to the sums by day nor to the window over them."""
     star = MappedStar(spark, tables)
