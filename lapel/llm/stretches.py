@@ -2,9 +2,9 @@
 
 Consecutive windows with the same least token form a stretch. A stretch is packed once, with the bytes that its windows
 cover, and goes to the bucket of its token: equal windows have equal tokens, so they meet there. A map task packs all
-stretches of a bucket into one compressed payload and leaves out stretches that it has itself seen before. Buckets are
-many per shuffle partition; a task takes one after the other, and one that outgrows memory is worked in slices of its
-windows by their hash, from payloads spooled to a local file.
+stretches of a shuffle partition into one compressed payload and leaves out stretches that it has itself seen before.
+Buckets are many per partition; a task spools its payloads by bucket and takes one after the other. One that outgrows
+memory is split by finer tokens or worked in slices of its windows by their hash.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pickle
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: dict[int, np.ndarray] = {}
 
-PAYLOAD = "bucket int, windows long, payload binary"
+PAYLOAD = "part int, windows long, payload binary"
+#: How often a bucket that is too large is split, and split again.
+SPLITS = 3
+#: Bytes of stretches that are split or thinned at once.
+PIECE = 1 << 20
 INTERVAL = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
@@ -95,6 +100,15 @@ class Stretches:
         kept = (x[chosen] for x in (self.ids, self.rows, self.starts, self.windows, self.sizes))
         return Stretches(*kept, take_bytes(self.data, at[chosen], self.sizes[chosen]))
 
+    def cut(self, most: int) -> Iterator[Stretches]:
+        """The stretches in runs that begin within `most` bytes."""
+        ends = np.cumsum(self.sizes)
+        begins = ends - self.sizes
+        at = [*_run_starts(begins // most).tolist(), len(self)]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            own = (x[a:b] for x in (self.ids, self.rows, self.starts, self.windows, self.sizes))
+            yield Stretches(*own, self.data[begins[a] : ends[b - 1]])
+
     def __len__(self) -> int:
         return len(self.ids)
 
@@ -104,27 +118,70 @@ def joined(parts: list[Stretches]) -> Stretches:
 
 
 def packed(s: Stretches, level: int = 6) -> bytes:
-    """Documents once, small numbers for the rest; numbers and text compressed each for itself."""
-    pairs = np.stack([s.ids, s.rows], axis=1)
-    new = np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]
-    fields = (pairs[new].T.tobytes(), np.packbits(new).tobytes(), len(new), _slim(s.starts), _slim(s.windows), _slim(s.sizes))
+    """The stretches, one at least, as one payload."""
+    none = np.zeros(len(s), np.int64)
+    return next(packed_by(s, none, none, level))[2]
+
+
+def packed_by(s: Stretches, key: np.ndarray, bucket: np.ndarray, level: int) -> Iterator[tuple[int, int, bytes]]:
+    """Key, number of windows and payload of the stretches of each key, by bucket.
+
+    Documents once, as differences; small numbers for the rest; numbers and text compressed each for itself. What can be
+    done for all payloads at once is, as they may be many and small.
+    """
+    if not len(s):
+        return
+    order = np.lexsort((bucket, key))
+    ends = np.cumsum(s.sizes)
+    raw, first, last = memoryview(np.ascontiguousarray(s.data)), (ends - s.sizes)[order].tolist(), ends[order].tolist()
+    key, bucket, ids, rows, windows = (x[order] for x in (key, bucket, s.ids, s.rows, s.windows))
+    begin = _run_starts(key)
+    new = np.r_[True, (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])]
+    turn = np.r_[True, bucket[1:] != bucket[:-1]]
+    new[begin] = turn[begin] = True
+    documents = np.flatnonzero(new)
+    ids, rows = (np.diff(x[documents], prepend=0) for x in (ids, rows))  # each payload's first is replaced below
+    at = np.searchsorted(documents, np.r_[begin, len(key)]).tolist()
+    ids[at[:-1]], rows[at[:-1]] = s.ids[order[begin]], s.rows[order[begin]]
+    turns = np.flatnonzero(turn)
+    buckets, lengths = bucket[turns].astype(np.int32), np.diff(np.r_[turns, len(key)]).astype(np.int32)
+    turn_at = np.searchsorted(turns, np.r_[begin, len(key)]).tolist()
+    columns = [_slim(x) for x in (s.starts[order], windows, (s.sizes - s.windows)[order])]
+    kinds = [x.dtype.str for x in columns]
     squeeze = zstandard.ZstdCompressor(level=level).compress
-    return pickle.dumps((squeeze(pickle.dumps(fields, protocol=5)), squeeze(s.data.tobytes())), protocol=5)
+    total = np.add.reduceat(windows, begin).tolist()
+    for k, (a, b) in enumerate(zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True)):
+        d, u = slice(at[k], at[k + 1]), slice(turn_at[k], turn_at[k + 1])
+        numbers = (b - a, ids[d].tobytes(), rows[d].tobytes(), np.packbits(new[a:b]).tobytes(), kinds, [x[a:b].tobytes() for x in columns], buckets[u].tobytes(), lengths[u].tobytes())
+        text = b"".join([raw[x:y] for x, y in zip(first[a:b], last[a:b], strict=True)])
+        yield int(key[a]), total[k], pickle.dumps((squeeze(pickle.dumps(numbers, protocol=5)), squeeze(text)), protocol=5)
 
 
 def unpacked(payload: bytes) -> Stretches:
+    return unpacked_by(payload)[0]
+
+
+def unpacked_by(payload: bytes) -> tuple[Stretches, np.ndarray]:
+    """The stretches of a payload and their buckets."""
     expand = zstandard.ZstdDecompressor().decompress
-    numbers, data = map(expand, pickle.loads(payload))  # written by packed() in this job
-    pairs, new, n, *rest = pickle.loads(numbers)
+    numbers, data = map(expand, pickle.loads(payload))  # written by packed_by() in this job
+    n, ids, rows, new, kinds, columns, buckets, lengths = pickle.loads(numbers)
     which = np.cumsum(np.unpackbits(np.frombuffer(new, np.uint8), count=n), dtype=np.int64) - 1
-    documents = np.frombuffer(pairs, np.int64).reshape(2, -1)[:, which]
-    wide = (np.frombuffer(b, t).astype(np.int64) for t, b in rest)
-    return Stretches(documents[0], documents[1], *wide, np.frombuffer(data, np.uint8))
+    ids, rows = (np.cumsum(np.frombuffer(x, np.int64))[which] for x in (ids, rows))
+    starts, windows, more = (np.frombuffer(x, kind).astype(np.int64) for x, kind in zip(columns, kinds, strict=True))
+    bucket = np.repeat(np.frombuffer(buckets, np.int32), np.frombuffer(lengths, np.int32))
+    return Stretches(ids, rows, starts, windows, windows + more, np.frombuffer(data, np.uint8)), bucket.astype(np.int64)
 
 
-def _slim(x: np.ndarray) -> tuple[str, bytes]:
-    kind = next(t for t in ("u1", "u2", "u4", "i8") if t == "i8" or not len(x) or x.max() <= np.iinfo(t).max)
-    return kind, x.astype(kind).tobytes()
+def _run_starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+
+
+def _slim(x: np.ndarray) -> np.ndarray:
+    """The numbers in the narrowest type that holds them all."""
+    low, high = (int(x.min()), int(x.max())) if len(x) else (0, 0)
+    return x.astype(next(t for t in ("u1", "u2", "u4", "i8") if t == "i8" or 0 <= low and high <= np.iinfo(t).max))
 
 
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -171,10 +228,11 @@ def merged_runs(s: Stretches, hit: np.ndarray, width: int) -> Iterator[pa.Record
 # ---- map side ----
 
 
-def payloads(parts: Iterator[tuple[Stretches, np.ndarray]], flush: int) -> Iterator[pa.RecordBatch]:
-    """Stretches and their buckets as one payload per bucket, for every `flush` bytes or so.
+def payloads(parts: Iterator[tuple[Stretches, np.ndarray]], partitions: int, flush: int) -> Iterator[pa.RecordBatch]:
+    """Stretches and their buckets as one payload per shuffle partition, for every `flush` bytes or so.
 
-    Columns as in PAYLOAD; done with numbers only: a batch's stretches are sorted by bucket and cut there.
+    Columns as in PAYLOAD. Buckets are dealt to partitions in turn. They are many more than partitions: a payload each
+    would be so small with many buckets that packing it costs more than its bytes do.
     """
     held: list[tuple[Stretches, np.ndarray]] = []
     size = 0
@@ -182,87 +240,124 @@ def payloads(parts: Iterator[tuple[Stretches, np.ndarray]], flush: int) -> Itera
         held.append(part)
         size += len(part[0].data)
         if size >= flush:
-            yield from _payload_batch(held)
+            yield from _payload_batch(held, partitions)
             held, size = [], 0
             release_memory()
     if held:
-        yield from _payload_batch(held)
+        yield from _payload_batch(held, partitions)
 
 
-def _payload_batch(held: list[tuple[Stretches, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _payload_batch(held: list[tuple[Stretches, np.ndarray]], partitions: int) -> Iterator[pa.RecordBatch]:
     s, bucket = joined([p for p, _ in held]), np.concatenate([b for _, b in held])
-    if not len(s):
-        return
-    order = np.argsort(bucket, kind="stable")
-    ends = np.cumsum(s.sizes)
-    raw, first, last = s.data.tobytes(), (ends - s.sizes)[order].tolist(), ends[order].tolist()
-    s = Stretches(*(x[order] for x in (s.ids, s.rows, s.starts, s.windows, s.sizes)), s.data[:0])
-    bucket = bucket[order]
-    begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    end = np.r_[begin[1:], len(bucket)]
-    out = []
-    for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-        own = b"".join([raw[x:y] for x, y in zip(first[a:b], last[a:b], strict=True)])
-        out.append(packed(Stretches(s.ids[a:b], s.rows[a:b], s.starts[a:b], s.windows[a:b], s.sizes[a:b], np.frombuffer(own, np.uint8))))
-    counts = np.add.reduceat(s.windows, begin)
-    for k in range(0, len(out), 256):
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[begin[k : k + 256]].astype(np.int32)), pa.array(counts[k : k + 256]), pa.array(out[k : k + 256], pa.binary())], ["bucket", "windows", "payload"])
+    held.clear()
+    for some in batched(packed_by(s, bucket % partitions, bucket, 3), 256):
+        part, windows, out = zip(*some, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(windows, pa.int64()), pa.array(out, pa.binary())], ["part", "windows", "payload"])
 
 
 def found_here(ids: np.ndarray, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Intervals found on the map side, passed on as a payload of bucket -1 and below."""
+    """Intervals found on the map side, passed on as a payload without windows."""
     if len(ids):
         blob = zstandard.compress(pickle.dumps(tuple(x.astype(np.int64).tobytes() for x in (ids, rows, lo, hi)), protocol=5))
-        yield pa.RecordBatch.from_arrays([pa.array([-1 - int(ids[0] & 0xFFFF)], pa.int32()), pa.array([0], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "windows", "payload"])
+        yield pa.RecordBatch.from_arrays([pa.array([int(ids[0] & 0xFFFF)], pa.int32()), pa.array([0], pa.int64()), pa.array([blob], pa.binary())], ["part", "windows", "payload"])
 
 
 # ---- reduce side ----
 
 
-def bucket_task(resolve: Callable[[Stretches], Iterator[pa.RecordBatch]], thin: Callable[[Stretches, int, int], Stretches], most: int, alone: int, memory: int = 16 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task over payloads sorted by bucket; `most` bounds the windows taken at once.
+class Spool:
+    """Stretches by bucket: in memory, and beyond `memory` bytes in a local file, compressed either way."""
+
+    def __init__(self, memory: int) -> None:
+        self.file = tempfile.SpooledTemporaryFile(max_size=memory)
+        self.memory, self.end, self.size = memory, 0, 0
+        self.held: list[tuple[Stretches, np.ndarray]] = []
+        self.blocks: dict[int, list[tuple[int, int]]] = {}
+        self.windows: dict[int, int] = {}
+
+    def put(self, s: Stretches, bucket: np.ndarray) -> None:
+        self.held.append((s, bucket))
+        self.size += len(s.data)
+        if self.size >= self.memory:
+            self.sort()
+
+    def sort(self) -> None:
+        """Writes what is held, a block for each bucket."""
+        if self.held:
+            s, bucket = joined([p for p, _ in self.held]), np.concatenate([b for _, b in self.held])
+            self.held, self.size = [], 0
+            for key, windows, block in packed_by(s, bucket, bucket, 1):
+                self.file.seek(self.end)
+                self.file.write(block)
+                self.blocks.setdefault(key, []).append((self.end, len(block)))
+                self.windows[key] = self.windows.get(key, 0) + windows
+                self.end += len(block)
+
+    def buckets(self) -> list[int]:
+        self.sort()
+        return sorted(self.blocks)
 
-    A window taken out of its stretch has its bytes to itself: about `alone` times its share before.
+    def parts(self, bucket: int) -> Iterator[Stretches]:
+        for at, length in self.blocks[bucket]:
+            self.file.seek(at)
+            yield unpacked(self.file.read(length))
+
+
+#: Stretches of a bucket, and what tells its buckets apart so far, to finer stretches and their finer buckets.
+Split = Callable[[Stretches, tuple[tuple[int, int], ...], int], tuple[Stretches, np.ndarray]]
+
+
+def bucket_task(resolve: Callable[[Stretches], Iterator[pa.RecordBatch]], thin: Callable[[Stretches, int, int], Stretches], most: int, alone: int, split: Split | None = None, memory: int = 16 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over payloads; `most` bounds the windows taken at once.
+
+    A bucket of more is read once and split into finer ones, if that can be done, at most SPLITS times. What is still
+    too large then is worked in slices of its windows, each of which reads it all. A window taken out of its stretch has
+    its bytes to itself: about `alone` times its share before.
     """
 
-    def bucket(spool, windows: int) -> Iterator[pa.RecordBatch]:
-        slices = 1 if windows <= most else -(-windows * alone // most)
-        for k in range(slices):
-            spool.seek(0)
-            parts = []
-            while head := spool.read(8):
-                part = unpacked(spool.read(int.from_bytes(head, "little")))
-                parts.append(part if slices == 1 else thin(part, k, slices))
-            yield from resolve(joined(parts))
+    def work(spool: Spool, bucket: int, path: tuple[tuple[int, int], ...]) -> Iterator[pa.RecordBatch]:
+        windows = spool.windows[bucket]
+        if windows <= most:
+            yield from resolve(joined(list(spool.parts(bucket))))
+        elif split and len(path) <= SPLITS:
+            parts = -(-4 * windows // most)
+            finer = Spool(memory)
+            for s in spool.parts(bucket):
+                for some in s.cut(PIECE):
+                    finer.put(*split(some, path, parts))
+            yield from all_of(finer, path, parts)
+        else:
+            slices = -(-windows * alone // most)
+            for k in range(slices):
+                yield from resolve(joined([thin(some, k, slices) for s in spool.parts(bucket) for some in s.cut(PIECE)]))
+
+    def all_of(spool: Spool, path: tuple[tuple[int, int], ...], parts: int) -> Iterator[pa.RecordBatch]:
+        since = 0
+        for bucket in spool.buckets():
+            yield from work(spool, bucket, (*path, (bucket, parts)))
+            since += spool.windows[bucket]
+            if since > 4 * most:
+                release_memory()
+                since = 0
+        spool.file.close()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, spool, windows = None, None, 0
+        spool = Spool(memory)
         for batch in batches:
-            for b, n, held in zip(*(batch.column(c).to_pylist() for c in ("bucket", "windows")), batch.column("payload"), strict=True):
+            for windows, held in zip(batch.column("windows").to_pylist(), batch.column("payload"), strict=True):
                 payload = held.as_py()
-                if b < 0:
+                if windows:
+                    spool.put(*unpacked_by(payload))
+                else:
                     yield from intervals(*(np.frombuffer(x, np.int64) for x in pickle.loads(zstandard.decompress(payload))))
-                    continue
-                if b != now:
-                    if spool is not None:
-                        yield from bucket(spool, windows)
-                        spool.close()
-                        release_memory()
-                    now, spool, windows = b, tempfile.SpooledTemporaryFile(max_size=memory), 0
-                spool.write(len(payload).to_bytes(8, "little"))
-                spool.write(payload)
-                windows += n
-        if spool is not None:
-            yield from bucket(spool, windows)
-            spool.close()
+        yield from all_of(spool, (), 0)
 
     return run
 
 
 def removed(packs: DataFrame, partitions: int, task: Callable) -> DataFrame:
-    """Payloads dealt to their buckets and resolved: id, row, and the intervals to remove as two lists."""
-    dealt = packs.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(task, "id long, row long, lo long, hi long")
+    """Payloads dealt to their partitions and resolved: id, row, and the intervals to remove as two lists."""
+    found = packs.repartitionById(partitions, "part").mapInArrow(task, "id long, row long, lo long, hi long")
     return found.groupBy("id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
 
 

@@ -76,7 +76,7 @@ def _stretches(batch: pa.RecordBatch, k: int, m: int, hot: np.ndarray) -> tuple[
     return S.Stretches(ids, rows, a - first[of], windows, sizes, take_bytes(data, starts[a], sizes)), least[begin]
 
 
-def _pack_task(k: int, m: int, hot: np.ndarray, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pack_task(k: int, m: int, hot: np.ndarray, buckets: int, partitions: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[pa.RecordBatch] = []
 
@@ -94,7 +94,7 @@ def _pack_task(k: int, m: int, hot: np.ndarray, buckets: int) -> Callable[[Itera
                 kept = np.flatnonzero(left)
                 yield s.pick(kept), (S.mixed(least[kept]) % np.uint64(buckets)).astype(np.int64)
 
-        for batch in S.payloads(parts(), 16 << 20):
+        for batch in S.payloads(parts(), partitions, 16 << 20):
             yield batch
             yield from own
             own.clear()
@@ -169,7 +169,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = partitions_of(docs.sparkSession)
     rows = S.keyed(docs, id_col, text_col)
     hot = hot_tokens(rows, k, m, PER_PARTITION * n)
-    packs = rows.select("id", "row", "text").mapInArrow(_pack_task(k, m, hot, PER_PARTITION * n), S.PAYLOAD)
+    packs = rows.select("id", "row", "text").mapInArrow(_pack_task(k, m, hot, PER_PARTITION * n, n), S.PAYLOAD)
     gone = S.removed(packs, n, S.bucket_task(_resolve_task(k), _thin_task(k), most_windows, max(1, k // 3)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,35 +56,39 @@ def _hashes(tokens: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return S.mixed(out)
 
 
-def _least_ranks(data: np.ndarray, width: int, hot: np.ndarray) -> np.ndarray:
+def _least_ranks(data: np.ndarray, width: int, hot: np.ndarray, spent: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """For the string of `width` bytes at every byte: the least rank of its tokens.
 
     Tokens at a word's beginning (a blank and something else) come before others: they lie more evenly, which makes
-    stretches longer. Hot tokens come last: all strings of a token meet in one bucket. Both follow from the token alone.
+    stretches longer. Hot tokens come last: all strings of a token meet in one bucket. Spent ones, which the strings at
+    hand were told apart by before, come after these. All of that follows from the token alone.
     """
     tokens = leading_tokens(data)
     with np.errstate(over="ignore"):
         rank = tokens * _RANK
     none = np.uint64(2**64 - 1)
     cold = ~hot[rank >> np.uint64(64 - _SLOTS)]
+    fresh = None if spent is None else ~spent(tokens)
+    if fresh is not None:
+        cold &= fresh
     first, second = (tokens >> np.uint64(56)).astype(np.uint8), (tokens >> np.uint64(48)).astype(np.uint8)
     reach = width - TOKEN + 1
     least = sliding_min(np.where(_BLANK[first] & ~_BLANK[second] & cold, rank, none), reach)
-    for some in (cold, None):
+    for some in (cold, None) if fresh is None else (cold, fresh, None):
         if not (least == none).any():
             break
         least = np.where(least == none, sliding_min(rank if some is None else np.where(some, rank, none), reach), least)
     return least
 
 
-def _stretches(ids: np.ndarray, rows: np.ndarray, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, width: int, hot: np.ndarray) -> tuple[S.Stretches, np.ndarray]:
+def _stretches(ids: np.ndarray, rows: np.ndarray, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, width: int, hot: np.ndarray, spent: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[S.Stretches, np.ndarray]:
     """The stretches of some texts (of parts that start at the given byte) and their tokens."""
     counts = np.maximum(np.diff(offsets) - width + 1, 0)
     valid = ranges(offsets[:-1], counts)
     if not len(valid):
         empty = np.zeros(0, np.int64)
         return S.Stretches(empty, empty, empty, empty, empty, data[:0]), empty.astype(np.uint64)
-    least = _least_ranks(data, width, hot)[valid]
+    least = _least_ranks(data, width, hot, spent)[valid]
     doc = np.repeat(np.arange(len(counts)), counts)
     begin = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
     windows = np.diff(np.r_[begin, len(valid)])
@@ -108,7 +112,7 @@ def _parts(batches: Iterator[pa.RecordBatch], width: int, hot: np.ndarray, most:
             yield _stretches(ids, rows, part, np.array([0, len(part)]), np.array([a]), width, hot)
 
 
-def _pack_task(width: int, hot: np.ndarray, splitters: np.ndarray, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pack_task(width: int, hot: np.ndarray, splitters: np.ndarray, partitions: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[pa.RecordBatch] = []
 
@@ -122,7 +126,7 @@ def _pack_task(width: int, hot: np.ndarray, splitters: np.ndarray, most: int) ->
                 kept = np.flatnonzero(left)
                 yield s.pick(kept), np.searchsorted(splitters, token[kept], "right")
 
-        for batch in S.payloads(parts(), 16 << 20):
+        for batch in S.payloads(parts(), partitions, 24 << 20):
             yield batch
             yield from own
             own.clear()
@@ -203,6 +207,30 @@ def _thin_task(width: int) -> Callable[[S.Stretches, int, int], S.Stretches]:
     return thin
 
 
+def _split_task(width: int, hot: np.ndarray, splitters: np.ndarray) -> S.Split:
+    def split(s: S.Stretches, path: tuple[tuple[int, int], ...], parts: int) -> tuple[S.Stretches, np.ndarray]:
+        """The windows by their least-ranked token that no bucket on the path stands for, dealt to `parts` by its hash.
+
+        The first bucket of the path is a range between splitters, those after it are shares of the tokens by hash.
+        """
+        bucket = path[0][0]
+
+        def spent(tokens: np.ndarray) -> np.ndarray:
+            out = np.full(len(tokens), len(splitters) > 0)
+            if bucket > 0:
+                out &= tokens >= splitters[bucket - 1]
+            if bucket < len(splitters):
+                out &= tokens < splitters[bucket]
+            for share, of in path[1:]:
+                out |= S.mixed(tokens) % np.uint64(of) == np.uint64(share)
+            return out
+
+        finer, token = _stretches(s.ids, s.rows, s.data, np.r_[0, np.cumsum(s.sizes)], s.starts, width, hot, spent)
+        return finer, (S.mixed(token) % np.uint64(parts)).astype(np.int64)
+
+    return split
+
+
 def sampled_order(rows: DataFrame, width: int, buckets: int, documents: int = 2_000, characters: int = 8_192) -> tuple[np.ndarray, np.ndarray]:
     """Slots of hot tokens, and tokens that cut the others into ranges of equal weight, from a sample of texts.
 
@@ -220,7 +248,7 @@ def sampled_order(rows: DataFrame, width: int, buckets: int, documents: int = 2_
     with np.errstate(over="ignore"):
         hot[(tokens * _RANK) >> np.uint64(64 - _SLOTS)] = True
         least = _least_ranks(data, width, hot)[ranges(offsets[:-1], np.maximum(np.diff(offsets) - width + 1, 0))[::8]] * _UNRANK
-    return hot, np.unique(np.sort(least)[np.arange(1, buckets) * len(least) // buckets]) if len(least) else np.zeros(0, np.uint64)
+    return hot, np.sort(least)[np.arange(1, buckets) * len(least) // buckets] if len(least) else np.zeros(0, np.uint64)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, most_windows: int = 1_500_000, chunk_bytes: int = 512 << 10, keep_text: bool = True) -> DataFrame:
@@ -236,8 +264,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = partitions_of(docs.sparkSession)
     rows = S.keyed(docs, id_col, text_col)
     hot, splitters = sampled_order(rows, width, PER_PARTITION * n)
-    packs = rows.select("id", "row", "text").mapInArrow(_pack_task(width, hot, splitters, chunk_bytes), S.PAYLOAD)
-    gone = S.removed(packs, n, S.bucket_task(_resolve_task(width), _thin_task(width), most_windows, width // 3))
+    packs = rows.select("id", "row", "text").mapInArrow(_pack_task(width, hot, splitters, n, chunk_bytes), S.PAYLOAD)
+    gone = S.removed(packs, n, S.bucket_task(_resolve_task(width), _thin_task(width), most_windows, width // 3, _split_task(width, hot, splitters)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):

@@ -263,6 +263,54 @@ def test_suffix(spark, most, chunk):
     assert got == suffix_by_hand(docs)
 
 
+def test_suffix_payloads_follow_the_partitions(spark, monkeypatch):
+    packs, removed = [], S.removed
+    monkeypatch.setattr(S, "removed", lambda df, *rest: packs.append(df) or removed(df, *rest))
+    docs = documents(spark, [(i, words(i, 300)) for i in range(60)])
+    found = B.suffix_dedup(docs)
+    payloads = packs[0].filter("windows > 0").count()
+    assert 0 < payloads <= docs.rdd.getNumPartitions() * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert found.count() == 60
+
+
+def covered(batches):
+    out = set()
+    for b in batches:
+        for i, row, lo, hi in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out.update((i, row, p) for p in range(lo, hi))
+    return out
+
+
+@pytest.mark.parametrize("cuts", [0, 1])
+def test_a_suffix_bucket_beyond_memory_is_split_by_other_tokens(cuts):
+    width, none = 50, np.zeros(1 << B._SLOTS, bool)
+    common = min((f"c{k:06d}" for k in range(2_000)), key=lambda w: int.from_bytes(f" {w}".encode()) * int(B._RANK) % 2**64)
+    texts = [" ".join(f"{w} {common}" for w in words(k, 100).split()) for k in range(40)]
+    texts += [f"{words(100 + k, 20)} {texts[k][200:700]}" for k in range(20)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    ids, zero = np.arange(len(texts)), np.zeros(len(texts), np.int64)
+    s, token = B._stretches(ids, zero, np.frombuffer("".join(texts).encode(), np.uint8), offsets, zero, width, none)
+    values, counts = np.unique(token, return_counts=True)
+    heavy = values[counts.argmax()]
+    splitters = np.array([heavy, heavy + np.uint64(1)], np.uint64)[: 2 * cuts]
+    bucket = np.searchsorted(splitters, token, "right")
+    split, handed = B._split_task(width, none, splitters), []
+
+    def thin(s, part, parts):
+        raise AssertionError("a slice reads all of the bucket again")
+
+    def counted(s, path, parts):
+        handed.append(int(s.windows.sum()))
+        return split(s, path, parts)
+
+    batches = list(S.payloads(iter([(s, bucket)]), 1, 1 << 20))
+    most = int(s.windows.sum()) // 8
+    found = covered(S.bucket_task(B._resolve_task(width), thin, most, width // 3, counted)(iter(batches)))
+    whole = covered(S.bucket_task(B._resolve_task(width), thin, 1 << 30, width // 3)(iter(batches)))
+    assert found == whole and len(whole) >= 20 * 500
+    assert most < sum(handed) <= 4 * s.windows.sum()
+
+
 def test_suffix_empty(spark):
     assert B.suffix_dedup(documents(spark, [])).count() == 0
 
