@@ -86,7 +86,7 @@ def hash_runs(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Stretches:
-    """Stretches by document row, first unit in it, and number of windows; their bytes lie one after the other."""
+    """Stretches by document row, first unit in it, and number of windows; their bytes lie one after the other, or `at`."""
 
     ids: np.ndarray  # per stretch: the document's id,
     rows: np.ndarray  # a number that tells rows with one id apart,
@@ -94,14 +94,19 @@ class Stretches:
     windows: np.ndarray  # windows from there on,
     sizes: np.ndarray  # and bytes
     data: np.ndarray
+    at: np.ndarray | None = None  # where the bytes of each begin, if they overlap
+
+    def places(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes if self.at is None else self.at
 
     def pick(self, chosen: np.ndarray) -> Stretches:
-        at = np.cumsum(self.sizes) - self.sizes
-        kept = (x[chosen] for x in (self.ids, self.rows, self.starts, self.windows, self.sizes))
-        return Stretches(*kept, take_bytes(self.data, at[chosen], self.sizes[chosen]))
+        kept = [x[chosen] for x in (self.ids, self.rows, self.starts, self.windows, self.sizes)]
+        if self.at is not None:
+            return Stretches(*kept, self.data, self.at[chosen])
+        return Stretches(*kept, take_bytes(self.data, self.places()[chosen], self.sizes[chosen]))
 
     def cut(self, most: int) -> Iterator[Stretches]:
-        """The stretches in runs that begin within `most` bytes."""
+        """The stretches, whose bytes lie one after the other, in runs that begin within `most` bytes."""
         ends = np.cumsum(self.sizes)
         begins = ends - self.sizes
         at = [*_run_starts(begins // most).tolist(), len(self)]
@@ -114,7 +119,11 @@ class Stretches:
 
 
 def joined(parts: list[Stretches]) -> Stretches:
-    return Stretches(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("ids", "rows", "starts", "windows", "sizes", "data")))
+    whole = [np.concatenate([getattr(p, f) for p in parts]) for f in ("ids", "rows", "starts", "windows", "sizes", "data")]
+    if all(p.at is None for p in parts):
+        return Stretches(*whole)
+    before = np.cumsum([0, *(len(p.data) for p in parts[:-1])])
+    return Stretches(*whole, np.concatenate([p.places() + n for p, n in zip(parts, before.tolist(), strict=True)]))
 
 
 def packed(s: Stretches, level: int = 6) -> bytes:
@@ -132,8 +141,8 @@ def packed_by(s: Stretches, key: np.ndarray, bucket: np.ndarray, level: int) ->
     if not len(s):
         return
     order = np.lexsort((bucket, key))
-    ends = np.cumsum(s.sizes)
-    raw, first, last = memoryview(np.ascontiguousarray(s.data)), (ends - s.sizes)[order].tolist(), ends[order].tolist()
+    at = s.places()
+    raw, first, last = memoryview(np.ascontiguousarray(s.data)), at[order].tolist(), (at + s.sizes)[order].tolist()
     key, bucket, ids, rows, windows = (x[order] for x in (key, bucket, s.ids, s.rows, s.windows))
     begin = _run_starts(key)
     new = np.r_[True, (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])]
@@ -141,8 +150,8 @@ def packed_by(s: Stretches, key: np.ndarray, bucket: np.ndarray, level: int) ->
     new[begin] = turn[begin] = True
     documents = np.flatnonzero(new)
     ids, rows = (np.diff(x[documents], prepend=0) for x in (ids, rows))  # each payload's first is replaced below
-    at = np.searchsorted(documents, np.r_[begin, len(key)]).tolist()
-    ids[at[:-1]], rows[at[:-1]] = s.ids[order[begin]], s.rows[order[begin]]
+    document_at = np.searchsorted(documents, np.r_[begin, len(key)]).tolist()
+    ids[document_at[:-1]], rows[document_at[:-1]] = s.ids[order[begin]], s.rows[order[begin]]
     turns = np.flatnonzero(turn)
     buckets, lengths = bucket[turns].astype(np.int32), np.diff(np.r_[turns, len(key)]).astype(np.int32)
     turn_at = np.searchsorted(turns, np.r_[begin, len(key)]).tolist()
@@ -151,7 +160,7 @@ def packed_by(s: Stretches, key: np.ndarray, bucket: np.ndarray, level: int) ->
     squeeze = zstandard.ZstdCompressor(level=level).compress
     total = np.add.reduceat(windows, begin).tolist()
     for k, (a, b) in enumerate(zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True)):
-        d, u = slice(at[k], at[k + 1]), slice(turn_at[k], turn_at[k + 1])
+        d, u = slice(document_at[k], document_at[k + 1]), slice(turn_at[k], turn_at[k + 1])
         numbers = (b - a, ids[d].tobytes(), rows[d].tobytes(), np.packbits(new[a:b]).tobytes(), kinds, [x[a:b].tobytes() for x in columns], buckets[u].tobytes(), lengths[u].tobytes())
         text = b"".join([raw[x:y] for x, y in zip(first[a:b], last[a:b], strict=True)])
         yield int(key[a]), total[k], pickle.dumps((squeeze(pickle.dumps(numbers, protocol=5)), squeeze(text)), protocol=5)
@@ -192,14 +201,21 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray
     return before[ends] == before[ends - sizes]
 
 
-def copies_of_first(s: Stretches) -> tuple[np.ndarray, np.ndarray]:
-    """For stretches that repeat an earlier one (least id, then start) byte for byte: their numbers, and its number."""
+def copies_of_first(s: Stretches, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For stretches that repeat an earlier one (least id, then start) byte for byte: their numbers, and its number.
+
+    `whole` is a hash of each stretch, if there is one already; without it their bytes lie one after the other.
+    """
     if not len(s):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.cumsum(s.sizes) - s.sizes
-    whole = hash_runs(s.data, s.sizes)
-    order = np.lexsort((s.starts, s.ids, whole))
-    new = np.r_[True, whole[order][1:] != whole[order][:-1]]
+    at = s.places()
+    whole = hash_runs(s.data, s.sizes) if whole is None else whole
+    order = np.argsort(whole)
+    alike = whole[order][1:] == whole[order][:-1]
+    order = order[np.r_[alike, False] | np.r_[False, alike]]
+    order = order[np.lexsort((s.starts[order], s.ids[order], whole[order]))]
+    new = np.ones(len(order), bool)
+    new[1:] = whole[order][1:] != whole[order][:-1]
     first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     alike = ~new & (s.sizes[order] == s.sizes[first])
     copy, origin = order[alike], first[alike]
@@ -238,7 +254,7 @@ def payloads(parts: Iterator[tuple[Stretches, np.ndarray]], partitions: int, flu
     size = 0
     for part in parts:
         held.append(part)
-        size += len(part[0].data)
+        size += int(part[0].sizes.sum())
         if size >= flush:
             yield from _payload_batch(held, partitions)
             held, size = [], 0
@@ -277,7 +293,7 @@ class Spool:
 
     def put(self, s: Stretches, bucket: np.ndarray) -> None:
         self.held.append((s, bucket))
-        self.size += len(s.data)
+        self.size += int(s.sizes.sum())
         if self.size >= self.memory:
             self.sort()
 

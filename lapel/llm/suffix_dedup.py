@@ -56,6 +56,24 @@ def _hashes(tokens: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return S.mixed(out)
 
 
+def _window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """For the string of `width` bytes at every byte: 32 bits that are equal for equal strings, and seldom otherwise."""
+    out, reach = data.astype(np.uint32), 1
+    while reach < width and len(out):
+        step = min(reach, width - reach)
+        ahead = out[step:]
+        out = out[:-step] * np.uint32(pow(0x9E3779B1, reach + 2, 2**32))
+        out += ahead
+        reach += step
+    return out
+
+
+def _whole(hashes: np.ndarray, at: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """A hash of each stretch, from its first and its last window."""
+    with np.errstate(over="ignore"):
+        return S.mixed((hashes[at].astype(np.uint64) << np.uint64(32) | hashes[at + windows - 1]) + windows.astype(np.uint64))
+
+
 def _least_ranks(data: np.ndarray, width: int, hot: np.ndarray, spent: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """For the string of `width` bytes at every byte: the least rank of its tokens.
 
@@ -81,13 +99,13 @@ def _least_ranks(data: np.ndarray, width: int, hot: np.ndarray, spent: Callable[
     return least
 
 
-def _stretches(ids: np.ndarray, rows: np.ndarray, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, width: int, hot: np.ndarray, spent: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[S.Stretches, np.ndarray]:
-    """The stretches of some texts (of parts that start at the given byte) and their tokens."""
+def _stretches(ids: np.ndarray, rows: np.ndarray, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, width: int, hot: np.ndarray, spent: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[S.Stretches, np.ndarray, np.ndarray]:
+    """The stretches of some texts (of parts that start at the given byte), their tokens and hashes."""
     counts = np.maximum(np.diff(offsets) - width + 1, 0)
     valid = ranges(offsets[:-1], counts)
     if not len(valid):
         empty = np.zeros(0, np.int64)
-        return S.Stretches(empty, empty, empty, empty, empty, data[:0]), empty.astype(np.uint64)
+        return S.Stretches(empty, empty, empty, empty, empty, data[:0], empty), empty.astype(np.uint64), empty.astype(np.uint64)
     least = _least_ranks(data, width, hot, spent)[valid]
     doc = np.repeat(np.arange(len(counts)), counts)
     begin = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
@@ -96,11 +114,11 @@ def _stretches(ids: np.ndarray, rows: np.ndarray, data: np.ndarray, offsets: np.
     sizes = windows + width - 1
     with np.errstate(over="ignore"):
         token = least[begin] * _UNRANK
-    return S.Stretches(ids[of], rows[of], a - offsets[of] + starts[of], windows, sizes, take_bytes(data, a, sizes)), token
+    return S.Stretches(ids[of], rows[of], a - offsets[of] + starts[of], windows, sizes, data, a), token, _whole(_window_hashes(data, width), a, windows)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], width: int, hot: np.ndarray, most: int) -> Iterator[tuple[S.Stretches, np.ndarray]]:
-    """Stretches of the texts, a few at a time; a long text comes in overlapping parts, so that each window is in one."""
+def _parts(batches: Iterator[pa.RecordBatch], width: int, hot: np.ndarray, most: int) -> Iterator[tuple[S.Stretches, np.ndarray, np.ndarray]]:
+    """Stretches of the texts, their tokens and hashes, a few at a time; a long text comes in overlapping parts, so that each window is in one."""
     for batch in slices(batches, "text", most):
         data, offsets = flat(batch.column("text"))
         ids, rows = batch.column("id").to_numpy(), batch.column("row").to_numpy()
@@ -117,16 +135,18 @@ def _pack_task(width: int, hot: np.ndarray, splitters: np.ndarray, partitions: i
         own: list[pa.RecordBatch] = []
 
         def parts() -> Iterator[tuple[S.Stretches, np.ndarray]]:
-            for s, token in _parts(batches, width, hot, most):
-                copy, origin = S.copies_of_first(s)
+            for s, token, whole in _parts(batches, width, hot, most):
+                copy, origin = S.copies_of_first(s, whole)
                 gone = copy[s.ids[copy] > s.ids[origin]]
                 own.extend(S.found_here(s.ids[gone], s.rows[gone], s.starts[gone], s.starts[gone] + s.sizes[gone]))
-                left = np.ones(len(s), bool)
-                left[gone] = False
-                kept = np.flatnonzero(left)
-                yield s.pick(kept), np.searchsorted(splitters, token[kept], "right")
-
-        for batch in S.payloads(parts(), partitions, 24 << 20):
+                if len(gone):
+                    left = np.ones(len(s), bool)
+                    left[gone] = False
+                    kept = np.flatnonzero(left)
+                    s, token = s.pick(kept), token[kept]
+                yield s, np.searchsorted(splitters, token, "right")
+
+        for batch in S.payloads(parts(), partitions, 48 << 20):
             yield batch
             yield from own
             own.clear()
@@ -138,8 +158,8 @@ def _pack_task(width: int, hot: np.ndarray, splitters: np.ndarray, partitions: i
 def multikey_sort(tokens: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes at the given bytes, ordered by their first `width` bytes: the order, and the number of each one's run of equals.
 
-    Three-way radix quicksort with 8 bytes as one character: all runs take a level together, and only runs of two or
-    more go on. The last level may overlap the one before, which costs nothing as those bytes are equal by then.
+    Three-way radix quicksort with 8 bytes as one character: all runs take a level together, and only runs that differ
+    there are sorted. The last level may overlap the one before, which costs nothing as those bytes are equal by then.
     """
     levels = _levels(width)
     order = np.argsort(tokens[at])
@@ -150,10 +170,16 @@ def multikey_sort(tokens: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nd
         more = np.flatnonzero(np.r_[alike, False] | np.r_[False, alike])
         if not len(more):
             break
-        key = tokens[at[order[more]] + level]
-        by = np.lexsort((key, run[more]))
+        key, old = tokens[at[order[more]] + level], run[more]
+        begin = np.flatnonzero(np.r_[True, old[1:] != old[:-1]])
+        sizes = np.diff(np.r_[begin, len(old)])
+        differ = np.repeat(np.logical_or.reduceat(key != np.repeat(key[begin], sizes), begin), sizes)
+        if not differ.any():
+            continue
+        more, key, old = more[differ], key[differ], old[differ]
+        by = np.lexsort((key, old))
         order[more] = order[more[by]]
-        key, old = key[by], run[more]
+        key = key[by]
         split = np.zeros(len(run), bool)
         split[more[1:]] = (key[1:] != key[:-1]) & (old[1:] == old[:-1])
         run = run + np.cumsum(split)
@@ -161,31 +187,32 @@ def multikey_sort(tokens: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nd
 
 
 def _may_repeat(hashes: np.ndarray) -> np.ndarray:
-    """Windows whose hash slot holds another one: all that repeat, and a few more."""
-    size = max(10, int(len(hashes)).bit_length() + 2)
-    slot = (hashes >> np.uint64(64 - size)).astype(np.int64)
-    some = np.flatnonzero(np.bincount(slot, minlength=1 << size)[slot] > 1)
-    slot = (hashes[some] & np.uint64((1 << size) - 1)).astype(np.int64)
-    return some[np.bincount(slot, minlength=1 << size)[slot] > 1]
+    """Windows whose hash another one has: all that repeat, and a few more."""
+    ordered = np.sort(hashes)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    mark = np.zeros(1 << 20, bool)
+    mark[twice >> np.uint32(12)] = True
+    return np.flatnonzero(mark[hashes >> np.uint32(12)])
 
 
 def _resolve_task(width: int) -> Callable[[S.Stretches], Iterator[pa.RecordBatch]]:
     def resolve(s: S.Stretches) -> Iterator[pa.RecordBatch]:
         if not len(s):
             return
-        copy, origin = S.copies_of_first(s)
+        begin, hashes = np.cumsum(s.sizes) - s.sizes, _window_hashes(s.data, width)
+        copy, origin = S.copies_of_first(s, _whole(hashes, begin, s.windows))
         gone = s.ids[copy] > s.ids[origin]
         copy = copy[gone]
         yield from S.intervals(s.ids[copy], s.rows[copy], s.starts[copy], s.starts[copy] + s.sizes[copy])
         left = np.ones(len(s), bool)
         left[copy] = False
-        s = s.pick(np.flatnonzero(left))
-        at = ranges(np.cumsum(s.sizes) - s.sizes, s.windows)
-        tokens = leading_tokens(s.data)
-        some = _may_repeat(_hashes(tokens, at, width))
+        data, begin = s.data, begin[left]
+        s = S.Stretches(*(x[left] for x in (s.ids, s.rows, s.starts, s.windows, s.sizes)), data[:0])  # bytes stay where they are
+        at = ranges(begin, s.windows)
+        some = _may_repeat(hashes[at])
         hit = np.zeros(len(at), bool)
         if len(some):
-            order, run = multikey_sort(tokens, at[some], width)
+            order, run = multikey_sort(leading_tokens(data), at[some], width)
             ids = np.repeat(s.ids, s.windows)[some[order]]
             least = np.minimum.reduceat(ids, np.flatnonzero(np.r_[True, run[1:] != run[:-1]]))
             hit[some[order[ids > least[run]]]] = True
@@ -225,7 +252,7 @@ def _split_task(width: int, hot: np.ndarray, splitters: np.ndarray) -> S.Split:
                 out |= S.mixed(tokens) % np.uint64(of) == np.uint64(share)
             return out
 
-        finer, token = _stretches(s.ids, s.rows, s.data, np.r_[0, np.cumsum(s.sizes)], s.starts, width, hot, spent)
+        finer, token, _ = _stretches(s.ids, s.rows, s.data, np.r_[0, np.cumsum(s.sizes)], s.starts, width, hot, spent)
         return finer, (S.mixed(token) % np.uint64(parts)).astype(np.int64)
 
     return split

@@ -289,7 +289,7 @@ def test_a_suffix_bucket_beyond_memory_is_split_by_other_tokens(cuts):
     texts += [f"{words(100 + k, 20)} {texts[k][200:700]}" for k in range(20)]
     offsets = np.cumsum([0, *map(len, texts)])
     ids, zero = np.arange(len(texts)), np.zeros(len(texts), np.int64)
-    s, token = B._stretches(ids, zero, np.frombuffer("".join(texts).encode(), np.uint8), offsets, zero, width, none)
+    s, token, _ = B._stretches(ids, zero, np.frombuffer("".join(texts).encode(), np.uint8), offsets, zero, width, none)
     values, counts = np.unique(token, return_counts=True)
     heavy = values[counts.argmax()]
     splitters = np.array([heavy, heavy + np.uint64(1)], np.uint64)[: 2 * cuts]
