@@ -319,8 +319,9 @@ class Spool:
             yield unpacked(self.file.read(length))
 
 
-#: Stretches of a bucket, and what tells its buckets apart so far, to finer stretches and their finer buckets.
-Split = Callable[[Stretches, tuple[tuple[int, int], ...], int], tuple[Stretches, np.ndarray]]
+#: Stretches of a bucket, the buckets passed so far (number, of how many) and how many to make, to finer stretches, their
+#: buckets, and intervals found on the way.
+Split = Callable[[Stretches, tuple[tuple[int, int], ...], int], tuple[Stretches, np.ndarray, Iterator[pa.RecordBatch]]]
 
 
 def bucket_task(resolve: Callable[[Stretches], Iterator[pa.RecordBatch]], thin: Callable[[Stretches, int, int], Stretches], most: int, alone: int, split: Split | None = None, memory: int = 16 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -340,7 +341,9 @@ def bucket_task(resolve: Callable[[Stretches], Iterator[pa.RecordBatch]], thin:
             finer = Spool(memory)
             for s in spool.parts(bucket):
                 for some in s.cut(PIECE):
-                    finer.put(*split(some, path, parts))
+                    *more, found = split(some, path, parts)
+                    finer.put(*more)
+                    yield from found
             yield from all_of(finer, path, parts)
         else:
             slices = -(-windows * alone // most)

@@ -5,8 +5,8 @@ multiply the text fifty-fold, so suffixes that share a lowest-ranked token withi
 and splitters sampled from such tokens cut the token order into ranges: one bucket each. A bucket first drops stretches
 that repeat another one, then sorts the suffixes that may repeat by multikey quicksort, 8 bytes a level, each level
 refining only the runs that are still equal. Equal strings have equal tokens, so the only range boundary that they
-could straddle is one inside a token; buckets hold whole tokens, and where one token outgrows memory, its bucket is cut
-by content instead, which keeps equal strings together as well.
+could straddle is one inside a token; buckets hold whole tokens, and where one token outgrows memory, its bucket is split
+by the other tokens of its strings, which keeps equal strings together as well.
 """
 
 from __future__ import annotations
@@ -130,19 +130,24 @@ def _parts(batches: Iterator[pa.RecordBatch], width: int, hot: np.ndarray, most:
             yield _stretches(ids, rows, part, np.array([0, len(part)]), np.array([a]), width, hot)
 
 
+def _copies(s: S.Stretches, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches that repeat one of a document with a smaller id, which go whole; and the others."""
+    copy, origin = S.copies_of_first(s, whole)
+    gone = copy[s.ids[copy] > s.ids[origin]]
+    left = np.ones(len(s), bool)
+    left[gone] = False
+    return gone, np.flatnonzero(left)
+
+
 def _pack_task(width: int, hot: np.ndarray, splitters: np.ndarray, partitions: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[pa.RecordBatch] = []
 
         def parts() -> Iterator[tuple[S.Stretches, np.ndarray]]:
             for s, token, whole in _parts(batches, width, hot, most):
-                copy, origin = S.copies_of_first(s, whole)
-                gone = copy[s.ids[copy] > s.ids[origin]]
-                own.extend(S.found_here(s.ids[gone], s.rows[gone], s.starts[gone], s.starts[gone] + s.sizes[gone]))
+                gone, kept = _copies(s, whole)
                 if len(gone):
-                    left = np.ones(len(s), bool)
-                    left[gone] = False
-                    kept = np.flatnonzero(left)
+                    own.extend(S.found_here(s.ids[gone], s.rows[gone], s.starts[gone], s.starts[gone] + s.sizes[gone]))
                     s, token = s.pick(kept), token[kept]
                 yield s, np.searchsorted(splitters, token, "right")
 
@@ -200,12 +205,8 @@ def _resolve_task(width: int) -> Callable[[S.Stretches], Iterator[pa.RecordBatch
         if not len(s):
             return
         begin, hashes = np.cumsum(s.sizes) - s.sizes, _window_hashes(s.data, width)
-        copy, origin = S.copies_of_first(s, _whole(hashes, begin, s.windows))
-        gone = s.ids[copy] > s.ids[origin]
-        copy = copy[gone]
-        yield from S.intervals(s.ids[copy], s.rows[copy], s.starts[copy], s.starts[copy] + s.sizes[copy])
-        left = np.ones(len(s), bool)
-        left[copy] = False
+        gone, left = _copies(s, _whole(hashes, begin, s.windows))
+        yield from S.intervals(s.ids[gone], s.rows[gone], s.starts[gone], s.starts[gone] + s.sizes[gone])
         data, begin = s.data, begin[left]
         s = S.Stretches(*(x[left] for x in (s.ids, s.rows, s.starts, s.windows, s.sizes)), data[:0])  # bytes stay where they are
         at = ranges(begin, s.windows)
@@ -235,9 +236,10 @@ def _thin_task(width: int) -> Callable[[S.Stretches, int, int], S.Stretches]:
 
 
 def _split_task(width: int, hot: np.ndarray, splitters: np.ndarray) -> S.Split:
-    def split(s: S.Stretches, path: tuple[tuple[int, int], ...], parts: int) -> tuple[S.Stretches, np.ndarray]:
+    def split(s: S.Stretches, path: tuple[tuple[int, int], ...], parts: int) -> tuple[S.Stretches, np.ndarray, Iterator[pa.RecordBatch]]:
         """The windows by their least-ranked token that no bucket on the path stands for, dealt to `parts` by its hash.
 
+        Copies go at once, as intervals: a passage that is in very many documents is one stretch in each, and few are left.
         The first bucket of the path is a range between splitters, those after it are shares of the tokens by hash.
         """
         bucket = path[0][0]
@@ -252,8 +254,10 @@ def _split_task(width: int, hot: np.ndarray, splitters: np.ndarray) -> S.Split:
                 out |= S.mixed(tokens) % np.uint64(of) == np.uint64(share)
             return out
 
-        finer, token, _ = _stretches(s.ids, s.rows, s.data, np.r_[0, np.cumsum(s.sizes)], s.starts, width, hot, spent)
-        return finer, (S.mixed(token) % np.uint64(parts)).astype(np.int64)
+        finer, token, whole = _stretches(s.ids, s.rows, s.data, np.r_[0, np.cumsum(s.sizes)], s.starts, width, hot, spent)
+        gone, kept = _copies(finer, whole)
+        found = S.intervals(finer.ids[gone], finer.rows[gone], finer.starts[gone], finer.starts[gone] + finer.sizes[gone])
+        return finer.pick(kept), (S.mixed(token[kept]) % np.uint64(parts)).astype(np.int64), found
 
     return split
 

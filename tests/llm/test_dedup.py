@@ -311,6 +311,31 @@ def test_a_suffix_bucket_beyond_memory_is_split_by_other_tokens(cuts):
     assert most < sum(handed) <= 4 * s.windows.sum()
 
 
+def test_a_passage_in_very_many_documents_is_folded_while_it_is_split():
+    width, passage = 50, words(1, 30)
+    texts = [f"{words(2 * k, 3)} {passage} {words(2 * k + 1, 3)}" for k in range(2_000)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    ids, zero = np.arange(len(texts)), np.zeros(len(texts), np.int64)
+    s, _, _ = B._stretches(ids, zero, np.frombuffer("".join(texts).encode(), np.uint8), offsets, zero, width, np.zeros(1 << B._SLOTS, bool))
+    most = int(s.windows.sum()) // 3
+    resolved = []
+
+    def resolve(s):
+        resolved.append(int(s.windows.sum()))
+        return B._resolve_task(width)(s)
+
+    batches = list(S.payloads(iter([(s, np.zeros(len(s), np.int64))]), 1, 1 << 20))
+    task = S.bucket_task(resolve, None, most, width // 3, B._split_task(width, np.zeros(1 << B._SLOTS, bool), np.zeros(0, np.uint64)))
+    found = covered(task(iter(batches)))
+    first = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - width + 1):
+            first.setdefault(t[p : p + width], i)
+    by_hand = {(i, 0, q) for i, t in enumerate(texts) for p in range(len(t) - width + 1) if first[t[p : p + width]] < i for q in range(p, p + width)}
+    assert found == by_hand
+    assert sum(resolved) < s.windows.sum() // 2
+
+
 def test_suffix_empty(spark):
     assert B.suffix_dedup(documents(spark, [])).count() == 0
 
